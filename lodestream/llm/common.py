@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestream_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="lodestream-package-")) / "lodestream.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._lodestream_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +49,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage: any executor can be lost and they stay readable."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestream.llm.common import Scratch, table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.llm.packing import pack
 
@@ -21,6 +33,35 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op5_best_fit_packing, op9_token_store)}
+
+NEAR_TEXTS = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a)
+SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(r.y) AS component_id, min(r.y) = s.doc_id AS kept
+FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NULL OR len(embedding) = 0 OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+    THEN NULL ELSE CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.b FROM reach r JOIN link e ON r.y = e.a),
+deg AS (SELECT a, count(*) AS d FROM link GROUP BY a)
+SELECT v.vec_id, any_value(coalesce(d, 0))::BIGINT AS n_links, min(r.y) AS component_id, min(r.y) = v.vec_id AS kept
+FROM v JOIN reach r ON r.x = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id GROUP BY v.vec_id
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": NEAR_TEXTS, "op3_embedding_near_dedup": NEAR_VECTORS}
