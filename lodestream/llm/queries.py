@@ -31,6 +31,12 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.llm.token_store import token_index, write_tokens
 
@@ -45,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op5_best_fit_packing, op6_spaced_seed_decontamination, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op5_best_fit_packing, op6_spaced_seed_decontamination, op8_kneser_ney, op9_token_store, op10_pii)}
 
 NEAR_TEXTS = r"""
 WITH RECURSIVE w AS (
