@@ -19,6 +19,13 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.llm.packing import pack
 
@@ -31,6 +38,12 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.llm.lm import score_documents
 
@@ -51,7 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op5_best_fit_packing, op6_spaced_seed_decontamination, op8_kneser_ney, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op4_weak_label_quality, op5_best_fit_packing, op6_spaced_seed_decontamination, op7_language_id, op8_kneser_ney, op9_token_store, op10_pii)}
 
 NEAR_TEXTS = r"""
 WITH RECURSIVE w AS (
