@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm.common import Scratch
+
 #: Token offsets that each mask compares, of the SPAN tokens it lies over; the offsets left out may be substituted.
 MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
 BREAKS = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D\x20]+"
-BROADCAST_SEEDS = 1_000_000  # seed rows (about 400 MB at most) up to which the benchmark is broadcast; beyond it the join is shuffled
+BROADCAST_SEEDS = 2_000_000  # seed rows (24 bytes each) up to which the benchmark is broadcast; beyond it the join is shuffled
+BROADCAST_IDS = 2_000_000  # documents with a hit (8 bytes each), likewise
 
 
 def token_hashes(text: Column) -> Column:
@@ -41,24 +44,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     no pair, on either side; null ids give no pair; repeated rows give one; empty tables give no rows; other columns
     are not read.
     """
+    scratch = Scratch(docs.sparkSession, "decontamination")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col(item_text_col).cast("string")).alias("item"))
-    items = items.filter(F.col("item_id").isNotNull() & (F.size("item") >= SPAN)).distinct()
-    known = seeds(items, "item", ["item_id", "item"]).select("seed", "item_id", "item", F.col("at").alias("item_at")).distinct()
+    items = scratch.keep(items.filter(F.col("item_id").isNotNull() & (F.size("item") >= SPAN)).distinct().withColumn("version", F.xxhash64("item")), "items")
+    known = seeds(items, "item", ["item_id", "version"]).select("seed", "item_id", "version", F.col("at").alias("item_at")).distinct()
     known = F.broadcast(known) if known.count() <= BROADCAST_SEEDS else known
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), token_hashes(F.col(text_col).cast("string")).alias("h"))
-    hits = seeds(rows, "h", ["doc_id", "h"]).join(known, "seed")
-    start = F.col("at") - F.col("item_at")
-    cut = F.greatest(-start, F.lit(0))
-    agree = F.zip_with(F.slice("h", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("item") - cut, F.lit(0))), F.slice("item", cut + 1, F.size("item")), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    hits = hits.select("doc_id", "item_id", start.alias("start"), agree.alias("agree"), F.size("item").alias("n_words"), (F.col("item_at") - cut).alias("seed_at"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = rows.select("doc_id", token_hashes(F.col("text")).alias("h"))
+    hits = seeds(hashed, "h", ["doc_id"]).join(known, "seed").select("doc_id", "item_id", "version", (F.col("at") - F.col("item_at")).alias("start"), "item_at")
+    hits = scratch.keep(hits.distinct(), "hits")
+    # the documents with a hit once more, each with all its hits: only a hit's stretch of tokens is copied, never the document
+    hits = hits.join(items.select("item_id", "version", F.size("item").alias("n_words")), ["item_id", "version"])
+    by_doc = scratch.keep(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "version", "start", "item_at", "n_words")).alias("hits")), "by-document")
+    near = F.broadcast(by_doc.select("doc_id")) if by_doc.count() <= BROADCAST_IDS else by_doc.select("doc_id")
+    held = rows.join(near, "doc_id", "left_semi").select("doc_id", token_hashes(F.col("text")).alias("h")).join(by_doc, "doc_id")
+    stretch = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["version"].alias("version"), x["start"].alias("start"), x["item_at"].alias("item_at"), F.slice("h", F.greatest(x["start"], F.lit(0)) + 1, F.greatest(x["n_words"] + F.least(x["start"], F.lit(0)), F.lit(0))).alias("part")))
+    laid = held.select("doc_id", F.explode(stretch).alias("x")).select("doc_id", "x.*").join(items, ["item_id", "version"])
+    cut = F.greatest(-F.col("start"), F.lit(0))
+    agree = F.zip_with("part", F.slice("item", cut + 1, F.size("item")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    laid = laid.select("doc_id", "item_id", "start", agree.alias("agree"), F.size("item").alias("n_words"), (F.col("item_at") - cut).alias("seed_at"))
     yes = lambda a: F.size(F.filter(a, lambda x: x))
     around = F.slice("agree", F.greatest(F.col("seed_at") - (window - SPAN) // 2, F.lit(0)) + 1, window)
-    hits = hits.select("doc_id", "item_id", "start", "n_words", yes(F.col("agree")).alias("n_match"), yes(around).alias("near"))
+    laid = laid.select("doc_id", "item_id", "start", "n_words", yes(F.col("agree")).alias("n_match"), yes(around).alias("near"))
     counts = (F.col("n_match") >= F.lit(share) * F.col("n_words")) | (F.col("near") >= in_window)
-    return hits.filter(counts).groupBy("doc_id", "item_id").agg(F.max("n_match").cast("long").alias("n_match"), F.max("n_words").cast("long").alias("n_words"), F.min("start").cast("long").alias("first_at"))
+    return laid.filter(counts).groupBy("doc_id", "item_id").agg(F.max("n_match").cast("long").alias("n_match"), F.max("n_words").cast("long").alias("n_words"), F.min("start").cast("long").alias("first_at"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold an item of the benchmark; rows of a null id stay."""
-    held = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(*docs.columns)
+    held = Scratch(docs.sparkSession, "contaminated").keep(overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__id")).distinct(), "ids")
+    held = F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+    return docs.withColumn("__id", F.col(id_col).cast("long")).join(held, "__id", "left_anti").select(*docs.columns)
