@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestream.llm.common import Scratch, table
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestream.llm.html_template import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.llm.minhash import near_duplicates
 
@@ -64,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_embedding_near_dedup, op4_weak_label_quality, op5_best_fit_packing, op6_spaced_seed_decontamination, op7_language_id, op8_kneser_ney, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_template, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_weak_label_quality, op5_best_fit_packing, op6_spaced_seed_decontamination, op7_language_id, op8_kneser_ney, op9_token_store, op10_pii)}
 
 NEAR_TEXTS = r"""
 WITH RECURSIVE w AS (
