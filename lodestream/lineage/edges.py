@@ -84,12 +84,15 @@ def aliases(v: DataFrame) -> DataFrame:
 
 
 def references(v: DataFrame) -> DataFrame:
-    """Columns into what is computed of them: the instance of its context, else the script's last one of the full name."""
+    """Columns into what is computed of them: the instance of its context, else the script's last one of the full name, else its first one of the bare name."""
     rel = F.expr("CASE WHEN variable_type = 'aggregate' THEN 'AGGREGATE' WHEN variable_type = 'window' THEN 'WINDOW' WHEN variable_type = 'case' THEN 'COMPUTED' WHEN variable_type = 'transform' THEN 'TRANSFORM' WHEN variable_type = 'cte_column' THEN 'TRANSFORM' WHEN variable_type = 'expression' AND defined_in <> 'JOIN ON' THEN 'TRANSFORM' ELSE 'REF' END")
-    uses = v.filter("size(source_columns) > 0").select("script", "context", F.col("id").alias("target"), F.col("ord").alias("target_ord"), rel.alias("rel"), F.explode("source_columns").alias("c")).withColumn("n", F.lower("c"))
+    uses = v.filter("size(source_columns) > 0").select("script", "context", F.col("id").alias("target"), rel.alias("rel"), F.explode("source_columns").alias("c"))
+    uses = uses.select("script", "context", "target", "rel", F.lower("c").alias("full"), F.lower(F.regexp_extract("c", r"([^.]+)$", 1)).alias("bare"))
     fields = v.filter("variable_type NOT IN ('table', 'view', 'cte', 'subquery', 'virtual_table', 'merge_target', 'union_branch', 'literal')").select("script", F.lower("name").alias("n"), F.col("id").alias("source"), F.col("context").alias("source_context"), "ord")
-    rank = F.row_number().over(Window.partitionBy("script", "target", "n").orderBy(F.desc(F.col("source_context") == F.col("context")), F.desc("ord")))
-    found = uses.join(fields, ["script", "n"]).filter("source <> target").withColumn("k", rank).filter("k = 1")
+    exact = uses.withColumn("n", F.col("full")).join(fields, ["script", "n"]).withColumn("far", F.lit(0)).withColumn("place", F.when(F.col("source_context") == F.col("context"), -1000000).otherwise(0) - F.col("ord"))
+    loose = uses.filter("bare <> full").withColumn("n", F.col("bare")).join(fields, ["script", "n"]).withColumn("far", F.lit(1)).withColumn("place", F.col("ord"))
+    rank = F.row_number().over(Window.partitionBy("script", "target", "full").orderBy("far", "place"))
+    found = exact.unionByName(loose).filter("source <> target").withColumn("k", rank).filter("k = 1")
     return _edge(found.withColumn("op", F.lit("REFERENCE")), "source", "target", "", None)
 
 

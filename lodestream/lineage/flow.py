@@ -19,7 +19,7 @@ EDGE_TYPES = (
 
 def owner_of(context: Column) -> Column:
     """The table-like thing that a context's output columns belong to, branches of a set operation to the whole; null for a statement's own output."""
-    whole = F.regexp_replace(context, r"(/union[01])+$", "")
+    whole = F.regexp_replace(context, r"(/union\d+)+$", "")
     return (
         F.when(whole.rlike(r"^CTE\{[^}]*\}$"), F.regexp_extract(whole, r"^CTE\{([^}]*)\}$", 1))
         .when(whole.rlike(r"(/subq/|:join:)[^/:]+$"), F.regexp_extract(whole, r"(?:/subq/|:join:)([^/:]+)$", 1))
@@ -38,13 +38,13 @@ def field_edges(analysis: Analysis) -> DataFrame:
     statements = analysis.statements.filter("target is not null AND kind IN ('INSERT', 'SELECT INTO')").select("script", "statement", F.posexplode(F.split("target", ",")).alias("arm", "written"))
     ctes = analysis.scopes.filter("kind IN ('cte', 'derived', 'unnest', 'values')").select("script", F.lower(F.when(F.col("kind") == "derived", F.col("alias")).otherwise(F.col("table"))).alias("local")).distinct()
     items = v.filter("defined_in IN ('SELECT', 'UPDATE SET', 'MERGE SET') AND variable_type <> 'literal'").withColumn("owner", owner_of(F.col("context")))
-    whole = F.regexp_replace("context", r"(/union[01])+$", "")
+    whole = F.regexp_replace("context", r"(/union\d+)+$", "")
     arm = F.coalesce(F.regexp_extract(whole, r"^TOP\d+/hive_arm(\d+)$", 1).try_cast("int"), F.lit(0))
     items = items.withColumn("top", whole.rlike(r"^TOP\d+(/hive_arm\d+)?$")).withColumn("arm", arm)
     items = items.join(statements, ["script", "statement", "arm"], "left").withColumn("into", F.when(F.col("defined_in") == "SELECT", F.when(F.col("top"), F.coalesce("written", F.lit("⟐result"))).otherwise(F.col("owner"))).otherwise(F.expr("substring_index(name, '.', size(split(name, '[.]')) - 1)"))).filter("into is not null")
     field = F.regexp_extract("name", r"([^.]+)$", 1)
     items = items.select("script", "id", "context", F.col("defined_in").alias("clause"), "into", field.alias("field"), F.lower("variable_type").alias("kind"), F.col("line_start").alias("line"), F.explode("source_columns").alias("used"))
-    refs = resolve(analysis).filter("table is not null").withColumn("used", F.concat(F.when(F.col("qualifier") <> "", F.concat("qualifier", F.lit("."))).otherwise(F.lit("")), F.col("column")))
+    refs = resolve(analysis).filter("table is not null AND strategy NOT IN ('pseudo', 'output')").withColumn("used", F.concat(F.when(F.col("qualifier") != "", F.concat("qualifier", F.lit("."))).otherwise(F.lit("")), F.col("column")))
     refs = refs.select("script", "context", "clause", "used", F.col("table").alias("source_table"), F.col("column").alias("source_field")).distinct()
     joined = items.join(refs, ["script", "context", "clause", "used"])
     local = lambda name, by: ctes.select("script", F.col("local").alias(by), F.lit(True).alias(name))

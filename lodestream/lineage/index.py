@@ -13,7 +13,7 @@ NAMES = r"^[A-Za-z_][A-Za-z0-9_$.]*$"
 
 def field_uses(resolved: DataFrame, evidence: DataFrame) -> DataFrame:
     """(script, table, field) in lower case, from resolved references and from schema evidence; plain names alone."""
-    used = resolved.filter("table is not null AND strategy NOT IN ('pseudo')").select("script", F.lower("table").alias("table"), F.lower("column").alias("field"))
+    used = resolved.filter("table is not null AND strategy NOT IN ('pseudo', 'output')").select("script", F.lower("table").alias("table"), F.lower("column").alias("field"))
     told = evidence.select("script", F.lower("table").alias("table"), F.lower("column").alias("field"))
     return used.union(told).filter(F.col("table").rlike(NAMES) & F.col("field").rlike(NAMES)).distinct()
 

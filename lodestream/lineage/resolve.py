@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from lodestream.lineage.analysis import Analysis
 from lodestream.lineage.parser import PSEUDO
+from lodestream.sources.writers import scratch_table
 
 
 def parent_of(context: Column) -> Column:
-    """The enclosing scope: without the last /part or :join:part; null at the top."""
-    cut = F.regexp_replace(context, r"(/[^/:]*|:join:[^/:]*)$", "")
+    """The enclosing scope: without the last part (/subq/name, /part or :join:name); null at the top."""
+    cut = F.regexp_replace(context, r"(/subq/[^/:]+|/[^/:]+|:join:[^/:]+)$", "")
     return F.when(cut != context, cut)
 
 
-def scope_chain(contexts: DataFrame, most_depth: int = 12) -> DataFrame:
+def scope_chain(contexts: DataFrame) -> DataFrame:
     """(script, context, outer, distance) of each context and those that enclose it."""
-    chain = contexts.select("script", "context", F.col("context").alias("outer"), F.lit(0).alias("distance")).distinct()
-    out = step = chain
-    for k in range(1, most_depth + 1):
-        step = step.select("script", "context", parent_of(F.col("outer")).alias("outer"), F.lit(k).alias("distance")).filter("outer is not null")
-        out = out.union(step)
-    return out
+    parts = F.split(F.regexp_replace("context", "/subq/", "/subq~"), r"(?=/|:join:)")
+    outer = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(k.alias("distance"), F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), ""), "/subq~", "/subq/").alias("outer")))
+    return contexts.select("script", "context").distinct().select("script", "context", F.explode(outer).alias("x")).select("script", "context", "x.outer", "x.distance")
 
 
 def resolve(analysis: Analysis) -> DataFrame:
@@ -30,7 +28,7 @@ def resolve(analysis: Analysis) -> DataFrame:
 
     alias: the qualifier names a source of the nearest scope that has it. cte: a bare name that one visible common table
     expression or derived table gives out. scope: the nearest scope with sources has a single physical table. schema: of
-    several, exactly one is known to own the column. system, pseudo: by name. A field named as a visible table, and
+    several, exactly one is known to own the column. system, pseudo: by name. output: a clause after the select list names one of its columns. A field named as a visible table, and
     all else, stays unresolved. Names compare whole and without case.
     """
     low = F.lower
@@ -39,7 +37,8 @@ def resolve(analysis: Analysis) -> DataFrame:
     sources = scopes.filter("kind in ('physical', 'cte', 'derived', 'values', 'unnest', 'system')")
     outputs = scopes.filter("kind = 'output'").select("script", F.col("context").alias("given_in"), low("table").alias("given")).distinct()
     chain = scope_chain(refs.select("script", "context").distinct())
-    visible = chain.join(sources.withColumnRenamed("context", "outer"), ["script", "outer"])
+    # read by five rules below
+    visible = scratch_table(refs.sparkSession, chain.join(sources.withColumnRenamed("context", "outer"), ["script", "outer"]))[0]
     keyed = refs.withColumn("q", low(F.regexp_extract("qualifier", r"([^.]*)$", 1))).withColumn("c", low("column"))
     key = ["script", "id"]
 
@@ -51,10 +50,12 @@ def resolve(analysis: Analysis) -> DataFrame:
     bare = keyed.filter("q = ''")
     named = bare.join(visible.withColumn("c", low("table")), ["script", "context", "c"], "left_semi").select(*key)
     pseudo = bare.filter(F.col("c").isin(*sorted(PSEUDO))).select(*key, F.lit("⟐pseudo").alias("table"), F.lit("pseudo").alias("strategy"))
-    open_refs = bare.join(named, key, "left_anti").join(pseudo, key, "left_anti")
+    # a clause after the select list may name what it gives out; scopes come first in WHERE, FROM and the list itself
+    own = bare.filter("clause IN ('QUALIFY', 'ORDER BY', 'SORT BY')").join(outputs.select("script", F.col("given_in").alias("context"), F.col("given").alias("c")), ["script", "context", "c"], "left_semi").select(*key, F.lit("⟐output").alias("table"), F.lit("output").alias("strategy"))
+    open_refs = bare.join(named, key, "left_anti").join(pseudo.unionByName(own), key, "left_anti")
 
     seen = open_refs.select("script", "id", "context", "c").join(visible.select("script", "context", "distance", "alias", "table", "kind"), ["script", "context"])
-    given = seen.filter("kind in ('cte', 'derived')").withColumn("given_in", F.when(F.col("kind") == "cte", F.concat(F.lit("CTE{"), F.col("table"), F.lit("}"))).otherwise(F.col("table")))
+    given = seen.filter("kind = 'cte' OR kind = 'derived' AND NOT startswith(context, table)").withColumn("given_in", F.when(F.col("kind") == "cte", F.concat(F.lit("CTE{"), F.col("table"), F.lit("}"))).otherwise(F.col("table")))
     given = given.join(outputs.withColumnRenamed("given", "c"), ["script", "given_in", "c"])
     nearest = given.groupBy(*key).agg(F.min("distance").alias("distance"))
     by_cte = given.join(nearest, [*key, "distance"]).groupBy(*key).agg(F.countDistinct("given_in").alias("n"), F.min(F.when(F.col("kind") == "cte", F.col("table")).otherwise(F.col("alias"))).alias("table")).filter("n = 1").select(*key, "table", F.lit("cte").alias("strategy"))
@@ -68,12 +69,12 @@ def resolve(analysis: Analysis) -> DataFrame:
     several = here.join(single, key, "left_anti").select(*key, "c", F.explode("tables").alias("table")).withColumn("t", low("table"))
     by_schema = several.join(owned, ["t", "c"], "left_semi").groupBy(*key).agg(F.count("*").alias("n"), F.first("table").alias("table")).filter("n = 1").select(*key, "table", F.lit("schema").alias("strategy"))
 
-    found = by_alias.unionByName(pseudo).unionByName(by_cte).unionByName(single).unionByName(by_schema)
+    found = by_alias.unionByName(pseudo).unionByName(own).unionByName(by_cte).unionByName(single).unionByName(by_schema)
     return refs.join(found, key, "left")
 
 
 def coverage(resolved: DataFrame) -> DataFrame:
     """By script: references, how many have a table, in per cent (null without references), and by strategy."""
     n, yes = F.count("*"), F.count("table")
-    by = [F.count(F.when(F.col("strategy") == s, 1)).alias(f"by_{s}") for s in ("alias", "cte", "scope", "schema", "system", "pseudo")]
+    by = [F.count(F.when(F.col("strategy") == s, 1)).alias(f"by_{s}") for s in ("alias", "cte", "scope", "schema", "system", "pseudo", "output")]
     return resolved.groupBy("script").agg(n.alias("total"), yes.alias("resolved"), F.round(100 * yes / n, 1).alias("coverage_pct"), *by)
