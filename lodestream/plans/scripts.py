@@ -376,3 +376,43 @@ def dg_dependencies(spark, sf):
 def si_schema(spark, sf):
     e = _analysis(spark).scopes.filter("kind = 'physical' AND alias <> table").select(F.col("table").alias("source"), F.concat("script", F.lit("#"), "alias").alias("target"))
     return index.schema_inference(e, _analysis(spark).evidence)
+
+
+TEXTS = _values("s", "script, sql_text", sorted(CORPUS.items()))
+LINES = "l AS (SELECT script, unnest(string_split(sql_text, chr(10))) AS text, unnest(range(1, len(string_split(sql_text, chr(10))) + 1)) AS line FROM s)"
+
+
+@query(f"""WITH {TEXTS}, c AS (SELECT script, unnest(string_split(regexp_replace(sql_text, '[^()]', '', 'g'), '')) AS c, unnest(range(1, length(regexp_replace(sql_text, '[^()]', '', 'g')) + 1)) AS k FROM s),
+d AS (SELECT script, max(depth) AS depth FROM (SELECT script, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY script ORDER BY k) AS depth FROM c) GROUP BY script)
+SELECT s.script, len(string_split(sql_text, chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(sql_text, ';'))::BIGINT AS statements, len(regexp_extract_all(sql_text, '(?i)\\bJOIN\\b'))::BIGINT AS joins, len(regexp_extract_all(sql_text, '(?i)\\bSELECT\\b'))::BIGINT AS selects,
+len(regexp_extract_all(sql_text, '(?i)\\bCASE\\b'))::BIGINT AS cases, greatest(coalesce(depth, 0), 0)::BIGINT AS depth FROM s LEFT JOIN d ON d.script = s.script""")
+def f08_profile(spark, sf):
+    from lodestream.lineage.text import profile
+
+    return profile(corpus(spark))
+
+
+@query(f"""WITH {TEXTS}, {LINES}, k(clause) AS (VALUES ('SELECT'), ('FROM'), ('WHERE'), ('GROUP BY'), ('HAVING'), ('ORDER BY'), ('LIMIT')),
+f AS (SELECT script, clause, min(line) AS low FROM l JOIN k ON regexp_matches(upper(trim(text)), '^' || replace(clause, ' ', '[ ]+') || '\\b') GROUP BY 1, 2), e AS (SELECT script, max(line) AS last FROM l GROUP BY 1)
+SELECT f.script, clause, CAST(low AS INT) AS low, CAST(coalesce(lead(low) OVER (PARTITION BY f.script ORDER BY low) - 1, last) AS INT) AS high FROM f JOIN e ON e.script = f.script""")
+def f09_clause_ranges(spark, sf):
+    from lodestream.lineage.text import clause_ranges
+
+    return clause_ranges(corpus(spark))
+
+
+@query(f"""WITH {TEXTS}, {LINES}, e AS (SELECT script, max(line) AS last FROM l GROUP BY 1), w AS (SELECT l.script, greatest(line - 1, 1) AS low, least(line + 1, last) AS high FROM l JOIN e ON e.script = l.script WHERE contains(text, 'stg_orders')),
+m AS (SELECT script, min(low) AS low, max(high) AS high FROM (SELECT *, sum(new) OVER (PARTITION BY script ORDER BY low, high) AS island FROM (SELECT *, CASE WHEN max(high) OVER (PARTITION BY script ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= low THEN 0 ELSE 1 END AS new FROM w)) GROUP BY script, island)
+SELECT m.script, CAST(low AS INT) AS low, CAST(high AS INT) AS high, string_agg(text, chr(10) ORDER BY line) AS text, CAST(any_value(low - before - 1) AS INT) AS omitted
+FROM (SELECT *, coalesce(lag(high) OVER (PARTITION BY script ORDER BY low), 0) AS before FROM m) m JOIN l ON l.script = m.script AND l.line BETWEEN low AND high GROUP BY m.script, low, high""")
+def s12_excerpts(spark, sf):
+    from lodestream.lineage.text import excerpts, lines
+
+    hits = lines(corpus(spark)).filter("contains(text, 'stg_orders')").select("script", F.col("line").alias("low"), F.col("line").alias("high"))
+    return excerpts(corpus(spark), hits, 1)
+
+
+@query(f"WITH {_values('t', 'relationship, passes, ways, class', flow.EDGE_TYPES)} SELECT class, count(*) AS n, count(*) FILTER (WHERE passes) AS n_value FROM t GROUP BY class")
+def edge_types(spark, sf):
+    types = spark.createDataFrame(flow.EDGE_TYPES, "relationship string, value boolean, both boolean, class string")
+    return types.groupBy("class").agg(F.count("*").alias("n"), F.count(F.when(F.col("value"), 1)).alias("n_value"))

@@ -23,7 +23,7 @@ def from_folder(spark: SparkSession, path: str) -> DataFrame:
     """All .sql, .ddl and .schema files below a folder of any file system that Spark reads; bytes that are not UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_replace("path", r"^.*?" + path.rstrip("/").rsplit("/", 1)[-1] + "/", "")
-    return files.filter(F.lower("path").rlike(r"\.(sql|ddl|schema)$")).select(name.alias("script"), F.decode("content", F.lit("UTF-8")).alias("sql_text"))
+    return files.filter(F.lower("path").rlike(r"\.(sql|ddl|schema)$")).select(name.alias("script"), F.make_valid_utf8(F.col("content").cast("string")).alias("sql_text"))
 
 
 def from_archive(spark: SparkSession, path: str) -> DataFrame:

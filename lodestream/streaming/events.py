@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestream.sources.writers import shared_dir
 
@@ -37,4 +38,4 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(df.schema.add("batch", "int")).parquet(f"{root}/out")
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")

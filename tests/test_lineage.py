@@ -22,7 +22,7 @@ def test_settings_go_but_not_those_of_an_update():
 
 
 def test_rewrites():
-    assert rewrite("SELECT TOP 3 a FROM t WITH (NOLOCK)") == "SELECT  a FROM t LIMIT 3"
+    assert rewrite("SELECT TOP 3 a FROM t WITH (NOLOCK)").split() == "SELECT a FROM t LIMIT 3".split()
     assert rewrite("SELECT a FROM t FETCH FIRST 2 ROWS ONLY").endswith("LIMIT 2")
     assert into_target("SELECT a INTO b.c FROM t") == "b.c"
     assert "get_json_object(x.j, '$.k')" in rewrite("SELECT x.j ->> 'k' FROM x")
