@@ -30,13 +30,28 @@ def script(word: str) -> str:
     return SCRIPT_NAMES[bisect_right(SCRIPT_STARTS, ord(word[0])) - 1]
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed: the word and its runs of one to four letters, its ends marked."""
-    marked = f"<{word[:40]}>"
-    grams = {marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)}
-    grams.discard("<")
-    grams.discard(">")
-    return [xxhash.xxh3_64_intdigest(g.encode()) % FEATURES for g in (*sorted(grams), f"={word}")]
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(64 - FEATURES.bit_length() + 1)
+
+
+def word_features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words: each run of one to four letters, the ends marked, and the word itself.
+
+    Gives arrays (features, word numbers), all words at once.
+    """
+    text = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    inside = (text != 60) & (text != 62)
+    h = np.zeros(len(text), np.uint64)
+    for n in range(1, 5):
+        m = len(text) - n + 1
+        if m <= 0:
+            break
+        h = (h[:m] ^ h[:m] >> np.uint64(29)) * MIX + text[n - 1 :]
+        valid = inside if n == 1 else word[:m] == word[n - 1 :]
+        yield ((h[valid] ^ h[valid] >> np.uint64(31)) * MIX + np.uint64(n)) * MIX >> SHIFT, word[:m][valid]
+    yield np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode("utf-8", "surrogatepass") for w in words)), np.uint64, len(words)) >> SHIFT, np.arange(len(words))
 
 
 def _count(batches: Iterator[pa.RecordBatch], most_words: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -48,8 +63,11 @@ def _count(batches: Iterator[pa.RecordBatch], most_words: int = 200_000) -> Iter
     def settle() -> None:
         for lang, found in words.items():
             table = features.setdefault(lang, np.zeros(FEATURES, np.int64))
+            names, counts = list(found), np.fromiter(found.values(), np.int64, len(found))
+            for i in range(0, len(names), 50_000):
+                for at, of in word_features(names[i : i + 50_000]):
+                    table += np.bincount(at.astype(np.int64), counts[i : i + 50_000][of], FEATURES).astype(np.int64)
             for word, n in found.items():
-                np.add.at(table, word_features(word), n)
                 scripts[lang, script(word)] += n * len(word)
         words.clear()
 
@@ -105,12 +123,22 @@ class LanguageModel:
             self.clear()
         while len(self.place) + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        for word in words:
+        found = sorted(words)
+        for i in range(0, len(found), 20_000):
+            part = found[i : i + 20_000]
+            total, n = np.zeros((len(part), len(self.langs))), np.zeros(len(part))
+            for at, of in word_features(part):
+                n += np.bincount(of, minlength=len(part))
+                rows = self.table[at.astype(np.int64)]
+                for k in range(len(self.langs)):
+                    total[:, k] += np.bincount(of, rows[:, k], len(part))
             # features overlap, so their mean counts as a few independent ones
-            score = self.table[word_features(word)].mean(axis=0) * min(len(word), 4)
-            score = score - score.max()
-            self.rows[len(self.place)] = np.where(self.allowed[script(word)], np.maximum(score, -6), -12)
-            self.place[word] = len(self.place)
+            score = total / n[:, None] * np.minimum([*map(len, part)], 4)[:, None]
+            score = np.maximum(score - score.max(axis=1, keepdims=True), -6)
+            allowed = np.stack([self.allowed[script(w)] for w in part])
+            first = len(self.place)
+            self.rows[first : first + len(part)] = np.where(allowed, score, -12)
+            self.place.update(zip(part, range(first, first + len(part)), strict=True))
 
     def scores(self, words: list[str]) -> np.ndarray:
         missing = {*words}.difference(self.place)
@@ -123,28 +151,30 @@ class LanguageModel:
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word under the switching penalty.
 
-        If no stretch of words gains over half a penalty by any other language than the best single one,
-        that one is the best path; else the full recursion runs.
+        A language that gains no more than half a penalty over the best single one in any stretch of words is
+        left out; if all others are, that one is the path; else the recursion runs over those that stay.
         """
         total = s.sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain]), axis=0)[:-1]
-        if (gain - low).max() <= self.penalty / 2:
+        some = np.flatnonzero((gain - low).max(axis=0) > self.penalty / 2)
+        if not len(some):
             return np.full(len(s), best)
-        back = np.empty(s.shape, np.int32)
-        here = s[0].astype(np.float64)
-        own = np.arange(s.shape[1])
-        for t in range(1, len(s)):
-            top = int(here.argmax())
-            switch = here[top] - self.penalty > here
-            back[t] = np.where(switch, top, own)
-            here = np.where(switch, here[top] - self.penalty, here) + s[t]
-        out = np.empty(len(s), np.int64)
-        out[-1] = int(here.argmax())
-        for t in range(len(s) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
+        states = np.array([best, *some])
+        rows = s[:, states].astype(np.float64).tolist()
+        here, back, penalty = rows[0], [], self.penalty
+        for row in rows[1:]:
+            top = max(here)
+            least, k = top - penalty, here.index(top)
+            back.append([k if h < least else -1 for h in here])
+            here = [(least if h < least else h) + x for h, x in zip(here, row)]  # noqa: B905
+        k = here.index(max(here))
+        out = [k]
+        for row in reversed(back):
+            k = row[k] if row[k] >= 0 else k
+            out.append(k)
+        return states[out[::-1]]
 
     def predict(self, text: str | None) -> tuple[str, float, int, np.ndarray | None]:
         """(language of most letters, score, number of spans, the path)."""
