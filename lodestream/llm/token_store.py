@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.llm.common import Scratch, ship
 from lodestream.llm.tokens import default_tokenizer, encoder
 
 FLUSH_TOKENS = 1 << 20
@@ -30,6 +31,7 @@ def write_tokens(
     repeated rows stay, ties of the id are ordered by a hash of the text, an empty table makes an empty
     folder of ORC with the schema. Other columns of ``docs`` are not read.
     """
+    ship(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +87,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], schema=READ)
 
-    stored = read_tokens(spark, path)
-    sizes = stored.groupBy("segment").agg(F.max(F.col("segment_start") + F.size("ids")).alias("size"))
+    rows = read_tokens(spark, path).mapInArrow(digest, "doc_id long, segment int, segment_start long, n_tokens long, ids_crc32 long")
+    rows = Scratch(spark, "token-index").keep(rows, "digests")
+    sizes = rows.groupBy("segment").agg(F.max(F.col("segment_start") + F.col("n_tokens")).alias("size"))
     before = F.sum("size").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("segment", F.coalesce(before, F.lit(0)).alias("base"))
-    rows = stored.mapInArrow(digest, "doc_id long, segment int, segment_start long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "segment").select("doc_id", (F.col("base") + F.col("segment_start")).alias("start"), "n_tokens", "ids_crc32")
