@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Scratch
 
 
+ROWS_IN_FILE = 200_000
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component: the smallest node reachable.
 
@@ -19,22 +22,25 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct()
     links = scratch.keep(links, "links")
+    # no table below has more than twice the rows: few files for few rows
+    parts = 1 + links.count() // ROWS_IN_FILE
+    keep = lambda df, name: scratch.keep(df.coalesce(parts), name)
     labels = None
     for _ in range(most_rounds):
         if links.isEmpty():
             break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "near")
+        near = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "near")
         up = near.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        jumped = scratch.keep(near.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "jumped")
+        jumped = keep(near.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "jumped")
         if labels is None:
             labels = jumped.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
             step = jumped.select(F.col("a").alias("component"), "p")
-            labels = scratch.keep(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+            labels = keep(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
         left = links.join(jumped, "a").select("b", F.col("p").alias("c"))
         left = left.join(jumped.select(F.col("a").alias("b"), F.col("p").alias("d")), "b")
-        links = scratch.keep(left.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "links")
+        links = keep(left.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))

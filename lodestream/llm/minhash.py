@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Scratch, words
 from lodestream.llm.components import components
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64()))])
-SIGNED_DDL = "doc_id long, n_shingles long, set_key binary, signature array<long>"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("sketch_more", pa.list_(pa.int64()))])
+SIGNED_DDL = "doc_id long, n_shingles long, set_key binary, signature array<long>, sketch array<long>, sketch_more array<long>"
+PLACES = np.arange(64, dtype=np.uint64)
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which the filter on documents is broadcast; beyond it is a shuffled join
 
 
@@ -38,42 +39,67 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 class Signer:
-    """MinHash coordinates; each is mixed with its number so that a value stands for (coordinate, value)."""
+    """MinHash coordinates of 64 bits, each mixed with its number so that a value stands for (coordinate, value), and more of 32 bits for the sketch."""
 
-    def __init__(self, coordinates: int, seed: int = 7):
+    def __init__(self, coordinates: int, sketched: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.flip = rng.integers(0, 1 << 63, (coordinates, 1), dtype=np.uint64)
         self.times = rng.integers(0, 1 << 63, (coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.own = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
+        self.small_flip = rng.integers(0, 1 << 32, (sketched, 1), dtype=np.uint32)
+        self.small_times = rng.integers(0, 1 << 31, (sketched, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def sign(self, shingles: np.ndarray) -> np.ndarray:
-        low = None
-        for i in range(0, len(shingles), 2048):
-            part = ((shingles[i : i + 2048] ^ self.flip) * self.times).min(axis=1)
-            low = part if low is None else np.minimum(low, part)
-        return (low ^ self.own).view(np.int64)
+    def sign(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, small = None, None
+        for i in range(0, len(shingles), 1024):
+            x = shingles[i : i + 1024]
+            part = ((x ^ self.flip) * self.times).min(axis=1)
+            few = (((x ^ x >> np.uint64(32)).astype(np.uint32) ^ self.small_flip) * self.small_times).min(axis=1)
+            low, small = (part, few) if low is None else (np.minimum(low, part), np.minimum(small, few))
+        return (low ^ self.own).view(np.int64), sketch_of(small)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set), signature (empty for an empty set)."""
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, as four planes of one bit for each 64 coordinates: equal coordinates have equal bits."""
+    bits = (values.reshape(-1, 1, 64) >> np.arange(4, dtype=np.uint32).reshape(1, 4, 1)) & np.uint32(1)
+    return (bits.astype(np.uint64) << PLACES).sum(axis=2, dtype=np.uint64).ravel().view(np.int64)
+
+
+def sketch_matches(a: str, b: str, coordinates: int) -> Column:
+    """Coordinates whose four bits agree; at least as many as agree."""
+    differ = F.lit(0)
+    for k in range(0, coordinates // 16, 4):
+        planes = [F.col(a)[k + j].bitwiseXOR(F.col(b)[k + j]) for j in range(4)]
+        differ = differ + F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3]))
+    return F.lit(coordinates) - differ
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, sketched: int) -> DataFrame:
+    """doc_id, n_shingles, set_key (128-bit hash of the whole set), signature of ``coordinates`` and sketch of twice ``sketched`` more in two parts (all empty for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(coordinates)
+        signer, half, none = Signer(coordinates, 2 * sketched), sketched // 16, np.empty(0, np.int64)
         for batch in batches:
-            counts, keys, signs = [], [], []
+            counts, keys, signs, sketches = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                signs.append(signer.sign(s) if len(s) else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
-            values = np.concatenate(signs) if signs else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=SIGNED)
+                sign, sketch = signer.sign(s) if len(s) else (none, none)
+                signs.append(sign)
+                sketches.append(sketch)
+            lists = [_lists(signs), _lists([x[:half] for x in sketches]), _lists([x[half:] for x in sketches])]
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=SIGNED)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(sign, SIGNED_DDL)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set_key and the whole set as an array of longs."""
 
@@ -82,26 +108,26 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
-                yield pa.record_batch([part.column(0), keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["doc_id", "set_key", "shingles"])
+                yield pa.record_batch([part.column(0), keys, _lists(found)], names=["doc_id", "set_key", "shingles"])
 
     return docs.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>")
 
 
 def live_prefixes(reps: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, n): each document's posts that can be the first of ``least`` common coordinates.
+    """(doc_id, posts, weight): each document's posts that can be the first of ``least`` common coordinates.
 
     Values that one document alone holds are dropped from a document's list; two documents with
     ``least`` values in common both hold that many shared ones, and, in the one order of all values
     from rare to frequent, have a common value among all but the last ``least - 1`` of their lists. The
     frequent values beyond are skipped: they are never joined, but probed in the pairs found.
+    weight: how often the document's values are held in all; the text that copies derive from has much.
     """
-    posts = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("signature").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("f"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "f")
-    mine = posts.join(shared, "key").groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("f", "key"))).alias("posts"))
-    kept = mine.filter(F.size("posts") >= least).select("doc_id", "n", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (least - 1))).alias("p"))
-    return kept.select(F.col("p.key").alias("key"), "doc_id", "n")
+    posts = reps.select("doc_id", F.explode("signature").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
+    mine = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("posts"), F.sum("f").alias("weight"))
+    mine = mine.filter(F.size("posts") >= least)
+    return mine.select("doc_id", F.slice("posts", F.lit(1), F.size("posts") - (least - 1))["key"].alias("posts"), "weight")
 
 
 def alike(a: Column | str, b: Column | str, percent: int) -> Column:
@@ -110,18 +136,18 @@ def alike(a: Column | str, b: Column | str, percent: int) -> Column:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, coordinates: int = 48, match: int = 22, most_stars: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, coordinates: int = 64, match: int = 34, sketched: int = 256, sketch_match: int = 168, both_match: int = 351
 ) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union; doc_id, n_shingles, component_id, kept.
 
     1. Equal sets fold into one class. 2. Class representatives are posted under each (coordinate,
-    value) of their signatures; posts that can matter are selected by ``live_prefixes``. 3. Star rounds:
-    in each posting the smallest document meets each of another component; a pair whose
-    signatures agree in ``match`` coordinates at least is compared on full sets, and links contract to
-    components. 4. When what is left is little (or after ``most_stars`` rounds), all pairs of a posting
-    that lie in different components are compared, so no link between components is lost: a group of
-    thousands of near copies costs a star, not all pairs. A pair of the least similarity agrees in
-    fewer than 22 of 48 coordinates with a chance of about 2 in a million.
+    value) of their signatures; posts that can matter are selected by ``live_prefixes``. 3. Stars:
+    in each posting and class of set sizes (steps of the root of 4/3, and once more by half a step) the
+    document of the most weight meets each other one. A pair whose sketches (four bits of each of ``sketched`` coordinates)
+    agree in ``sketch_match`` and whose signatures agree in ``match`` coordinates at least is compared on full
+    sets; links contract to components. 4. All pairs of a posting that lie in different components meet likewise, once
+    each, so no link between components is lost, while a group of thousands of near copies costs a few stars, not all
+    pairs. Each bound turns away a pair of the very least similarity with a chance of 1.5 in a hundred thousand.
 
     Null or empty texts and texts of white space have an empty set and link with nothing; rows of one
     id are one document (their classes join); a null id links with nothing and is kept; an
@@ -129,57 +155,47 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.keep(signatures(rows, "doc_id", "text", width, coordinates), "signed")
+    signed = scratch.keep(signatures(rows, "doc_id", "text", width, coordinates, sketched), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep)).select("doc_id", "n_shingles", "signature")
+    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep)).select("doc_id", "signature")
     prefixes = scratch.keep(live_prefixes(reps, match), "prefixes")
-    members = prefixes.select("doc_id").distinct()
-    members = scratch.keep(members, "members")
+    members = prefixes.select("doc_id")
     small = members.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(members) if small else members, "doc_id", "left_semi")
-    sets = shingle_sets(texts, width).join(some.select("doc_id", "set_key", "signature"), ["doc_id", "set_key"])
+    members = F.broadcast(members) if small else members
+    sets = shingle_sets(rows.join(members, "doc_id", "left_semi"), width).join(some.select("doc_id", "set_key", "signature"), ["doc_id", "set_key"])
     sets = scratch.keep(sets.select("doc_id", "signature", "shingles"), "sets")
+    posts = prefixes.join(some.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id").select("doc_id", "n", "sketch", "weight", "posts", F.explode("posts").alias("key"))
+    posts = scratch.keep(posts, "posts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs.distinct(), "pairs")
         left = sets.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
         both = pairs.join(right, "b").join(left, "a").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= match)
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        both = both.withColumn("common", common)
-        common = F.col("common")
-        return both.filter(common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).select("a", "b").distinct()
-
-    edges, found, stars = None, None, 0
-    while True:
-        posts = prefixes if found is None else prefixes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        posts = posts.withColumn("c", F.col("doc_id") if found is None else F.coalesce("component", "doc_id"))
-        if found is not None:
-            sizes = posts.groupBy("key", "c").agg(F.count("*").alias("m"))
-            sizes = sizes.groupBy("key").agg(F.count("*").alias("comps"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice")).filter("comps > 1")
-            mixed = scratch.keep(sizes.select("key", "twice"), "mixed")
-            pairs_left, keys_left = mixed.agg(F.coalesce(F.sum("twice"), F.lit(0)), F.count("*")).first()
-            if not keys_left:
-                break
-            posts = scratch.keep(posts.join(mixed, "key").select("key", "doc_id", "n", "c"), "posts")
-            last = stars >= most_stars or pairs_left <= 40 * max(10_000, posts.count())
-        else:
-            last = False
-        if last:
-            other = posts.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            pairs = posts.join(other, "key").filter((F.col("doc_id") < F.col("b")) & (F.col("c") != F.col("c_b")) & alike("n", "n_b", percent))
-            pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-        else:
-            hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "n", "c")).alias("hub"))
-            pairs = posts.join(hubs, "key").filter((F.col("c") != F.col("hub.c")) & alike("n", "hub.n", percent))
-            pairs = pairs.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        pairs = scratch.keep(pairs, "pairs")
-        new = scratch.keep(confirmed(pairs), "edges")
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges, scratch)
-        stars += 1
-        if last:
-            break
+        both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        return scratch.keep(both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b").distinct(), "edges")
+
+    size = F.log("n") * F.lit(2 / np.log(100 / percent))
+    sized = posts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.floor(size).alias("size")), F.struct(F.lit(1).alias("half"), F.floor(size + 0.5).alias("size")))).alias("s")).select("key", "s.half", "s.size", "doc_id", "n", "sketch", "weight")
+    top = F.max(F.struct("weight", F.negative("doc_id").alias("first"), "doc_id", "n", "sketch")).alias("hub")
+    hubs = sized.groupBy("key", "half", "size").agg(top).select("key", "half", "size", *(F.col(f"hub.{x}").alias(f"{x}_b") for x in ("doc_id", "n", "sketch")))
+    likely = alike("n", "n_b", percent) & (sketch_matches("sketch", "sketch_b", sketched) >= sketch_match)
+    stars = sized.join(hubs, ["key", "half", "size"]).filter((F.col("doc_id") != F.col("doc_id_b")) & likely)
+    edges = confirmed(stars.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")))
+    found = components(edges, scratch)
+
+    here = posts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    columns = ["doc_id", "n", "sketch", "sketch_more", "c", "posts"]
+    here = here.join(mixed, "key").join(some.select("doc_id", "sketch_more"), "doc_id").select("key", *columns)
+    here = scratch.keep(here, "mixed")
+    other = here.select("key", *(F.col(x).alias(f"{x}_b") for x in columns))
+    matches = sketch_matches("sketch", "sketch_b", sketched) + sketch_matches("sketch_more", "sketch_more_b", sketched)
+    once = F.array_min(F.array_intersect("posts", "posts_b")) == F.col("key")
+    left = here.join(other, "key").filter((F.col("doc_id") < F.col("doc_id_b")) & (F.col("c") != F.col("c_b")) & alike("n", "n_b", percent) & (matches >= both_match) & once)
+    edges = edges.unionByName(confirmed(left.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))))
+    found = components(edges, scratch)
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("label"))
     out = signed.join(labels, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
@@ -187,7 +203,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component alone; repeated rows of that id go to one."""
-    lost = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
-    return kept
+    """``docs`` with the document of the smallest id of each component alone, all columns; of rows that repeat that id one stays.
+
+    Rows of a null id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    found = near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias(id_col), "kept")
+    marks = scratch.keep(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "marks")
+    near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    lost, again = marks.filter("not kept").select(id_col), marks.filter("kept and n > 1").select(id_col)
+    typed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    key = lambda ids: near(ids).withColumnRenamed(id_col, "__id")
+    out = typed.join(key(lost), "__id", "left_anti")
+    if not again.isEmpty():
+        out = out.join(key(again), "__id", "left_anti").union(out.join(key(again), "__id", "left_semi").dropDuplicates(["__id"]))
+    return out.select(*docs.columns)
