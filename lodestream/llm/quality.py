@@ -18,8 +18,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"([^\w\s])\1(?=\s|$)")
 #: English insults.
 INSULTS = frozenset("idiot stupid moron loser pathetic worthless disgusting scum trash clown".split())
-FORMAT_SAMPLE = 20_000  # posterior-labelled documents that the format scorer is fitted on, at most
-TOXIC_SAMPLE = 30_000  # documents with a label or an insult that the word scorer is fitted on, at most
+FORMAT_SAMPLE = 8_000  # posterior-labelled documents that the format scorer is fitted on, at most
+TOXIC_SAMPLE = 8_000  # documents with a label or an insult that the word scorer is fitted on, at most
 BUCKETS = 1 << 20
 
 
@@ -65,10 +65,12 @@ class LabelModel:
 
     An abstention tells nothing. A labeller's false alarms are held to ``alarm`` and its hits to ``least_hit``
     at least: noise comes in kinds that exclude each other, so a labeller is right when it speaks up
-    though most others see nothing, and unheld estimates would take one kind for the class.
+    though most others see nothing, and unheld estimates would take one kind for the class. For the
+    same reason what no labeller speaks against is bad with a chance of ``unseen`` at most.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, alarm: float = 0.005, least_hit: float = 0.1):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, alarm: float = 0.0005, least_hit: float = 0.1, unseen: float = 0.05):
+        self.unseen = unseen
         weight = counts / counts.sum() if counts.sum() else counts.astype(float)
         good, bad = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
         p = np.where(bad.any(axis=1), 0.9, 0.05)
@@ -90,7 +92,8 @@ class LabelModel:
         """Probability of the bad class."""
         good, bad = patterns == GOOD, patterns == BAD
         odds = bad @ np.log(self.hit / self.alarm) + good @ np.log((1 - self.hit) / (1 - self.alarm)) + np.log(self.share / (1 - self.share))
-        return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        return np.where(bad.any(axis=1), p, np.minimum(p, self.unseen))
 
 
 class HashedLinear:
@@ -100,7 +103,7 @@ class HashedLinear:
         self.l1, self.l2, self.alpha, self.passes = l1, l2, alpha, passes
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 3) -> HashedLinear:
-        """rows: (bucket, value); bucket 0 is the constant."""
+        """rows: (bucket, value); bucket 0 is the constant. Without rows everything is of class 0."""
         z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
         order = np.random.default_rng(seed)
         for _ in range(self.passes if rows else 0):
@@ -111,8 +114,11 @@ class HashedLinear:
                 step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / self.alpha
                 z[at] += g - step * w
                 n[at] += g * g
+        if not rows:
+            z[0], n[0] = 1e9, 1e-9
         at = np.flatnonzero(n)
         w = self._weights(z[at], n[at], at)
+        w = np.clip(w, -20, 20)
         self.at, self.w = at[w != 0].astype(np.uint32), w[w != 0]
         return self
 
@@ -212,15 +218,15 @@ def _voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
     voted = docs.mapInArrow(vote, VOTED_DDL)
     if labels is None:
-        return voted
+        return voted.select("doc_id", F.rpad("junk", 8, str(ABSTAIN)).alias("junk"), F.rpad("toxic", 4, str(ABSTAIN)).alias("toxic"), "hash")
     human = lambda c, good, bad: F.when(F.col(c) == good, str(GOOD)).when(F.col(c) == bad, str(BAD)).otherwise(str(ABSTAIN))
     joined = voted.join(labels, "doc_id", "left")
     return joined.select("doc_id", F.concat(F.substring("junk", 1, 7), human("quality", 1, 0)).alias("junk"), F.concat(F.substring("toxic", 1, 3), human("toxic_label", 0, 1)).alias("toxic"), "hash")
 
 
-def _patterns(voted: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _patterns(voted: DataFrame, column: str, labellers: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     rows = sorted((r[0], r[1]) for r in voted.groupBy(column).agg(F.count("*")).collect())
-    return np.array([[int(c) for c in r[0]] for r in rows], np.int64).reshape(len(rows), -1), np.array([r[1] for r in rows], np.int64), [r[0] for r in rows]
+    return np.array([[int(c) for c in r[0]] for r in rows], np.int64).reshape(len(rows), labellers), np.array([r[1] for r in rows], np.int64), [r[0] for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", format_sample: int = FORMAT_SAMPLE, toxic_sample: int = TOXIC_SAMPLE) -> QualityModel:
@@ -234,12 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     if labels is not None:
         labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", F.col("toxic").alias("toxic_label")).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic_label").alias("toxic_label"))
     voted = scratch.keep(_voted(rows, labels), "votes")
-    junk_patterns, junk_counts, junk_names = _patterns(voted, "junk")
-    toxic_patterns, toxic_counts, toxic_names = _patterns(voted, "toxic")
-    junk, toxic = LabelModel(junk_patterns.reshape(-1, 8), junk_counts), LabelModel(toxic_patterns.reshape(-1, 4), toxic_counts)
-    p_junk = dict(zip(junk_names, junk.posterior(junk_patterns.reshape(-1, 8)).tolist(), strict=True))
-    p_toxic = dict(zip(toxic_names, toxic.posterior(toxic_patterns.reshape(-1, 4)).tolist(), strict=True))
-    total, told = int(junk_counts.sum()), int(sum(n for p, n in zip(toxic_patterns.reshape(-1, 4), toxic_counts, strict=True) if p[0] == BAD or p[3] != ABSTAIN))
+    junk_patterns, junk_counts, junk_names = _patterns(voted, "junk", 8)
+    toxic_patterns, toxic_counts, toxic_names = _patterns(voted, "toxic", 4)
+    junk, toxic = LabelModel(junk_patterns, junk_counts), LabelModel(toxic_patterns, toxic_counts)
+    p_junk = dict(zip(junk_names, junk.posterior(junk_patterns).tolist(), strict=True))
+    p_toxic = dict(zip(toxic_names, toxic.posterior(toxic_patterns).tolist(), strict=True))
+    total, told = int(junk_counts.sum()), int(sum(n for p, n in zip(toxic_patterns, toxic_counts, strict=True) if p[0] == BAD or p[3] != ABSTAIN))
     limit = lambda most, of: min((1 << 63) - 1, -(1 << 63) + (19 * most << 64) // (20 * max(of, 1)))
     chosen_form = voted.filter(F.col("hash") <= limit(format_sample, total)).select("doc_id", "junk", F.lit("").alias("toxic"))
     able = (F.substring("toxic", 1, 1) == str(BAD)) | (F.substring("toxic", 4, 1) != str(ABSTAIN))
@@ -263,12 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     form_rows, form_y, word_rows, word_y = [], [], [], []
     for r in sample.toLocalIterator(prefetchPartitions=True):
         if r.junk:
-            at = np.frombuffer(r.form, "<u4").astype(np.int64)
-            form_rows.append((at, np.ones(len(at))))
+            at = np.frombuffer(r.form, "<u4")
+            form_rows.append((at, np.ones(len(at), np.float32)))
             form_y.append(p_junk[r.junk])
         if r.toxic:
             at, n = np.unique(np.frombuffer(r.word, "<u4"), return_counts=True)
-            word_rows.append((at.astype(np.int64), n.astype(np.float32)))
+            word_rows.append((at, n.astype(np.float32)))
             word_y.append(p_toxic[r.toxic])
     form = HashedLinear(l1=0.5).fit(form_rows, np.array(form_y))
     words = HashedLinear(l1=1.5, alpha=0.2).fit(word_rows, np.array(word_y))
