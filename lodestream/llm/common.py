@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch: whole texts are long, and each batch is held in the JVM and in Python
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session; they need not have it installed."""
+    """Send this package to the executors once a session (they need not have it installed) and bound its Arrow batches."""
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     if getattr(context, "_lodestream_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -263,8 +263,8 @@ CONTEXT_DOCS = 64  # documents, the first by a hash of the text in as many class
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Fit on generated examples in the words of a bounded sample of documents (CONTEXT_DOCS, at most 100 words of each)."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
-    rows = rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min_by(F.slice(F.split("t", r"\s+", 101), 1, 100), "h").alias("w")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").select(F.xxhash64("t").alias("h"), F.slice(F.split("t", r"\s+", 101), 1, 100).alias("w"))
+    rows = rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min_by("w", "h").alias("w")).collect()
     return SpanModel(sorted({w for r in rows for w in r.w if w and len(w) < 30}))
 
 
