@@ -164,35 +164,44 @@ def key_of(slot: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{slot}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-TOKENS_DDL = "host string, page_id long, kind string, token string, n int, chars long, linked long"
+MOST_LINKED = 0.6
+TOKENS_DDL = "host string, vote long, tokens array<struct<kind string, token string, n int, chars long, linked long>>"
+TOKENS = pa.list_(pa.struct([("kind", pa.string()), ("token", pa.string()), ("n", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64())]))
+
+
+def vote_of(blocks: list[Block]) -> int:
+    """A hash of the set of the page's blocks (of those that are neither set aside nor links, if any): copies of a page have one vote together."""
+    own = [b for b in blocks if not b.side and b.linked < MOST_LINKED * len(b.text)] or blocks
+    return xxhash.xxh3_64_intdigest(np.array(sorted({key_of(b.slot, b.text) for b in own}), np.int64).tobytes()) - (1 << 63)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each page: element paths (n), slots with their characters (s), texts in their slot (t)."""
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+    """A row for each page that has text: host, vote, and its tokens: element paths (n), slots with their characters (s), texts in their slot (t)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
-            batch, rows = whole.slice(at, 500), []
-            for host, page_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            batch, hosts, votes, tokens = whole.slice(at, 500), [], [], []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blocks, paths = parse(source.as_py() or "")
-                rows += [(host, page_id, "n", path, n, 0, 0) for path, n in paths.items()]
+                if not blocks:
+                    continue
                 slots: dict[str, list[int]] = {}
-                texts: dict[int, list[int]] = {}
+                texts: dict[str, list[int]] = {}
                 for b in blocks:
                     if not b.side:
                         s = slots.setdefault(b.slot, [0, 0, 0])
                         s[0], s[1], s[2] = s[0] + 1, s[1] + len(b.text), s[2] + b.linked
-                        t = texts.setdefault(key_of(b.slot, b.text), [0, 0])
+                        t = texts.setdefault(str(key_of(b.slot, b.text)), [0, 0, 0])
                         t[0], t[1] = t[0] + 1, t[1] + len(b.text)
-                rows += [(host, page_id, "s", slot, *s) for slot, s in slots.items()]
-                rows += [(host, page_id, "t", str(k), *t, 0) for k, t in texts.items()]
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in TOKENS_DDL.split(", ")])
+                found = {"n": {path: (n, 0, 0) for path, n in paths.items()}, "s": slots, "t": texts}
+                hosts.append(host)
+                votes.append(vote_of(blocks))
+                tokens.append([{"kind": kind, "token": token, "n": n, "chars": chars, "linked": linked} for kind, of in found.items() for token, (n, chars, linked) in of.items()])
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(votes, pa.int64()), pa.array(tokens, TOKENS)], names=["host", "vote", "tokens"])
 
 
 TEMPLATE_DDL = "host string, content string, constant array<long>, linked array<string>"
 TEMPLATE = pa.schema([("host", pa.string()), ("content", pa.string()), ("constant", pa.list_(pa.int64())), ("linked", pa.list_(pa.string()))])
-MOST_LINKED, CONTENT_SHARE = 0.6, 0.6
+CONTENT_SHARE, CONSTANT_SHARE = 0.6, 0.5
 
 
 def _deduce(group: pa.Table) -> pa.Table:
@@ -221,22 +230,29 @@ def _deduce(group: pa.Table) -> pa.Table:
         inside = sum(n for slot, n in text.items() if slot == path or slot.startswith(path + "/"))
         if whole and inside >= CONTENT_SHARE * whole and path.startswith(content):
             content = path
-    constant = sorted(int(r["token"]) for r in rows if r["kind"] == "t" and r["pages"] >= 0.8 * pages)
+    same = [r for r in rows if r["kind"] == "t" and r["pages"] >= 0.8 * pages]
+    # a template's own texts are the lesser part: beyond it they are an article in near copies
+    constant = sorted(int(r["token"]) for r in same) if sum(r["chars"] for r in same) < CONSTANT_SHARE * sum(r["chars"] for r in slots) else []
     return pa.table({"host": [rows[0]["host"]], "content": [content], "constant": [constant], "linked": [linked]}, schema=TEMPLATE)
 
 
 def templates(pages: DataFrame, least_pages: int = 8) -> DataFrame:
-    """A row for each host of ``least_pages`` at least, from rows (host, page_id, html).
+    """A row for each host of ``least_pages`` distinct pages at least, from rows (host, html).
 
-    An occurrence vector (how often a token is on each page) is told by a fingerprint, the exclusive or of a hash of page
+    Pages of one host and vote count once, so neither copies of a page nor repeated rows make a text or an element frequent.
+    An occurrence vector (how often a token is on each page) is told by a fingerprint, the exclusive or of a hash of vote
     and count, which adds up before the shuffle, as do the counts; so a host with a third of all pages is no hot
     group. Tokens on half of a host's pages stay: no more than twice the tokens of a mean page.
     """
-    tokens = pages.mapInArrow(_tokens, TOKENS_DDL)
-    vector = F.expr("bit_xor(xxhash64(page_id, n))").alias("vector")
+    scratch = Scratch(pages.sparkSession, "template")
+    voters = pages.select("host", "html").mapInArrow(_tokens, TOKENS_DDL).groupBy("host", "vote").agg(F.min("tokens").alias("tokens"))
+    here = F.expr("struct('h' AS kind, '' AS token, 1 AS n, 0L AS chars, 0L AS linked)")
+    tokens = voters.select("host", "vote", F.explode(F.array_append("tokens", here)).alias("t")).select("host", "vote", "t.*")
+    vector = F.expr("bit_xor(xxhash64(vote, n))").alias("vector")
     added = tokens.groupBy("host", "kind", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= least_pages)
-    frequent = added.filter(F.col("pages") * 2 >= least_pages).join(hosts, "host").filter(F.col("pages") * 2 >= F.col("host_pages"))
+    added = scratch.keep(added.filter(F.col("pages") * 2 >= least_pages), "frequent")
+    hosts = added.filter("kind = 'h'").select("host", F.col("pages").alias("host_pages")).filter(F.col("host_pages") >= least_pages)
+    frequent = added.filter("kind <> 'h'").join(hosts, "host").filter(F.col("pages") * 2 >= F.col("host_pages"))
     return frequent.groupBy("host").applyInArrow(_deduce, TEMPLATE_DDL)
 
 
@@ -253,7 +269,7 @@ def main_text(source: str | None, content: str | None, constant: list[int] | Non
         chosen = [b for b in chosen if b.linked < MOST_LINKED * len(b.text) and not (linked and b.slot in linked)]
     if constant:
         fixed = {*constant}
-        chosen = [b for b in chosen if key_of(b.slot, b.text) not in fixed]
+        chosen = [b for b in chosen if key_of(b.slot, b.text) not in fixed] or chosen
     return " ".join(b.text for b in chosen)
 
 
@@ -264,7 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     its slot, the path of its element. 2. ``templates`` deduces each host's frame. 3. A page keeps the
     blocks under its declared article or main part, else under the host's content element, without menus, headers,
     footers, sidebars, notices, adverts, forms, hidden parts and comments (by element, class, id or role), link lists and
-    texts that most pages of the host have in that slot.
+    texts that most distinct pages of the host have in that slot, unless nothing else remains.
 
     A null or empty page has the empty text; a null url is a host of its own; pages of any length are read whole; broken markup
     is read as browsers do, roughly; repeated rows and null ids pass through; an empty table gives no rows; other columns are not read.
@@ -272,7 +288,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), "//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    found = scratch.keep(templates(rows.select("host", "page_id", "html")), "templates")
+    found = scratch.keep(templates(rows.select("host", "html")), "templates")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,6 +44,22 @@ def test_hosts_without_an_article_element(spark):
     assert got == {i: text for i, _, _, text in rows}
 
 
+def test_copies_of_a_page_are_not_its_template(spark):
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(3)
+    equal = page("<article><h1>Head</h1><p>The one text of this host.</p></article>")
+    rows = [(i, "http://one.example/", equal) for i in range(10)]
+    fixed = "<p>Always the same line.</p>"
+    own = [" ".join(rng.choices(words, k=20)) for _ in range(12)]
+    rows += [(100 + i, f"http://many.example/{i}", page(f"<nav>{rng.choice(words)}</nav><article><p>{own[max(0, i - 48)]}</p>{fixed}</article>")) for i in range(60)]
+    near = [" ".join(rng.choices(words, k=20)) for _ in range(4)]
+    rows += [(200 + i, f"http://near.example/{i}", page(f"<article><p>{near[0]}</p><p>{near[1]}</p><p>{near[2]} {i}</p></article>")) for i in range(20)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[200 + i] == f"{near[0]} {near[1]} {near[2]} {i}" for i in range(20))
+    assert all(got[i] == "Head The one text of this host." for i in range(10))
+    assert all(got[100 + i] == own[max(0, i - 48)] for i in range(60))
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "<p>a", 1), (None, "http://x/", None, 2), (1, None, "<p>a", 1)], "page_id long, url string, html string, n_chars int").withColumnRenamed("n_chars", "text")
     assert sorted((r.text, r.n_chars) for r in extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
