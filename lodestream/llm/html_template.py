@@ -39,11 +39,11 @@ _raw_end = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 
 
 class Block:
-    """A stretch of text between block borders: its slot (the path of its element), the text, link characters, whether it is set aside, and the nearest article."""
+    """A stretch of text between block borders: its slot (the path of its element), the text, link characters, the path of the innermost element that sets it aside, and the nearest article."""
 
     __slots__ = ("linked", "outer", "scope", "side", "slot", "text")
 
-    def __init__(self, slot: str, text: str, linked: int, side: bool, scope: int, outer: tuple[str, ...]):
+    def __init__(self, slot: str, text: str, linked: int, side: str, scope: int, outer: tuple[str, ...]):
         self.slot, self.text, self.linked, self.side, self.scope, self.outer = slot, text, linked, side, scope, outer
 
 
@@ -72,9 +72,9 @@ def parse(source: str) -> tuple[list[Block], dict[str, int]]:
     """Blocks in page order, and how often each element path starts."""
     blocks: list[Block] = []
     paths: dict[str, int] = {}
-    # open elements: (name, path, set aside, scope, link, block element)
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]
-    pieces: list[tuple[str, bool, bool]] = []
+    # open elements: (name, path, innermost path set aside, scope, link)
+    stack: list[tuple[str, str, str, int, bool]] = [("", "", "", 0, False)]
+    pieces: list[tuple[str, str, bool]] = []
 
     def close_block() -> None:
         if pieces:
@@ -82,7 +82,7 @@ def parse(source: str) -> tuple[list[Block], dict[str, int]]:
             while k and stack[k][0] in INLINE:
                 k -= 1
             top = stack[k]
-            for side in (False, True):
+            for side in dict.fromkeys(s for _, s, _ in pieces):
                 text = " ".join("".join(p for p, s, _ in pieces if s == side).split())
                 if text:
                     linked = sum(len(p.strip()) for p, s, link in pieces if s == side and link)
@@ -155,7 +155,7 @@ def parse(source: str) -> tuple[list[Block], dict[str, int]]:
         path = f"{parent[1]}/{step}"
         if name not in INLINE:
             paths[path] = paths.get(path, 0) + 1
-        stack.append((name, path, parent[2] or side, max(parent[3], scope), parent[4] or name == "a"))
+        stack.append((name, path, path if side else parent[2], max(parent[3], scope), parent[4] or name == "a"))
     close_block()
     return blocks, paths
 
@@ -176,7 +176,7 @@ def vote_of(blocks: list[Block]) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each page that has text: host, vote, and its tokens: element paths (n), slots with their characters (s), texts in their slot (t)."""
+    """A row for each page that has text: host, vote, and its tokens: element paths (n), slots with their characters (s; x for what is set aside), texts in their slot (t)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch, hosts, votes, tokens = whole.slice(at, 500), [], [], []
@@ -185,54 +185,88 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not blocks:
                     continue
                 slots: dict[str, list[int]] = {}
+                aside: dict[str, list[int]] = {}
                 texts: dict[str, list[int]] = {}
                 for b in blocks:
-                    if not b.side:
-                        s = slots.setdefault(b.slot, [0, 0, 0])
-                        s[0], s[1], s[2] = s[0] + 1, s[1] + len(b.text), s[2] + b.linked
-                        t = texts.setdefault(str(key_of(b.slot, b.text)), [0, 0, 0])
-                        t[0], t[1] = t[0] + 1, t[1] + len(b.text)
-                found = {"n": {path: (n, 0, 0) for path, n in paths.items()}, "s": slots, "t": texts}
+                    s = (aside if b.side else slots).setdefault(b.slot, [0, 0, 0])
+                    s[0], s[1], s[2] = s[0] + 1, s[1] + len(b.text), s[2] + b.linked
+                    t = texts.setdefault(f"{key_of(b.slot, b.text)} {b.slot}", [0, 0, 0])
+                    t[0], t[1], t[2] = t[0] + 1, t[1] + len(b.text), t[2] + (len(b.text) if b.side else 0)
+                found = {"n": {path: (n, 0, 0) for path, n in paths.items()}, "s": slots, "x": aside, "t": texts}
                 hosts.append(host)
                 votes.append(vote_of(blocks))
                 tokens.append([{"kind": kind, "token": token, "n": n, "chars": chars, "linked": linked} for kind, of in found.items() for token, (n, chars, linked) in of.items()])
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(votes, pa.int64()), pa.array(tokens, TOKENS)], names=["host", "vote", "tokens"])
 
 
-TEMPLATE_DDL = "host string, content string, constant array<long>, linked array<string>"
-TEMPLATE = pa.schema([("host", pa.string()), ("content", pa.string()), ("constant", pa.list_(pa.int64())), ("linked", pa.list_(pa.string()))])
+TEMPLATE_DDL = "host string, content array<string>, constant array<long>, linked array<string>"
+TEMPLATE = pa.schema([("host", pa.string()), ("content", pa.list_(pa.string())), ("constant", pa.list_(pa.int64())), ("linked", pa.list_(pa.string()))])
 CONTENT_SHARE, CONSTANT_SHARE = 0.6, 0.5
+#: Hints: the share that a declared article or main part needs, and the weight of text that an element name, class, id or role sets aside.
+DECLARED_SHARE, SIDE_WEIGHT = 0.3, 0.1
+
+
+def _under(path: str, root: str) -> bool:
+    return path == root or path.startswith(root + "/")
+
+
+def _declared(path: str) -> bool:
+    """Whether the element's own name is that of a declared part; one with a class as well."""
+    return path[path.rfind("/") + 1 :].split(".", 1)[0] in ("article", "main")
+
+
+def _nest(rows: list[dict], pages: int) -> dict[str, tuple[int, bool]]:
+    """The elements of the template: path to (pages that have it, whether it repeats on a page).
+
+    Tokens of one occurrence vector make a class. A root class has a count of one on (nearly) every page and two elements at
+    least. Other classes, optional or repeated, nest where all their elements lie under one element of the template.
+    """
+    classes: dict[tuple, list[str]] = {}
+    for r in rows:
+        if r["kind"] == "n":
+            classes.setdefault((r["vector"], r["pages"], r["total"]), []).append(r["token"])
+    template: dict[str, tuple[int, bool]] = {}
+    for (_, n, total), paths in sorted(classes.items(), key=lambda c: (not c[0][2] == c[0][1] >= 0.9 * pages, min(p.count("/") for p in c[1]), min(c[1]))):
+        once = total == n >= 0.9 * pages
+        if once and len(paths) > 1 or all(any(p[:k] in template for k in range(1, len(p)) if p[k] == "/") for p in paths):
+            template.update((p, (n, total > n)) for p in paths)
+    return template
 
 
 def _deduce(group: pa.Table) -> pa.Table:
     """The template of one host from its frequent tokens with their occurrence vectors' fingerprints.
 
-    Tokens of one vector make a class. The class of the root, with a count of one on (nearly) every page, is the
-    template's frame; other classes nest in the frame element that their paths lie under, and repeat. What lies in no token
-    is a slot. content: the innermost frame element over most of the slots' text.
+    Slots hold what lies in no token: their text without links and the template's own texts. content: the elements
+    of the template that hold most of that text on the pages that have them (optional elements: one for each layout), each the
+    innermost such. Repeated elements give their text to the element that they nest in. Names are hints: a declared
+    part needs less of the text, may repeat, and is not narrowed further but by another; text set aside weighs less.
     """
     rows = group.to_pylist()
     pages = rows[0]["host_pages"]
-    classes: dict[tuple, list[str]] = {}
+    template = _nest(rows, pages)
+    slots: dict[str, list[float]] = {}
     for r in rows:
-        if r["kind"] == "n":
-            classes.setdefault((r["vector"], r["pages"], r["total"]), []).append(r["token"])
-    frame: set[str] = set()
-    for (_, n, total), paths in classes.items():
-        # valid: a frame class has at least two elements that nest or follow each other, once a page
-        if total == n >= 0.9 * pages and (len(paths) > 1 or any(p.startswith(q + "/") for p in paths for q in frame)):
-            frame.update(paths)
-    slots = [r for r in rows if r["kind"] == "s"]
-    linked = sorted(r["token"] for r in slots if r["linked"] >= MOST_LINKED * r["chars"])
-    text = {r["token"]: r["chars"] for r in slots if r["linked"] < MOST_LINKED * r["chars"]}
-    whole, content = sum(text.values()), ""
-    for path in sorted(frame, key=lambda p: (p.count("/"), p)):
-        inside = sum(n for slot, n in text.items() if slot == path or slot.startswith(path + "/"))
-        if whole and inside >= CONTENT_SHARE * whole and path.startswith(content):
-            content = path
-    same = [r for r in rows if r["kind"] == "t" and r["pages"] >= 0.8 * pages]
+        if r["kind"] in ("s", "x"):
+            s = slots.setdefault(r["token"], [0, 0, 0.0])
+            s[0], s[1], s[2] = s[0] + r["chars"], s[1] + r["linked"], s[2] + r["chars"] * (1 if r["kind"] == "s" else SIDE_WEIGHT)
+    linked = sorted(slot for slot, (chars, links, _) in slots.items() if links >= MOST_LINKED * chars)
+    weight = {slot: w for slot, (chars, links, w) in slots.items() if links < MOST_LINKED * chars}
+    same = [(*r["token"].split(" ", 1), r["chars"], r["linked"]) for r in rows if r["kind"] == "t" and r["pages"] >= 0.8 * pages]
+    own = [(slot, chars - side + side * SIDE_WEIGHT) for _, slot, chars, side in same if slot in weight]
     # a template's own texts are the lesser part: beyond it they are an article in near copies
-    constant = sorted(int(r["token"]) for r in same) if sum(r["chars"] for r in same) < CONSTANT_SHARE * sum(r["chars"] for r in slots) else []
+    if sum(w for _, w in own) >= CONSTANT_SHARE * sum(weight.values()):
+        same = []
+    else:
+        for slot, w in own:
+            weight[slot] -= w
+    whole, content = sum(weight.values()) / pages, []
+    for path, (n, repeats) in sorted(template.items(), key=lambda e: (e[0].count("/"), e[0])):
+        declared = _declared(path)
+        if whole <= 0 or repeats and not declared or any(_under(path, c) and _declared(c) and not declared for c in content):
+            continue
+        if sum(w for slot, w in weight.items() if _under(slot, path)) >= (DECLARED_SHARE if declared else CONTENT_SHARE) * whole * n:
+            content = [c for c in content if not _under(path, c)] + [path]
+    constant = sorted(int(key) for key, *_ in same)
     return pa.table({"host": [rows[0]["host"]], "content": [content], "constant": [constant], "linked": [linked]}, schema=TEMPLATE)
 
 
@@ -256,17 +290,23 @@ def templates(pages: DataFrame, least_pages: int = 8) -> DataFrame:
     return frequent.groupBy("host").applyInArrow(_deduce, TEMPLATE_DDL)
 
 
-def main_text(source: str | None, content: str | None, constant: list[int] | None, linked: list[str] | None) -> str:
-    """The page's blocks that are neither template nor set aside, joined by a space."""
+def main_text(source: str | None, content: list[str] | None, constant: list[int] | None, linked: list[str] | None) -> str:
+    """The page's blocks in the slots of its host's content elements, joined by a space.
+
+    What a name sets aside within a content element stays out; names on the way to it do not matter. A page with no text there, or
+    of a host without a template, is judged by its own names.
+    """
     if not source:
         return ""
-    blocks = [b for b in parse(source)[0] if not b.side]
-    best = max((b.scope for b in blocks), default=0)
-    if best == 2:
-        chosen = [b for b in blocks if b.scope == 2]
-    else:
-        chosen = [b for b in blocks if content and content in b.outer] or [b for b in blocks if b.scope == best]
-        chosen = [b for b in chosen if b.linked < MOST_LINKED * len(b.text) and not (linked and b.slot in linked)]
+    blocks = parse(source)[0]
+    roots = {*content} if content else set()
+    chosen = [b for b in blocks if any(e in roots and len(b.side) <= len(e) for e in b.outer)]
+    if not chosen:
+        blocks = [b for b in blocks if not b.side]
+        best = max((b.scope for b in blocks), default=0)
+        chosen = [b for b in blocks if b.scope == best]
+    # a list of links in a declared part is left out if its slot holds links on the whole host
+    chosen = [b for b in chosen if (b.scope == 2 or b.linked < MOST_LINKED * len(b.text)) and not (linked and b.slot in linked)]
     if constant:
         fixed = {*constant}
         chosen = [b for b in chosen if key_of(b.slot, b.text) not in fixed] or chosen
@@ -277,10 +317,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Main text of every page: page_id, url, text, n_chars.
 
     1. Pages are cut into blocks (text between block elements, references decoded, white space folded), each with
-    its slot, the path of its element. 2. ``templates`` deduces each host's frame. 3. A page keeps the
-    blocks under its declared article or main part, else under the host's content element, without menus, headers,
-    footers, sidebars, notices, adverts, forms, hidden parts and comments (by element, class, id or role), link lists and
-    texts that most distinct pages of the host have in that slot, unless nothing else remains.
+    its slot, the path of its element. 2. ``templates`` deduces each host's nested classes, their slots and the content
+    elements. 3. A page keeps the blocks under its content elements, without what is set aside within them (menus, headers,
+    footers, sidebars, notices, adverts, forms, hidden parts and comments, by element, class, id or role), link lists and
+    texts that most distinct pages of the host have in that slot, unless nothing else remains. Pages without text there, and hosts
+    of fewer than 8 distinct pages, which tell no template, fall back on the declared article or main part, else on names of classes.
 
     A null or empty page has the empty text; a null url is a host of its own; pages of any length are read whole; broken markup
     is read as browsers do, roughly; repeated rows and null ids pass through; an empty table gives no rows; other columns are not read.

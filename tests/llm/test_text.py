@@ -60,6 +60,27 @@ def test_copies_of_a_page_are_not_its_template(spark):
     assert all(got[100 + i] == own[max(0, i - 48)] for i in range(60))
 
 
+def test_the_template_chooses_the_text(spark):
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = []
+    for i in range(20):
+        text, more = say(60), say(50)
+        rows += [
+            # an article element that is a teaser; the text is elsewhere
+            (i, "http://teaser.example/", page(f"<article><p>{say(6)}</p></article><div class=x><p>{text}</p><p>{more}</p></div><div class=y><p>{say(4)}</p></div>"), f"{text} {more}"),
+            # names on the way to the text that would set it aside
+            (100 + i, "http://form.example/", page(f"<form class=with-sidebar><div class=y><p>{say(4)}</p></div><div class=x><p>{text}</p><div class=ad>{say(3)}</div><p>{more}</p></div></form><div class=z>{say(3)}</div>"), f"{text} {more}"),
+            # two layouts, each on half of the pages
+            (200 + i, "http://two.example/", page(f"<div class={'ab'[i % 2]}><p>{text}</p><p>{more}</p></div><div class=y><p>{say(4)}</p></div>"), f"{text} {more}"),
+            # repeated articles are all of the text
+            (300 + i, "http://list.example/", page(f"<div class=y><p>{say(4)}</p></div>" + f"<article><p>{text}</p></article><article><p>{more}</p></article>"), f"{text} {more}"),
+        ]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i, _, _, text in rows}
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "<p>a", 1), (None, "http://x/", None, 2), (1, None, "<p>a", 1)], "page_id long, url string, html string, n_chars int").withColumnRenamed("n_chars", "text")
     assert sorted((r.text, r.n_chars) for r in extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
