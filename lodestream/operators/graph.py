@@ -52,8 +52,8 @@ def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: li
     return known
 
 
-def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source: str, target: str, most_rounds: int = 50, most_paths: int = 200) -> DataFrame:
-    """(start, goal, path): one shortest path, the first in order, from each seed (node) to each goal (node) it reaches; the first ``most_paths``."""
+def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source: str, target: str, most_rounds: int = 50, most_paths: int | None = 200) -> DataFrame:
+    """(start, goal, path): one shortest path, the first in order, from each seed (node) to each goal (node) it reaches; the first ``most_paths``, or all."""
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
     known = _keep(seeds.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
     front = known
@@ -64,7 +64,8 @@ def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source:
             break
         known = known.unionByName(front)
     ends = known.join(goals.select("node").distinct(), "node", "left_semi").filter("size(path) > 1")
-    return ends.select("start", F.col("node").alias("goal"), "path").orderBy("start", "goal").limit(most_paths)
+    out = ends.select("start", F.col("node").alias("goal"), "path")
+    return out if most_paths is None else out.orderBy("start", "goal").limit(most_paths)
 
 
 def layers(nodes: DataFrame, edges: DataFrame, source: str, target: str, most: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from lodestream.operators.graph import components, degrees, layers, reach, short
 from lodestream.plans.registry import query
 from lodestream.sources.tables import table
 
-#: Customers and suppliers of one size class of parts, linked where a customer's order has a supplier's line.
+#: Customers and suppliers of lines of a large quantity and discount, linked where a customer's order has a supplier's line.
 LINKS = "SELECT DISTINCT o_custkey AS a, l_suppkey + 100000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_discount > 0.09"
 
 
@@ -60,3 +60,56 @@ def g_paths(spark, sf):
 def g_degrees(spark, sf):
     e = _links(spark, sf)
     return degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e, "a", "b")
+
+
+# --- the same over the whole tables; recursive SQL is too slow there, so all but the degrees have no oracle ---
+
+ALL_LINKS = "SELECT DISTINCT o_custkey AS a, l_suppkey + 100000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _all_links(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    joined = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b")).distinct()
+
+
+def _all_next(spark, sf):
+    """The edges of all customers, and the most orders of one: no way is longer, so loops held to it end by themselves."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    most = orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 1
+    return orders.select(F.col("o_orderkey").alias("s"), F.lead("o_orderkey").over(w).alias("t")).filter("t is not null"), most
+
+
+@query()
+def g_components_whole(spark, sf):
+    return components(_all_links(spark, sf), "a", "b")
+
+
+@query()
+def g_reach_whole(spark, sf):
+    """From the first order of every customer."""
+    e, most = _all_next(spark, sf)
+    return reach(e.select(F.col("s").alias("node")).subtract(e.select("t")), e, "s", "t", most_rounds=most)
+
+
+@query()
+def g_layers_whole(spark, sf):
+    e, most = _all_next(spark, sf)
+    return layers(e.select(F.col("s").alias("node")).union(e.select("t")), e, "s", "t", most=most)
+
+
+@query()
+def g_paths_whole(spark, sf):
+    e, most = _all_next(spark, sf)
+    starts = e.select(F.col("s").alias("node")).subtract(e.select("t"))
+    ends = e.select(F.col("t").alias("node")).subtract(e.select("s"))
+    return shortest_paths(starts, ends, e, "s", "t", most_rounds=most, most_paths=None).select("start", "goal", F.concat_ws(">", "path").alias("path"))
+
+
+@query(f"WITH e AS ({ALL_LINKS}) SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT a AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e) GROUP BY node")
+def g_degrees_whole(spark, sf):
+    e = _all_links(spark, sf)
+    return degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e, "a", "b")
