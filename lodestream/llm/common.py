@@ -9,10 +9,13 @@ import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+BROADCAST_IDS = 1_000_000  # rows of two numbers (16 MB) up to which a side is broadcast; beyond it the join is shuffled
+HUB_ROWS = 256  # pairs of one row that one task joins with it
 BATCH_ROWS = 1000  # rows of an Arrow batch: whole texts are long, and each batch is held in the JVM and in Python
 
 
@@ -77,6 +80,20 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def on_hubs(pairs: DataFrame, side: DataFrame, scratch: Scratch) -> DataFrame:
+    """Kept ``pairs`` (a, b, ...) joined with ``side`` on a; the pairs of an a that has many are dealt over several tasks, each with a copy of its row."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_ROWS)).cast("int").alias("parts")).filter("parts > 1")
+    many = scratch.keep(many.coalesce(1 + pairs.count() // (64 * HUB_ROWS)), "hubs")
+    n = many.count()
+    if not n:
+        return pairs.join(side, "a")
+    many = F.broadcast(many) if n <= BROADCAST_IDS else many
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(many, "a", "left").withColumn("part", part).drop("parts")
+    copies = side.join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["a", "part"]).drop("part")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; UTF-8 bytes.
 

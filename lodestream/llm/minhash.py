@@ -10,13 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, words
+from lodestream.llm.common import BROADCAST_IDS, Scratch, on_hubs, words
 from lodestream.llm.components import components
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("sketch_more", pa.list_(pa.int64()))])
-SIGNED_DDL = "doc_id long, n_shingles long, set_key binary, signature array<long>, sketch array<long>, sketch_more array<long>"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("sketch_more", pa.list_(pa.int64()))])
+SIGNED_DDL = "doc_id long, text_key long, n_shingles long, set_key binary, signature array<long>, sketch array<long>, sketch_more array<long>"
 PLACES = np.arange(64, dtype=np.uint64)
-BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which the filter on documents is broadcast; beyond it is a shuffled join
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -74,14 +73,14 @@ def sketch_matches(a: str, b: str, coordinates: int) -> Column:
     return F.lit(coordinates) - differ
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, sketched: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set), signature of ``coordinates`` and sketch of twice ``sketched`` more in two parts (all empty for an empty set)."""
+def signatures(rows: DataFrame, width: int, coordinates: int, sketched: int) -> DataFrame:
+    """doc_id and text_key as they are, n_shingles, set_key (128-bit hash of the whole set), signature of ``coordinates`` and sketch of twice ``sketched`` more in two parts (all empty for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, half, none = Signer(coordinates, 2 * sketched), sketched // 16, np.empty(0, np.int64)
         for batch in batches:
             counts, keys, signs, sketches = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), width)
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -89,10 +88,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
                 signs.append(sign)
                 sketches.append(sketch)
             lists = [_lists(signs), _lists([x[:half] for x in sketches]), _lists([x[half:] for x in sketches])]
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=SIGNED)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=SIGNED)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, SIGNED_DDL)
+    return rows.select("doc_id", "text_key", "text").mapInArrow(sign, SIGNED_DDL)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -100,22 +98,21 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set_key and the whole set as an array of longs."""
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(node, text) to (node, shingles): the whole set as an array of longs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
-                yield pa.record_batch([part.column(0), keys, _lists(found)], names=["doc_id", "set_key", "shingles"])
+                yield pa.record_batch([part.column(0), _lists(found)], names=["node", "shingles"])
 
-    return docs.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
 
 
 def live_prefixes(reps: DataFrame, least: int) -> DataFrame:
-    """(doc_id, posts, weight): each document's posts that can be the first of ``least`` common coordinates.
+    """(node, posts, weight) of (node, signature): each document's posts that can be the first of ``least`` common coordinates.
 
     Values that one document alone holds are dropped from a document's list; two documents with
     ``least`` values in common both hold that many shared ones, and, in the one order of all values
@@ -123,11 +120,11 @@ def live_prefixes(reps: DataFrame, least: int) -> DataFrame:
     frequent values beyond are skipped: they are never joined, but probed in the pairs found.
     weight: how often the document's values are held in all; the text that copies derive from has much.
     """
-    posts = reps.select("doc_id", F.explode("signature").alias("key"))
+    posts = reps.select("node", F.explode("signature").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
-    mine = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("posts"), F.sum("f").alias("weight"))
+    mine = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("posts"), F.sum("f").alias("weight"))
     mine = mine.filter(F.size("posts") >= least)
-    return mine.select("doc_id", F.slice("posts", F.lit(1), F.size("posts") - (least - 1))["key"].alias("posts"), "weight")
+    return mine.select("node", F.slice("posts", F.lit(1), F.size("posts") - (least - 1))["key"].alias("posts"), "weight")
 
 
 def alike(a: Column | str, b: Column | str, percent: int) -> Column:
@@ -135,8 +132,69 @@ def alike(a: Column | str, b: Column | str, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
+def linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, coordinates: int, match: int, sketched: int, sketch_match: int, both_match: int) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, text_key (a hash of the text), n_shingles, component (a number of its own), component_id."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    # the number of a row is written with it, so it is the same in every later read
+    signed = scratch.keep(signatures(rows, width, coordinates, sketched).withColumn("node", F.monotonically_increasing_id()), "signed")
+    some = signed.filter("n_shingles > 0 and doc_id is not null")
+    first = F.min(F.struct("doc_id", "node"))
+    classes = scratch.keep(some.groupBy("set_key").agg(first.alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.node").alias("node")), "classes")
+    near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    prefixes = live_prefixes(some.select("node", "signature").join(near(classes.select("node")), "node", "left_semi"), match)
+    prefixes = scratch.keep(prefixes.join(signed.select("node", F.col("n_shingles").alias("n")), "node"), "prefixes")
+    posts = prefixes.select("node", "n", "weight", F.explode("posts").alias("key"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of kept pairs (a, b), those whose signatures match and whose full sets are similar."""
+        ends = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        members = scratch.keep(some.select("node", "doc_id", "text_key", "signature").join(near(ends), "node", "left_semi"), "members")
+        signs = members.select("node", "signature")
+        both = on_hubs(pairs, signs.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), scratch).join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
+        pairs = scratch.keep(both.filter(F.size(F.array_intersect("sig_a", "sig_b")) >= match).select("a", "b"), "matched")
+        sets = scratch.keep(shingle_sets(rows.join(near(members.select("node", "doc_id", "text_key")), ["doc_id", "text_key"]), width), "sets")
+        if sets.count() > members.count():  # repeated rows
+            sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
+        both = on_hubs(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), scratch).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        return scratch.keep(both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b"), "edges")
+
+    size = F.log("n") * F.lit(2 / np.log(100 / percent))
+    sized = posts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.floor(size).alias("size")), F.struct(F.lit(1).alias("half"), F.floor(size + 0.5).alias("size")))).alias("s")).select("key", "s.half", "s.size", "node", "n", "weight")
+    hub = F.max(F.struct("weight", F.negative("node").alias("first"), "node", "n")).alias("hub")
+    hubs = sized.groupBy("key", "half", "size").agg(hub).select("key", "half", "size", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
+    stars = sized.join(hubs, ["key", "half", "size"]).filter((F.col("node") != F.col("a")) & alike("n", "n_a", percent)).select("a", F.col("node").alias("b")).distinct()
+    stars = scratch.keep(stars, "stars")
+    sketches = signed.select("node", "sketch")
+    met = on_hubs(stars, sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), scratch).join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    edges = confirmed(scratch.keep(met.filter(sketch_matches("sketch_a", "sketch_b", sketched) >= sketch_match).select("a", "b"), "pairs"))
+    found = components(edges, scratch)
+
+    here = prefixes.join(found, "node", "left").select("node", "n", "weight", "posts", F.coalesce("component", "node").alias("c"))
+    here = scratch.keep(here, "placed")
+    keys = here.select("node", "c", F.explode("posts").alias("key"))
+    mixed = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    mixed = scratch.keep(keys.join(mixed, "key").select("key", "node"), "mixed-keys")
+    columns = ["node", "n", "weight", "c", "sketch", "sketch_more", "posts"]
+    members = here.join(near(mixed.select("node").distinct()), "node", "left_semi").join(signed.select("node", "sketch", "sketch_more"), "node")
+    here = scratch.keep(mixed.join(members, "node").select("key", *columns), "mixed")
+    other = here.select("key", *(F.col(x).alias(f"{x}_b") for x in columns))
+    matches = sketch_matches("sketch", "sketch_b", sketched) + sketch_matches("sketch_more", "sketch_more_b", sketched)
+    once = F.array_min(F.array_intersect("posts", "posts_b")) == F.col("key")
+    heavier = F.struct("weight", "node") > F.struct("weight_b", "node_b")
+    left = here.join(other, "key").filter(heavier & (F.col("c") != F.col("c_b")) & alike("n", "n_b", percent) & (matches >= both_match) & once)
+    edges = edges.unionByName(confirmed(scratch.keep(left.select(F.col("node").alias("a"), F.col("node_b").alias("b")), "pairs")))
+    found = components(edges, scratch)
+    named = classes.join(found, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = named.join(lowest, "component").select("set_key", "component", "component_id")
+    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_key")).alias("set_key"), "node").join(labels, "set_key", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, coordinates: int = 64, match: int = 34, sketched: int = 256, sketch_match: int = 168, both_match: int = 351
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, coordinates: int = 64, match: int = 33, sketched: int = 256, sketch_match: int = 167, both_match: int = 351
 ) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union; doc_id, n_shingles, component_id, kept.
 
@@ -148,74 +206,38 @@ def near_duplicates(
     sets; links contract to components. 4. All pairs of a posting that lie in different components meet likewise, once
     each, so no link between components is lost, while a group of thousands of near copies costs a few stars, not all
     pairs. The bounds turn away a pair of the very least
-    similarity with a chance of 4.4 (signature), 2.8 and 1.4 (sketches) in a hundred thousand; a pair passes the first and one of the others.
+    similarity with a chance of 1.5 (signature), 1.5 and 1.4 (sketches) in a hundred thousand; a pair passes the first and one of the others.
 
-    Null or empty texts and texts of white space have an empty set and link with nothing; rows of one
-    id are one document (their classes join); a null id links with nothing and is kept; an
+    Null or empty texts and texts of white space have an empty set and link with nothing, nor does a row of a null id. Each
+    row is a document of its own: rows of one id and unlike texts may lie in two components, and kept (the row's id is the
+    smallest of its component) holds for each such row; equal rows are linked and have equal results. An
     empty table gives no rows; other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.keep(signatures(rows, "doc_id", "text", width, coordinates, sketched), "signed")
-    some = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep)).select("doc_id", "signature")
-    prefixes = scratch.keep(live_prefixes(reps, match), "prefixes")
-    members = prefixes.select("doc_id")
-    small = members.count() <= BROADCAST_IDS
-    members = F.broadcast(members) if small else members
-    sets = shingle_sets(rows.join(members, "doc_id", "left_semi"), width).join(some.select("doc_id", "set_key", "signature"), ["doc_id", "set_key"])
-    sets = scratch.keep(sets.select("doc_id", "signature", "shingles"), "sets")
-    posts = prefixes.join(some.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id").select("doc_id", "n", "sketch", "weight", "posts", F.explode("posts").alias("key"))
-    posts = scratch.keep(posts, "posts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.distinct(), "pairs")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-        both = pairs.join(right, "b").join(left, "a").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= match)
-        both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        return scratch.keep(both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b").distinct(), "edges")
+    out = linked(docs, id_col, text_col, percent, width, coordinates, match, sketched, sketch_match, both_match)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
-    size = F.log("n") * F.lit(2 / np.log(100 / percent))
-    sized = posts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.floor(size).alias("size")), F.struct(F.lit(1).alias("half"), F.floor(size + 0.5).alias("size")))).alias("s")).select("key", "s.half", "s.size", "doc_id", "n", "sketch", "weight")
-    top = F.max(F.struct("weight", F.negative("doc_id").alias("first"), "doc_id", "n", "sketch")).alias("hub")
-    hubs = sized.groupBy("key", "half", "size").agg(top).select("key", "half", "size", *(F.col(f"hub.{x}").alias(f"{x}_b") for x in ("doc_id", "n", "sketch")))
-    likely = alike("n", "n_b", percent) & (sketch_matches("sketch", "sketch_b", sketched) >= sketch_match)
-    stars = sized.join(hubs, ["key", "half", "size"]).filter((F.col("doc_id") != F.col("doc_id_b")) & likely)
-    edges = confirmed(stars.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")))
-    found = components(edges, scratch)
 
-    here = posts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-    mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    columns = ["doc_id", "n", "sketch", "sketch_more", "c", "posts"]
-    here = here.join(mixed, "key").join(some.select("doc_id", "sketch_more"), "doc_id").select("key", *columns)
-    here = scratch.keep(here, "mixed")
-    other = here.select("key", *(F.col(x).alias(f"{x}_b") for x in columns))
-    matches = sketch_matches("sketch", "sketch_b", sketched) + sketch_matches("sketch_more", "sketch_more_b", sketched)
-    once = F.array_min(F.array_intersect("posts", "posts_b")) == F.col("key")
-    left = here.join(other, "key").filter((F.col("doc_id") < F.col("doc_id_b")) & (F.col("c") != F.col("c_b")) & alike("n", "n_b", percent) & (matches >= both_match) & once)
-    edges = edges.unionByName(confirmed(left.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))))
-    found = components(edges, scratch)
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("label"))
-    out = signed.join(labels, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component alone, all columns; of rows that repeat that id one stays.
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, coordinates: int = 64, match: int = 33, sketched: int = 256, sketch_match: int = 167, both_match: int = 351
+) -> DataFrame:
+    """``docs`` with one row of each component, all columns: the row of the smallest id, of several such the one of the lowest text hash.
 
-    Rows of a null id stay.
+    Rows without words and rows of a null id stay, as they link with nothing; repeated rows are one component, so one stays;
+    rows of one id whose texts are no near copies stay all. An empty table gives no rows; columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    found = near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias(id_col), "kept")
-    marks = scratch.keep(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "marks")
+    out = linked(docs, id_col, text_col, percent, width, coordinates, match, sketched, sketch_match, both_match)
+    marks = scratch.keep(out.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "text_key", "component", F.expr("component_id = doc_id").alias("kept")), "marks")
     near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    lost, again = marks.filter("not kept").select(id_col), marks.filter("kept and n > 1").select(id_col)
-    typed = docs.withColumn("__id", F.col(id_col).cast("long"))
-    key = lambda ids: near(ids).withColumnRenamed(id_col, "__id")
-    out = typed.join(key(lost), "__id", "left_anti")
+    keys = ["doc_id", "text_key"]
+    lost = scratch.keep(marks.filter("not kept").select(*keys).distinct(), "lost")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    rows = rows.join(near(lost), keys, "left_anti")
+    # components with several rows of the smallest id
+    again = marks.filter("kept").groupBy("component", "doc_id").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = scratch.keep(again.select("component", "first"), "again")
     if not again.isEmpty():
-        out = out.join(key(again), "__id", "left_anti").union(out.join(key(again), "__id", "left_semi").dropDuplicates(["__id"]))
-    return out.select(*docs.columns)
+        of = scratch.keep(marks.filter("kept").join(again, "component").select(*keys, (F.col("text_key") == F.col("first")).alias("stays")).distinct(), "of-again")
+        one = rows.join(near(of.filter("stays").select(*keys)), keys, "left_semi").dropDuplicates(keys)
+        rows = rows.join(near(of.select(*keys)), keys, "left_anti").unionByName(one)
+    return rows.select("row.*")
