@@ -102,21 +102,16 @@ FROM v JOIN reach r ON r.x = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id GROUP BY
 """
 
 LEAKS = r"""
-WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D\x20]+', ' ', 'g')), ' ') AS t FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D\x20]+', ' ', 'g')), ' ') AS t FROM benchmark WHERE item_id IS NOT NULL),
-masks AS (SELECT * FROM (VALUES (0, [0, 1, 3, 5, 7]), (1, [0, 2, 3, 6, 7]), (2, [0, 1, 4, 6, 7])) AS m(mask, offs)),
-dp AS (SELECT doc_id, t, unnest(range(0, len(t) - 7)) AS pos FROM d),
-bp AS (SELECT item_id, t, unnest(range(0, len(t) - 7)) AS pos FROM b),
-ds AS (SELECT doc_id, pos, mask, [t[pos + 1 + offs[1]], t[pos + 1 + offs[2]], t[pos + 1 + offs[3]], t[pos + 1 + offs[4]], t[pos + 1 + offs[5]]] AS k FROM dp, masks),
-bs AS (SELECT item_id, pos, mask, [t[pos + 1 + offs[1]], t[pos + 1 + offs[2]], t[pos + 1 + offs[3]], t[pos + 1 + offs[4]], t[pos + 1 + offs[5]]] AS k FROM bp, masks),
-hit AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS start, bs.pos AS item_at FROM ds JOIN bs ON ds.mask = bs.mask AND ds.k = bs.k),
-agree AS (SELECT h.doc_id, h.item_id, h.start, h.item_at, len(b.t) AS n_words,
-  list_transform(range(0, len(b.t)), lambda i: h.start + i >= 0 AND h.start + i < len(d.t) AND d.t[h.start + i + 1] = b.t[i + 1]) AS a
-  FROM hit h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
-counted AS (SELECT doc_id, item_id, start, n_words, len(list_filter(a, lambda x: x)) AS n_match,
-  len(list_filter(a[greatest(item_at - 8, greatest(-start, 0)) + 1:greatest(item_at - 8, greatest(-start, 0)) + 24], lambda x: x)) AS near FROM agree)
-SELECT doc_id, item_id, max(n_match)::BIGINT AS n_match, max(n_words)::BIGINT AS n_words, min(start)::BIGINT AS first_at
-FROM counted WHERE n_match >= 0.5 * n_words OR near >= 17 GROUP BY doc_id, item_id
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D\x20]+', ' ', 'g')), ' ') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, t, len(t) AS n, row_number() OVER () AS version FROM (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(text), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D\x20]+', ' ', 'g')), ' ') AS t
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE t <> ['']),
+dt AS (SELECT DISTINCT doc_id, unnest(t) AS w, unnest(range(0, len(t))) AS i FROM d),
+bt AS (SELECT item_id, version, n, unnest(t) AS w, unnest(range(0, n)) AS k FROM b),
+diagonals AS (SELECT doc_id, item_id, version, any_value(n) AS n, i - k AS start, count(*) AS n_match, list(k ORDER BY k) AS places
+  FROM dt JOIN bt USING (w) GROUP BY doc_id, item_id, version, i - k HAVING count(*) >= least(any_value(n), 7))
+SELECT doc_id, item_id, max(n_match)::BIGINT AS n_match, max(n)::BIGINT AS n_words, min(start)::BIGINT AS first_at FROM diagonals
+WHERE n_match >= ceil(0.6 * n) OR len(list_filter(range(1, len(places) - 15), lambda j: places[j + 16] - places[j] < 24)) > 0
+GROUP BY doc_id, item_id
 """
 
 ORACLES: dict[str, str] = {"op6_spaced_seed_decontamination": LEAKS, "op2_minhash_near_dedup": NEAR_TEXTS, "op3_embedding_near_dedup": NEAR_VECTORS}
