@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +14,24 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import Scratch
 
-ABSTAIN, GOOD, BAD = 0, 1, 2
+MISSING, GOOD, BAD, UNSURE = 0, 1, 2, 3  # a labeller that cannot judge a text is missing; one that does and sees neither is unsure
 LETTERS = re.compile(r"[^\W\d_]+")
 SIGNS = re.compile(r"([^\w\s])\1(?=\s|$)")
 #: English insults.
 INSULTS = frozenset("idiot stupid moron loser pathetic worthless disgusting scum trash clown".split())
 FORMAT_SAMPLE = 8_000  # posterior-labelled documents that the format scorer is fitted on, at most
-TOXIC_SAMPLE = 8_000  # documents with a label or an insult that the word scorer is fitted on, at most
+TOXIC_SAMPLE = 8_000  # documents with a toxic label or vote that the word scorer is fitted on, at most
+LEXICON_SAMPLE = 8_000  # documents with a toxic label that the word beginnings are learned from, at most
 BUCKETS = 1 << 20
+BEGINNINGS = range(4, 8)  # letters of a word's beginning
 
 
 def measures(text: str) -> np.ndarray:
-    """Shares in [0, 1] that tell prose from noise, and the number of words."""
+    """Shares in [0, 1] that tell prose from noise, the number of words and the characters a word."""
     found = text.split()
     n = len(found)
     if not n:
-        return np.array([0, 0, 0, 0, 0, 0, 0, 0.0])
+        return np.zeros(9)
     lines = [x for x in text.split("\n") if x.strip()]
     loud = sum(map(str.isupper, found)) / n
     signs = sum(1 for _ in SIGNS.finditer(text)) / n
@@ -37,63 +40,116 @@ def measures(text: str) -> np.ndarray:
     variety = len({*found}) / n
     repeats = 1 - len({*lines}) / len(lines) if len(lines) > 1 else 0.0
     ends = sum(text.count(c) for c in (". ", ".\n", "! ", "? ", "!\n", "?\n")) / n
-    return np.array([min(loud, 1), min(signs, 1), min(bars, 1), stutter, variety, repeats, min(ends, 1), n])
+    return np.array([min(loud, 1), min(signs, 1), min(bars, 1), stutter, variety, repeats, min(ends, 1), n, len(text) / n])
 
 
 def votes(m: np.ndarray, known: int | None) -> list[int]:
-    """Of each labeller on a document: loud, signs, bars, stutter, variety, repeated lines, sentences, and a human label where there is one."""
-    loud, signs, bars, stutter, variety, repeats, ends, n = m
+    """Of each labeller on a document: loud, signs, bars, stutter, variety, repeated lines, sentences, length, length of words, and a human label where there is one."""
+    loud, signs, bars, stutter, variety, repeats, ends, n, length = m
     return [
-        BAD if loud > 0.3 else GOOD if loud < 0.05 else ABSTAIN,
-        BAD if signs > 0.3 else GOOD if signs < 0.02 else ABSTAIN,
-        BAD if bars > 0.2 else GOOD if bars < 0.02 else ABSTAIN,
-        BAD if stutter > 0.2 else GOOD if stutter < 0.03 else ABSTAIN,
-        ABSTAIN if n < 50 else BAD if variety < 0.1 else GOOD if variety > 0.3 else ABSTAIN,
-        BAD if repeats > 0.5 else GOOD if repeats < 0.1 and n >= 50 else ABSTAIN,
-        ABSTAIN if n < 30 else GOOD if 0.02 < ends < 0.4 else BAD if ends < 0.004 else ABSTAIN,
-        ABSTAIN if known is None else GOOD if known else BAD,
+        BAD if loud > 0.3 else GOOD if loud < 0.05 else UNSURE,
+        BAD if signs > 0.3 else GOOD if signs < 0.02 else UNSURE,
+        BAD if bars > 0.2 else GOOD if bars < 0.02 else UNSURE,
+        BAD if stutter > 0.2 else GOOD if stutter < 0.03 else UNSURE,
+        MISSING if n < 50 else BAD if variety < 0.1 else GOOD if variety > 0.3 else UNSURE,
+        BAD if repeats > 0.5 else MISSING if n < 50 else GOOD if repeats < 0.1 else UNSURE,
+        MISSING if n < 30 else GOOD if 0.02 < ends < 0.4 else BAD if ends < 0.004 else UNSURE,
+        BAD if n < 8 else GOOD if n >= 50 else UNSURE,
+        MISSING if n < 50 else BAD if length > 12 or length < 3.5 else GOOD if 4.5 < length < 9 else UNSURE,
+        MISSING if known is None else GOOD if known else BAD,
     ]
 
 
-def toxic_votes(insults: int, words: int, known: int | None) -> list[int]:
-    """Any insult, insults of a share, several of them, and a human label where there is one."""
-    return [BAD if insults else ABSTAIN, BAD if insults > 0.005 * words else GOOD, BAD if insults > 2 else ABSTAIN, ABSTAIN if known is None else BAD if known else GOOD]
+#: For each kind of noise, the labellers that see it (numbers in ``votes``): loud, signs, lists, stutter, no sentences.
+JUNK_KINDS = ((0,), (1,), (2,), (3, 4, 5), (6,))
+JUNK_LABELLERS, HUMAN = 10, -1
+
+
+def toxic_votes(insults: int, words: int, begun: tuple[int, int], known: int | None) -> list[int]:
+    """Any insult, insults of a share, several of them, beginnings of words of two lexicons learned from labels, and a human label where there is one."""
+    seen = [BAD if n > 1 and n > 0.005 * words else GOOD for n in begun]
+    return [BAD if insults else GOOD, BAD if insults > 0.005 * words else UNSURE if insults else GOOD, BAD if insults > 2 else UNSURE if insults else GOOD, *seen, MISSING if known is None else BAD if known else GOOD]
+
+
+#: Kinds of toxic text: by insults known beforehand, by beginnings of words learned from labels.
+TOXIC_KINDS = ((0, 1, 2), (3,), (4,))
+TOXIC_LABELLERS = 6
 
 
 class LabelModel:
-    """Dawid-Skene: each labeller's accuracies given the hidden class, and the class share, by EM over counted vote patterns.
+    """Dawid-Skene with a good class and several kinds of bad: each labeller's rates of saying good, bad or being unsure given the class, and the class shares, by EM over counted vote patterns.
 
-    An abstention tells nothing. A labeller's false alarms are held to ``alarm`` and its hits to ``least_hit``
-    at least: noise comes in kinds that exclude each other, so a labeller is right when it speaks up
-    though most others see nothing, and unheld estimates would take one kind for the class. For the
-    same reason what no labeller speaks against is bad with a chance of ``unseen`` at most.
+    Noise comes in kinds that exclude each other, so each kind is a class of its own, which starts from the labellers that
+    are meant for it. Being unsure is an outcome with rates of its own; only a labeller that cannot judge (a text too short, no human
+    label) is left out. All rates are estimated: the prior is worth ``strength`` documents, no rate is held.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, alarm: float = 0.0005, least_hit: float = 0.1, unseen: float = 0.05):
-        self.unseen = unseen
-        weight = counts / counts.sum() if counts.sum() else counts.astype(float)
-        good, bad = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
-        p = np.where(bad.any(axis=1), 0.9, 0.05)
-        for _ in range(rounds):
-            self.share = float(np.clip(weight @ p, 0.01, 0.99)) if len(p) else 0.5
-            self.alarm = np.minimum(self._rate(weight * (1 - p), bad, good), alarm)
-            self.hit = np.maximum(self._rate(weight * p, bad, good), least_hit)
-            new = self.posterior(patterns)
-            if not len(p) or np.abs(new - p).max() < 1e-6:
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, kinds: tuple[tuple[int, ...], ...], rounds: int = 500, strength: float = 20.0):
+        labellers = patterns.shape[1]
+        prior = np.empty((1 + len(kinds), labellers, 3))  # good, bad, unsure
+        prior[0] = 0.955, 0.005, 0.04
+        for k, own in enumerate(kinds, 1):
+            prior[k] = 0.92, 0.03, 0.05
+            prior[k, list(own)] = 0.1, 0.8, 0.1
+            prior[k, HUMAN] = 0.1, 0.85, 0.05
+        share = np.array([0.9, *[0.1 / len(kinds)] * len(kinds)])
+        self.rates, self.shares = prior, share
+        said = np.stack([patterns == o for o in (GOOD, BAD, UNSURE)], axis=2).astype(float)
+        weight = counts.astype(float)
+        self.rounds = 0
+        while self.rounds < rounds and len(patterns):
+            p = self.classes(patterns)
+            of = p * weight[:, None]
+            self.shares = (of.sum(axis=0) + strength * share) / (weight.sum() + strength)
+            counted = np.einsum("pc,pjo->cjo", of, said) + strength * prior
+            self.rates = counted / counted.sum(axis=2, keepdims=True)
+            self.rounds += 1
+            if np.abs(self.classes(patterns) - p).max() < 1e-7:
                 break
-            p = new
 
-    @staticmethod
-    def _rate(weight: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-        yes, no = weight @ bad, weight @ good
-        return np.clip((yes + 1e-6) / (yes + no + 2e-6), 1e-4, 0.95)
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of each class, good first."""
+        said = np.stack([patterns == o for o in (GOOD, BAD, UNSURE)], axis=2).astype(float)
+        odds = np.einsum("pjo,cjo->pc", said, np.log(self.rates)) + np.log(self.shares)
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability of the bad class."""
-        good, bad = patterns == GOOD, patterns == BAD
-        odds = bad @ np.log(self.hit / self.alarm) + good @ np.log((1 - self.hit) / (1 - self.alarm)) + np.log(self.share / (1 - self.share))
-        p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-        return np.where(bad.any(axis=1), p, np.minimum(p, self.unseen))
+        """Probability of any of the bad classes."""
+        return 1 - self.classes(patterns)[:, 0] if len(patterns) else np.empty(0)
+
+    def accuracies(self) -> list[tuple[float, float]]:
+        """Of each labeller: how often it says bad of a bad document (of any kind) and good of a good one, when it judges."""
+        bad = self.shares[1:] / self.shares[1:].sum()
+        return [(float(bad @ self.rates[1:, j, 1]), float(self.rates[0, j, 0])) for j in range(self.rates.shape[1])]
+
+
+def lexicon(texts: list[tuple[bool, set[str]]]) -> tuple[frozenset[str], frozenset[str]]:
+    """From rows (toxic, beginnings of words) of labelled documents: the beginnings that toxic documents hold far more often, dealt by a hash into two lexicons of which none tells what the other does."""
+    counts, n = (Counter(), Counter()), [1, 1]
+    for toxic, begun in texts:
+        n[toxic] += 1
+        counts[toxic].update(begun)
+    found = [w for w, k in counts[1].items() if k >= 5 and k / n[1] > 12 * (counts[0][w] + 0.5) / n[0]]
+    return tuple(frozenset(w for w in found if xxhash.xxh3_64_intdigest(w.encode()) % 2 == half) for half in (0, 1))
+
+
+def beginnings(words: set[str]) -> set[str]:
+    """Beginnings that two words at least share, each longer than it."""
+    n = Counter(w[:k] for w in words for k in BEGINNINGS if len(w) > k)
+    return {w for w, k in n.items() if k > 1}
+
+
+def begun(words: set[str], lexicons: tuple[frozenset[str], frozenset[str]]) -> tuple[int, int]:
+    """For each lexicon, how many of the distinct words have the beginning of it that most of them have."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+    for w in words:
+        for k in BEGINNINGS:
+            if len(w) > k:
+                for n, known in zip(found, lexicons, strict=True):
+                    if w[:k] in known:
+                        n[w[:k]] += 1
+    return tuple(max(n.values(), default=0) for n in found)
 
 
 class HashedLinear:
@@ -198,10 +254,37 @@ class QualityModel:
 VOTED_DDL = "doc_id long, junk string, toxic string, hash long"
 
 
-def _voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def text_hash(text: str, doc_id: int | None) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=(doc_id or 0) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+
+
+def below(most: int, of: int) -> int:
+    """The bound under which hashes of ``of`` rows lie for ``most`` of them, less a twentieth."""
+    return min((1 << 63) - 1, -(1 << 63) + (19 * most << 64) // (20 * max(of, 1)))
+
+
+def _learn_lexicon(rows: DataFrame, labels: DataFrame | None, sample: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Word beginnings of toxic documents by the labels, from a sample of the labelled documents chosen by a hash of the id."""
+    if labels is None:
+        return frozenset(), frozenset()
+    told = labels.filter("toxic_label is not null and doc_id is not null").select("doc_id", "toxic_label", F.xxhash64("doc_id").alias("hash"))
+    told = told.filter(F.col("hash") <= below(sample, told.count()))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = ["\n".join(sorted(beginnings({*LETTERS.findall((t.as_py() or "").lower())}))) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.string())], names=["toxic", "begun"])
+
+    found = rows.join(F.broadcast(told.select("doc_id", "toxic_label")), "doc_id").select((F.col("toxic_label") == 1).alias("toxic"), "text")
+    found = found.mapInArrow(begin, "toxic boolean, begun string").toLocalIterator(prefetchPartitions=True)
+    return lexicon([(r.toxic, {*r.begun.split("\n")} - {""}) for r in found])
+
+
+def _voted(docs: DataFrame, labels: DataFrame | None, known: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
     """doc_id, the votes on junk and on toxicity as digits, and a hash of text and id; null and blank texts have none."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        either = known[0] | known[1]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -210,46 +293,50 @@ def _voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
                     continue
                 low = t.lower()
                 insults = sum(w in INSULTS for w in LETTERS.findall(low)) if any(w in low for w in INSULTS) else 0
+                held = begun({*LETTERS.findall(low)}, known) if either else (0, 0)
                 m = measures(t)
-                digits = ("".join(map(str, v)) for v in (votes(m, None), toxic_votes(insults, int(m[7]), None)))
-                out.append((doc_id, *digits, np.uint64(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), seed=(doc_id or 0) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)))
+                digits = ("".join(map(str, v)) for v in (votes(m, None), toxic_votes(insults, int(m[7]), held, None)))
+                out.append((doc_id, *digits, text_hash(t, doc_id)))
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "junk", "toxic", "hash"])
 
     voted = docs.mapInArrow(vote, VOTED_DDL)
     if labels is None:
-        return voted.select("doc_id", F.rpad("junk", 8, str(ABSTAIN)).alias("junk"), F.rpad("toxic", 4, str(ABSTAIN)).alias("toxic"), "hash")
-    human = lambda c, good, bad: F.when(F.col(c) == good, str(GOOD)).when(F.col(c) == bad, str(BAD)).otherwise(str(ABSTAIN))
+        return voted
+    human = lambda c, good, bad: F.when(F.col(c) == good, str(GOOD)).when(F.col(c) == bad, str(BAD)).otherwise(str(MISSING))
     joined = voted.join(labels, "doc_id", "left")
-    return joined.select("doc_id", F.concat(F.substring("junk", 1, 7), human("quality", 1, 0)).alias("junk"), F.concat(F.substring("toxic", 1, 3), human("toxic_label", 0, 1)).alias("toxic"), "hash")
+    return joined.select("doc_id", F.concat(F.substring("junk", 1, JUNK_LABELLERS - 1), human("quality", 1, 0)).alias("junk"), F.concat(F.substring("toxic", 1, TOXIC_LABELLERS - 1), human("toxic_label", 0, 1)).alias("toxic"), "hash")
 
 
 def _patterns(voted: DataFrame, column: str, labellers: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Distinct vote patterns (at most four to the power of the labellers) and their counts."""
     rows = sorted((r[0], r[1]) for r in voted.groupBy(column).agg(F.count("*")).collect())
     return np.array([[int(c) for c in r[0]] for r in rows], np.int64).reshape(len(rows), labellers), np.array([r[1] for r in rows], np.int64), [r[0] for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", format_sample: int = FORMAT_SAMPLE, toxic_sample: int = TOXIC_SAMPLE) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", format_sample: int = FORMAT_SAMPLE, toxic_sample: int = TOXIC_SAMPLE, lexicon_sample: int = LEXICON_SAMPLE) -> QualityModel:
     """Vote on all documents, estimate the labellers from all votes (a count per pattern reaches the driver), fit the scorers on bounded samples.
 
-    ``labels`` (the id, quality, toxic; a part of the documents) acts as one more labeller that abstains elsewhere.
-    The samples are the documents whose hash lies lowest, chosen by a threshold from the counts.
+    ``labels`` (the id, quality, toxic; a part of the documents) acts as one more labeller that is missing elsewhere, and
+    tells the beginnings of words that two toxic labellers look for.
+    The samples are the documents whose hash lies lowest, chosen by a threshold from the counts; what is broadcast is no larger.
+    Null labels and ids tell nothing; of labels that repeat an id the worse one holds; without documents or labels all is held good.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if labels is not None:
         labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", F.col("toxic").alias("toxic_label")).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic_label").alias("toxic_label"))
-    voted = scratch.keep(_voted(rows, labels), "votes")
-    junk_patterns, junk_counts, junk_names = _patterns(voted, "junk", 8)
-    toxic_patterns, toxic_counts, toxic_names = _patterns(voted, "toxic", 4)
-    junk, toxic = LabelModel(junk_patterns, junk_counts), LabelModel(toxic_patterns, toxic_counts)
+        labels = scratch.keep(labels, "labels")
+    voted = scratch.keep(_voted(rows, labels, _learn_lexicon(rows, labels, lexicon_sample)), "votes")
+    junk_patterns, junk_counts, junk_names = _patterns(voted, "junk", JUNK_LABELLERS)
+    toxic_patterns, toxic_counts, toxic_names = _patterns(voted, "toxic", TOXIC_LABELLERS)
+    junk, toxic = LabelModel(junk_patterns, junk_counts, JUNK_KINDS), LabelModel(toxic_patterns, toxic_counts, TOXIC_KINDS)
     p_junk = dict(zip(junk_names, junk.posterior(junk_patterns).tolist(), strict=True))
     p_toxic = dict(zip(toxic_names, toxic.posterior(toxic_patterns).tolist(), strict=True))
-    total, told = int(junk_counts.sum()), int(sum(n for p, n in zip(toxic_patterns, toxic_counts, strict=True) if p[0] == BAD or p[3] != ABSTAIN))
-    limit = lambda most, of: min((1 << 63) - 1, -(1 << 63) + (19 * most << 64) // (20 * max(of, 1)))
-    chosen_form = voted.filter(F.col("hash") <= limit(format_sample, total)).select("doc_id", "junk", F.lit("").alias("toxic"))
-    able = (F.substring("toxic", 1, 1) == str(BAD)) | (F.substring("toxic", 4, 1) != str(ABSTAIN))
-    chosen_toxic = voted.filter(able & (F.col("hash") <= limit(toxic_sample, told))).select("doc_id", F.lit("").alias("junk"), "toxic")
+    total, told = int(junk_counts.sum()), int(sum(n for p, n in zip(toxic_patterns, toxic_counts, strict=True) if BAD in p or p[HUMAN] != MISSING))
+    chosen_form = voted.filter(F.col("hash") <= below(format_sample, total)).select("doc_id", "junk", F.lit("").alias("toxic"))
+    able = F.col("toxic").contains(str(BAD)) | (F.substring("toxic", TOXIC_LABELLERS, 1) != str(MISSING))
+    chosen_toxic = voted.filter(able & (F.col("hash") <= below(toxic_sample, told))).select("doc_id", F.lit("").alias("junk"), "toxic")
     chosen = chosen_form.union(chosen_toxic).filter("doc_id is not null").groupBy("doc_id").agg(F.max("junk").alias("junk"), F.max("toxic").alias("toxic"))
     chosen = scratch.keep(chosen, "chosen")
 
@@ -257,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         for batch in batches:
             junk_votes, toxic_votes_, form, word = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
             for j, t, text in zip(junk_votes, toxic_votes_, batch.column(2), strict=True):
-                text = text.as_py()
+                text = text.as_py() or ""
                 form.append(format_features(measures(text)).astype("<u4").tobytes() if j else b"")
                 got = [0]
                 for w in {*LETTERS.findall(text.lower())} if t else ():

@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from lodestream.llm.decontam import decontaminate, overlaps
+from lodestream.llm.decontam import MASKS, decontaminate, overlaps
 from lodestream.llm.html_template import extract, main_text, parse
 from lodestream.llm.langid import LanguageModel, identify, predict_languages, train
 from lodestream.llm.quality import LabelModel, fit, keep_good, score_quality
@@ -115,12 +115,65 @@ def test_language_spans_and_odd_texts(spark):
     assert predict_languages(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
-def test_label_model_finds_the_kinds_of_noise():
+def plain_em(patterns, counts, kinds, rounds, strength=20.0):
+    """The same estimates document by document, without arrays."""
+    n = len(patterns[0])
+    prior = [[[0.955, 0.005, 0.04] for _ in range(n)]]
+    for own in kinds:
+        prior.append([[0.1, 0.8, 0.1] if j in own else [0.1, 0.85, 0.05] if j == n - 1 else [0.92, 0.03, 0.05] for j in range(n)])
+    first = [0.9] + [0.1 / len(kinds)] * len(kinds)
+    docs = [p for p, k in zip(patterns, counts) for _ in range(k)]  # noqa: B905
+    rates, shares = prior, first
+
+    def classes(p):
+        likely = []
+        for c, share in enumerate(shares):
+            for j, o in enumerate(p):
+                share *= rates[c][j][o - 1] if o else 1.0
+            likely.append(share)
+        return [x / sum(likely) for x in likely]
+
+    for _ in range(rounds):
+        of = [classes(p) for p in docs]
+        new = []
+        for c in range(len(shares)):
+            new.append([])
+            for j in range(n):
+                said = [sum(q[c] for q, p in zip(of, docs) if p[j] == o) + strength * prior[c][j][o - 1] for o in (1, 2, 3)]  # noqa: B905
+                new[c].append([x / sum(said) for x in said])
+        shares = [(sum(q[c] for q in of) + strength * first[c]) / (len(docs) + strength) for c in range(len(shares))]
+        rates = new
+    return [1 - classes(p)[0] for p in patterns]
+
+
+def test_label_model_equals_plain_em():
     import numpy as np
 
-    patterns = np.array([[1, 1, 1], [2, 1, 1], [1, 2, 1], [1, 1, 2], [0, 0, 0]])
-    p = LabelModel(patterns, np.array([800, 50, 40, 60, 50])).posterior(patterns)
-    assert p[0] < 0.1 and (p[1:4] > 0.6).all()
+    patterns = [[1, 1, 1, 0], [2, 1, 1, 0], [1, 2, 1, 2], [1, 1, 2, 1], [0, 0, 3, 0], [3, 1, 1, 0], [2, 1, 1, 1], [2, 1, 1, 2], [1, 2, 0, 0]]
+    counts = [300, 20, 15, 9, 4, 12, 2, 6, 11]
+    kinds = ((0,), (1, 2))
+    for rounds in (1, 2, 7):
+        got = LabelModel(np.array(patterns), np.array(counts), kinds, rounds=rounds)
+        assert got.rounds == rounds
+        assert np.abs(got.posterior(np.array(patterns)) - plain_em(patterns, counts, kinds, rounds)).max() < 1e-9
+
+
+def test_label_model_learns_which_labellers_to_trust():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    bad = rng.random(4000) < 0.1
+    kind = rng.integers(0, 2, 4000)
+    say = lambda hit, alarm: np.where(rng.random(4000) < np.where(hit, 0.9, alarm), 2, 1)
+    seen = np.stack([say(bad & (kind == 0), 0.01), say(bad & (kind == 1), 0.01), say(bad, 0.3), np.where(rng.random(4000) < 0.3, np.where(bad, 2, 1), 0)], axis=1)
+    patterns, counts = np.unique(seen, axis=0, return_counts=True)
+    model = LabelModel(patterns, counts, ((0,), (1,)))
+    p = dict(zip(map(tuple, patterns), model.posterior(patterns), strict=True))
+    told = np.array([p[tuple(r)] >= 0.5 for r in seen])
+    any_bad = (seen == 2).any(axis=1)
+    assert (told == bad).mean() > 0.97 > 0.8 > (any_bad == bad).mean()
+    accuracies = model.accuracies()
+    assert abs(accuracies[2][1] - 0.7) < 0.05 and accuracies[3][1] > 0.97
 
 
 def test_quality_on_labels_left_out_of_training(spark):
@@ -164,6 +217,54 @@ def test_substituted_passages_are_found(spark):
     assert overlaps(docs, none).count() == 0 and decontaminate(docs, none).count() == len(rows)
 
 
+def plain_overlaps(docs, items):
+    """All diagonals, no seeds."""
+    import re
+
+    cut = lambda t: [w for w in re.split(r"[!-/:-@\\[-`{-~\t-\r ]+", (t or "").lower()) if w]
+    out = {}
+    for i, text in docs:
+        d = cut(text)
+        for j, item in items:
+            b = cut(item)
+            for start in range(1 - len(b), len(d)) if b else ():
+                places = [k for k in range(len(b)) if 0 <= start + k < len(d) and d[start + k] == b[k]]
+                close = any(places[x + 16] - places[x] < 24 for x in range(len(places) - 16))
+                if len(places) >= max(-(-3 * len(b) // 5), min(len(b), 7)) or close:
+                    n, _, first = out.get((i, j), (0, 0, start))
+                    out[i, j] = (max(n, len(places)), len(b), min(first, start))
+    return out
+
+
+def test_overlaps_equal_all_diagonals(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    items = [(j, " ".join(rng.choices(words, k=n))) for j, n in enumerate([1, 3, 7, 8, 9, 12, 16, 20, 30, 45, 59])] + [(50, None), (51, "?!"), (52, "w1 w2, W3")]
+    docs = []
+    for i in range(120):
+        text = rng.choices(words, k=rng.choice([3, 20, 80]))
+        source = rng.choice(items[:11])[1].split()
+        part = [w if rng.random() < 0.85 else "other" for w in source]
+        docs.append((i, " ".join(text[:10] + part + text[10:])))
+    docs += [(900, None), (901, ""), (902, "w1 W2 w3!"), (903, items[3][1])]
+    got = {(r.doc_id, r.item_id): (r.n_match, r.n_words, r.first_at) for r in overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_overlaps(docs, items)
+    assert len(want) > 100 and {k: v for k, v in want.items() if k[1] in (0, 1, 2, 52)} == {k: v for k, v in got.items() if k[1] in (0, 1, 2, 52)}
+    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("n", [8, 10, 12, 16, 20, 30, 59])
+def test_masks_carry_the_rule(n):
+    """At the least agreement that counts, nine in ten placements of the agreeing tokens hold a seed."""
+    need = max(-(-3 * n // 5), min(n, 7))
+    rng = random.Random(n)
+    hits = 0
+    for _ in range(2000):
+        agree = {*rng.sample(range(n), need)}
+        hits += any(all(at + o in agree for o in mask) for mask in MASKS for at in range(n - mask[-1]))
+    assert hits >= 0.97 * 2000
+
+
 def test_decontamination_runs_no_python(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = overlaps(docs, bench)._jdf.queryExecution().toString()
