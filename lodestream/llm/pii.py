@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,10 @@ def rule_spans(text: str) -> list[Span]:
 
 # --- candidates that the rules miss -------------------------------------------------------------
 
-SPOKEN_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>]) ?[A-Za-z0-9-]{2,63}){1,4}")
+#: The possessive runs and the look-behind keep long runs linear.
+SPOKEN_EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+ ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>]) ?[A-Za-z0-9-]{2,}+)+")
+AT = re.compile(r"[^\[({<]*+[\[({<][^\])}>]*+[\])}>] ?[A-Za-z0-9-]++")
+LABEL = re.compile(r"(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>]) ?[A-Za-z0-9-]{2,}+")
 DIGIT_RUN = re.compile(r"[+(]?[0-9](?:[\x20().\x2d/]{0,2}[0-9])+")
 COLON_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 CUES = {
@@ -88,15 +92,40 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "ruf", "appel", "llam"),
 }
 AGAINST = ("isbn", "issn", "version", "token", "password", "sha", "md5", "key", "order", "id", "doi", "page", "no.", "ref", "date", "uuid")
-MOST_GROUPS = 8
+
+
+class Taken:
+    """Spans kept by kind and place: those of one kind do not overlap, so both ends are in order and a look-up is a bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: dict[str, list[int]] = {k: [] for k in (*KINDS, "added")}
+        self.ends: dict[str, list[int]] = {k: [] for k in self.starts}
+        for kind, a, b in spans:
+            self.starts[kind].append(a)
+            self.ends[kind].append(b)
+
+    def add(self, a: int, b: int) -> None:
+        """A span that overlaps none."""
+        at = bisect_left(self.starts["added"], a)
+        self.starts["added"].insert(at, a)
+        self.ends["added"].insert(at, b)
+
+    def meets(self, a: int, b: int, but: str | None = None) -> bool:
+        """Whether [a, b) overlaps a span; spans equal to it are passed over unless of the kind ``but``, where that is named."""
+        for kind, starts in self.starts.items():
+            ends = self.ends[kind]
+            at = bisect_right(ends, a)
+            if at < len(starts) and starts[at] < b and (but is None or kind == but or (starts[at], ends[at]) != (a, b)):
+                return True
+        return False
 
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Spans of high recall that overlap each other and no base span of their kind."""
     out: set[Span] = set()
-    if "at" in text or "AT" in text or "@" in text:
-        if any(c in text for c in "[({<"):
-            out.update(("email", m.start(), m.end()) for m in SPOKEN_EMAIL.finditer(text))
+    if ("at" in text or "AT" in text or "@" in text) and any(c in text for c in "[({<"):
+        for m in SPOKEN_EMAIL.finditer(text):
+            out.update(("email", m.start(), x.end()) for x in LABEL.finditer(text, AT.match(text, m.start()).end(), m.end()))
     if text.count(":") > 1:
         out.update(("ip", m.start(), m.end()) for m in COLON_IP.finditer(text) if m[0].count(":") == 7 or "::" in m[0])
     for m in DIGIT_RUN.finditer(text):
@@ -105,7 +134,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
         for i, (start, _) in enumerate(groups):
             n = 0
-            for j in range(i, min(len(groups), i + MOST_GROUPS)):
+            for j in range(i, len(groups)):
                 n += groups[j][1] - groups[j][0]
                 if n > 19:
                     break
@@ -118,8 +147,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
                         lead -= 1
                     if text[lead:end].count("(") == text[lead:end].count(")"):
                         out.add(("phone", lead, end))
-    taken = [(k, a, b) for k, a, b in base]
-    return sorted((s for s in out if not any(s[1] < b and a < s[2] and (k == s[0] or (a, b) != (s[1], s[2])) for k, a, b in taken)), key=lambda s: (s[1], s[2], s[0]))
+    taken = Taken(base)
+    return sorted((s for s in out if not taken.meets(s[1], s[2], s[0])), key=lambda s: (s[1], s[2], s[0]))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -217,6 +246,9 @@ def _example(rng: np.random.Generator, words: list[str]) -> tuple[str, list[Span
     return " ".join(parts), true
 
 
+SCORED = 8192  # candidates of a text whose features are held at once
+
+
 class SpanModel:
     """Boosted trees over candidate spans with a threshold per kind set for precision on examples held out of training."""
 
@@ -249,22 +281,27 @@ class SpanModel:
         found = candidates(text, base) if DIGIT.search(text) or "@" in text or "at" in text else []
         if not found:
             return base
-        scores = self.trees.score(np.array([features(text, s) for s in found]))
-        chosen = list(base)
+        parts = (found[i : i + SCORED] for i in range(0, len(found), SCORED))
+        scores = np.concatenate([self.trees.score(np.array([features(text, s) for s in part])) for part in parts])
+        chosen, taken = list(base), Taken(base)
         for k in np.lexsort((np.arange(len(found)), -scores)):
             span = found[k]
-            if scores[k] >= self.least[span[0]] and not any(span[1] < b and a < span[2] for _, a, b in chosen):
+            if scores[k] >= self.least[span[0]] and not taken.meets(span[1], span[2]):
                 chosen.append(span)
+                taken.add(span[1], span[2])
         return sorted(chosen, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
 CONTEXT_DOCS = 64  # documents, the first by a hash of the text in as many classes of it, whose words surround the training examples
+CONTEXT_WORDS = 100  # words of each such document, those of the lowest hashes
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """Fit on generated examples in the words of a bounded sample of documents (CONTEXT_DOCS, at most 100 words of each)."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").select(F.xxhash64("t").alias("h"), F.slice(F.split("t", r"\s+", 101), 1, 100).alias("w"))
-    rows = rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min_by("w", "h").alias("w")).collect()
+    """Fit on generated examples in the words of a bounded sample of documents (CONTEXT_DOCS, CONTEXT_WORDS of each); without any text, of one word."""
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    rows = rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min_by("t", "h").alias("t"))
+    hashed = F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
+    rows = rows.select(F.slice(F.array_sort(hashed), 1, CONTEXT_WORDS)["w"].alias("w")).collect()
     return SpanModel(sorted({w for r in rows for w in r.w if w and len(w) < 30}))
 
 
