@@ -24,6 +24,7 @@ SCRIPT_NAMES = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "o
 FEATURES = 1 << 17
 SLICES = 64
 UNDETERMINED = "und"
+MOST_LANGUAGES = 1000  # values of the language column that a model may have: each takes half a megabyte in every worker
 
 
 def script(word: str) -> str:
@@ -149,20 +150,26 @@ class LanguageModel:
         return self.rows[[*map(self.place.__getitem__, words)]]
 
     def path(self, s: np.ndarray) -> np.ndarray:
-        """The best language of each word under the switching penalty.
+        """The best language of each word under the switching penalty; exact.
 
-        A language that gains no more than half a penalty over the best single one in any stretch of words is
-        left out; if all others are, that one is the path; else the recursion runs over those that stay.
+        Let one language be the best for all words alone. Any path with others holds a stretch between its words (or an end of the
+        text) that costs a switch at least and gains no more than the words' best others do over it; if no
+        stretch gains more than a switch by that bound, the one language is the path. Else the recursion runs over all languages.
         """
         total = s.sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
-        gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain]), axis=0)[:-1]
-        some = np.flatnonzero((gain - low).max(axis=0) > self.penalty / 2)
-        if not len(some):
+        if s.shape[1] < 2:
             return np.full(len(s), best)
-        states = np.array([best, *some])
-        rows = s[:, states].astype(np.float64).tolist()
+        others = s.copy()
+        others[:, best] = -np.inf
+        gain = np.cumsum(others.max(axis=1).astype(np.float64) - s[:, best])
+        low = np.minimum.accumulate(np.r_[0.0, gain])[:-1]
+        if (gain - low).max() <= self.penalty:
+            return np.full(len(s), best)
+        return self._recursion(s)
+
+    def _recursion(self, s: np.ndarray) -> np.ndarray:
+        rows = s.astype(np.float64).tolist()
         here, back, penalty = rows[0], [], self.penalty
         for row in rows[1:]:
             top = max(here)
@@ -174,7 +181,7 @@ class LanguageModel:
         for row in reversed(back):
             k = row[k] if row[k] >= 0 else k
             out.append(k)
-        return states[out[::-1]]
+        return np.array(out[::-1])
 
     def predict(self, text: str | None) -> tuple[str, float, int, np.ndarray | None]:
         """(language of most letters, score, number of spans, the path)."""
@@ -207,9 +214,11 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> LanguageModel:
-    """Count features over all rows of non-null language; tables of bounded size are added up in two levels and reach the driver."""
+    """Count features over all rows of non-null language; tables of bounded size are added up in two levels and reach the driver. More than MOST_LANGUAGES languages are an error."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    if rows.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: their tables would not fit the workers")
     ddl = "slice int, part int, lang string, counts binary"
     added = rows.mapInArrow(_count, ddl).groupBy("slice", "part").applyInArrow(_add, ddl).groupBy("slice").applyInArrow(_add, ddl).collect()
     counts: dict[str, np.ndarray] = {}
@@ -231,7 +240,7 @@ PREDICTED_DDL = "doc_id long, held_out boolean, lang_pred string, score double,
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_fold: int = 2) -> DataFrame:
     """Per document: whether crc32(id as text) mod ``folds`` is ``held_fold``, the language of most letters, its score, the number of spans.
 
-    The score is the language's share of the letters times its probability there. Null texts and those without a letter: ``und``,
+    The score is the language's share of the letters times its probability there; of languages that tie the first by name counts. Null texts and those without a letter: ``und``,
     score 0, as everything is when nothing was learned. Whole texts of any length; repeated rows each; a null id has the crc32 of
     the empty text; an empty table gives no rows; other columns are not read.
     """

@@ -115,6 +115,36 @@ def test_language_spans_and_odd_texts(spark):
     assert predict_languages(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_path_is_the_best_of_all():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    model = LanguageModel({}, {}, penalty=3.0)
+
+    def worth(s, path):
+        return s[np.arange(len(s)), path].sum() - 3.0 * (np.diff(path) != 0).sum()
+
+    for _ in range(150):
+        s = rng.normal(0, 2, (7, 3)).astype(np.float32)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -6)
+        most = max(worth(s, np.array(p)) for p in itertools.product(range(3), repeat=7))
+        assert abs(worth(s, model.path(s)) - most) < 1e-5
+    for _ in range(400):
+        s = rng.normal(0, 2, (40, 5)).astype(np.float32)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -6)
+        s[:, 1] = np.minimum(s[:, 1] + rng.choice([0, 4]), 0)
+        assert abs(worth(s, model.path(s)) - worth(s, model._recursion(s))) < 1e-4
+
+
+def test_languages_that_tie(spark):
+    text = "one two three four five "
+    df = spark.createDataFrame([(i, text, lang) for i in range(4) for lang in ("b", "a")], "doc_id long, text string, lang string")
+    model = train(df)
+    assert model.predict(text)[0] == "a" and 0.4 < model.predict(text)[1] <= 0.51
+
+
 def plain_em(patterns, counts, kinds, rounds, strength=20.0):
     """The same estimates document by document, without arrays."""
     n = len(patterns[0])
