@@ -81,6 +81,37 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, None, None]
 
 
+def test_rows_of_one_id_and_unlike_texts_lose_no_text(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], TEXTS)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()) == [(3, a), (5, b)]
+    near = "a b c d e f g h i j k l m n o p"
+    df = spark.createDataFrame([(5, near), (5, near + " z"), (5, near), (5, b), (5, b), (6, ""), (6, "")], TEXTS)
+    kept = sorted((r.doc_id, r.text[:1]) for r in drop_near_duplicates(df).collect())
+    assert kept == [(5, "a"), (5, "q"), (6, ""), (6, "")]
+
+
+def test_a_column_of_any_name_passes(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8)], "doc_id long, text string, text_key int, row int")
+    assert [tuple(r) for r in drop_near_duplicates(df).collect()] == [(1, "a b c d e f", 5, 6)]
+
+
+def test_a_hub_with_many_copies(spark, monkeypatch):
+    from lodestream.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 8)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(80)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{rng.randrange(3000)}"
+        rows.append((i, " ".join(copy)))
+    check(spark, rows)
+
+
 def test_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], TEXTS)).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -118,6 +149,42 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[1000 + i] == (0, 1000 + i) for i in range(len(odd)))
 
 
+def vector_truth(data):
+    """(id, n_links, component) of each row by all pairs of valid rows."""
+    able = [k for k, (i, v) in enumerate(data) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    units = {k: np.array(data[k][1]) / np.linalg.norm(data[k][1]) for k in able}
+    linked = [(a, b) for a, b in itertools.combinations(able, 2) if len(units[a]) == len(units[b]) and units[a] @ units[b] >= 0.9]
+    of = classes(range(len(data)), linked)
+    low = {}
+    for k, c in of.items():
+        low[c] = min(low.get(c, data[k][0]), data[k][0]) if data[k][0] is not None else None
+    n = [sum(k in e for e in linked) for k in range(len(data))]
+    return sorted(((i, n[k], low[of[k]]) for k, (i, _) in enumerate(data)), key=str)
+
+
+def test_dense_groups_equal_brute_force(spark, monkeypatch):
+    from lodestream.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    data = []
+    for base in rng.standard_normal((4, 24)):
+        for noise in (0.05, 0.12, 0.25, 0.35):
+            data += [(base + noise * rng.standard_normal(24)).tolist() for _ in range(15)]
+    data += data[:9] + [data[3]] * 5
+    data = [(k * 17 % 401, v) for k, v in enumerate(data)]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), miss=1e-7).collect()]
+    assert sorted(got, key=str) == vector_truth(data)
+
+
+def test_repeated_ids_and_invalid_rows_keep_all_rows(spark):
+    x = [1.0, 2.0, 3.0]
+    data = [(1, x), (1, None), (1, [0.0] * 3), (2, x), (2, [None, 1.0, 1.0]), (None, x), (None, None), (4, [3.0, -1.0, 0.0])]
+    got = near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == vector_truth(data)
+    assert all(r.kept for r in got if r.vec_id is None or r.component_id == r.vec_id)
+
+
 def test_tables_grow_with_the_logarithm():
     (b1, t1), (b2, t2) = table_plan(10_000, 0.9, 1e-3), table_plan(100_000_000, 0.9, 1e-3)
     assert b2 - b1 == 13 or b2 - b1 == 14
