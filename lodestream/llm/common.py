@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,11 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests, a single machine)
-    a temporary folder is made once and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset on a single machine (tests)
+    a temporary folder is made once and set for the session; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,24 +77,36 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.kept = 0, {}
 
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The table, written and read back; the shuffles that made it go."""
         path = self.path(name)
-        df.write.parquet(path)
+        with releasing_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept[path] = True
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._scratch_path)
+
+    def release(self, *still: DataFrame) -> None:
+        """Delete all kept tables but those that a later plan reads."""
+        for path in [*self.kept]:
+            if path not in {df._scratch_path for df in still}:
+                self._delete(path)
+
+    def _delete(self, where: str) -> None:
+        if self.kept.pop(where, False):
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def on_hubs(pairs: DataFrame, side: DataFrame, scratch: Scratch) -> DataFrame:

@@ -188,7 +188,8 @@ def linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int
     found = components(edges, scratch)
     named = classes.join(found, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.join(lowest, "component").select("set_key", "component", "component_id")
+    labels = scratch.keep(named.join(lowest, "component").select("set_key", "component", "component_id"), "labels-of-sets")
+    scratch.release(signed, labels)
     out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_key")).alias("set_key"), "node").join(labels, "set_key", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, ship
+from lodestream.llm.common import Scratch, releasing_shuffles, ship
 from lodestream.llm.tokens import default_tokenizer, encoder
 
 FLUSH_TOKENS = 1 << 20
@@ -61,12 +61,10 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    (
-        rows.mapInArrow(encode, "doc_id long, segment int, segment_start long, ids array<int>")
-        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_bytes))
-        .orc(path)
-    )
+    encoded = rows.mapInArrow(encode, "doc_id long, segment int, segment_start long, ids array<int>")
+    writer = encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
+    with releasing_shuffles(docs.sparkSession):
+        writer.option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_bytes)).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
