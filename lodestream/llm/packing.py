@@ -113,7 +113,7 @@ def _filler(capacity: int, base: int, final: bool) -> Callable[[pa.Table], pa.Ta
 
 
 def pack(
-    docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, bins_in_group: int = 512, most_rounds: int = 12
+    docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, bins_in_group: int = 512
 ) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as it can.
 
@@ -122,7 +122,7 @@ def pack(
     bins and, where the bound certifies the count, all bins but the emptiest are settled. A group with
     a gap gives up its emptiest bins, twice the gap at least; a certified one its emptiest bin if that
     is not nearly full. What was given up meets that of other groups in the next round, until a single
-    group holds all of it (or ``most_rounds`` have passed). A group's size is bounded, so is a task's memory.
+    group holds all of it; should a round give up as much as the one before, its packing stands. A group's size is bounded, so is a task's memory.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in a sequence).
     A null or empty text makes one piece of the end id alone; repeated rows are packed each, ties go by
@@ -130,13 +130,13 @@ def pack(
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     scratch = Scratch(spark, "packing")
-    todo, settled, number = scratch.keep(cut_pieces(docs, capacity, id_col, text_col, tokenizer, end_id), "pieces"), [], 0
+    todo, settled, number, before = scratch.keep(cut_pieces(docs, capacity, id_col, text_col, tokenizer, end_id), "pieces"), [], 0, None
     out = f"{PIECES_DDL}, sequence_id long, offset long, settled boolean"
     while True:
         tokens = todo.agg(F.sum("length")).first()[0] or 0
         groups = max(1, -(-tokens // (capacity * bins_in_group)))
-        final = groups == 1 or number + 1 >= most_rounds
-        base = number << 56
+        final = groups == 1 or before is not None and groups >= before
+        base, before = number << 56, groups
 
         grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(groups)).cast("long")
         packed = scratch.keep(todo.select(*PIECES.names, grp.alias("grp")).groupBy("grp").applyInArrow(_filler(capacity, base, final), out), "packed")
