@@ -201,7 +201,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 TEMPLATE_DDL = "host string, content array<string>, constant array<long>, linked array<string>"
 TEMPLATE = pa.schema([("host", pa.string()), ("content", pa.list_(pa.string())), ("constant", pa.list_(pa.int64())), ("linked", pa.list_(pa.string()))])
-CONTENT_SHARE, CONSTANT_SHARE = 0.6, 0.5
+CONTENT_SHARE, CONSTANT_SHARE = 0.75, 0.5
 #: Hints: the share that a declared article or main part needs, and the weight of text that an element name, class, id or role sets aside.
 DECLARED_SHARE, SIDE_WEIGHT = 0.3, 0.1
 
@@ -224,9 +224,9 @@ def _nest(rows: list[dict], pages: int) -> dict[str, tuple[int, bool]]:
     classes: dict[tuple, list[str]] = {}
     for r in rows:
         if r["kind"] == "n":
-            classes.setdefault((r["vector"], r["pages"], r["total"]), []).append(r["token"])
+            classes.setdefault((r["vector"]["low"], r["vector"]["high"], r["pages"], r["total"]), []).append(r["token"])
     template: dict[str, tuple[int, bool]] = {}
-    for (_, n, total), paths in sorted(classes.items(), key=lambda c: (not c[0][2] == c[0][1] >= 0.9 * pages, min(p.count("/") for p in c[1]), min(c[1]))):
+    for (_, _, n, total), paths in sorted(classes.items(), key=lambda c: (not c[0][3] == c[0][2] >= 0.9 * pages, min(p.count("/") for p in c[1]), min(c[1]))):
         once = total == n >= 0.9 * pages
         if once and len(paths) > 1 or all(any(p[:k] in template for k in range(1, len(p)) if p[k] == "/") for p in paths):
             template.update((p, (n, total > n)) for p in paths)
@@ -237,7 +237,7 @@ def _deduce(group: pa.Table) -> pa.Table:
     """The template of one host from its frequent tokens with their occurrence vectors' fingerprints.
 
     Slots hold what lies in no token: their text without links and the template's own texts. content: the elements
-    of the template that hold most of that text on the pages that have them (optional elements: one for each layout), each the
+    of the template that hold three quarters of that text on the pages that have them (optional elements: one for each layout), each the
     innermost such. Repeated elements give their text to the element that they nest in. Names are hints: a declared
     part needs less of the text, may repeat, and is not narrowed further but by another; text set aside weighs less.
     """
@@ -270,11 +270,11 @@ def _deduce(group: pa.Table) -> pa.Table:
     return pa.table({"host": [rows[0]["host"]], "content": [content], "constant": [constant], "linked": [linked]}, schema=TEMPLATE)
 
 
-def templates(pages: DataFrame, least_pages: int = 8) -> DataFrame:
-    """A row for each host of ``least_pages`` distinct pages at least, from rows (host, html).
+def templates(pages: DataFrame, least_pages: int = 2) -> DataFrame:
+    """A row for each host of ``least_pages`` distinct pages at least (two can be compared), from rows (host, html).
 
     Pages of one host and vote count once, so neither copies of a page nor repeated rows make a text or an element frequent.
-    An occurrence vector (how often a token is on each page) is told by a fingerprint, the exclusive or of a hash of vote
+    An occurrence vector (how often a token is on each page) is told by a fingerprint, the sum of a hash of vote
     and count, which adds up before the shuffle, as do the counts; so a host with a third of all pages is no hot
     group. Tokens on half of a host's pages stay: no more than twice the tokens of a mean page.
     """
@@ -282,7 +282,9 @@ def templates(pages: DataFrame, least_pages: int = 8) -> DataFrame:
     voters = pages.select("host", "html").mapInArrow(_tokens, TOKENS_DDL).groupBy("host", "vote").agg(F.min("tokens").alias("tokens"))
     here = F.expr("struct('h' AS kind, '' AS token, 1 AS n, 0L AS chars, 0L AS linked)")
     tokens = voters.select("host", "vote", F.explode(F.array_append("tokens", here)).alias("t")).select("host", "vote", "t.*")
-    vector = F.expr("bit_xor(xxhash64(vote, n))").alias("vector")
+    # two sums of halves of a hash of vote and count: neither overflows below two thousand million pages of a host
+    told = F.xxhash64("vote", "n")
+    vector = F.struct(F.sum(told.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(told, 32)).alias("high")).alias("vector")
     added = tokens.groupBy("host", "kind", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), vector, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     added = scratch.keep(added.filter(F.col("pages") * 2 >= least_pages), "frequent")
     hosts = added.filter("kind = 'h'").select("host", F.col("pages").alias("host_pages")).filter(F.col("host_pages") >= least_pages)
@@ -320,8 +322,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     its slot, the path of its element. 2. ``templates`` deduces each host's nested classes, their slots and the content
     elements. 3. A page keeps the blocks under its content elements, without what is set aside within them (menus, headers,
     footers, sidebars, notices, adverts, forms, hidden parts and comments, by element, class, id or role), link lists and
-    texts that most distinct pages of the host have in that slot, unless nothing else remains. Pages without text there, and hosts
-    of fewer than 8 distinct pages, which tell no template, fall back on the declared article or main part, else on names of classes.
+    texts that most distinct pages of the host have in that slot, unless nothing else remains. Pages without text there, and those
+    of a host with one distinct page, which has nothing to compare, fall back on the declared article or main part, else on names of classes.
 
     A null or empty page has the empty text; a null url is a host of its own; pages of any length are read whole; broken markup
     is read as browsers do, roughly; repeated rows and null ids pass through; an empty table gives no rows; other columns are not read.

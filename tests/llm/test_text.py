@@ -1,6 +1,7 @@
 """Extraction, language, quality, decontamination and the pipeline."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -81,6 +82,40 @@ def test_the_template_chooses_the_text(spark):
     assert got == {i: text for i, _, _, text in rows}
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 7, 8, 30])
+def test_templates_of_hosts_of_any_size(spark, n):
+    """Shapes without article elements or telling names: the deduced template alone finds the text, from two pages on."""
+    rng = random.Random(n)
+    say = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    shapes = {
+        "plain": lambda text, more: f"<div><p>Home News About us</p></div><div><p>{text}</p><p>{more}</p></div><div><p>All rights kept by us</p></div>",
+        "table": lambda text, more: f"<table><tr><td>Home News</td></tr><tr><td><div><p>{text}</p><p>{more}</p></div></td></tr><tr><td>Imprint</td></tr></table>",
+        "classes": lambda text, more: f"<div class=q1><a href=/>one</a> <a href=/2>two</a></div><div class=q2><div class=q3><p>{text}</p></div><div class=q3><p>{more}</p></div></div><div class=q4>The end of it</div>",
+        "list": lambda text, more: f"<div><ul><li><a href=/>one</a></li><li><a href=/x>two</a></li></ul></div><div><h1>{more}</h1><ul><li>{text}</li><li>{say(30)}</li></ul></div><div>same on all</div>",
+        "quote": lambda text, more: f"<p>Welcome to our pages</p><section><blockquote><p>{text}</p></blockquote><p>{more}</p></section><p>Bye</p>",
+        "deep": lambda text, more: "<div>" * 6 + f"<p>{text}</p><p>{more}</p>" + "</div>" * 6 + "<div><p>foot of the page</p></div>",
+    }
+    rows, want = [], {}
+    for k, (name, shape) in enumerate(shapes.items()):
+        for i in range(n):
+            body = shape(say(40), say(25))
+            rows.append((100 * k + i, f"http://{name}.example/{i}", page(body)))
+            texts = re.findall(r"(?:w[0-9]+ ?)+", body)
+            want[100 * k + i] = " ".join(t.strip() for t in texts)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_copies_of_a_page_keep_its_text(spark):
+    article = page("<nav>menu</nav><article><p>The same article body.</p></article><footer>foot</footer>")
+    other = [(100 + i, "http://h/", page(f"<nav>menu</nav><article><p>Another body number {i} of some length.</p></article><footer>foot</footer>")) for i in range(5)]
+    rows = [(i, "http://h/", article) for i in range(40)] + other
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "The same article body." for i in range(40)) and got[103] == "Another body number 3 of some length."
+    alone = extract(spark.createDataFrame(rows[:10], "page_id long, url string, html string")).collect()
+    assert {r.text for r in alone} == {"The same article body."}
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "<p>a", 1), (None, "http://x/", None, 2), (1, None, "<p>a", 1)], "page_id long, url string, html string, n_chars int").withColumnRenamed("n_chars", "text")
     assert sorted((r.text, r.n_chars) for r in extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
