@@ -1,7 +1,8 @@
 """A corpus made ready for training: quality, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next
-one's docs; all but the last return the columns of documents.
+one's docs; all but the last return the columns of documents. Every stage takes an empty table and gives one, works on each of
+repeated rows, reads doc_id and text alone and passes other columns on; what it does with nulls and ties is said below.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from lodestream.llm.quality import fit, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model keeps: neither noise nor toxic."""
+    """Documents that the quality model keeps: neither noise nor toxic. Null, empty and blank texts go; a score of just 0.5 keeps in quality and rejects in toxicity."""
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates. Texts without words and rows of a null id stay; of rows of that one id that are copies, one stays."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none; a row of a null id stays; rows of one id go together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind, and their new lengths."""
+    """Texts with personal data replaced by its kind, and their new lengths (null for null texts)."""
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and places."""
+    """Pieces of documents with their sequences and places. A null or empty text is a piece of its end alone; equal lengths go by id, piece and checksum."""
     return pack(docs)
 
 

@@ -350,3 +350,47 @@ def test_pipeline(spark):
             kept = now
     assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_stages_against_brute_force(spark):
+    """The fitted stages: each document judged or redacted one by one, in plain Python, with the same fitted model."""
+    import corpus_pipeline
+    from lodestream.llm.pii import train as train_spans
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    model, rows = fit(docs, labels).ready(), docs.collect()
+    kept = {r.doc_id for r in rows if r.text and r.text.strip() and (s := model.score(r.text))[0] >= 0.5 and s[1] < 0.5}
+    assert 0 < len(kept) < len(rows) and {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()} == kept
+
+    spans = train_spans(docs)
+
+    def redacted(text):
+        out = text
+        for kind, start, end in sorted(spans.spans(text), key=lambda s: (-s[1], s[2])):
+            if not any(a < end and start < b and (a, -b) < (start, -end) for _, a, b in spans.spans(text)):
+                out = out[:start] + f"[{kind.upper()}]" + out[end:]
+        return out
+
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.personal_data(spark, docs, SF).collect()}
+    for r in rows:
+        found = spans.spans(r.text or "")
+        if all(a[2] <= b[1] for a, b in zip(found, found[1:])):  # noqa: RUF007
+            want = redacted(r.text) if r.text else r.text
+            assert got[r.doc_id] == (want, None if want is None else len(want))
+    assert sum("[EMAIL]" in (t or "") for t, _ in got.values()) > 0
+
+
+def test_stages_of_empty_and_odd_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+    odd = [(None, None, None, None, None), (1, None, "en", None, 3), (1, "", None, "s", None), (2, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (None, "a b c d e f", "en", "s", 11)]
+    odd = spark.createDataFrame(odd, docs.schema).selectExpr("*", "1 AS row", "2 AS text_key", "3 AS component")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, odd, SF)
+        n = out.count()
+        assert n == {"near_duplicates": 5, "decontamination": 6, "personal_data": 6, "packing": 6}[name]
