@@ -19,7 +19,7 @@ from lodestream.llm.common import Scratch, crc_of_id, releasing_shuffles, words
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a space
 MIX = 0x9E3779B97F4A7C15
 FLUSH = 1 << 21  # tokens counted together in a worker
-SCORED = 1 << 19  # tokens scored together
+SCORED = 1 << 20  # tokens scored together
 BUCKET_CHARS = 1 << 22  # characters of the corpus a bucket
 REMOTE_BYTES = 256 << 20  # bytes of model files that a worker holds where the shared folder cannot be mapped
 BLOCK_DDL = "bucket int, block binary"
@@ -89,6 +89,12 @@ def small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(n, 255).astype(np.uint8), np.r_[over, n[over]].astype(np.uint64)
 
 
+def stored(keys: np.ndarray, n: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table of keys and their counts in its order."""
+    table, order = table_of(keys, span)
+    return table, *small(n[order])
+
+
 class Counts:
     """Counts written by ``small``."""
 
@@ -112,38 +118,54 @@ def head_bits(span: int) -> int:
     return max(span - 32, min(span, 14))
 
 
-def table_of(keys: np.ndarray, span: int) -> np.ndarray:
-    """Sorted distinct keys below 2**span as one array: where each value of the first bits starts, then the last bits of each key."""
-    low = span - head_bits(span)
-    starts = np.searchsorted(keys, np.arange((1 << head_bits(span)) + 1, dtype=np.uint64) << np.uint64(low))
-    return np.r_[starts.astype(np.uint32), (keys & np.uint64((1 << low) - 1)).astype(np.uint32)]
+def mixed(keys: np.ndarray, span: int) -> np.ndarray:
+    """A one-to-one hash of numbers of ``span`` bits, whose first bits depend on all."""
+    return keys * np.uint64(MIX) & np.uint64((1 << span) - 1)
+
+
+def unmixed(keys: np.ndarray, span: int) -> np.ndarray:
+    return keys * np.uint64(pow(MIX, -1, 1 << 64)) & np.uint64((1 << span) - 1)
+
+
+def table_of(keys: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below 2**span, in the order of their hashes, as one array: where each value of the first bits starts, then the last bits of each hash. And that order."""
+    hashed, low = mixed(keys, span), span - head_bits(span)
+    order = np.argsort(hashed)
+    hashed = hashed[order]
+    starts = np.searchsorted(hashed, np.arange((1 << head_bits(span)) + 1, dtype=np.uint64) << np.uint64(low))
+    return np.r_[starts.astype(np.uint32), (hashed & np.uint64((1 << low) - 1)).astype(np.uint32)], order
 
 
 class Table:
-    """Keys written by ``table_of``."""
+    """Keys written by ``table_of``; as their hashes are even, few lie between two starts."""
 
     def __init__(self, array: np.ndarray, span: int):
         n = (1 << head_bits(span)) + 1
-        self.bits, self.index, self.low = np.uint64(span - head_bits(span)), array[:n], array[n:]
+        self.span, self.bits, self.index, self.low = span, np.uint64(span - head_bits(span)), array[:n], array[n:]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key, and whether it is there; by bisection between the starts of its first bits."""
+        keys = mixed(keys, self.span)
         slot = (keys >> self.bits).astype(np.int64)
         want = (keys & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(np.uint32)
         at, end = self.index[slot].astype(np.int64), self.index[slot + 1].astype(np.int64)
         if not len(self.low):
             return at, np.zeros(len(keys), bool)
-        last, high = len(self.low) - 1, end.copy()
-        while (some := at < high).any():
-            middle = (at + high) >> 1
-            less = self.low[np.minimum(middle, last)] < want
-            at, high = np.where(some & less, middle + 1, at), np.where(some & ~less, middle, high)
+        last, length = len(self.low) - 1, end - at
+        # as many halvings as the longest stretch takes
+        for _ in range(int(length.max(initial=0)).bit_length()):
+            half = length >> 1
+            less = (self.low[np.minimum(at + half, last)] < want) & (length > 0)
+            at += np.where(less, half + 1, 0)
+            length = np.where(less, length - half - 1, half)
         return at, (at < end) & (self.low[np.minimum(at, last)] == want)
 
     def keys(self, at: np.ndarray | None = None) -> np.ndarray:
-        at = np.arange(len(self.low)) if at is None else at
-        slot = np.searchsorted(self.index, at, "right") - 1
-        return (slot.astype(np.uint64) << self.bits) | self.low[at].astype(np.uint64)
+        if at is None:
+            slot, low = np.repeat(np.arange(len(self.index) - 1, dtype=np.uint64), np.diff(self.index.astype(np.int64))), self.low
+        else:
+            slot, low = (np.searchsorted(self.index, at, "right") - 1).astype(np.uint64), self.low[at]
+        return unmixed(slot << self.bits | low.astype(np.uint64), self.span)
 
 
 # --- blocks of the shuffle ------------------------------------------------------------------------
@@ -269,15 +291,7 @@ class Layout:
     def __getstate__(self) -> dict:
         return {"root": self.root, "bits": self.bits, "heavy": self.heavy, "n_docs": self.n_docs, "files": {}}
 
-    # one-to-one hashes of numbers of ``span`` bits, and the buckets by their first bits
-
-    @staticmethod
-    def spread(keys: np.ndarray, span: int) -> np.ndarray:
-        return keys * np.uint64(MIX) & np.uint64((1 << span) - 1)
-
-    @staticmethod
-    def gather(keys: np.ndarray, span: int) -> np.ndarray:
-        return keys * np.uint64(pow(MIX, -1, 1 << 64)) & np.uint64((1 << span) - 1)
+    # the first values of buckets by the first bits
 
     def spread_edges(self, span: int) -> np.ndarray:
         return np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(span - self.bits)
@@ -317,7 +331,7 @@ class Layout:
         """Pairs (context and word) of a bucket in rank order; of all of it or at some places."""
         plain, spread = (t for t, _ in self.pair_parts(k))
         first = np.uint64(k * self.width << self.b)
-        whole = lambda keys: self.gather(np.uint64(k << (self.pair_all - self.bits)) | keys, self.pair_all)
+        whole = lambda keys: unmixed(np.uint64(k << (self.pair_all - self.bits)) | keys, self.pair_all)
         if at is None:
             return np.r_[plain.keys() + first, whole(spread.keys())]
         out, n = np.empty(len(at), np.uint64), int(self.plain[k])
@@ -334,7 +348,7 @@ class Layout:
             if not len(rows):
                 continue
             keys = context[rows].astype(np.uint64) << np.uint64(self.b) | word[rows].astype(np.uint64)
-            keys, back = np.unique(self.spread(keys, self.pair_all) if kind else keys, return_inverse=True)
+            keys, back = np.unique(mixed(keys, self.pair_all) if kind else keys, return_inverse=True)
             r, t = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
             edges = self.spread_edges(self.pair_all) if kind else self.pair_edges
             for k, part in cut(keys, edges):
@@ -362,7 +376,7 @@ class Layout:
             if not len(rows):
                 continue
             keys = rank[rows].astype(np.uint64) << np.uint64(self.b) | word[rows].astype(np.uint64)
-            keys, back = np.unique(self.spread(keys, self.triple_all) if kind else keys, return_inverse=True)
+            keys, back = np.unique(mixed(keys, self.triple_all) if kind else keys, return_inverse=True)
             edges = self.spread_edges(self.triple_all) if kind else self.pair_base[:-1].astype(np.uint64) << np.uint64(self.b)
             n = np.zeros(len(keys), np.int64)
             for k, part in cut(keys, edges):
@@ -381,22 +395,23 @@ class Layout:
     # tokens of documents
 
     def places(self, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, counts and context ids of all tokens of the documents, each with its end, and each document's first place.
+        """Ids and counts of the distinct tokens of the documents, each with its end; which of them each token is; and each document's first place.
 
-        The context of a document's first token is V; an unknown word has id -1."""
+        An unknown word has id -1."""
         ends = np.cumsum([len(h) + 1 for h in hashed])
         tokens = np.empty(ends[-1], np.uint64)
         inside = np.ones(len(tokens), bool)
         inside[ends - 1] = False
         tokens[ends - 1] = END
         tokens[inside] = np.concatenate(hashed)
-        distinct, back = np.unique(tokens, return_inverse=True)
-        ids, counts = self.find(distinct)
-        ids = ids[back]
-        starts = np.r_[0, ends[:-1]]
+        distinct, which = np.unique(tokens, return_inverse=True)
+        return *self.find(distinct), which, np.r_[0, ends[:-1]]
+
+    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The id before each token; V before a document's first."""
         context = np.r_[0, ids[:-1]]
         context[starts] = self.size
-        return ids, counts[back], context, starts
+        return context
 
     def heavy_contexts(self, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Whether each token's context word is heavy, as a start always is."""
@@ -456,13 +471,15 @@ def _count_pairs(layout: Layout) -> Callable:
         here = worker_layout(layout, "pairs")
 
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
-            ids, counts, context, starts = here.places(held)
+            ids, counts, which, starts = here.places(held)
+            ids, counts = ids[which], counts[which]
+            context = here.contexts(ids, starts)
             keys = context.astype(np.uint64) << np.uint64(here.b) | ids.astype(np.uint64)
             heavy = here.heavy_contexts(counts, starts)
             rows = []
             for kind, edges in ((0, here.pair_edges), (1, here.spread_edges(here.pair_all))):
                 some = keys[heavy == bool(kind)]
-                found, n = counted(here.spread(some, here.pair_all) if kind else some)
+                found, n = counted(mixed(some, here.pair_all) if kind else some)
                 rows += [(k, pack(kind, found[s] - edges[k], n[s])) for k, s in cut(found, edges)]
             return blocks(rows)
 
@@ -476,7 +493,7 @@ def _store_pairs(layout: Layout) -> Callable:
         here = worker_layout(layout, "pairs")
         k = group["bucket"][0].as_py()
         (plain, n0), (spread, n1) = gathered(group, 0, 1), gathered(group, 1, 1)
-        put(f"{here.root}/pairs-{k:05d}", table_of(plain, here.pair_span), *small(n0), table_of(spread, here.pair_all - here.bits), *small(n1))
+        put(f"{here.root}/pairs-{k:05d}", *stored(plain, n0, here.pair_span), *stored(spread, n1, here.pair_all - here.bits))
         return sizes_row(k, len(plain), len(spread), int(n0.sum() + n1.sum()), np.r_[n0, n1])
 
     return run
@@ -487,8 +504,9 @@ def _count_triples(layout: Layout) -> Callable:
         here = worker_layout(layout, "triples")
 
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
-            ids, counts, context, starts = here.places(held)
-            rank, times = here.ranks(context, ids, here.heavy_contexts(counts, starts))
+            ids, counts, which, starts = here.places(held)
+            ids, counts = ids[which], counts[which]
+            rank, times = here.ranks(here.contexts(ids, starts), ids, here.heavy_contexts(counts, starts))
             later = np.ones(len(ids), bool)
             later[starts] = False
             at = np.flatnonzero(later)
@@ -497,7 +515,7 @@ def _count_triples(layout: Layout) -> Callable:
             rows = []
             for kind, edges in ((0, here.pair_base[:-1].astype(np.uint64) << np.uint64(here.b)), (1, here.spread_edges(here.triple_all))):
                 some = keys[heavy == bool(kind)]
-                found, n = counted(here.spread(some, here.triple_all) if kind else some)
+                found, n = counted(mixed(some, here.triple_all) if kind else some)
                 for k, s in cut(found, edges):
                     rows.append((k, pack(kind, found[s] - edges[k], n[s])))
             return blocks(rows)
@@ -514,7 +532,7 @@ def _store_triples(layout: Layout) -> Callable:
         here = worker_layout(layout, "triples")
         k = group["bucket"][0].as_py()
         (plain, n0), (spread, n1) = gathered(group, 0, 1), gathered(group, 1, 1)
-        put(f"{here.root}/triples-{k:05d}", table_of(plain, here.triple_span), *small(n0), table_of(spread, here.triple_all - here.bits), *small(n1))
+        put(f"{here.root}/triples-{k:05d}", *stored(plain, n0, here.triple_span), *stored(spread, n1, here.triple_all - here.bits))
         place = (plain >> np.uint64(here.b)).astype(np.int64)
         n = int(here.pair_base[k + 1] - here.pair_base[k])
         put(f"{here.root}/after-{k:05d}", *(x for j in (1, 2, 3) for x in small(np.bincount(place[np.minimum(n0, 3) == j], minlength=n))))
@@ -539,7 +557,7 @@ def _adjust(layout: Layout) -> Callable:
             if (files := here.triple_parts(k)) is not None:
                 plain, spread = (t.keys() for t, _ in files)
                 plain = plain + (np.uint64(here.pair_base[k]) << np.uint64(here.b))
-                spread = here.gather(np.uint64(k << (here.triple_all - here.bits)) | spread, here.triple_all)
+                spread = unmixed(np.uint64(k << (here.triple_all - here.bits)) | spread, here.triple_all)
                 keys = np.r_[plain, spread]
                 ranks, back = np.unique((keys >> np.uint64(here.b)).astype(np.int64), return_inverse=True)
                 middle = np.empty(len(ranks), np.int64)
@@ -644,14 +662,13 @@ class Scorer:
         self.layout, self.order, self.train, self.off, self.rest = layout, order, train, off, rest
 
     def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """Stats of sorted distinct ids: contexts, total, followers; zeros for -1."""
+        """Stats of sorted distinct ids: contexts, total, followers."""
         here, out = self.layout, np.zeros((len(ids), 5), np.float64)
         for k, part in cut(ids, here.base[:-1]):
             at = ids[part] - here.base[k]
             if found := here.arrays(f"stats-{k:05d}"):
-                able = at >= 0
                 for j in range(5):
-                    out[part, j][able] = found[j][at[able]]
+                    out[part, j] = found[j][at]
         return out
 
     def _pair_stats(self, ranks: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -675,15 +692,18 @@ class Scorer:
         """Known tokens, base score and model score of each document."""
         here, off1, off2 = self.layout, self.off[0], self.off[1]
         size = here.size
-        ids, counts, context, starts = here.places(hashed)
-        base = np.log10((counts + 0.1) / (self.train + 0.1 * (size + 1)))
-        distinct, back = np.unique(ids, return_inverse=True)
-        follows = self._stats(distinct)[:, 0]
-        p = ((follows - off1[np.minimum(follows, 3).astype(np.int64)]) / max(here.pairs, 1) + self.rest)[back]
-        contexts, back = np.unique(context, return_inverse=True)
-        stats = self._stats(contexts)
-        total, left = stats[back, 1], (stats[:, 2:] @ off2[1:])[back]
-        rank, times = here.ranks(context, ids, here.heavy_contexts(counts, starts))
+        distinct, numbers, which, starts = here.places(hashed)
+        base = np.log10((numbers + 0.1) / (self.train + 0.1 * (size + 1)))[which]
+        known = np.flatnonzero(distinct >= 0)
+        stats = np.zeros((len(distinct) + 1, 5))  # the last row is the start's
+        stats[np.r_[known, len(distinct)]] = self._stats(np.r_[distinct[known], size])
+        follows = stats[:-1, 0]
+        p = ((follows - off1[np.minimum(follows, 3).astype(np.int64)]) / max(here.pairs, 1) + self.rest)[which]
+        before = np.r_[0, which[:-1]]
+        before[starts] = len(distinct)
+        total, left = stats[before, 1], (stats[:, 2:] @ off2[1:])[before]
+        ids, counts = distinct[which], numbers[which]
+        rank, times = here.ranks(here.contexts(ids, starts), ids, here.heavy_contexts(counts, starts))
         heavy = times > here.heavy
         if self.order == 2:
             n = times
