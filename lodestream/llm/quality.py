@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ def measures(text: str) -> np.ndarray:
     loud = sum(map(str.isupper, found)) / n
     signs = sum(1 for _ in SIGNS.finditer(text)) / n
     bars = (text.count(" | ") + text.count("\t") + text.count(";;")) / n
-    stutter = sum(a == b for a, b in zip(found, found[1:])) / n  # noqa: RUF007
+    stutter = sum(map(eq, found, found[1:])) / n
     variety = len({*found}) / n
     repeats = 1 - len({*lines}) / len(lines) if len(lines) > 1 else 0.0
     ends = sum(text.count(c) for c in (". ", ".\n", "! ", "? ", "!\n", "?\n")) / n
@@ -130,7 +132,9 @@ def lexicon(texts: list[tuple[bool, set[str]]]) -> tuple[frozenset[str], frozens
     for toxic, begun in texts:
         n[toxic] += 1
         counts[toxic].update(begun)
-    found = [w for w, k in counts[1].items() if k >= 5 and k / n[1] > 12 * (counts[0][w] + 0.5) / n[0]]
+    found = {w for w, k in counts[1].items() if k >= 5 and k / n[1] > 12 * (counts[0][w] + 0.5) / n[0]}
+    # a beginning of one that is found tells all that it does
+    found = {w for w in found if not any(w[:k] in found for k in range(1, len(w)))}
     return tuple(frozenset(w for w in found if xxhash.xxh3_64_intdigest(w.encode()) % 2 == half) for half in (0, 1))
 
 
@@ -140,16 +144,19 @@ def beginnings(words: set[str]) -> set[str]:
     return {w for w, k in n.items() if k > 1}
 
 
-def begun(words: set[str], lexicons: tuple[frozenset[str], frozenset[str]]) -> tuple[int, int]:
-    """For each lexicon, how many of the distinct words have the beginning of it that most of them have."""
-    found: tuple[Counter, Counter] = (Counter(), Counter())
-    for w in words:
-        for k in BEGINNINGS:
-            if len(w) > k:
-                for n, known in zip(found, lexicons, strict=True):
-                    if w[:k] in known:
-                        n[w[:k]] += 1
-    return tuple(max(n.values(), default=0) for n in found)
+@lru_cache(256)
+def _words_begun(found: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?<![^\W\d_])({'|'.join(map(re.escape, found))})[^\W\d_]+")
+
+
+def begun(low: str, lexicons: tuple[frozenset[str], frozenset[str]]) -> tuple[int, int]:
+    """For each lexicon, how many distinct words of the lower-case text have the beginning of it that most of them have."""
+    out = []
+    for known in lexicons:
+        found = tuple(w for w in sorted(known) if w in low)
+        words = {(m[0], m[1]) for m in _words_begun(found).finditer(low)} if found else ()
+        out.append(max(Counter(w for _, w in words).values(), default=0))
+    return out[0], out[1]
 
 
 class HashedLinear:
@@ -205,25 +212,30 @@ def format_features(m: np.ndarray) -> np.ndarray:
     return np.array([*out, bucket(f"n{size}"), bucket(f"n{size}v{int(np.searchsorted(CUTS, m[4]))}")])
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed: the word and its beginnings of four to seven letters."""
-    return [bucket(f"w {word}"), *(bucket(f"p{k} {word[:k]}") for k in range(4, 8) if len(word) >= k)]
+def word_features(word: str) -> list[str]:
+    """The word and its beginnings of four to seven letters."""
+    return [f"w {word}", *(f"p{k} {word[:k]}" for k in BEGINNINGS if len(word) >= k)]
 
 
 class WordWeights:
-    """Sum of a word's weights, remembered for the words met; dropped and met anew when they are many."""
+    """Sum of a word's weights, remembered for the words and beginnings met; dropped and met anew when they are many."""
 
-    def __init__(self, table: np.ndarray, most: int = 400_000):
-        self.table, self.most, self.known = table, most, {}
+    def __init__(self, model: HashedLinear, most: int = 400_000):
+        self.weights, self.most = dict(zip(model.at.tolist(), model.w.tolist(), strict=True)), most
+        self.known: dict[str, float] = {}
+        self.begun: dict[str, float] = {}
 
     def of(self, words: set[str]) -> float:
         try:
             return sum(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > self.most:
-                self.known = {}
+                self.known, self.begun = {}, {}
             for word in words.difference(self.known):
-                self.known[word] = float(self.table[word_features(word)].sum())
+                start = word[: BEGINNINGS[-1]]
+                if (w := self.begun.get(start)) is None:
+                    w = self.begun[start] = sum(self.weights.get(bucket(x), 0.0) for x in word_features(start)[1:])
+                self.known[word] = w + self.weights.get(bucket(f"w {word}"), 0.0)
             return sum(map(self.known.__getitem__, words))
 
 
@@ -235,8 +247,8 @@ class QualityModel:
 
     def ready(self) -> QualityModel:
         if not hasattr(self, "form_table"):
-            self.form_table, self.weights = self.form.table(), WordWeights(self.words.table())
-            self.constant = float(self.words.table()[0])
+            self.form_table, self.weights = self.form.table(), WordWeights(self.words)
+            self.constant = self.weights.weights.get(0, 0.0)
         return self
 
     def __getstate__(self) -> dict:
@@ -284,7 +296,6 @@ def _voted(docs: DataFrame, labels: DataFrame | None, known: tuple[frozenset[str
     """doc_id, the votes on junk and on toxicity as digits, and a hash of text and id; null and blank texts have none."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        either = known[0] | known[1]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -292,8 +303,8 @@ def _voted(docs: DataFrame, labels: DataFrame | None, known: tuple[frozenset[str
                 if not t or not t.strip():
                     continue
                 low = t.lower()
-                insults = sum(w in INSULTS for w in LETTERS.findall(low)) if any(w in low for w in INSULTS) else 0
-                held = begun({*LETTERS.findall(low)}, known) if either else (0, 0)
+                insults = sum(w in INSULTS for w in LETTERS.findall(low)) if any(map(low.__contains__, INSULTS)) else 0
+                held = begun(low, known)
                 m = measures(t)
                 digits = ("".join(map(str, v)) for v in (votes(m, None), toxic_votes(insults, int(m[7]), held, None)))
                 out.append((doc_id, *digits, text_hash(t, doc_id)))
@@ -348,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
                 form.append(format_features(measures(text)).astype("<u4").tobytes() if j else b"")
                 got = [0]
                 for w in {*LETTERS.findall(text.lower())} if t else ():
-                    got += word_features(w)
+                    got += map(bucket, word_features(w))
                 word.append(np.array(got, "<u4").tobytes())
             yield pa.record_batch([pa.array(junk_votes), pa.array(toxic_votes_), pa.array(form, pa.binary()), pa.array(word, pa.binary())], names=["junk", "toxic", "form", "word"])
 
