@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.lineage.analysis import Analysis
 from lodestream.operators.graph import components
 
+MOST_CSV_BYTES = 20 << 20
 NAMES = r"^[A-Za-z_][A-Za-z0-9_$.]*$"
 
 
@@ -31,8 +32,11 @@ def pair_index(uses: DataFrame) -> DataFrame:
 
 
 def read_scope_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A header CSV in UTF-8 with or without mark, else GB 18030, else Latin-1: the first that all its bytes decode in."""
-    data = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    """A header CSV in UTF-8 with or without mark, else GB 18030, else Latin-1: the first that all its bytes decode in. A file over ``MOST_CSV_BYTES`` is an error, as it is read on the driver."""
+    file = spark.read.format("binaryFile").load(path)
+    if (size := file.select("length").first()["length"]) > MOST_CSV_BYTES:
+        raise ValueError(f"{path} has {size} bytes, more than {MOST_CSV_BYTES}")
+    data = file.select("content").first()["content"]
     for encoding in ("utf-8-sig", "gb18030", "latin-1"):
         try:
             text = bytes(data).decode(encoding)
@@ -65,6 +69,37 @@ def scope_filter(uses: DataFrame, script_tables: DataFrame | None, table_columns
     return out.select(*uses.columns)
 
 
+def filter_payload(uses: DataFrame, script_tables: DataFrame | None, table_columns: DataFrame | None) -> DataFrame:
+    """One row on a scope filter: n_scripts, n_tables and n_fields within it, n_dropped (columns without a table), ignored (tables of file 2 that file 1 has not), and a warning where nothing is left or something is ignored."""
+    inside = scope_filter(uses, script_tables, table_columns)
+    counts = inside.agg(F.countDistinct("script").alias("n_scripts"), F.countDistinct("table").alias("n_tables"), F.countDistinct("table", "field").alias("n_fields"))
+    none = uses.sparkSession.createDataFrame([], "TABLE_NAME string, COL_NAME string, SCRIPT_NAME string")
+    a, b = (script_tables if script_tables is not None else none), (table_columns if table_columns is not None else none)
+    dropped = b.agg(F.count(F.when((F.coalesce("TABLE_NAME", F.lit("")) == "") & (F.coalesce("COL_NAME", F.lit("")) != ""), 1)).alias("n_dropped"))
+    only = b.filter("TABLE_NAME <> ''").select(F.lower("TABLE_NAME").alias("table")).distinct()
+    only = only.join(a.select(F.lower("TABLE_NAME").alias("table")), "table", "left_anti") if script_tables is not None else only.limit(0)
+    row = counts.crossJoin(dropped).crossJoin(only.agg(F.array_sort(F.collect_set("table")).alias("ignored")))
+    warning = F.when(F.col("n_scripts") == 0, "nothing is left").when(F.size("ignored") > 0, "tables of the second file are not in the first").otherwise("")
+    return row.withColumn("warning", warning)
+
+
+def tables_of(uses: DataFrame, field: str) -> DataFrame:
+    """Tables that have the field."""
+    return uses.filter(F.col("field") == field.lower()).select("table").distinct()
+
+
+def fields_of(uses: DataFrame, table: str) -> DataFrame:
+    """Fields that the table has."""
+    return uses.filter(F.col("table") == table.lower()).select("field").distinct()
+
+
+def star_expansion(analysis: Analysis, uses: DataFrame) -> DataFrame:
+    """(script, context, table, field): what an unqualified star of a query gives, by what is known of the whole tables of its own FROM."""
+    stars = analysis.scopes.filter("kind = 'star' AND table = '*'").select("script", "context").distinct()
+    tables = analysis.scopes.filter("kind = 'physical'").select("script", "context", F.lower("table").alias("table")).distinct()
+    return stars.join(tables, ["script", "context"]).join(uses.select("table", "field").distinct(), "table").select("script", "context", "table", "field")
+
+
 def complete(names: DataFrame, text: str, most: int = 20) -> DataFrame:
     """(name, rank): names that hold the text; if fewer than two, also those alike in one change: exact, then beginning, then holding, then alike."""
     low, t = F.lower("name"), text.lower()
@@ -80,7 +115,7 @@ def orphans(resolved: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("column").alias("field")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("script")).alias("scripts"), F.min("line").alias("first_line"))
 
 
-def schema_inference(edges: DataFrame, evidence: DataFrame, most_rounds: int = 20) -> DataFrame:
+def schema_inference(edges: DataFrame, evidence: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(table, field): what tables hold, from evidence, and what alias and flow edges (source, target) pass on, until nothing is new."""
     from lodestream.operators.graph import _keep
 
@@ -91,9 +126,9 @@ def schema_inference(edges: DataFrame, evidence: DataFrame, most_rounds: int = 2
         new = front.join(steps, "table").select(F.col("next").alias("table"), "field").distinct()
         front = _keep(new.join(known, ["table", "field"], "left_anti"))
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+    raise RuntimeError(f"the inference did not settle in {most_rounds} rounds")
 
 
 def topology(v: DataFrame, edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def resolve(analysis: Analysis) -> DataFrame:
 
     alias: the qualifier names a source of the nearest scope that has it. cte: a bare name that one visible common table
     expression or derived table gives out. scope: the nearest scope with sources has a single physical table. schema: of
-    several, exactly one is known to own the column. system, pseudo: by name. output: a clause after the select list names one of its columns. A field named as a visible table, and
+    several, exactly one is known to own the column, by what the script itself tells; workspace: by what all scripts tell. system, pseudo: by name. output: a clause after the select list names one of its columns. A field named as a visible table, and
     all else, stays unresolved. Names compare whole and without case.
     """
     low = F.lower
@@ -65,16 +65,46 @@ def resolve(analysis: Analysis) -> DataFrame:
     here = rest.join(nearest, [*key, "distance"]).groupBy(*key).agg(F.collect_set("table").alias("tables"), F.first("c").alias("c"))
     others = seen.filter("kind in ('cte', 'derived', 'unnest', 'values')").join(nearest, [*key, "distance"], "left_semi").select(*key).distinct()
     single = here.filter(F.size("tables") == 1).join(others, key, "left_anti").select(*key, F.element_at("tables", 1).alias("table"), F.lit("scope").alias("strategy"))
-    owned = analysis.evidence.select(low("table").alias("t"), low("column").alias("c")).distinct()
+    # first the script's own evidence, then that of all scripts; where two of the visible tables are known to own the column, neither does
+    told = evidence_of(analysis)
     several = here.join(single, key, "left_anti").select(*key, "c", F.explode("tables").alias("table")).withColumn("t", low("table"))
-    by_schema = several.join(owned, ["t", "c"], "left_semi").groupBy(*key).agg(F.count("*").alias("n"), F.first("table").alias("table")).filter("n = 1").select(*key, "table", F.lit("schema").alias("strategy"))
+    one = lambda rows, name: rows.groupBy(*key).agg(F.countDistinct("t").alias("n"), F.min("table").alias("table")).select(*key, "n", "table", F.lit(name).alias("strategy"))
+    in_script = one(several.join(told, ["script", "t", "c"], "left_semi"), "schema")
+    in_all = one(several.join(told.select("t", "c").distinct(), ["t", "c"], "left_semi"), "workspace")
+    # what the script alone tells is taken back if another script knows a second owner
+    by_schema = in_script.filter("n = 1").drop("n").join(in_all.filter("n > 1").select(*key), key, "left_anti")
+    by_schema = by_schema.unionByName(in_all.filter("n = 1").drop("n").join(in_script.select(*key), key, "left_anti"))
 
     found = by_alias.unionByName(pseudo).unionByName(own).unionByName(by_cte).unionByName(single).unionByName(by_schema)
     return refs.join(found, key, "left")
 
 
+def evidence_of(analysis: Analysis) -> DataFrame:
+    """(script, t, c): which table has which column: by lists, assignments and definitions, and by references under the name or alias of a single table."""
+    low = F.lower
+    told = analysis.evidence.select("script", low("table").alias("t"), low("column").alias("c"))
+    qualified = analysis.refs.filter("qualifier <> ''").select("script", "context", low("qualifier").alias("q"), low("column").alias("c"))
+    named = analysis.scopes.filter("kind = 'physical'").select("script", "context", low("alias").alias("q"), low("table").alias("t")).distinct()
+    return told.union(qualified.join(named, ["script", "context", "q"]).select("script", "t", "c")).distinct()
+
+
+def workspace(analysis: Analysis) -> DataFrame:
+    """(script, column, table, strategy, owners) of bare references that see several whole tables: who is known to own the column among them, by the script and by all; strategy schema, workspace, or ambiguous for two owners (which give none) and unknown for none."""
+    low, key = F.lower, ["script", "id"]
+    refs = analysis.refs.filter("qualifier = ''").select("script", "id", "context", "column", low("column").alias("c"))
+    tables = analysis.scopes.filter("kind = 'physical'").select("script", "context", low("table").alias("t")).distinct()
+    seen = refs.join(tables, ["script", "context"])
+    several = seen.join(seen.groupBy(*key).agg(F.countDistinct("t").alias("n")).filter("n > 1").select(*key), key, "left_semi")
+    told = evidence_of(analysis)
+    owners = several.join(told.select("t", "c").distinct(), ["t", "c"], "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("t")).alias("owners"))
+    rows = several.select(*key, "column").distinct().join(owners, key, "left").join(resolve(analysis).select(*key, "table", "strategy"), key, "left")
+    owners = F.coalesce("owners", F.array().cast("array<string>"))
+    found = F.when(F.size(owners) > 1, "ambiguous").when(F.size(owners) == 0, "unknown").otherwise(F.col("strategy"))
+    return rows.select("script", "column", "table", found.alias("strategy"), owners.alias("owners"))
+
+
 def coverage(resolved: DataFrame) -> DataFrame:
     """By script: references, how many have a table, in per cent (null without references), and by strategy."""
     n, yes = F.count("*"), F.count("table")
-    by = [F.count(F.when(F.col("strategy") == s, 1)).alias(f"by_{s}") for s in ("alias", "cte", "scope", "schema", "system", "pseudo", "output")]
+    by = [F.count(F.when(F.col("strategy") == s, 1)).alias(f"by_{s}") for s in ("alias", "cte", "scope", "schema", "workspace", "system", "pseudo", "output")]
     return resolved.groupBy("script").agg(n.alias("total"), yes.alias("resolved"), F.round(100 * yes / n, 1).alias("coverage_pct"), *by)

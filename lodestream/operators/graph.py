@@ -33,10 +33,10 @@ def components(edges: DataFrame, source: str, target: str, most_rounds: int = 60
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: list[str] | None = None, most_rounds: int = 100) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: list[str] | None = None, most_rounds: int = 10_000) -> DataFrame:
     """(keys, node, distance) of all nodes that edges lead to from the seeds (keys, node); ``keys`` travel along, such as the script or the seed's name.
 
-    Semi-naive: each round joins only what the last one found and drops what is known.
+    Semi-naive: each round joins only what the last one found and drops what is known. Not to settle in ``most_rounds`` is an error.
     """
     keys = keys or []
     shared = [k for k in keys if k in edges.columns]
@@ -47,12 +47,12 @@ def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: li
         found = front.join(steps, [*shared, "node"]).select(*keys, F.col("next").alias("node")).distinct()
         front = _keep(found.join(known, [*keys, "node"], "left_anti").withColumn("distance", F.lit(k)).select(*keys, "node", "distance"))
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+    raise RuntimeError(f"the reach did not settle in {most_rounds} rounds")
 
 
-def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source: str, target: str, most_rounds: int = 50, most_paths: int | None = 200) -> DataFrame:
+def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source: str, target: str, most_rounds: int = 10_000, most_paths: int | None = 200) -> DataFrame:
     """(start, goal, path): one shortest path, the first in order, from each seed (node) to each goal (node) it reaches; the first ``most_paths``, or all."""
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
     known = _keep(seeds.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
@@ -63,6 +63,8 @@ def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source:
         if front.isEmpty():
             break
         known = known.unionByName(front)
+    else:
+        raise RuntimeError(f"the paths did not settle in {most_rounds} rounds")
     ends = known.join(goals.select("node").distinct(), "node", "left_semi").filter("size(path) > 1")
     out = ends.select("start", F.col("node").alias("goal"), "path")
     return out if most_paths is None else out.orderBy("start", "goal").limit(most_paths)

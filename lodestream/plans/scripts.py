@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.lineage import edges as phases
-from lodestream.lineage import flow, index
+from lodestream.lineage import flow, index, physical
 from lodestream.lineage.analysis import Analysis, analyze
 from lodestream.lineage.parser import expression_kind, parse_script
 from lodestream.lineage.lexer import tokenize
@@ -40,8 +40,12 @@ def _fields(spark: SparkSession) -> DataFrame:
     return _once(spark, "fields", lambda: flow.field_edges(_analysis(spark)))
 
 
+def _found(spark: SparkSession) -> DataFrame:
+    return _once(spark, "found", lambda: physical.occurrences(_analysis(spark), _resolved(spark)))
+
+
 def _edges(spark: SparkSession) -> DataFrame:
-    return _once(spark, "edges", lambda: phases.dependencies(_analysis(spark).variables))
+    return _once(spark, "edges", lambda: phases.dependencies(_analysis(spark).variables, _found(spark), physical.sources(_analysis(spark).variables, _resolved(spark))))
 
 
 def _literal(x: object) -> str:
@@ -172,21 +176,6 @@ def dg_set_operations(spark, sf):
     return phases.set_operations(_analysis(spark).variables).select(*COLUMNS).distinct()
 
 
-@_phase(
-    "references",
-    """, f AS (SELECT * FROM v WHERE variable_type NOT IN ('table', 'view', 'cte', 'subquery', 'virtual_table', 'merge_target', 'union_branch', 'literal')),
-u AS (SELECT script, context, id AS target, CASE variable_type WHEN 'aggregate' THEN 'AGGREGATE' WHEN 'window' THEN 'WINDOW' WHEN 'case' THEN 'COMPUTED' WHEN 'transform' THEN 'TRANSFORM' WHEN 'cte_column' THEN 'TRANSFORM'
-  WHEN 'expression' THEN CASE WHEN defined_in <> 'JOIN ON' THEN 'TRANSFORM' ELSE 'REF' END ELSE 'REF' END AS relationship, lower(unnest(source_columns)) AS n FROM v),
-m AS (SELECT u.*, f.id, 0 AS far, CASE WHEN f.context = u.context THEN -1000000 ELSE 0 END - f.ord AS place FROM u JOIN f ON f.script = u.script AND lower(f.name) = u.n AND f.id <> u.target
-  UNION ALL SELECT u.*, f.id, 1, f.ord FROM u JOIN f ON f.script = u.script AND contains(u.n, '.') AND lower(f.name) = regexp_extract(u.n, '([^.]+)$', 1) AND f.id <> u.target)
-
-SELECT DISTINCT script, source_id, target_id, relationship, 'REFERENCE' AS operation FROM (SELECT script, id AS source_id, target AS target_id, relationship,
-row_number() OVER (PARTITION BY script, target, n ORDER BY far, place) AS k FROM m) WHERE k = 1""",
-)
-def dg_references(spark, sf):
-    return phases.references(_analysis(spark).variables).select(*COLUMNS).distinct()
-
-
 @_phase(
     "schema",
     r"""SELECT DISTINCT * FROM (SELECT v.script, h.id AS source_id, v.id AS target_id, 'SCHEMA' AS relationship, 'TABLE_COLUMN' AS operation FROM v JOIN v h ON h.script = v.script AND h.context = v.context AND lower(h.name) = lower(regexp_extract(v.name, '^(.*)\.[^.]*$', 1))
@@ -205,8 +194,8 @@ RESOLVED = [
     ("c_join.sql", "TOP0", "SELECT", "r", "place", "ranked", "alias"), ("c_join.sql", "TOP0", "SELECT", "r", "total", "ranked", "alias"), ("c_join.sql", "TOP0", "JOIN ON", "r", "cust_id", "ranked", "alias"), ("c_join.sql", "TOP0", "JOIN ON", "c", "cust_id", "stg_customers", "alias"),
     ("e_report.sql", "TOP0", "SELECT", "s", "segment", "summary", "alias"), ("e_report.sql", "TOP0", "SELECT", "s", "mean_total", "summary", "alias"), ("e_report.sql", "TOP0", "ORDER BY", "s", "mean_total", "summary", "alias"), ("e_report.sql", "TOP0/subq0", "SELECT", "x", "mean_total", "summary", "alias"),
     ("e_report.sql", "TOP0/exists1", "WHERE", "q", "segment", "sales", "alias"), ("e_report.sql", "TOP0/exists1", "WHERE", "s", "segment", "summary", "alias"), ("e_report.sql", "TOP0/exists1", "WHERE", "q", "total", "sales", "alias"),
-    ("j_ambiguous.sql", "TOP0", "SELECT", "", "name", "stg_customers", "schema"), ("j_ambiguous.sql", "TOP0", "SELECT", "", "amount", "stg_orders", "schema"), ("j_ambiguous.sql", "TOP0", "SELECT", "", "status", "stg_orders", "schema"),
-    ("j_ambiguous.sql", "TOP0", "SELECT", "", "cust_id", None, None), ("j_ambiguous.sql", "TOP0", "SELECT", "", "LEVEL", "⟐pseudo", "pseudo"), ("j_ambiguous.sql", "TOP0", "WHERE", "", "segment", "stg_customers", "schema"), ("j_ambiguous.sql", "TOP0", "WHERE", "", "mystery", None, None),
+    ("j_ambiguous.sql", "TOP0", "SELECT", "", "name", "stg_customers", "workspace"), ("j_ambiguous.sql", "TOP0", "SELECT", "", "amount", "stg_orders", "workspace"), ("j_ambiguous.sql", "TOP0", "SELECT", "", "status", "stg_orders", "workspace"),
+    ("j_ambiguous.sql", "TOP0", "SELECT", "", "cust_id", None, None), ("j_ambiguous.sql", "TOP0", "SELECT", "", "LEVEL", "⟐pseudo", "pseudo"), ("j_ambiguous.sql", "TOP0", "WHERE", "", "segment", "stg_customers", "workspace"), ("j_ambiguous.sql", "TOP0", "WHERE", "", "mystery", None, None),
     ("k_window.sql", "TOP0", "SELECT", "o", "cust_id", "stg_orders", "alias"), ("k_window.sql", "TOP0", "SELECT", "o", "day", "stg_orders", "alias"), ("k_window.sql", "TOP0", "SELECT", "o", "amount", "stg_orders", "alias"), ("k_window.sql", "TOP0", "QUALIFY", "", "k", "⟐output", "output"),
 ]
 
@@ -340,11 +329,6 @@ def i08_topology(spark, sf):
     return index.topology(_analysis(spark).variables, _edges(spark))
 
 
-@query()
-def dg_bridges(spark, sf):
-    return phases.bridges(_analysis(spark).variables, _edges(spark))
-
-
 @query()
 def l_walk(spark, sf):
     v = _analysis(spark).variables.filter("script = 'c_join.sql' AND name = 'total' AND variable_type = 'aggregate'").select("script", F.col("id").alias("node"))
@@ -356,17 +340,6 @@ def l_flow_roles(spark, sf):
     return flow.flow_roles(_analysis(spark).variables.select(F.col("id").alias("node")), _edges(spark))
 
 
-@query()
-def g06_layers(spark, sf):
-    return flow.pipeline_layers(_io(spark))
-
-
-@query()
-def l_io_paths(spark, sf):
-    outputs = spark.createDataFrame([("c_join.sql", "total"), ("c_join.sql", "band"), ("d_summary.sql", "worst")], "script string, name string")
-    return flow.io_paths(_analysis(spark), _edges(spark), outputs).withColumn("path", F.concat_ws(">", "path"))
-
-
 @query()
 def dg_dependencies(spark, sf):
     return _edges(spark)
