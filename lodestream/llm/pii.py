@@ -299,10 +299,11 @@ CONTEXT_WORDS = 100  # words of each such document, those of the lowest hashes
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Fit on generated examples in the words of a bounded sample of documents (CONTEXT_DOCS, CONTEXT_WORDS of each); without any text, of one word."""
     rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
-    rows = rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min_by("t", "h").alias("t"))
+    # hashes alone are aggregated, and the texts of those chosen read again
+    chosen = [r.h for r in rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min("h").alias("h")).collect()]
     hashed = F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
-    rows = rows.select(F.slice(F.array_sort(hashed), 1, CONTEXT_WORDS)["w"].alias("w")).collect()
-    return SpanModel(sorted({w for r in rows for w in r.w if w and len(w) < 30}))
+    words = rows.filter(F.col("h").isin(chosen)).select("h", F.slice(F.array_sort(hashed), 1, CONTEXT_WORDS)["w"].alias("w")).dropDuplicates(["h"])
+    return SpanModel(sorted({w for r in words.collect() for w in r.w if w and len(w) < 30}))
 
 
 def join_spans(spans: list[Span]) -> str:

@@ -220,7 +220,7 @@ def word_features(word: str) -> list[str]:
 class WordWeights:
     """Sum of a word's weights, remembered for the words and beginnings met; dropped and met anew when they are many."""
 
-    def __init__(self, model: HashedLinear, most: int = 400_000):
+    def __init__(self, model: HashedLinear, most: int = 200_000):
         self.weights, self.most = dict(zip(model.at.tolist(), model.w.tolist(), strict=True)), most
         self.known: dict[str, float] = {}
         self.begun: dict[str, float] = {}
