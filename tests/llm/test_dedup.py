@@ -127,7 +127,7 @@ def test_sketch_counts_equal_coordinates(spark):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(500 + i, 501 + i) for i in range(30)] + [(7, 7)]
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(500 + i, 501 + i) for i in range(300)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     ids = {x for e in edges if e[0] != e[1] for x in e}
     assert got == classes(sorted(ids), [e for e in edges if e[0] != e[1]])
