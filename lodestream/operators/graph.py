@@ -18,18 +18,27 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, source: str, target: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges, by minimum labels and pointer jumping."""
-    links = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
-    both = _keep(links.union(links.select("b", "a")).distinct())
-    labels = _keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
+    """(node, component): the smallest node reachable over undirected edges.
+
+    Each round every node points to the least of itself and its neighbours, pointers are followed to their ends by doubling, and the edges shrink to
+    those between ends. An end is less than all its neighbours, so at most half of the nodes with edges stay. Labels follow. A node of loops alone is its own component.
+    """
+    ends = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
+    labels = _keep(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node")))
+    left = _keep(ends.filter("a <> b").distinct())
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnsRenamed({"a": "b", "p": "q"}), "b").groupBy("a").agg(F.min("q").alias("q"))
-        better = labels.join(near, "a").select("a", "p", F.least("p", "q").alias("n"))
-        jumped = better.join(labels.withColumnsRenamed({"a": "n", "p": "r"}), "n", "left").select("a", "p", F.coalesce("r", "n").alias("n"))
-        new = _keep(jumped)
-        labels = new.select("a", F.col("n").alias("p"))
-        if new.filter("n <> p").isEmpty():
-            return labels.withColumnsRenamed({"a": "node", "p": "component"})
+        if left.isEmpty():
+            return labels
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        jump, moved = _keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))), True
+        while moved:
+            onward = jump.select(F.col("a").alias("to"), F.col("to").alias("then"))
+            further = _keep(jump.join(onward, "to").select("a", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")))
+            jump, moved = further.select("a", "to"), not further.filter("moved").isEmpty()
+        moved = labels.join(jump.withColumnRenamed("a", "component"), "component", "left")
+        labels = _keep(moved.select("node", F.coalesce("to", "component").alias("component")))
+        ahead = left.join(jump, "a").select("b", F.col("to").alias("p")).join(jump.select(F.col("a").alias("b"), F.col("to").alias("q")), "b")
+        left = _keep(ahead.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -73,6 +73,26 @@ def delete_rows(target: DataFrame, condition: Column) -> DataFrame:
     return target.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def update_from(target: DataFrame, source: DataFrame, on: str, values: dict[str, Column]) -> DataFrame:
+    """UPDATE ... SET ... FROM source: ``values`` give target columns from ``t.`` and ``s.`` columns, for rows whose key the source has; a key that the source has twice is an error, as it is in a MERGE."""
+    twice = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("several rows of the source for "), F.col(on).cast("string")))).otherwise(F.lit(True))
+    single = source.join(source.groupBy(on).agg(twice.alias("__one")), on).filter("__one").alias("s")
+    joined = target.alias("t").join(single, F.col(f"t.{on}") == F.col(f"s.{on}"), "left")
+    hit = F.col("s.__one").isNotNull()
+    return joined.select(*(F.when(hit, values[c]).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) if c in values else F.col(f"t.{c}") for c in target.columns))
+
+
+def delete_using(target: DataFrame, source: DataFrame, condition: Column) -> DataFrame:
+    """DELETE ... USING source WHERE: target rows that meet the condition (on ``t.`` and ``s.``) with no row of the source."""
+    return target.alias("t").join(source.alias("s"), condition, "left_anti")
+
+
+def hash_sample(df: DataFrame, keys: Sequence[str], share: float, seed: int = 0) -> DataFrame:
+    """A repeatable Bernoulli sample: rows whose hash of keys and seed lies in the lowest ``share``; equal keys go together, any partitioning gives the same rows."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", *keys, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return df.filter(h < F.lit(int(share * (1 << 32))))
+
+
 def merge_ranges(df: DataFrame, by: Sequence[str], low: str, high: str, gap: int = 1) -> DataFrame:
     """Overlapping or adjacent [low, high] of a group joined: islands by a running maximum of the ends."""
     w = Window.partitionBy(*by).orderBy(low, high)

@@ -29,6 +29,7 @@ MARKERS = (
     ("bigquery", 5, r"(?i)STRUCT\s*<"),
     ("bigquery", 3, r"(?i)ARRAY\s*<"),
     ("tsql", 5, r"(?i)\bTOP\s+\d+"),
+    ("tsql", 3, r"(?i)\[[a-z_][a-z0-9_ ]*\]\.\[?[a-z_]"),
     ("tsql", 10, r"(?i)WITH\s*\(\s*NOLOCK\s*\)"),
     ("snowflake", 10, r"(?i)QUALIFY\b"),
     ("snowflake", 5, r"(?i)COPY\s+INTO"),
@@ -58,6 +59,30 @@ def into_target(text: str) -> str | None:
     return m[1] if m else None
 
 
+def parsed(spark, text: str, dialect: str) -> tuple[str, str] | None:
+    """(dialect, statement) of the first that Spark parses: the text as it is, then rewritten; named after the dialect found, then hive, then mysql as the ones it may fall back on. None if none parses."""
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    for name in dict.fromkeys((dialect, "hive", "mysql")):
+        for statement in (text, rewrite(text)) if name == dialect else (quoted(rewrite(text), name),):
+            try:
+                parser.parsePlan(statement)
+                return name, statement
+            except Exception:  # the parser's own errors, of several classes of the JVM
+                continue
+    return None
+
+
+def quoted(text: str, dialect: str) -> str:
+    """Names quoted in another way in back ticks: brackets, and double quotes where these are no strings (hive and mysql take them for strings)."""
+    tokens, out, at = tokenize(text), [], 0
+    for t in tokens:
+        out.append(text[at : t.start])
+        named = t.kind == QUOTED and (t.text[0] == "[" or t.text[0] == '"' and dialect == "hive")
+        out.append(f"`{t.name}`" if named else t.text)
+        at = t.end
+    return "".join(out) + text[at:]
+
+
 def _depths(tokens: list[Token]) -> list[int]:
     out, depth = [], 0
     for t in tokens:

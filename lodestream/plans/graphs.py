@@ -1,115 +1,62 @@
-"""Graph operators over graphs that the star tables make."""
+"""Graph operators over the whole graphs that the star tables make."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.graph import components, degrees, layers, reach, shortest_paths
 from lodestream.plans.registry import query
 from lodestream.sources.tables import table
 
-#: Customers and suppliers of lines of a large quantity and discount, linked where a customer's order has a supplier's line.
-LINKS = "SELECT DISTINCT o_custkey AS a, l_suppkey + 100000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_discount > 0.09"
+#: Customers and suppliers, linked where a customer's order has a supplier's line.
+LINKS = "SELECT DISTINCT o_custkey AS a, l_suppkey + 100000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-def _links(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_quantity > 49 AND l_discount > 0.09").select("l_orderkey", "l_suppkey")
+def _links(spark, sf) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     joined = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b")).distinct()
 
 
-@query(f"""WITH RECURSIVE e AS ({LINKS}), ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT a AS x, a AS y FROM ways UNION SELECT r.x, b.b FROM reach r JOIN ways b ON b.a = r.y)
-SELECT x AS node, min(y) AS component FROM reach GROUP BY x""")
+@query(f"""WITH RECURSIVE e AS ({LINKS}), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM w UNION SELECT w.a, min(cc.component) FROM cc JOIN w ON w.b = cc.node JOIN recurring.cc AS r ON r.node = w.a WHERE cc.component < r.component GROUP BY w.a)
+SELECT node, component FROM cc""")
 def g_components(spark, sf):
     return components(_links(spark, sf), "a", "b")
 
 
-#: Orders by customer in time, each to the next.
-NEXT = "SELECT * FROM (SELECT o_orderkey AS s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t FROM orders WHERE o_custkey < 40) WHERE t IS NOT NULL"
-
+#: Orders by customer in time, each to the next; the place of each in its customer's row of two orders at least.
+PLACES = "SELECT o_orderkey AS node, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"
 
-def _next(spark, sf):
-    from pyspark.sql import Window
 
+def _next(spark, sf) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").filter("o_custkey < 40").select(F.col("o_orderkey").alias("s"), F.lead("o_orderkey").over(w).alias("t")).filter("t is not null")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("s"), F.lead("o_orderkey").over(w).alias("t")).filter("t is not null")
 
 
-@query(f"WITH RECURSIVE e AS ({NEXT}), r AS (SELECT min(s) AS node, 0 AS distance FROM e UNION SELECT e.t, distance + 1 FROM r JOIN e ON e.s = r.node) SELECT node, min(distance) AS distance FROM r GROUP BY node")
+@query(f"SELECT node, CAST(k AS INT) AS distance FROM ({PLACES}) WHERE n > 1")
 def g_reach(spark, sf):
+    """From the first order of every customer with a later one."""
     e = _next(spark, sf)
-    return reach(e.agg(F.min("s").alias("node")), e, "s", "t")
+    return reach(e.select(F.col("s").alias("node")).subtract(e.select("t")), e, "s", "t")
 
 
-@query(f"WITH RECURSIVE e AS ({NEXT}), r AS (SELECT s AS node, 0 AS layer FROM e WHERE s NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, layer + 1 FROM r JOIN e ON e.s = r.node) SELECT node, CAST(least(max(layer), 10) AS INT) AS layer FROM r GROUP BY node")
+@query(f"SELECT node, CAST(least(k, 10) AS INT) AS layer FROM ({PLACES}) WHERE n > 1")
 def g_layers(spark, sf):
     e = _next(spark, sf)
     return layers(e.select(F.col("s").alias("node")).union(e.select("t")), e, "s", "t")
 
 
-@query(f"""WITH RECURSIVE e AS ({NEXT}), r AS (SELECT s AS start, s AS node, CAST(s AS VARCHAR) AS path FROM e WHERE s NOT IN (SELECT t FROM e) UNION ALL SELECT r.start, e.t, r.path || '>' || e.t FROM r JOIN e ON e.s = r.node)
-SELECT start, node AS goal, path FROM r WHERE node NOT IN (SELECT s FROM e) ORDER BY 1, 2 LIMIT 200""")
+@query(f"SELECT arg_min(node, k) AS start, arg_max(node, k) AS goal, string_agg(CAST(node AS VARCHAR), '>' ORDER BY k) AS path FROM ({PLACES}) WHERE n > 1 GROUP BY c")
 def g_paths(spark, sf):
     e = _next(spark, sf)
     starts = e.select(F.col("s").alias("node")).subtract(e.select("t"))
     ends = e.select(F.col("t").alias("node")).subtract(e.select("s"))
-    return shortest_paths(starts, ends, e, "s", "t").select("start", "goal", F.concat_ws(">", "path").alias("path"))
+    return shortest_paths(starts, ends, e, "s", "t", most_paths=None).select("start", "goal", F.concat_ws(">", "path").alias("path"))
 
 
 @query(f"WITH e AS ({LINKS}) SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT a AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e) GROUP BY node")
 def g_degrees(spark, sf):
     e = _links(spark, sf)
     return degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e, "a", "b")
-
-
-# --- the same over the whole tables; recursive SQL is too slow there, so all but the degrees have no oracle ---
-
-ALL_LINKS = "SELECT DISTINCT o_custkey AS a, l_suppkey + 100000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
-
-
-def _all_links(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    joined = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b")).distinct()
-
-
-def _all_next(spark, sf):
-    """The edges of all customers, and the most orders of one: no way is longer, so loops held to it end by themselves."""
-    from pyspark.sql import Window
-
-    orders = table(spark, sf, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    most = orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 1
-    return orders.select(F.col("o_orderkey").alias("s"), F.lead("o_orderkey").over(w).alias("t")).filter("t is not null"), most
-
-
-@query()
-def g_components_whole(spark, sf):
-    return components(_all_links(spark, sf), "a", "b")
-
-
-@query()
-def g_reach_whole(spark, sf):
-    """From the first order of every customer."""
-    e, most = _all_next(spark, sf)
-    return reach(e.select(F.col("s").alias("node")).subtract(e.select("t")), e, "s", "t", most_rounds=most)
-
-
-@query()
-def g_layers_whole(spark, sf):
-    e, most = _all_next(spark, sf)
-    return layers(e.select(F.col("s").alias("node")).union(e.select("t")), e, "s", "t", most=most)
-
-
-@query()
-def g_paths_whole(spark, sf):
-    e, most = _all_next(spark, sf)
-    starts = e.select(F.col("s").alias("node")).subtract(e.select("t"))
-    ends = e.select(F.col("t").alias("node")).subtract(e.select("s"))
-    return shortest_paths(starts, ends, e, "s", "t", most_rounds=most, most_paths=None).select("start", "goal", F.concat_ws(">", "path").alias("path"))
-
-
-@query(f"WITH e AS ({ALL_LINKS}) SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT a AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e) GROUP BY node")
-def g_degrees_whole(spark, sf):
-    e = _all_links(spark, sf)
-    return degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e, "a", "b")

@@ -83,6 +83,7 @@ SAMPLES = {
     "snowflake": "SELECT a FROM t QUALIFY row_number() OVER (ORDER BY a) = 1",
     "mysql": "SELECT a FROM t LIMIT 5",
     "plain": "SELECT a FROM t",
+    "brackets": "SELECT [x].[a] FROM [dbo].[t] AS [x]",
 }
 
 
@@ -324,33 +325,6 @@ def l16_roles(spark, sf):
     return index.roles(_resolved(spark), _analysis(spark), "stg_orders", "amount").select("script", F.concat_ws(",", "roles").alias("roles"))
 
 
-@query()
-def i08_topology(spark, sf):
-    return index.topology(_analysis(spark).variables, _edges(spark))
-
-
-@query()
-def l_walk(spark, sf):
-    v = _analysis(spark).variables.filter("script = 'c_join.sql' AND name = 'total' AND variable_type = 'aggregate'").select("script", F.col("id").alias("node"))
-    return flow.walk(v, _edges(spark))
-
-
-@query()
-def l_flow_roles(spark, sf):
-    return flow.flow_roles(_analysis(spark).variables.select(F.col("id").alias("node")), _edges(spark))
-
-
-@query()
-def dg_dependencies(spark, sf):
-    return _edges(spark)
-
-
-@query()
-def si_schema(spark, sf):
-    e = _analysis(spark).scopes.filter("kind = 'physical' AND alias <> table").select(F.col("table").alias("source"), F.concat("script", F.lit("#"), "alias").alias("target"))
-    return index.schema_inference(e, _analysis(spark).evidence)
-
-
 TEXTS = _values("s", "script, sql_text", sorted(CORPUS.items()))
 LINES = "l AS (SELECT script, unnest(string_split(sql_text, chr(10))) AS text, unnest(range(1, len(string_split(sql_text, chr(10))) + 1)) AS line FROM s)"
 

@@ -14,8 +14,8 @@ from lodestream.sources.tables import table
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1, 2""")
 def revenue_by_nation(spark, sf) -> DataFrame:
     """Two large tables meet once on the order key; the small side is cut to one region before it is counted and hinted."""
-    nations = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region").filter("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
-    suppliers = table(spark, sf, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    nations = table(spark, sf, "nation").join(broadcast_if_small(table(spark, sf, "region").filter("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+    suppliers = table(spark, sf, "supplier").join(broadcast_if_small(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", F.expr("l_extendedprice * (1 - l_discount)").alias("net"))
     mine = lines.join(broadcast_if_small(suppliers), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "n_name", "net")
     joined = mine.join(table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("y")), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.functions import dialect
-from lodestream.operators.relational import delete_rows, merge_into, merge_ranges, update_rows
+from lodestream.operators.relational import delete_rows, delete_using, hash_sample, merge_into, merge_ranges, update_from, update_rows
 from lodestream.plans.registry import query
 from lodestream.sources.tables import table, views
 
@@ -148,10 +148,10 @@ def s16_lateral_view(spark, sf):
     return spark.sql("SELECT n_nationkey, pos, word FROM nation LATERAL VIEW posexplode(split(n_name, ' ')) x AS pos, word")
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST('0x' || substr(md5(l_orderkey || '-' || l_linenumber || '-7'), 1, 8) AS BIGINT) < CAST(floor(0.1 * 4294967296) AS BIGINT)")
 def s17_sample(spark, sf):
-    """A repeatable tenth by key, as a sample that SQL can tell."""
-    return table(spark, sf, "lineitem").filter("l_orderkey % 10 = 0").agg(F.count("*").alias("n"))
+    """A tenth of the lines, drawn by a hash of the key and a seed: the feature is a sample, and this one can be told in SQL."""
+    return hash_sample(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1, 7).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1")
@@ -197,6 +197,30 @@ def m05_update(spark, sf):
     return update_rows(table(spark, sf, "customer"), F.col("c_acctbal") < 0, {"c_acctbal": F.lit(0.0), "c_mktsegment": F.lit("DEBT")}).select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
+@query("""SELECT c_custkey, CASE WHEN n IS NULL THEN c_acctbal ELSE c_acctbal + n END AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""")
+def m05_update_from(spark, sf):
+    """UPDATE customer SET c_acctbal = c_acctbal + n FROM (finished orders by customer)."""
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return update_from(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), done, "c_custkey", {"c_acctbal": F.col("t.c_acctbal") + F.col("s.n")})
+
+
+@query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal < o.o_totalprice / 1000)")
+def m06_delete_using(spark, sf):
+    """DELETE FROM orders USING customer WHERE key and balance meet."""
+    t, c = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return delete_using(t, c, (F.col("t.o_custkey") == F.col("s.c_custkey")) & (F.col("s.c_acctbal") < F.col("t.o_totalprice") / 1000)).select("o_orderkey")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (100, 'MOON'), (101, NULL)) AS v(r_regionkey, r_name)")
+def m03_insert_values(spark, sf):
+    """INSERT INTO region VALUES ...: an append to a written table."""
+    from lodestream.sources.writers import scratch_table
+
+    rows = table(spark, sf, "region").select("r_regionkey", "r_name")
+    _, path = scratch_table(spark, rows, mode="error")
+    return scratch_table(spark, spark.createDataFrame([(100, "MOON"), (101, None)], rows.schema), mode="append", path=path)[0]
+
+
 @query("SELECT p_partkey FROM part WHERE NOT coalesce(p_size > 25 OR p_brand = 'Brand#11', false)")
 def m06_delete(spark, sf):
     return delete_rows(table(spark, sf, "part"), (F.col("p_size") > 25) | (F.col("p_brand") == "Brand#11")).select("p_partkey")

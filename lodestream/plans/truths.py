@@ -384,4 +384,101 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('f1', 'p', 'workspace', 'p'), ('f2', '', 'ambiguous', 'p,q'), ('f3', 'q', 'workspace', 'q'),
         ],
     ),
+    "s04_tree": (
+        "path, kind, depth:BIGINT, place:BIGINT",
+        [
+            ('A.sql', 'file', 0, 7), ('Ends', 'folder', 0, 1), ('Ends/x.sql', 'file', 1, 2), ('b.sql', 'file', 0, 8), ('steps', 'folder', 0, 3), ('steps/deep', 'folder', 1, 4), ('steps/deep/one.sql', 'file', 2, 5),
+            ('steps/two.sql', 'file', 1, 6),
+        ],
+    ),
+    "s07_output_columns": (
+        "table_name, data_type, column_name, explanation",
+        [
+            ('a,b', 'INT', 'c', 'd,e'), ('sales', 'DECIMAL', 'total', 'what a customer paid'), ('summary', 'VARCHAR', 'segment', ''),
+        ],
+    ),
+    "s09_written_indexes": (
+        "name, n:BIGINT",
+        [
+            ('field_index', 30), ('orphan_fields', 2), ('pair_index', 46), ('table_index', 16),
+        ],
+    ),
+    "s11_graph_json": (
+        "script, n_nodes:BIGINT, n_edges:BIGINT, n_lost:BIGINT",
+        [
+            ('a_load.sql', 12, 32, 0), ('c_join.sql', 27, 68, 0), ('l_broken.sql', 3, 1, 0),
+        ],
+    ),
+    "s19_template_variables": (
+        "script, variable, n:BIGINT, warning",
+        [
+            ('t.sql', 'day', 1, 'template variable day is not replaced'), ('t.sql', 'low', 2, 'template variable low is not replaced'),
+        ],
+    ),
+    "f03_parse_fallback": (
+        "given, dialect, taken",
+        [
+            ('SELECT "a" FROM "b"."t"', 'hive', 'SELECT `a` FROM `b`.`t`'), ('SELECT FROM WHERE (', '', ''), ('SELECT TOP 3 a FROM t WITH (NOLOCK)', 'tsql', 'SELECT   a FROM t LIMIT 3'),
+            ('SELECT [x].[a] FROM [dbo].[t] AS [x]', 'hive', 'SELECT `x`.`a` FROM `dbo`.`t` AS `x`'),
+            ('SELECT a FROM t QUALIFY row_number() OVER (ORDER BY a) = 1', 'snowflake', 'SELECT * EXCEPT (_q) FROM (SELECT row_number() OVER (ORDER BY a) AS _q, a FROM t ) WHERE _q = 1'),
+            ('SELECT a FROM t', 'mysql', 'SELECT a FROM t'),
+        ],
+    ),
+    "i08_topology": (
+        "script, check, n:BIGINT",
+        [
+            ('f_merge.sql', 'further components', 1), ('h_hive.sql', 'further components', 1), ('j_ambiguous.sql', 'isolated nodes', 1), ('l_broken.sql', 'isolated nodes', 1),
+        ],
+    ),
+    "dg_dependencies": (
+        "script, relationship, operation, n:BIGINT",
+        [
+            ('a_load.sql', 'ALIAS', 'ALIAS', 1), ('a_load.sql', 'DML', 'INSERT', 9), ('a_load.sql', 'FILTER', 'CONDITION', 2), ('a_load.sql', 'REF', 'READ', 7), ('a_load.sql', 'REF', 'REFERENCE', 2),
+            ('a_load.sql', 'SCHEMA', 'OUTPUT', 5), ('a_load.sql', 'SCHEMA', 'TABLE_COLUMN', 3), ('a_load.sql', 'TABLE_FLOW', 'FROM', 1), ('a_load.sql', 'TABLE_FLOW', 'INSERT', 1),
+            ('a_load.sql', 'TRANSFORM', 'REFERENCE', 1), ('b_customers.sql', 'ALIAS', 'ALIAS', 3), ('b_customers.sql', 'DML', 'INSERT', 10), ('b_customers.sql', 'JOIN', 'JOIN_CONDITION', 4),
+            ('b_customers.sql', 'REF', 'READ', 8), ('b_customers.sql', 'REF', 'REFERENCE', 1), ('b_customers.sql', 'SCHEMA', 'OUTPUT', 4), ('b_customers.sql', 'SCHEMA', 'TABLE_COLUMN', 5),
+            ('b_customers.sql', 'TABLE_FLOW', 'FROM', 3), ('b_customers.sql', 'TABLE_FLOW', 'INSERT', 3), ('b_customers.sql', 'TRANSFORM', 'REFERENCE', 1), ('c_join.sql', 'AGGREGATE', 'REFERENCE', 1),
+            ('c_join.sql', 'ALIAS', 'ALIAS', 3), ('c_join.sql', 'COMPUTED', 'REFERENCE', 1), ('c_join.sql', 'DML', 'INSERT', 10), ('c_join.sql', 'JOIN', 'JOIN_CONDITION', 2), ('c_join.sql', 'REF', 'READ', 11),
+            ('c_join.sql', 'REF', 'REFERENCE', 6), ('c_join.sql', 'SCHEMA', 'CTE_BODY', 10), ('c_join.sql', 'SCHEMA', 'OUTPUT', 6), ('c_join.sql', 'SCHEMA', 'TABLE_COLUMN', 5), ('c_join.sql', 'TABLE_FLOW', 'FROM', 4),
+            ('c_join.sql', 'TABLE_FLOW', 'INSERT', 3), ('c_join.sql', 'TABLE_FLOW', 'REFERENCE', 4), ('c_join.sql', 'TRANSFORM', 'REFERENCE', 1), ('c_join.sql', 'WINDOW', 'REFERENCE', 1),
+            ('d_summary.sql', 'AGGREGATE', 'REFERENCE', 2), ('d_summary.sql', 'ALIAS', 'ALIAS', 1), ('d_summary.sql', 'DML', 'INSERT', 9), ('d_summary.sql', 'DML', 'UPDATE', 2),
+            ('d_summary.sql', 'DML', 'WRITE_READ', 1), ('d_summary.sql', 'FILTER', 'CONDITION', 1), ('d_summary.sql', 'REF', 'READ', 8), ('d_summary.sql', 'REF', 'REFERENCE', 1),
+            ('d_summary.sql', 'SCHEMA', 'OUTPUT', 4), ('d_summary.sql', 'SCHEMA', 'TABLE_COLUMN', 3), ('d_summary.sql', 'TABLE_FLOW', 'FROM', 2), ('d_summary.sql', 'TABLE_FLOW', 'INSERT', 1),
+            ('d_summary.sql', 'TABLE_FLOW', 'SUBSELECT', 1), ('d_summary.sql', 'TRANSFORM', 'REFERENCE', 1), ('e_report.sql', 'AGGREGATE', 'REFERENCE', 1), ('e_report.sql', 'ALIAS', 'ALIAS', 3),
+            ('e_report.sql', 'FILTER', 'CONDITION', 3), ('e_report.sql', 'INDIRECT', 'CORRELATED', 1), ('e_report.sql', 'INDIRECT', 'CORRELATED_OUT', 3), ('e_report.sql', 'REF', 'READ', 5),
+            ('e_report.sql', 'SCHEMA', 'OUTPUT', 5), ('e_report.sql', 'SCHEMA', 'TABLE_COLUMN', 5), ('e_report.sql', 'TABLE_FLOW', 'FROM', 3), ('e_report.sql', 'TABLE_FLOW', 'SUBSELECT', 2),
+            ('f_merge.sql', 'ALIAS', 'ALIAS', 1), ('f_merge.sql', 'DML', 'DELETE', 1), ('f_merge.sql', 'DML', 'MERGE', 4), ('f_merge.sql', 'JOIN', 'JOIN_CONDITION', 2), ('f_merge.sql', 'REF', 'READ', 7),
+            ('f_merge.sql', 'REF', 'REFERENCE', 2), ('f_merge.sql', 'SCHEMA', 'OUTPUT', 2), ('f_merge.sql', 'SCHEMA', 'TABLE_COLUMN', 3), ('f_merge.sql', 'TABLE_FLOW', 'FROM', 1),
+            ('f_merge.sql', 'TRANSFORM', 'REFERENCE', 1), ('g_union.sql', 'ALIAS', 'ALIAS', 1), ('g_union.sql', 'DML', 'CREATE', 5), ('g_union.sql', 'REF', 'READ', 7), ('g_union.sql', 'REF', 'REFERENCE', 3),
+            ('g_union.sql', 'SCHEMA', 'OUTPUT', 8), ('g_union.sql', 'SCHEMA', 'TABLE_COLUMN', 4), ('g_union.sql', 'SET_OP', 'BRANCH', 3), ('g_union.sql', 'SET_OP', 'SET', 1), ('g_union.sql', 'TABLE_FLOW', 'CREATE', 1),
+            ('g_union.sql', 'TABLE_FLOW', 'FROM', 3), ('g_union.sql', 'TABLE_FLOW', 'SUBSELECT', 3), ('g_union.sql', 'TRANSFORM', 'REFERENCE', 1), ('h_hive.sql', 'ALIAS', 'ALIAS', 2), ('h_hive.sql', 'DML', 'INSERT', 8),
+            ('h_hive.sql', 'FILTER', 'CONDITION', 2), ('h_hive.sql', 'REF', 'READ', 6), ('h_hive.sql', 'SCHEMA', 'OUTPUT', 4), ('h_hive.sql', 'SCHEMA', 'TABLE_COLUMN', 6), ('h_hive.sql', 'TABLE_FLOW', 'FROM', 2),
+            ('h_hive.sql', 'TABLE_FLOW', 'INSERT', 2), ('j_ambiguous.sql', 'REF', 'READ', 4), ('j_ambiguous.sql', 'SCHEMA', 'OUTPUT', 5), ('j_ambiguous.sql', 'TABLE_FLOW', 'FROM', 2),
+            ('k_window.sql', 'ALIAS', 'ALIAS', 1), ('k_window.sql', 'INDIRECT', 'NAME_MATCH', 1), ('k_window.sql', 'REF', 'READ', 3), ('k_window.sql', 'SCHEMA', 'OUTPUT', 3),
+            ('k_window.sql', 'SCHEMA', 'TABLE_COLUMN', 3), ('k_window.sql', 'TABLE_FLOW', 'FROM', 1), ('k_window.sql', 'WINDOW', 'REFERENCE', 5), ('l_broken.sql', 'DML', 'INSERT', 1),
+        ],
+    ),
+    "l_walk": (
+        "name, distance:BIGINT",
+        [
+            ('band@TOP0', 3), ('c@TOP0', 4), ('place@CTE{ranked}', 2), ('place@TOP0', 3), ('r.total@TOP0', 2), ('r@TOP0', 4), ('ranked@CTE{ranked}', 3), ('ranked@TOP0', 3), ('sales@TOP0', 3),
+            ('stg_orders@CTE{totals}', 5), ('t.total@CTE{ranked}', 1), ('t@CTE{ranked}', 3), ('total@CTE{totals}', 0), ('total@TOP0', 3), ('totals@CTE{ranked}', 2), ('totals@CTE{totals}', 4), ('⟐ output@TOP0', 4),
+        ],
+    ),
+    "l08_flow_roles": (
+        "name, role",
+        [
+            ('amount@CTE{totals}', 'source'), ('band@TOP0', 'waypoint'), ('c.cust_id@TOP0', 'source'), ('c@TOP0', 'source'), ('cust_id@CTE{totals}', 'source'), ('cust_id@TOP0', 'source'), ('n@CTE{totals}', 'waypoint'),
+            ('name@TOP0', 'source'), ('place@CTE{ranked}', 'waypoint'), ('place@TOP0', 'source'), ('r.cust_id@TOP0', 'source'), ('r.total@TOP0', 'source'), ('r@TOP0', 'source'), ('ranked@CTE{ranked}', 'target'),
+            ('ranked@TOP0', 'target'), ('sales@TOP0', 'target'), ('segment@TOP0', 'source'), ('stg_customers@TOP0', 'target'), ('stg_orders@CTE{totals}', 'target'), ('t.cust_id@CTE{ranked}', 'source'),
+            ('t.total@CTE{ranked}', 'source'), ('t@CTE{ranked}', 'source'), ('total@CTE{totals}', 'waypoint'), ('total@TOP0', 'waypoint'), ('totals@CTE{ranked}', 'target'), ('totals@CTE{totals}', 'waypoint'),
+            ('⟐ output@TOP0', 'target'),
+        ],
+    ),
+    "si_schema": (
+        "tbl, fields",
+        [
+            ('c_join.sql#c', 'cust_id,name,nation,segment'), ('k_window.sql#o', 'amount,cust_id,day,order_id,status'),
+        ],
+    ),
 }

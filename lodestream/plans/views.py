@@ -425,3 +425,103 @@ def r_workspace_schema(spark, sf):
 
     rows = workspace(analyze(from_text(spark, texts)))
     return rows.select(F.col("column").alias("col"), F.coalesce("table", F.lit("")).alias("tbl"), "strategy", _text("owners"))
+
+
+# --- sources and sinks ------------------------------------------------------------------------------------------
+
+
+@truth
+def s04_tree(spark, sf):
+    from lodestream.sources.scripts import tree
+
+    paths = [("b.sql",), ("A.sql",), ("steps/two.sql",), ("steps/deep/one.sql",), ("Ends/x.sql",)]
+    return tree(spark.createDataFrame(paths, "script string")).select("path", "kind", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
+
+
+@truth
+def s07_output_columns(spark, sf):
+    from lodestream.sources.scripts import output_columns
+    from lodestream.sources.writers import shared_dir
+
+    path = f"{shared_dir(spark)}/output-columns-csv"
+    lines = ["table_name,data_type,column_name,explanation", "sales,DECIMAL, total ,what a customer paid", "sales,INT", "summary,VARCHAR,segment", '"a,b",INT,c,"d,e"']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return output_columns(spark, path).select("table_name", "data_type", "column_name", F.coalesce("explanation", F.lit("")).alias("explanation"))
+
+
+@truth
+def s09_written_indexes(spark, sf):
+    from lodestream.sources.sinks import INDEXES, read_index, write_indexes
+    from lodestream.sources.writers import shared_dir
+
+    path = f"{shared_dir(spark)}/indexes"
+    write_indexes(path, base._uses(spark), base._resolved(spark))
+    counts = [read_index(spark, path, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in INDEXES]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@truth
+def s11_graph_json(spark, sf):
+    """A written graph, read as JSON again: how many nodes and edges of each script, and an edge's ends."""
+    from lodestream.sources.sinks import write_graphs
+    from lodestream.sources.writers import shared_dir
+
+    path = f"{shared_dir(spark)}/graphs-json"
+    write_graphs(path, _found(spark).select("script", "id", F.col("name").alias("label"), F.col("variable_type").alias("node_type")), _edges(spark).drop("containment"))
+    data = "array<struct<data:struct<id:string,label:string,source:string,target:string,relationship:string>>>"
+    read = spark.read.json(path).select("script", F.from_json("graph", f"nodes {data}, edges {data}").alias("g"))
+    size = lambda x: F.size(f"g.{x}").cast("long")
+    ends = F.size(F.filter("g.edges", lambda e: ~F.exists("g.nodes", lambda n: n["data"]["id"] == e["data"]["source"])))
+    return read.select("script", size("nodes").alias("n_nodes"), size("edges").alias("n_edges"), ends.cast("long").alias("n_lost")).filter("script IN ('a_load.sql', 'c_join.sql', 'l_broken.sql')")
+
+
+@truth
+def s19_template_variables(spark, sf):
+    from lodestream.sources.scripts import template_variables
+
+    texts = {"t.sql": "SELECT a FROM t WHERE d = '${day}' AND e > ${low} AND f < ${low};", "u.sql": "SELECT 1"}
+    return template_variables(from_text(spark, texts))
+
+
+@truth
+def f03_parse_fallback(spark, sf):
+    """The dialect and statement that Spark's parser takes in the end; none of what no rewriting mends."""
+    from lodestream.plans.dialects import parsed
+
+    texts = [("SELECT a FROM t", "mysql"), ("SELECT TOP 3 a FROM t WITH (NOLOCK)", "tsql"), ("SELECT [x].[a] FROM [dbo].[t] AS [x]", "tsql"), ("SELECT a FROM t QUALIFY row_number() OVER (ORDER BY a) = 1", "snowflake"), ('SELECT "a" FROM "b"."t"', "postgres"), ("SELECT FROM WHERE (", "mysql")]
+    rows = [(text, *(parsed(spark, text, d) or ("", ""))) for text, d in texts]
+    return spark.createDataFrame(rows, "given string, dialect string, taken string")
+
+
+# --- integrity -----------------------------------------------------------------------------------------------------
+
+
+@truth
+def i08_topology(spark, sf):
+    """What the checks find; a check that finds nothing is well."""
+    return index.topology(base._analysis(spark).variables, base._edges(spark)).filter("n > 0").select("script", "check", "n")
+
+
+@truth
+def dg_dependencies(spark, sf):
+    return base._edges(spark).groupBy("script", "relationship", "operation").agg(F.count("*").alias("n"))
+
+
+@truth
+def l_walk(spark, sf):
+    v = _found(spark).filter("script = 'c_join.sql' AND name = 'total' AND variable_type = 'aggregate'").select("script", F.col("id").alias("node"))
+    rows = flow.walk(v, base._edges(spark)).withColumnRenamed("node", "id").join(_names(_found(spark)), ["script", "id"])
+    return rows.groupBy("name").agg(F.min("distance").cast("long").alias("distance"))
+
+
+@truth
+def l08_flow_roles(spark, sf):
+    rows = flow.flow_roles(_found(spark).select(F.col("id").alias("node")), base._edges(spark)).withColumnRenamed("node", "id")
+    return rows.join(_names(_found(spark), "c_join.sql"), "id").select("name", "role").distinct()
+
+
+@truth
+def si_schema(spark, sf):
+    a = base._analysis(spark)
+    e = a.scopes.filter("kind = 'physical' AND alias <> table AND script IN ('a_load.sql', 'c_join.sql', 'k_window.sql')").select(F.col("table").alias("source"), F.concat("script", F.lit("#"), "alias").alias("target"))
+    return index.schema_inference(e, a.evidence).filter("table LIKE '%#%'").groupBy(F.col("table").alias("tbl")).agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))

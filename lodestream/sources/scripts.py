@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +29,60 @@ def from_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(F.lower("path").rlike(r"\.(sql|ddl|schema)$")).select(name.alias("script"), F.make_valid_utf8(F.col("content").cast("string")).alias("sql_text"))
 
 
+def from_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Two files at least, named by their base names; bytes that are not UTF-8 become U+FFFD. Names that repeat are an error."""
+    names = [path.rstrip("/").rsplit("/", 1)[-1] for path in paths]
+    if len(paths) < 2 or len({*names}) < len(names):
+        raise ValueError("two files at least, of different names")
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("script"), F.make_valid_utf8(F.col("content").cast("string")).alias("sql_text"))
+
+
 def from_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Scripts of a zip file; folders, __MACOSX and names that climb out of the archive are left."""
-    found = {}
-    with zipfile.ZipFile(path) as archive:
-        for info in archive.infolist():
-            parts = PurePosixPath(info.filename).parts
-            if info.is_dir() or "__MACOSX" in parts or ".." in parts or info.filename.startswith("/"):
-                continue
-            if info.filename.lower().endswith((".sql", ".ddl", ".schema")):
-                found[info.filename] = archive.read(info).decode("utf-8", "replace")
-    return spark.createDataFrame(sorted(found.items()), SCHEMA)
+    """Scripts of zip files (a file or a folder of them, on any file system that Spark reads), unpacked on the executors; folders, __MACOSX and names that climb out of the archive are left."""
+    from lodestream.sources.package import ship
+
+    ship(spark)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for info in archive.infolist():
+                        parts = PurePosixPath(info.filename).parts
+                        if info.is_dir() or "__MACOSX" in parts or ".." in parts or info.filename.startswith("/"):
+                            continue
+                        if info.filename.lower().endswith((".sql", ".ddl", ".schema")):
+                            yield pa.record_batch([pa.array([info.filename]), pa.array([archive.read(info).decode("utf-8", "replace")])], names=["script", "sql_text"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, SCHEMA)
+
+
+def tree(scripts: DataFrame) -> DataFrame:
+    """(path, name, kind, depth, place): the folders and files of scripts (script), in the order in which a tree shows them: in each folder its folders first, then files, each by name without case."""
+    parts = F.split("script", "/")
+    files = scripts.select(F.col("script").alias("path"), F.lit("file").alias("kind"))
+    folders = scripts.filter("script LIKE '%/%'").select(parts.alias("p")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", F.lit(1), k), "/"))).alias("path")).distinct().withColumn("kind", F.lit("folder"))
+    rows = files.union(folders.select("path", "kind")).withColumn("p", F.split("path", "/"))
+    # a file's last part sorts after the folders beside it
+    key = F.transform("p", lambda x, k: F.concat(F.when((k == F.size("p") - 1) & (F.col("kind") == "file"), "1").otherwise("0"), F.lower(x)))
+    from pyspark.sql import Window
+
+    return rows.select("path", F.element_at("p", -1).alias("name"), "kind", (F.size("p") - 1).alias("depth"), F.row_number().over(Window.orderBy(key, "path")).alias("place"))
+
+
+def template_variables(scripts: DataFrame) -> DataFrame:
+    """(script, variable, n, warning): names in ${...} that a script leaves open, with how often; each is a warning, as its value is not known."""
+    found = scripts.select("script", F.explode(F.regexp_extract_all("sql_text", F.lit(r"\$\{([^}]*)\}"), F.lit(1))).alias("variable"))
+    return found.groupBy("script", "variable").agg(F.count("*").alias("n")).withColumn("warning", F.format_string("template variable %s is not replaced", "variable"))
+
+
+def output_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, data_type, column_name, explanation) of a CSV with or without a header; rows of fewer than three cells are left out, blanks trimmed."""
+    names = ["table_name", "data_type", "column_name", "explanation"]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path).select(*(F.trim(n).alias(n) for n in names))
+    header = F.lower("table_name") == "table_name"
+    return rows.filter(F.col("column_name").isNotNull() & ~header)
 
 
 #: A corpus over the star tables: a chain of steps, and one script for each kind of statement.

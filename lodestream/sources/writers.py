@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where a session has none (tests), a temporary folder that is then set."""
+    """``spark.checkpoint.dir``; where a session on a single machine has none (tests), a temporary folder that is then set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -25,9 +25,9 @@ def small(spark, tmp_path_factory):
 def test_ways_of_all_orders(spark, small):
     root, chains, _ = small
     at = {(k, i) for chain in chains for i, k in enumerate(chain)}
-    assert {tuple(r) for r in graphs.g_reach_whole(spark, root).select("node", "distance").collect()} == at
-    assert {tuple(r) for r in graphs.g_layers_whole(spark, root).select("node", "layer").collect()} == at
-    got = [tuple(r) for r in graphs.g_paths_whole(spark, root).select("start", "goal", "path").collect()]
+    assert {tuple(r) for r in graphs.g_reach(spark, root).select("node", "distance").collect()} == at
+    assert {tuple(r) for r in graphs.g_layers(spark, root).select("node", "layer").collect()} == {(k, min(i, 10)) for k, i in at}
+    got = [tuple(r) for r in graphs.g_paths(spark, root).select("start", "goal", "path").collect()]
     assert sorted(got) == sorted((c[0], c[-1], ">".join(map(str, c))) for c in chains)
 
 
@@ -35,6 +35,36 @@ def test_links_of_all_lines(spark, small):
     root, _, links = small
     nodes = {n for e in links for n in e}
     degrees = {(n, sum(b == n for _, b in links), sum(a == n for a, _ in links)) for n in nodes}
-    assert {tuple(r) for r in graphs.g_degrees_whole(spark, root).collect()} == degrees
+    assert {tuple(r) for r in graphs.g_degrees(spark, root).collect()} == degrees
     low = {n: min([n, *(a for a, b in links if b == n), *(x for a, b in links if a == n for x, y in links if y == b)]) for n in nodes}
-    assert {tuple(r) for r in graphs.g_components_whole(spark, root).select("node", "component").collect()} == set(low.items())
+    assert {tuple(r) for r in graphs.g_components(spark, root).select("node", "component").collect()} == set(low.items())
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    import random
+
+    from lodestream.operators.graph import components
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5001 + i) for i in range(100)] + [(7, 7)]
+    edges = [(f"n{a:05d}", f"n{b:05d}") for a, b in edges]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert got == {x: root(x) for x in parent}
+
+
+def test_loops_that_do_not_settle_are_errors(spark):
+    from lodestream.operators.graph import reach
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(10)], "s int, t int")
+    with pytest.raises(RuntimeError):
+        reach(spark.createDataFrame([(0,)], "node int"), chain, "s", "t", most_rounds=3)

@@ -91,3 +91,48 @@ def test_parts_of_lines(spark):
     r = index.partition_metrics(parts, lines).collect()[0]
     assert (r.coverage, r.overlap, r.gap) == (0.6, 0.2, 0.4)
     assert spark.range(1).select(index.accuracy_score(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))).first()[0] == pytest.approx(0.6)
+
+
+def test_more_sources(spark, tmp_path):
+    for name in ("one.sql", "two.sql"):
+        (tmp_path / name).write_bytes(b"SELECT '\xff' AS a")
+    found = scripts.from_files(spark, [str(tmp_path / "one.sql"), str(tmp_path / "two.sql")]).collect()
+    assert sorted(r.script for r in found) == ["one.sql", "two.sql"] and all("�" in r.sql_text for r in found)
+    with pytest.raises(ValueError):
+        scripts.from_files(spark, [str(tmp_path / "one.sql")])
+    (tmp_path / "big.csv").write_bytes(b"SCRIPT_NAME\n" + b"x" * (20 << 20))
+    with pytest.raises(ValueError):
+        index.read_scope_csv(spark, str(tmp_path / "big.csv"), ["SCRIPT_NAME"])
+
+
+def test_log_keeps_the_newest(spark, tmp_path):
+    from lodestream.sources.sinks import LogQueue
+
+    log = LogQueue(3)
+    for i in range(5):
+        log.put("info", str(i))
+    assert [e[3] for e in log.after()] == ["2", "3", "4"] and [e[3] for e in log.after(4)] == ["4"]
+    listener = log.listen(spark)
+    q = spark.readStream.format("rate").option("rowsPerSecond", 5).load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+    q.awaitTermination(60)
+    spark.streams.removeListener(listener)
+    assert log.number >= 5
+
+
+def test_samples_and_writes(spark):
+    from lodestream.operators.relational import hash_sample, update_from
+
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    n = hash_sample(df, ["k"], 0.25, 1).count()
+    assert 4600 < n < 5400 and n == hash_sample(df.repartition(7), ["k"], 0.25, 1).count()
+    target, source = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, v double"), spark.createDataFrame([(1, 5.0), (1, 6.0)], "k long, w double")
+    with pytest.raises(Exception, match="several rows"):
+        update_from(target, source, "k", {"v": F.col("s.w")}).collect()
+
+
+def test_layers_of_the_smoothing_stay_below_the_furthest_neighbour(spark):
+    from lodestream.lineage.levels import smooth
+
+    layers = spark.createDataFrame([("a", 0), ("b", 1), ("c", 5), ("x", 0)], "node string, layer int")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "s string, t string")
+    assert {r.node: r.layer for r in smooth(layers, edges, "s", "t").collect()} == {"a": 3, "b": 4, "c": 5, "x": 4}
