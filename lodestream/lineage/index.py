@@ -12,13 +12,22 @@ MOST_CSV_BYTES = 20 << 20
 NAMES = r"^[A-Za-z_][A-Za-z0-9_$.]*$"
 
 
-def field_uses(resolved: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(script, table, field) in lower case, from resolved references and from schema evidence; plain names alone."""
+def field_uses(resolved: DataFrame, evidence: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """(script, table, field) in lower case, from resolved references, from schema evidence and from outputs written without a list of columns (see ``written_outputs``); plain names alone."""
     used = resolved.filter("table is not null AND strategy NOT IN ('pseudo', 'output')").select("script", F.lower("table").alias("table"), F.lower("column").alias("field"))
     told = evidence.select("script", F.lower("table").alias("table"), F.lower("column").alias("field"))
+    told = told if written is None else told.union(written.select("script", "table", "field"))
     return used.union(told).filter(F.col("table").rlike(NAMES) & F.col("field").rlike(NAMES)).distinct()
 
 
+def written_outputs(analysis: Analysis) -> DataFrame:
+    """(script, table, field): what an INSERT without a list of columns gives its target, by the names of its select items."""
+    listed = analysis.evidence.filter("source = 'INSERT'").select("script", F.lower("table").alias("table")).distinct()
+    targets = analysis.variables.filter("variable_type = 'table' AND defined_in = 'INSERT'").select("script", "context", F.lower("name").alias("table"))
+    items = analysis.variables.filter("is_output AND defined_in = 'SELECT' AND variable_type <> 'literal'").select("script", "context", F.lower(F.regexp_extract("name", r"([^.]+)$", 1)).alias("field"))
+    return targets.join(listed, ["script", "table"], "left_anti").join(items, ["script", "context"]).select("script", "table", "field").distinct()
+
+
 def table_index(uses: DataFrame) -> DataFrame:
     return uses.groupBy("table").agg(F.sort_array(F.collect_set("field")).alias("fields"), F.sort_array(F.collect_set("script")).alias("scripts"))
 

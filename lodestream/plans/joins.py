@@ -81,6 +81,13 @@ def j11_derived(spark, sf):
     return table(spark, sf, "nation").join(d, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "total")
 
 
+@query("SELECT n_nationkey, w.part FROM nation, LATERAL (SELECT unnest(string_split(n_name, 'N')) AS part) w WHERE length(w.part) > 3")
+def j12_unnest(spark, sf):
+    """JOIN UNNEST: an exploded array beside its row."""
+    rows = table(spark, sf, "nation").select("n_nationkey", F.explode(F.split("n_name", "N")).alias("part"))
+    return rows.filter(F.length("part") > 3)
+
+
 @query("SELECT n_name, v.label FROM nation JOIN (VALUES (0, 'zero'), (1, 'one'), (2, 'two')) AS v(k, label) ON n_regionkey = v.k")
 def j12_values(spark, sf):
     views(spark, sf, "nation")

@@ -278,7 +278,7 @@ USES_SQL = "u AS (SELECT DISTINCT script, lower(tbl) AS tbl, lower(fld) AS fld F
 
 
 def _uses(spark) -> DataFrame:
-    return _once(spark, "uses", lambda: index.field_uses(_resolved(spark), _analysis(spark).evidence))
+    return _once(spark, "uses", lambda: index.field_uses(_resolved(spark), _analysis(spark).evidence, index.written_outputs(_analysis(spark))))
 
 
 TABLES = [("blocked", "cust_id", "b_customers.sql"), ("kept", "cust_id,ok", "d_summary.sql,i_tables.ddl"), ("logs", "msg", "l_broken.sql"), ("raw.nation", "n_name,n_nationkey", "b_customers.sql"), ("raw.supplier", "s_name,s_suppkey", "g_union.sql"), ("stg_customers", "cust_id,name,nation,segment", "b_customers.sql,c_join.sql,g_union.sql,i_tables.ddl,j_ambiguous.sql")]

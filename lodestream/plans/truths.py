@@ -210,6 +210,7 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('stg_customers.name', 'field', 'stg_customers', 'indirect'), ('stg_customers.segment', 'field', 'stg_customers', 'indirect'), ('stg_orders', 'table', '', 'source'),
             ('stg_orders.amount', 'field', 'stg_orders', 'direct'), ('stg_orders.cust_id', 'field', 'stg_orders', 'direct'), ('summary', 'table', '', 'intermediate'),
             ('summary.day_part', 'field', 'summary', 'indirect'), ('summary.mean_total', 'field', 'summary', 'direct'), ('summary.segment', 'field', 'summary', 'indirect'),
+            ('summary.worst', 'field', 'summary', 'direct'),
         ],
     ),
     "g05_pipeline_edges": (
@@ -251,7 +252,7 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('c_join.sql', '', 'script'), ('c_join.sql', 'sales', 'writes_to'), ('d_summary.sql', '', 'script'), ('d_summary.sql', 'summary', 'writes_to'), ('e_report.sql#⟐ result', '', 'result'),
             ('e_report.sql', '', 'script'), ('e_report.sql', 'e_report.sql#⟐ result', 'writes_to'), ('sales', '', 'table'), ('sales', 'd_summary.sql', 'reads_from'), ('sales', 'e_report.sql', 'reads_from'),
             ('sales.band', '', 'field'), ('sales.place', '', 'field'), ('sales.total', '', 'field'), ('stg_orders', '', 'table'), ('stg_orders', 'c_join.sql', 'reads_from'), ('stg_orders.amount', '', 'field'),
-            ('stg_orders.cust_id', '', 'field'), ('summary', '', 'table'), ('summary', 'e_report.sql', 'reads_from'), ('summary.mean_total', '', 'field'),
+            ('stg_orders.cust_id', '', 'field'), ('summary', '', 'table'), ('summary', 'e_report.sql', 'reads_from'), ('summary.mean_total', '', 'field'), ('summary.worst', '', 'field'),
         ],
     ),
     "g10_zoom_nodes": (
@@ -342,7 +343,7 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
     "i01_field_index": (
         "field, tables, scripts",
         [
-            ('amount', 'stg_orders,u', 'a_load.sql,c_join.sql,f_merge.sql,h_hive.sql,i_tables.ddl,j_ambiguous.sql,k_window.sql'), ('ok', 'kept', 'd_summary.sql,i_tables.ddl'),
+            ('amount', 'open_orders,stg_orders,u', 'a_load.sql,c_join.sql,f_merge.sql,h_hive.sql,i_tables.ddl,j_ambiguous.sql,k_window.sql'), ('ok', 'kept', 'd_summary.sql,i_tables.ddl'),
             ('place', 'ranked,sales', 'c_join.sql,d_summary.sql'), ('segment', 'sales,stg_customers,summary', 'b_customers.sql,c_join.sql,d_summary.sql,e_report.sql,i_tables.ddl,j_ambiguous.sql'),
         ],
     ),
@@ -400,7 +401,7 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
     "s09_written_indexes": (
         "name, n:BIGINT",
         [
-            ('field_index', 30), ('orphan_fields', 2), ('pair_index', 46), ('table_index', 16),
+            ('field_index', 31), ('orphan_fields', 2), ('pair_index', 51), ('table_index', 18),
         ],
     ),
     "s11_graph_json": (
@@ -481,4 +482,81 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('c_join.sql#c', 'cust_id,name,nation,segment'), ('k_window.sql#o', 'amount,cust_id,day,order_id,status'),
         ],
     ),
+    "dg_writes": (
+        "script, source, target, relationship, operation",
+        [
+            ('having.sql', 'total@TOP0', 'total@TOP0', 'INDIRECT', 'NAME_MATCH'), ('self.sql', 'a.boss@TOP0', 'staff@TOP0', 'DML', 'INSERT'), ('self.sql', 'a.id@TOP0', 'staff@TOP0', 'DML', 'INSERT'),
+            ('self.sql', 'b.boss@TOP0', 'staff@TOP0', 'DML', 'INSERT'), ('self.sql', 'b.id@TOP0', 'staff@TOP0', 'DML', 'INSERT'), ('self.sql', 'staff@TOP0', 'staff@TOP0', 'TABLE_FLOW', 'SELF_JOIN'),
+            ('self.sql', '⟐ output@TOP0', 'staff@TOP0', 'DML', 'INSERT'), ('writes.sql', 'acc.bal@TOP0', 'acc@TOP0', 'DML', 'UPDATE'), ('writes.sql', 'acc@TOP0', 'a@TOP2', 'DML', 'WRITE_READ'),
+            ('writes.sql', 'acc@TOP0', 'acc@TOP1', 'DML', 'WRITE_READ'), ('writes.sql', 'acc@TOP0', 'acc@TOP2', 'DML', 'WRITE_READ'), ('writes.sql', 'acc@TOP1', 'a@TOP2', 'DML', 'WRITE_READ'),
+            ('writes.sql', 'acc@TOP1', 'acc@TOP2', 'DML', 'WRITE_READ'), ('writes.sql', 'bal@TOP1', 'acc@TOP1', 'DML', 'DELETE'), ('writes.sql', 'id@TOP0', 'acc@TOP0', 'DML', 'UPDATE'),
+            ('writes.sql', 'n@TOP2', 'log@TOP2', 'DML', 'INSERT'), ('writes.sql', '⟐ output@TOP2', 'log@TOP2', 'DML', 'INSERT'),
+        ],
+    ),
+    "p02_names": (
+        "name, variable_type, is_output:BOOLEAN",
+        [
+            ("'a text that is longer than th", 'literal', True), ('12345', 'literal', True), ('c', 'column', True), ('coalesce(d, 0)', 'transform', True), ('sum(e) OVER (PARTITION BY f)', 'window', True),
+            ('t.a', 'column', True),
+        ],
+    ),
+    "f05_statements": (
+        "script, statement:BIGINT, kind, target, line_start:BIGINT, line_end:BIGINT",
+        [
+            ('a_load.sql', 0, 'INSERT', 'stg_orders', 2, 5), ('b_customers.sql', 0, 'INSERT', 'stg_customers', 1, 6), ('c_join.sql', 0, 'INSERT', 'sales', 1, 14), ('d_summary.sql', 0, 'INSERT', 'summary', 1, 5),
+            ('d_summary.sql', 1, 'UPDATE', 'summary', 6, 6), ('e_report.sql', 0, 'SELECT', '', 1, 5), ('f_merge.sql', 0, 'MERGE', 'sales', 1, 4), ('f_merge.sql', 1, 'DELETE', 'stg_orders', 5, 5),
+            ('g_union.sql', 0, 'CTAS', 'people', 1, 6), ('g_union.sql', 1, 'CREATE VIEW', 'people_view', 7, 7), ('h_hive.sql', 0, 'INSERT', 'open_orders,done_orders', 2, 4),
+            ('i_tables.ddl', 0, 'CREATE TABLE', 'stg_orders', 1, 1), ('i_tables.ddl', 1, 'CREATE TABLE', 'stg_customers', 2, 2), ('i_tables.ddl', 2, 'CREATE TABLE', 'kept', 3, 3),
+            ('j_ambiguous.sql', 0, 'SELECT', '', 1, 3), ('k_window.sql', 0, 'SELECT', '', 1, 4), ('l_broken.sql', 0, 'SELECT', '', 1, 1), ('l_broken.sql', 1, 'INSERT', 'logs', 2, 2),
+            ('l_broken.sql', 2, 'WITH', '', 3, 3),
+        ],
+    ),
+    "f06_lines": (
+        "script, name, context, line:BIGINT",
+        [
+            ('c_join.sql', 'amount', 'CTE{totals}', 2), ('c_join.sql', 'band', 'TOP0', 12), ('c_join.sql', 'c', 'TOP0', 13), ('c_join.sql', 'c.cust_id', 'TOP0', 14), ('c_join.sql', 'cust_id', 'CTE{totals}', 2),
+            ('c_join.sql', 'cust_id', 'TOP0', 11), ('c_join.sql', 'n', 'CTE{totals}', 2), ('c_join.sql', 'name', 'TOP0', 11), ('c_join.sql', 'place', 'CTE{ranked}', 7), ('c_join.sql', 'place', 'TOP0', 11),
+            ('c_join.sql', 'r', 'TOP0', 14), ('c_join.sql', 'r.cust_id', 'TOP0', 14), ('c_join.sql', 'r.total', 'TOP0', 11), ('c_join.sql', 'ranked', 'CTE{ranked}', 6), ('c_join.sql', 'ranked', 'TOP0', 14),
+            ('c_join.sql', 'sales', 'TOP0', 10), ('c_join.sql', 'segment', 'TOP0', 11), ('c_join.sql', 'stg_customers', 'TOP0', 13), ('c_join.sql', 'stg_orders', 'CTE{totals}', 3), ('c_join.sql', 't', 'CTE{ranked}', 8),
+            ('c_join.sql', 't.cust_id', 'CTE{ranked}', 7), ('c_join.sql', 't.total', 'CTE{ranked}', 7), ('c_join.sql', 'total', 'CTE{totals}', 2), ('c_join.sql', 'total', 'TOP0', 11),
+            ('c_join.sql', 'totals', 'CTE{ranked}', 8), ('c_join.sql', 'totals', 'CTE{totals}', 1), ('c_join.sql', '⟐ output', 'TOP0', 11), ('d_summary.sql', 'band', 'TOP0', 4), ('d_summary.sql', 'cust_id', 'TOP0', 4),
+            ('d_summary.sql', 'k', 'TOP0/subq0', 4), ('d_summary.sql', 'k.cust_id', 'TOP0/subq0', 4), ('d_summary.sql', 'k.ok', 'TOP0/subq0', 4), ('d_summary.sql', 'kept', 'TOP0/subq0', 4),
+            ('d_summary.sql', 'mean_total', 'TOP0', 2), ('d_summary.sql', 'place', 'TOP0', 2), ('d_summary.sql', 'sales', 'TOP0', 3), ('d_summary.sql', 'segment', 'TOP0', 2), ('d_summary.sql', 'segment', 'TOP1', 6),
+            ('d_summary.sql', 'summary', 'TOP0', 1), ('d_summary.sql', 'summary', 'TOP1', 6), ('d_summary.sql', 'summary.day_part', 'TOP0', 1), ('d_summary.sql', 'summary.mean_total', 'TOP1', 6),
+            ('d_summary.sql', 'total', 'TOP0', 2), ('d_summary.sql', 'worst', 'TOP0', 2), ('d_summary.sql', '⟐ output', 'TOP0', 2), ('d_summary.sql', '⟐ output', 'TOP0/subq0', 4),
+        ],
+    ),
+    "f01_preprocess": (
+        "text:BIGINT, n_breaks:BIGINT, n_statements:BIGINT",
+        [
+            (0, 1, 1), (1, 3, 2), (2, 3, 2),
+        ],
+    ),
+    "m09_table_definitions": (
+        "script, tbl, col, line:BIGINT",
+        [
+            ('i_tables.ddl', 'kept', 'cust_id', 3), ('i_tables.ddl', 'kept', 'ok', 3), ('i_tables.ddl', 'stg_customers', 'cust_id', 2), ('i_tables.ddl', 'stg_customers', 'name', 2),
+            ('i_tables.ddl', 'stg_customers', 'nation', 2), ('i_tables.ddl', 'stg_customers', 'segment', 2), ('i_tables.ddl', 'stg_orders', 'amount', 1), ('i_tables.ddl', 'stg_orders', 'cust_id', 1),
+            ('i_tables.ddl', 'stg_orders', 'day', 1), ('i_tables.ddl', 'stg_orders', 'order_id', 1), ('i_tables.ddl', 'stg_orders', 'status', 1),
+        ],
+    ),
+    "r_rules": (
+        "qualifier, col, tbl, strategy",
+        [
+            ('', 'LEVEL', '⟐pseudo', 'pseudo'), ('', 'orders', '', ''), ('t', 'table_name', 'information_schema.tables', 'system'),
+        ],
+    ),
+    "l16_uses": (
+        "script, field, uses",
+        [
+            ('c_join.sql', 'amount', 'AGGREGATE,REF'), ('f_merge.sql', 'amount', 'REF'), ('f_merge.sql', 'status', 'DML,REF'), ('h_hive.sql', 'amount', 'DML,REF'), ('h_hive.sql', 'status', 'DML,FILTER,REF'),
+            ('j_ambiguous.sql', 'amount', 'REF'), ('j_ambiguous.sql', 'status', 'REF'), ('k_window.sql', 'amount', 'REF,WINDOW'),
+        ],
+    ),
+    "s08_analysis_cache": (
+        "run:BIGINT, n_parsed:BIGINT, n_columns:BIGINT",
+        [
+            (0, 2, 2), (1, 0, 2), (2, 1, 3),
+        ],
+    ),
 }

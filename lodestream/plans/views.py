@@ -525,3 +525,91 @@ def si_schema(spark, sf):
     a = base._analysis(spark)
     e = a.scopes.filter("kind = 'physical' AND alias <> table AND script IN ('a_load.sql', 'c_join.sql', 'k_window.sql')").select(F.col("table").alias("source"), F.concat("script", F.lit("#"), "alias").alias("target"))
     return index.schema_inference(e, a.evidence).filter("table LIKE '%#%'").groupBy(F.col("table").alias("tbl")).agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))
+
+
+# --- the parser's relations, on scripts of one construct each -----------------------------------------------------------
+
+MORE = {
+    "self.sql": "INSERT INTO staff\nSELECT a.id, b.boss FROM staff a JOIN staff b ON a.boss = b.id;\n",
+    "having.sql": "SELECT c.seg, SUM(c.v) AS total FROM cust c GROUP BY c.seg HAVING total > 5 ORDER BY total;\n",
+    "system.sql": "SELECT t.table_name, LEVEL FROM information_schema.tables t;\nSELECT orders FROM orders;\n",
+    "writes.sql": "UPDATE acc SET bal = bal + 1 WHERE id = 2;\nDELETE FROM acc WHERE bal < 0;\nINSERT INTO log (n) SELECT a.bal FROM acc a;\n",
+    "names.sql": "SELECT t.a, b AS c, 12345, 'a text that is longer than thirty characters', coalesce(d, 0), sum(e) OVER (PARTITION BY f) FROM t;\n",
+}
+
+
+def _more(spark) -> tuple[Analysis, DataFrame, DataFrame]:
+    a = base._once(spark, "more", lambda: analyze(from_text(spark, MORE)))
+    resolved = base._once(spark, "more resolved", lambda: resolve(a))
+    found = base._once(spark, "more found", lambda: physical.occurrences(a, resolved))
+    return a, found, base._once(spark, "more edges", lambda: edges.dependencies(a.variables, found, physical.sources(a.variables, resolved)))
+
+
+@truth
+def dg_writes(spark, sf):
+    """Values, outputs and tables into written tables, loops of self joins, later readers, and names of clauses that mean a computed item."""
+    _, found, e = _more(spark)
+    return _named_edges(found, e).filter("script IN ('having.sql', 'self.sql', 'writes.sql') AND (relationship IN ('DML', 'INDIRECT') OR operation = 'SELF_JOIN')")
+
+
+@truth
+def p02_names(spark, sf):
+    a, _, _ = _more(spark)
+    return a.variables.filter("script = 'names.sql' AND defined_in = 'SELECT'").select("name", "variable_type", "is_output")
+
+
+@truth
+def f05_statements(spark, sf):
+    return base._analysis(spark).statements.select("script", F.col("statement").cast("long").alias("statement"), "kind", F.coalesce("target", F.lit("")).alias("target"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+@truth
+def f06_lines(spark, sf):
+    """The lines that variables are anchored at."""
+    return _found(spark).filter("script IN ('c_join.sql', 'd_summary.sql')").select("script", "name", "context", F.col("line").cast("long").alias("line")).distinct()
+
+
+@truth
+def f01_preprocess(spark, sf):
+    from lodestream.lineage.lexer import statements, without_settings
+
+    texts = ["SET a = 1;\nSELECT 1;", "UPDATE t\nSET a = 1;\nset b = 2;\nSELECT 2", "-- a note\nSELECT '--no' AS x; # more\n/* and\nmore */ SELECT 3;"]
+    return spark.createDataFrame([(k, without_settings(t).count("\n"), len(statements(without_settings(t)))) for k, t in enumerate(texts)], "text long, n_breaks long, n_statements long")
+
+
+@truth
+def m09_table_definitions(spark, sf):
+    return base._analysis(spark).evidence.filter("source = 'DDL'").select("script", F.col("table").alias("tbl"), F.col("column").alias("col"), F.col("line").cast("long").alias("line"))
+
+
+@truth
+def r_rules(spark, sf):
+    """System tables, pseudo columns, and a field named as its table, which belongs to none."""
+    a, _, _ = _more(spark)
+    rows = base._once(spark, "more resolved", lambda: resolve(a)).filter("script = 'system.sql'")
+    return rows.select("qualifier", F.col("column").alias("col"), F.coalesce("table", F.lit("")).alias("tbl"), F.coalesce("strategy", F.lit("")).alias("strategy"))
+
+
+@truth
+def l16_uses(spark, sf):
+    """The ways in which each script uses a field, by the edges out of its occurrences, and whether it writes it."""
+    rows = physical.fields(_found(spark), _edges(spark)).filter("key = 'stg_orders' AND field IN ('amount', 'status')")
+    return rows.select("script", "field", _text("uses"))
+
+
+@truth
+def s08_analysis_cache(spark, sf):
+    """How many scripts are parsed: all at first, none again, one after it changed; and what the cache gives then."""
+    import uuid
+
+    from lodestream.sources.cache import cached_analysis
+    from lodestream.sources.writers import shared_dir
+
+    path = f"{shared_dir(spark)}/analysis-{uuid.uuid4().hex}"
+    texts = {"a.sql": "SELECT a FROM t", "b.sql": "SELECT b FROM u"}
+    rows = []
+    for k, change in enumerate(({}, {}, {"b.sql": "SELECT b, c FROM u"})):
+        texts |= change
+        found, n = cached_analysis(spark, from_text(spark, texts), path)
+        rows.append((k, n, found.variables.filter("variable_type = 'column'").count()))
+    return spark.createDataFrame(rows, "run long, n_parsed long, n_columns long")
