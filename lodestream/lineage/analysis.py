@@ -28,7 +28,7 @@ class Analysis:
     parsed: DataFrame
 
     def relation(self, name: str) -> DataFrame:
-        return self.parsed.select("script", F.explode(f"parsed.{name}").alias("r")).select("script", "r.*")
+        return self.parsed.select("script", F.explode(name).alias("r")).select("script", "r.*")
 
     @property
     def variables(self) -> DataFrame:
@@ -71,5 +71,6 @@ def analyze(scripts: DataFrame) -> Analysis:
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["script", "file_class", "j"])
 
     rows = scripts.select("script", "sql_text").mapInArrow(parse, "script string, file_class string, j string")
-    parsed = rows.select("script", "file_class", F.from_json("j", PARSED).alias("parsed"))
+    # a column for each relation: what reads one does not unpack the others
+    parsed = rows.select("script", "file_class", F.from_json("j", PARSED).alias("parsed")).select("script", "file_class", "parsed.*")
     return Analysis(parsed.persist())

@@ -32,13 +32,14 @@ def resolve(analysis: Analysis) -> DataFrame:
     all else, stays unresolved. Names compare whole and without case.
     """
     low = F.lower
-    refs = analysis.refs
-    scopes = analysis.scopes
+    # what several rules read is written once, else the plan would repeat it for each
+    once = lambda df: scratch_table(df.sparkSession, df)[0]
+    refs, scopes = once(analysis.refs), once(analysis.scopes)
     sources = scopes.filter("kind in ('physical', 'cte', 'derived', 'values', 'unnest', 'system')")
     outputs = scopes.filter("kind = 'output'").select("script", F.col("context").alias("given_in"), low("table").alias("given")).distinct()
     chain = scope_chain(refs.select("script", "context").distinct())
     # read by five rules below
-    visible = scratch_table(refs.sparkSession, chain.join(sources.withColumnRenamed("context", "outer"), ["script", "outer"]))[0]
+    visible = once(chain.join(sources.withColumnRenamed("context", "outer"), ["script", "outer"]))
     keyed = refs.withColumn("q", low(F.regexp_extract("qualifier", r"([^.]*)$", 1))).withColumn("c", low("column"))
     key = ["script", "id"]
 
@@ -54,23 +55,24 @@ def resolve(analysis: Analysis) -> DataFrame:
     own = bare.filter("clause IN ('QUALIFY', 'ORDER BY', 'SORT BY')").join(outputs.select("script", F.col("given_in").alias("context"), F.col("given").alias("c")), ["script", "context", "c"], "left_semi").select(*key, F.lit("⟐output").alias("table"), F.lit("output").alias("strategy"))
     open_refs = bare.join(named, key, "left_anti").join(pseudo.unionByName(own), key, "left_anti")
 
-    seen = open_refs.select("script", "id", "context", "c").join(visible.select("script", "context", "distance", "alias", "table", "kind"), ["script", "context"])
+    seen = once(open_refs.select("script", "id", "context", "c").join(visible.select("script", "context", "distance", "alias", "table", "kind"), ["script", "context"]))
     given = seen.filter("kind = 'cte' OR kind = 'derived' AND NOT startswith(context, table)").withColumn("given_in", F.when(F.col("kind") == "cte", F.concat(F.lit("CTE{"), F.col("table"), F.lit("}"))).otherwise(F.col("table")))
-    given = given.join(outputs.withColumnRenamed("given", "c"), ["script", "given_in", "c"])
+    given = once(given.join(outputs.withColumnRenamed("given", "c"), ["script", "given_in", "c"]))
     nearest = given.groupBy(*key).agg(F.min("distance").alias("distance"))
     by_cte = given.join(nearest, [*key, "distance"]).groupBy(*key).agg(F.countDistinct("given_in").alias("n"), F.min(F.when(F.col("kind") == "cte", F.col("table")).otherwise(F.col("alias"))).alias("table")).filter("n = 1").select(*key, "table", F.lit("cte").alias("strategy"))
 
-    rest = seen.join(given.select(*key).distinct(), key, "left_anti").filter("kind = 'physical'")
+    rest = once(seen.join(given.select(*key).distinct(), key, "left_anti").filter("kind = 'physical'"))
     nearest = rest.groupBy(*key).agg(F.min("distance").alias("distance"))
     here = rest.join(nearest, [*key, "distance"]).groupBy(*key).agg(F.collect_set("table").alias("tables"), F.first("c").alias("c"))
     others = seen.filter("kind in ('cte', 'derived', 'unnest', 'values')").join(nearest, [*key, "distance"], "left_semi").select(*key).distinct()
     single = here.filter(F.size("tables") == 1).join(others, key, "left_anti").select(*key, F.element_at("tables", 1).alias("table"), F.lit("scope").alias("strategy"))
     # first the script's own evidence, then that of all scripts; where two of the visible tables are known to own the column, neither does
-    told = evidence_of(analysis)
-    several = here.join(single, key, "left_anti").select(*key, "c", F.explode("tables").alias("table")).withColumn("t", low("table"))
+    told = once(evidence_of(analysis))
+    here, single = once(here), once(single)
+    several = once(here.join(single, key, "left_anti").select(*key, "c", F.explode("tables").alias("table")).withColumn("t", low("table")))
     one = lambda rows, name: rows.groupBy(*key).agg(F.countDistinct("t").alias("n"), F.min("table").alias("table")).select(*key, "n", "table", F.lit(name).alias("strategy"))
-    in_script = one(several.join(told, ["script", "t", "c"], "left_semi"), "schema")
-    in_all = one(several.join(told.select("t", "c").distinct(), ["t", "c"], "left_semi"), "workspace")
+    in_script = once(one(several.join(told, ["script", "t", "c"], "left_semi"), "schema"))
+    in_all = once(one(several.join(told.select("t", "c").distinct(), ["t", "c"], "left_semi"), "workspace"))
     # what the script alone tells is taken back if another script knows a second owner
     by_schema = in_script.filter("n = 1").drop("n").join(in_all.filter("n > 1").select(*key), key, "left_anti")
     by_schema = by_schema.unionByName(in_all.filter("n = 1").drop("n").join(in_script.select(*key), key, "left_anti"))
