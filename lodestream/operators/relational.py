@@ -26,17 +26,38 @@ def qualify(df: DataFrame, name: str, window: Column, condition: Column) -> Data
     return df.withColumn(name, window).filter(condition)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, columns: Sequence[str]) -> DataFrame:
-    """Each left row with ``columns`` of the latest right row of its key that is not after it; null where there is none.
-
-    One sort of the union by key and time and a running last value: no range join, no pairs.
+def _before(rows: DataFrame, by: Sequence[str], value: Column, reduce: str, name: str) -> DataFrame:
+    """The rows with what the bins before theirs give their key (null keys are a key): the latest value, the greatest or the sum. Bins are few rows each, so no key is large."""
+    per = rows.groupBy(*by, "__bin").agg(value.alias("__value"))
+    w = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = {"last": F.last("__value", ignorenulls=True), "max": F.max("__value"), "sum": F.sum("__value")}[reduce].over(w)
+    keys = [*by, "__bin"]
+    told = per.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), carry.alias(name))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(told, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, columns: Sequence[str], width: float | None = None) -> DataFrame:
+    """Each left row with ``columns`` of the latest right row of its key that is not after it; null where there is none, as for a null key.
+
+    One sort of the union by key and time and a running last value: no range join, no pairs. With a ``width`` (in the time's
+    unit, seconds for timestamps) keys are cut into bins of it that are sorted apart, and each bin is told the last row before it: so a hot key is no single task.
     """
     l = left.select("*", F.col(left_time).alias("__t"), F.lit(1).alias("__side"), *(F.lit(None).cast(right.schema[c].dataType).alias(f"__r_{c}") for c in columns))
     r = right.select(F.col(on), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), *(F.col(c).alias(f"__r_{c}") for c in columns))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.select("*", *(F.last(F.when(F.col("__side") == 0, F.struct(f"__r_{c}")), ignorenulls=True).over(w)[f"__r_{c}"].alias(c) for c in columns))
-    return out.filter(F.col("__side") == 1).select(*left.columns, *columns)
+    time = F.col("__t").cast("timestamp").cast("double") if right.schema[right_time].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col("__t").cast("double")
+    both = both.withColumn("__bin", F.lit(0) if width is None else F.floor(time / width))
+    w = Window.partitionBy(on, "__bin").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = F.struct(*(F.col(f"__r_{c}") for c in columns))
+    if width is not None:
+        both = _before(both, [on], F.max_by(F.when(F.col("__side") == 0, row), F.when(F.col("__side") == 0, F.col("__t"))), "last", "__carry")
+    hit = F.last(F.when(F.col("__side") == 0, row), ignorenulls=True).over(w)
+    hit = hit if width is None else F.coalesce(hit, F.col("__carry"))
+    out = both.withColumn("__hit", F.when(F.col(on).isNotNull(), hit)).filter(F.col("__side") == 1)
+    return out.select(*left.columns, *(F.col("__hit")[f"__r_{c}"].alias(c) for c in columns))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
@@ -93,12 +114,23 @@ def hash_sample(df: DataFrame, keys: Sequence[str], share: float, seed: int = 0)
     return df.filter(h < F.lit(int(share * (1 << 32))))
 
 
-def merge_ranges(df: DataFrame, by: Sequence[str], low: str, high: str, gap: int = 1) -> DataFrame:
-    """Overlapping or adjacent [low, high] of a group joined: islands by a running maximum of the ends."""
-    w = Window.partitionBy(*by).orderBy(low, high)
+def merge_ranges(df: DataFrame, by: Sequence[str], low: str, high: str, gap: int = 1, width: float | None = None) -> DataFrame:
+    """Overlapping or adjacent [low, high] of a group joined: islands by a running maximum of the ends.
+
+    With a ``width`` a group is cut into bins of its lows that are sorted apart; each bin is told the greatest end and the number of islands before it.
+    """
+    rows = df.withColumn("__bin", F.lit(0) if width is None else F.floor(F.col(low) / width))
+    w = Window.partitionBy(*by, "__bin").orderBy(low, high)
     before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before + gap >= F.col(low), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("__island", island).groupBy(*by, "__island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("__island")
+    if width is not None:
+        rows = _before(rows, by, F.max(high), "max", "__end")
+        before = F.greatest(before, F.col("__end"))
+    rows = rows.withColumn("__new", F.when(before + gap >= F.col(low), 0).otherwise(1))
+    island = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__island", island)
+    if width is not None:
+        rows = _before(rows, by, F.sum("__new"), "sum", "__carry").withColumn("__island", F.col("__island") + F.coalesce("__carry", F.lit(0)))
+    return rows.groupBy(*by, "__island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("__island")
 
 
 def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

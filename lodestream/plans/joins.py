@@ -145,7 +145,7 @@ def jx_asof(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     errors = events.filter("event_type = 'error'").drop("event_type")
     clicks = events.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id"))
-    return asof_join(errors, clicks, "user_id", "ts", "ts", ["click_id"]).select("event_id", "click_id")
+    return asof_join(errors, clicks, "user_id", "ts", "ts", ["click_id"], width=86400.0).select("event_id", "click_id")
 
 
 SCALAR = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.8 * (SELECT avg(o_totalprice) FROM orders)"

@@ -263,4 +263,4 @@ SELECT l_suppkey, lo, hi, CASE WHEN max(hi) OVER (PARTITION BY l_suppkey ORDER B
 FROM (SELECT l_suppkey, l_orderkey AS lo, l_orderkey + CAST(l_quantity AS BIGINT) AS hi FROM lineitem))) GROUP BY l_suppkey, island""")
 def g18_merge_ranges(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("hi"))
-    return merge_ranges(rows, ["l_suppkey"], "lo", "hi")
+    return merge_ranges(rows, ["l_suppkey"], "lo", "hi", width=100_000.0)

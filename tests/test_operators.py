@@ -63,3 +63,20 @@ def test_streams_equal_batches(spark, tmp_path):
     got = stream.run_available(stream.tumbling(source, "1 hour"), "update").groupBy("start", "event_type").agg(F.max("n").alias("n"))
     want = df.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
     assert sets(got) == sets(want)
+
+
+def test_hot_keys_are_cut_into_bins(spark):
+    import random
+
+    from lodestream.operators.relational import asof_join, merge_ranges
+
+    rng = random.Random(5)
+    left = [(rng.choice("aab"), rng.randint(0, 1000), i) for i in range(300)]
+    right = [(rng.choice("aac"), t, f"v{t}") for t in rng.sample(range(1000), 120)]
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    whole = asof_join(df(left, "k string, t long, i long"), df(right, "k string, s long, v string"), "k", "t", "s", ["v"])
+    cut = asof_join(df(left, "k string, t long, i long"), df(right, "k string, s long, v string"), "k", "t", "s", ["v"], width=37)
+    want = sorted((k, t, i, max((s, v) for q, s, v in right if q == k and s <= t)[1] if any(q == k and s <= t for q, s, _ in right) else None) for k, t, i in left)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(want, key=str) == sorted(map(tuple, cut.collect()), key=str)
+    ranges = df([(rng.choice(["a", "a", "b", None]), lo, lo + rng.choice([0, 3, 60])) for lo in (rng.randint(0, 2000) for _ in range(200))], "k string, lo long, hi long")
+    assert sorted(map(tuple, merge_ranges(ranges, ["k"], "lo", "hi").collect()), key=str) == sorted(map(tuple, merge_ranges(ranges, ["k"], "lo", "hi", width=50).collect()), key=str)
