@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +125,19 @@ def on_hubs(pairs: DataFrame, side: DataFrame, scratch: Scratch) -> DataFrame:
     return dealt.join(copies, ["a", "part"]).drop("part")
 
 
+def giving_back(run: Callable) -> Callable:
+    """A function of Arrow batches that hands the memory it no longer needs back to the system when it ends: workers live on between tasks, and what they hold counts."""
+
+    def all_of(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return all_of
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; UTF-8 bytes.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import BROADCAST_IDS, Scratch, on_hubs, words
+from lodestream.llm.common import BROADCAST_IDS, Scratch, giving_back, on_hubs, words
 from lodestream.llm.components import components
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("sketch_more", pa.list_(pa.int64()))])
@@ -90,7 +90,7 @@ def signatures(rows: DataFrame, width: int, coordinates: int, sketched: int) ->
             lists = [_lists(signs), _lists([x[:half] for x in sketches]), _lists([x[half:] for x in sketches])]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=SIGNED)
 
-    return rows.select("doc_id", "text_key", "text").mapInArrow(sign, SIGNED_DDL)
+    return rows.select("doc_id", "text_key", "text").mapInArrow(giving_back(sign), SIGNED_DDL)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -108,7 +108,7 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
                 found = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
                 yield pa.record_batch([part.column(0), _lists(found)], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(giving_back(sets), "node long, shingles array<long>")
 
 
 def live_prefixes(reps: DataFrame, least: int) -> DataFrame:

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch
+from lodestream.llm.common import Scratch, giving_back
 from lodestream.llm.tokens import default_tokenizer, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+CACHED_WORDS = 120_000  # words whose ids a worker remembers, in each of two generations
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,7 +74,7 @@ def cut_pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, token
     """Encode whole texts; documents over ``capacity`` are cut into pieces of it, others are one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        codes, end, step = encoder(tokenizer, CACHED_WORDS), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -85,7 +86,7 @@ def cut_pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, token
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES_DDL)
+    return rows.mapInArrow(giving_back(cut), PIECES_DDL)
 
 
 def _filler(capacity: int, base: int, final: bool) -> Callable[[pa.Table], pa.Table]:

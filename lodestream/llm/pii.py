@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.boosting import BoostedTrees
-from lodestream.llm.common import ship
+from lodestream.llm.common import giving_back, ship
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {kind: k for k, kind in enumerate(KINDS)}
@@ -337,7 +337,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             yield pa.record_batch([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[f.split()[0] for f in FOUND_DDL.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(find, FOUND_DDL)
+    return rows.mapInArrow(giving_back(find), FOUND_DDL)
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
@@ -361,4 +361,4 @@ def redact(docs: DataFrame, text_col: str = "text", model: SpanModel | None = No
                 out.append(text)
             yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(giving_back(clean), docs.schema)

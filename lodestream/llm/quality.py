@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch
+from lodestream.llm.common import Scratch, giving_back
 
 MISSING, GOOD, BAD, UNSURE = 0, 1, 2, 3  # a labeller that cannot judge a text is missing; one that does and sees neither is unsure
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -220,7 +220,7 @@ def word_features(word: str) -> list[str]:
 class WordWeights:
     """Sum of a word's weights, remembered for the words and beginnings met; dropped and met anew when they are many."""
 
-    def __init__(self, model: HashedLinear, most: int = 200_000):
+    def __init__(self, model: HashedLinear, most: int = 150_000):
         self.weights, self.most = dict(zip(model.at.tolist(), model.w.tolist(), strict=True)), most
         self.known: dict[str, float] = {}
         self.begun: dict[str, float] = {}
@@ -311,7 +311,7 @@ def _voted(docs: DataFrame, labels: DataFrame | None, known: tuple[frozenset[str
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "junk", "toxic", "hash"])
 
-    voted = docs.mapInArrow(vote, VOTED_DDL)
+    voted = docs.mapInArrow(giving_back(vote), VOTED_DDL)
     if labels is None:
         return voted
     human = lambda c, good, bad: F.when(F.col(c) == good, str(GOOD)).when(F.col(c) == bad, str(BAD)).otherwise(str(MISSING))
@@ -397,7 +397,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pa.record_batch([batch.column(0), pa.array(quality), pa.array(toxicity), pa.array((quality >= least) & (toxicity < least))], names=["doc_id", "quality", "toxicity", "keep"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(score, SCORED_DDL)
+    return rows.mapInArrow(giving_back(score), SCORED_DDL)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -410,4 +410,4 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", leas
             found = [model.score(t.as_py() or "") for t in texts]
             yield batch.filter(pa.array([q >= least and t < least for q, t in found], pa.bool_()))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(giving_back(sift), docs.schema)

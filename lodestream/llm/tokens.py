@@ -99,14 +99,14 @@ class WordEncoder:
         return out[0] if len(out) == 1 else b"".join(out)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = 500_000) -> WordEncoder:
     """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = WordEncoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
 def default_tokenizer() -> str:
