@@ -12,6 +12,11 @@ from lodestream.operators.graph import _keep, reach, shortest_paths
 LABEL_CHARS = 36
 #: The kinds of flow that an edge may show.
 FLOW_KINDS = ("chain", "field flow", "read", "write", "filter", "structure", "bridge", "row flow")
+#: The kind and the role of an edge by its type, where the type alone tells them.
+KIND_OF_TYPE = {"DML": "write", "ROW_FLOW": "row flow", "SUBSET": "bridge", "SCHEMA": "structure", "FILTER": "filter", "JOIN": "filter", "INDIRECT": "filter", "CORRELATED": "filter", "REF": "field flow", "TRANSFORM": "field flow", "AGGREGATE": "field flow", "WINDOW": "field flow", "COMPUTED": "field flow"}
+ROLE_OF_TYPE = {"ALIAS": "alias hop", "FILTER": "filter step", "INDIRECT": "filter step", "JOIN": "join step", "AGGREGATE": "aggregate step", "WINDOW": "window step", "TRANSFORM": "compute step", "COMPUTED": "compute step", "SET_OP": "combine step", "SUBQUERY": "combine step", "ROW_FLOW": "row selection", "REF": "value copy"}
+#: Types of variables that stand for a query's rows.
+ROWS_OF_QUERIES = ("virtual_table", "subquery", "union_branch")
 
 
 def direct_part(view: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,23 +103,30 @@ def path_payload(shown: DataFrame, sources: DataFrame, goals: DataFrame) -> Data
     return both.select("script", "source", "target", F.transform(F.concat("up", "down"), name).alias("hops"), (F.size("up") - 1).alias("own"))
 
 
+def _by_type(relationship: F.Column, values: dict[str, str], rest: str) -> F.Column:
+    table = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, relationship), F.lit(rest))
+
+
 def flow_kind(relationship: F.Column, operation: F.Column, origin: F.Column) -> F.Column:
-    """What kind of flow an edge shows: one of ``FLOW_KINDS``."""
-    return (
-        F.when((relationship == "DML") | origin.isNotNull(), "write").when(relationship == "ROW_FLOW", "row flow").when(relationship == "SUBSET", "bridge").when(relationship == "SCHEMA", "structure")
-        .when(relationship.isin("FILTER", "JOIN", "INDIRECT", "CORRELATED"), "filter").when((relationship == "REF") & (operation == "READ"), "read").when(relationship.isin(*walks.VALUE), "field flow").otherwise("chain")
-    )
+    """What kind of flow an edge shows, one of ``FLOW_KINDS``: a routed edge is a write, a column to its own table a read, all else as its type tells."""
+    reads = (relationship == "REF") & (operation == "READ")
+    return F.when(origin.isNotNull(), "write").when(reads, "read").otherwise(_by_type(relationship, KIND_OF_TYPE, "chain"))
 
 
 def path_role(relationship: F.Column, operation: F.Column, origin: F.Column, source_type: F.Column, target_type: F.Column) -> F.Column:
-    """What an edge does on its way; empty where its kind says it all. The types are those of the variables at its ends."""
-    virtual = lambda t: t.isin("virtual_table", "subquery", "union_branch")
-    read_in = F.when(virtual(target_type), "read into output").otherwise("")
-    table = F.when((source_type == "cte") | (target_type == "cte"), "CTE chain").when(virtual(target_type) & ~virtual(source_type), "read into output").when(virtual(source_type), "VT chain").otherwise("")
+    """What an edge does on its way, empty where its kind says it all. The types are those of the variables at its ends.
+
+    Writes are told by where they were routed from; reads and flows of rows by what stands at their ends; others by their type.
+    """
+    from_query, into_query = source_type.isin(*ROWS_OF_QUERIES), target_type.isin(*ROWS_OF_QUERIES)
+    named = (source_type == "cte") | (target_type == "cte")
+    rows = F.when(named, "CTE chain").when(from_query, "VT chain").when(into_query, "read into output").otherwise("")
+    write = F.when(origin == "value", "write value").otherwise("write leg")
+    read = F.when(into_query, "read into output").otherwise("")
     return (
-        F.when(origin == "value", "write value").when(origin.isNotNull() | (relationship == "DML"), "write leg").when(relationship == "REF", F.when(operation == "READ", read_in).otherwise("value copy"))
-        .when(relationship == "ALIAS", "alias hop").when(relationship.isin("FILTER", "INDIRECT"), "filter step").when(relationship == "JOIN", "join step").when(relationship == "AGGREGATE", "aggregate step").when(relationship == "WINDOW", "window step")
-        .when(relationship.isin("TRANSFORM", "COMPUTED"), "compute step").when(relationship.isin("SET_OP", "SUBQUERY"), "combine step").when(relationship == "ROW_FLOW", "row selection").when(relationship == "TABLE_FLOW", table).otherwise("")
+        F.when(origin.isNotNull() | (relationship == "DML"), write).when(relationship == "TABLE_FLOW", rows)
+        .when((relationship == "REF") & (operation == "READ"), read).otherwise(_by_type(relationship, ROLE_OF_TYPE, ""))
     )
 
 
