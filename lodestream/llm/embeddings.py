@@ -209,9 +209,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = components(edges, scratch).withColumnRenamed("node", "leader")
     label = groups.join(classes, "node").join(whole.select("leader", "weight"), "leader").join(by_leader, "leader", "left").join(by_node, "node", "left").join(named, "leader", "left")
     n_links = F.col("weight") - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("more", F.lit(0))
-    label = scratch.keep(label.select("node", "low", n_links.alias("n_links"), F.coalesce("component", "leader").alias("component")), "label")
-    lowest = label.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = scratch.keep(label.join(lowest, "component").select("node", "n_links", "component_id"), "label")
+    label = scratch.keep(label.select(F.coalesce("component", "leader").alias("a"), F.col("node").alias("b"), "low", n_links.alias("n_links")), "label")
+    lowest = label.groupBy("a").agg(F.min("low").alias("component_id"))
+    label = scratch.keep(on_hubs(label, lowest, scratch).select(F.col("b").alias("node"), "n_links", "component_id"), "label")
     scratch.release(hashed, label)
     out = hashed.select("node", "vec_id").join(label, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -186,9 +186,9 @@ def linked(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int
     left = here.join(other, "key").filter(heavier & (F.col("c") != F.col("c_b")) & alike("n", "n_b", percent) & (matches >= both_match) & once)
     edges = edges.unionByName(confirmed(scratch.keep(left.select(F.col("node").alias("a"), F.col("node_b").alias("b")), "pairs")))
     found = components(edges, scratch)
-    named = classes.join(found, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = scratch.keep(named.join(lowest, "component").select("set_key", "component", "component_id"), "labels-of-sets")
+    named = scratch.keep(classes.join(found, "node", "left").select(F.coalesce("component", "node").alias("a"), F.col("node").alias("b"), "set_key", "rep"), "named")
+    lowest = named.groupBy("a").agg(F.min("rep").alias("component_id"))
+    labels = scratch.keep(on_hubs(named, lowest, scratch).select("set_key", F.col("a").alias("component"), "component_id"), "labels-of-sets")
     scratch.release(signed, labels)
     out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_key")).alias("set_key"), "node").join(labels, "set_key", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
