@@ -14,7 +14,7 @@ from lodestream.llm.common import Scratch, giving_back
 from lodestream.llm.tokens import default_tokenizer, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-CACHED_WORDS = 120_000  # words whose ids a worker remembers, in each of two generations
+CACHED_WORDS = 300_000  # words whose ids a worker remembers, in each of two generations
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
