@@ -120,35 +120,210 @@ class Taken:
         return False
 
 
-def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Spans of high recall that overlap each other and no base span of their kind."""
+def _spoken(text: str) -> list[Span]:
+    """Spelt-out mail addresses and colon-separated ip numbers."""
     out: set[Span] = set()
     if ("at" in text or "AT" in text or "@" in text) and any(c in text for c in "[({<"):
         for m in SPOKEN_EMAIL.finditer(text):
             out.update(("email", m.start(), x.end()) for x in LABEL.finditer(text, AT.match(text, m.start()).end(), m.end()))
     if text.count(":") > 1:
         out.update(("ip", m.start(), m.end()) for m in COLON_IP.finditer(text) if m[0].count(":") == 7 or "::" in m[0])
-    for m in DIGIT_RUN.finditer(text):
-        if m.end() - m.start() < 9:
-            continue
-        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
+    return [*out]
+
+
+MOST_DIGITS = 19  # of a card number, the longest kind
+GROUPS_AT_ONCE = 4096  # groups of digits whose windows are described together
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(flags))
+
+
+class _Characters:
+    """A text's characters as arrays: properties are asked once for each distinct character."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds, self.which = np.unique(self.points, return_inverse=True)
+        self.kinds = [chr(c) for c in kinds.tolist()]
+        digit = (self.points >= 48) & (self.points <= 57)
+        value = np.where(digit, self.points.astype(np.int64) - 48, 0)
+        self.n_digits = _sums(digit)
+        # of Luhn sums: each digit plain or doubled, by the parity of its place among all digits
+        odd = (self.n_digits[:-1] % 2).astype(bool)
+        double = np.where(value > 4, 2 * value - 9, 2 * value)
+        self.luhn = [[_sums(np.where(digit & (odd == parity), v, 0)) for v in (value, double)] for parity in (False, True)]
+        self.value = value
+        self.count = {c: _sums(self.points == ord(c)) for c in "().- /"}
+        self.n_any_digits = _sums(self.has(str.isdigit))
+
+    def has(self, asked) -> np.ndarray:
+        return np.array([bool(asked(c)) for c in self.kinds], bool)[self.which]
+
+    def passes_luhn(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        last = (self.n_digits[end] - 1) % 2
+        between = lambda sums: sums[end] - sums[start]
+        total = np.where(last == 1, between(self.luhn[1][0]) + between(self.luhn[0][1]), between(self.luhn[0][0]) + between(self.luhn[1][1]))
+        return total % 10 == 0
+
+
+class _Base:
+    """Base spans of each kind in order, to ask for overlaps of whole arrays."""
+
+    def __init__(self, base: list[Span]):
+        self.of = [(k, *np.array(found).T) for k in KINDS if (found := [(a, b) for x, a, b in base if x == k])]
+
+    def meets(self, kind: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether spans of a kind overlap a base span; one equal to a base span of another kind passes that."""
+        out = np.zeros(len(start), bool)
+        for k, starts, ends in self.of:
+            at = np.searchsorted(ends, start, "right")
+            near = np.minimum(at, len(starts) - 1)
+            meets = (at < len(starts)) & (starts[near] < end)
+            out |= meets if k == kind else meets & ~((starts[near] == start) & (ends[near] == end))
+        return out
+
+
+def _context(text: str, start: int) -> tuple[float, float, float]:
+    last = text[max(0, start - 40) : start].lower().split()[-3:]
+    near = " ".join(last)
+    return (*(float(any(c in w for w in last for c in CUES[k])) for k in ("card", "phone")), float(any(a in near for a in AGAINST)))
+
+
+def _numbers(text: str, base: list[Span], describe: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Candidates for cards and phones, windows of up to MOST_DIGITS digits over the groups of a run: (kind, start, end, features), a bounded number at a time.
+
+    All windows over a stretch of groups are made together; what depends on all of a window (its longest group, its distinct signs) accumulates from the shorter windows.
+    """
+    runs = [(m.start(), m.end()) for m in DIGIT_RUN.finditer(text) if m.end() - m.start() >= 9]
+    if not runs:
+        return
+    chars, taken = _Characters(text), _Base(base)
+    groups = np.array([(g.start(), g.end(), k) for k, (a, b) in enumerate(runs) for g in GROUP.finditer(text, a, b)], np.int64)
+    first_of_run = np.array([a for a, _ in runs], np.int64)
+    points = np.append(chars.points, 0)
+    names: dict[str, int] = {}
+    whole = [names.setdefault(text[a:b], len(names)) for a, b in zip(groups[:-1, 1].tolist(), groups[1:, 0].tolist(), strict=True)]
+    sign = np.array([*whole, -1], np.int64)  # between a group and the next one
+    lead_of = groups[:, 0].copy()
+    for _ in range(3):
+        may = lead_of > first_of_run[groups[:, 2]]
+        before = points[np.maximum(lead_of - 1, 0)]
+        lead_of = np.where(may & ((before == 43) | (before == 40)), lead_of - 1, lead_of)
+    lead_sign = np.array([names.get(text[a:b], -2) if a < b else -1 for a, b in zip(lead_of.tolist(), groups[:, 0].tolist(), strict=True)], np.int64)
+    plus = (groups[:, 0] > 0) & (points[np.maximum(groups[:, 0] - 1, 0)] == 43)
+    if describe:
+        alnum, space = chars.has(str.isalnum), chars.has(str.isspace)
+        among = lambda signs: chars.has(lambda c: c in signs)
+        quoted, joined, goes_on, ends = among("\"'=#_"), among(".-/,"), among("-/_%"), among(".,;!?)")
+        known: dict[int, tuple[float, float, float]] = {}
+    for g0 in range(0, len(groups), GROUPS_AT_ONCE):
+        part = groups[g0 : g0 + GROUPS_AT_ONCE + MOST_DIGITS]
+        n_first = min(GROUPS_AT_ONCE, len(groups) - g0)
+        size = part[:, 1] - part[:, 0]
+        signs = sign[g0 : g0 + len(part)]
+        previous, seen = np.full(len(part), -1, np.int64), {}
+        for k, x in enumerate(signs.tolist()):
+            previous[k] = seen.get(x, -1)
+            seen[x] = k
+        # a row for each first group, a column for each number of groups; what a window takes over from shorter ones accumulates along the row
+        first = np.arange(n_first)[:, None]
+        width = int(np.bincount(part[:, 2] - part[0, 2]).max(initial=1))
+        last = first + np.arange(min(MOST_DIGITS, width))
+        there = last < len(part)
+        last = np.minimum(last, len(part) - 1)
+        there &= part[last, 2] == part[first, 2]
+        sizes = np.where(there, size[last], MOST_DIGITS + 1)
+        total = np.cumsum(sizes, axis=1)
+        longest, shortest = np.maximum.accumulate(sizes, axis=1), np.minimum.accumulate(sizes, axis=1)
+        steps = np.arange(last.shape[1]) > 0
+        kinds_of_sign = np.cumsum(steps & (previous[last - 1] < first), axis=1)
+        led = np.logical_or.accumulate(steps & (signs[last - 1] == lead_sign[g0 + first]), axis=1)
+        fits = np.nonzero(total <= MOST_DIGITS)
+        last, total, longest, shortest, kinds_of_sign, led = (x[fits] for x in (last, total, longest, shortest, kinds_of_sign, led))
+        first, w = fits[0], fits[1] + 1
+        begin, end, lead = part[first, 0], part[last, 1], lead_of[g0 + first]
+        right = chars.passes_luhn(begin, end)
+        balanced = chars.count["("][end] - chars.count["("][lead] == chars.count[")"][end] - chars.count[")"][lead]
+        for kind, yes, start in (("card", (total >= 12) & right, begin), ("phone", (total >= 9) & (total <= 15) & ((w > 1) | plus[g0 + first]) & balanced, lead)):
+            yes = np.flatnonzero(yes)
+            yes = yes[~taken.meets(kind, start[yes], end[yes])]
+            if not len(yes):
+                continue
+            a, b, f, z = start[yes], end[yes], first[yes], last[yes]
+            if not describe:
+                yield np.full(len(yes), ORDER[kind]), a, b, None
+                continue
+            for k in a.tolist():
+                if k not in known:
+                    known[k] = _context(text, k)
+            context = np.array([known[k] for k in a.tolist()])
+            inside = lambda c: (chars.count[c][b] > chars.count[c][a]).astype(float)  # noqa: B023, E731
+            previous_at, next_at, has_previous, has_next = np.maximum(a - 1, 0), np.minimum(b, len(text) - 1), a > 0, b < len(text)
+            lead_new = (a < part[f, 0]) & ~led[yes]
+            x = np.column_stack([
+                *(np.full(len(a), float(kind == k)) for k in KINDS),
+                b - a, total[yes], w[yes], longest[yes], shortest[yes], size[f], size[z],
+                right[yes], chars.points[a] == 43, inside("("), inside("."), inside("-"), inside(" "), inside("/"),
+                kinds_of_sign[yes] + lead_new, chars.value[part[f, 0]], has_previous & alnum[previous_at], has_next & alnum[next_at], has_previous & quoted[previous_at], has_previous & joined[previous_at], has_next & goes_on[next_at],
+                ~has_previous | space[previous_at], ~has_next | space[next_at] | ends[next_at], chars.n_any_digits[a] - chars.n_any_digits[np.maximum(a - 12, 0)], chars.n_any_digits[np.minimum(b + 12, len(text))] - chars.n_any_digits[b],
+                context[:, 0 if kind == "card" else 1], context[:, 2], np.zeros(len(a)), inside("."),
+            ]).astype(float)
+            yield np.full(len(yes), ORDER[kind]), a, b, x
+        if describe and len(known) > 4 * GROUPS_AT_ONCE:
+            known.clear()
+
+
+FEW_GROUPS = 48  # groups of digits of a text up to which windows are taken one by one: arrays pay for more
+
+
+def _windows(text: str, runs: list[tuple[int, int]]) -> Iterator[Span]:
+    """The spans of ``_numbers``, one by one."""
+    for low, high in runs:
+        groups = [g.span() for g in GROUP.finditer(text, low, high)]
         for i, (start, _) in enumerate(groups):
-            n = 0
+            lead, n = start, 0
+            while lead > low and text[lead - 1] in "+(":
+                lead -= 1
             for j in range(i, len(groups)):
-                n += groups[j][1] - groups[j][0]
-                if n > 19:
-                    break
                 end = groups[j][1]
-                if 12 <= n and luhn(NOT_DIGIT.sub("", text[start:end])):
-                    out.add(("card", start, end))
-                if 9 <= n <= 15 and (j > i or text[max(0, start - 1) : start] == "+"):
-                    lead = start
-                    while lead > m.start() and text[lead - 1] in "+(":
-                        lead -= 1
-                    if text[lead:end].count("(") == text[lead:end].count(")"):
-                        out.add(("phone", lead, end))
-    taken = Taken(base)
-    return sorted((s for s in out if not taken.meets(s[1], s[2], s[0])), key=lambda s: (s[1], s[2], s[0]))
+                n += end - groups[j][0]
+                if n > MOST_DIGITS:
+                    break
+                if n >= 12 and luhn(NOT_DIGIT.sub("", text[start:end])):
+                    yield "card", start, end
+                if 9 <= n <= 15 and (j > i or text[max(0, start - 1) : start] == "+") and text.count("(", lead, end) == text.count(")", lead, end):
+                    yield "phone", lead, end
+
+
+def _few(text: str, base: list[Span]) -> tuple[list[Span], bool]:
+    """Candidates that are found one by one, and whether these are all."""
+    runs = [m.span() for m in DIGIT_RUN.finditer(text) if m.end() - m.start() >= 9]
+    few = sum(high - low for low, high in runs) <= 2 * FEW_GROUPS or sum(1 for low, high in runs for _ in GROUP.finditer(text, low, high)) <= FEW_GROUPS
+    found = _spoken(text) + ([*_windows(text, runs)] if few else [])
+    if found and base:
+        taken = Taken(base)
+        found = [s for s in found if not taken.meets(s[1], s[2], s[0])]
+    return found, few
+
+
+def candidates(text: str, base: list[Span]) -> list[Span]:
+    """Spans of high recall that overlap each other and no base span of their kind."""
+    found, few = _few(text, base)
+    for kind, start, end, _ in () if few else _numbers(text, base, describe=False):
+        found += zip([KINDS[k] for k in kind.tolist()], start.tolist(), end.tolist(), strict=True)
+    return sorted(found, key=lambda s: (s[1], s[2], s[0]))
+
+
+def described(text: str, base: list[Span]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates with their features: (kind, start, end, features), a bounded number at a time."""
+    found, few = _few(text, base)
+    for i in range(0, len(found), SCORED):
+        part = found[i : i + SCORED]
+        yield np.array([ORDER[s[0]] for s in part]), np.array([s[1] for s in part]), np.array([s[2] for s in part]), np.array([features(text, s) for s in part])
+    if not few:
+        yield from _numbers(text, base)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -246,7 +421,7 @@ def _example(rng: np.random.Generator, words: list[str]) -> tuple[str, list[Span
     return " ".join(parts), true
 
 
-SCORED = 8192  # candidates of a text whose features are held at once
+SCORED = 8192  # candidates found one by one of a text whose features are held at once
 
 
 class SpanModel:
@@ -255,15 +430,16 @@ class SpanModel:
     def __init__(self, words: list[str], examples: int = 6000, precision: float = 0.98, seed: int = 5):
         rng = np.random.default_rng(seed)
         words = [w for w in words if not DIGIT.search(w) and "@" not in w] or ["word"]
-        x: list[list[list[float]]] = [[], []]
+        x: list[list[np.ndarray]] = [[], []]
         y: list[list[bool]] = [[], []]
         kinds: list[str] = []
         for i in range(examples):
             text, true = _example(rng, words)
             held = i % 3 == 0
-            for span in candidates(text, rule_spans(text)):
-                x[held].append(features(text, span))
-                y[held].append(span in true)
+            rows = [(KINDS[k], a, b, f) for kind, start, end, found in described(text, rule_spans(text)) for k, a, b, f in zip(kind.tolist(), start.tolist(), end.tolist(), found, strict=True)]
+            for *span, f in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+                x[held].append(f)
+                y[held].append(tuple(span) in true)
                 if held:
                     kinds.append(span[0])
         self.trees = BoostedTrees().fit(np.array(x[0]), np.array(y[0], float))
@@ -278,21 +454,25 @@ class SpanModel:
     def spans(self, text: str) -> list[Span]:
         """Base spans and the added ones: by score, none that overlaps another chosen one."""
         base = rule_spans(text)
-        found = candidates(text, base) if DIGIT.search(text) or "@" in text or "at" in text else []
-        if not found:
+        if not (DIGIT.search(text) or "@" in text or "at" in text):
+            return base
+        least = np.array([self.least[k] for k in KINDS])
+        good = []
+        for kind, start, end, x in described(text, base):
+            score = self.trees.score(x)
+            good += [(-v, a, b, KINDS[k]) for v, a, b, k, yes in zip(score.tolist(), start.tolist(), end.tolist(), kind.tolist(), (score >= least[kind]).tolist(), strict=True) if yes]
+        if not good:
             return base
-        parts = (found[i : i + SCORED] for i in range(0, len(found), SCORED))
-        scores = np.concatenate([self.trees.score(np.array([features(text, s) for s in part])) for part in parts])
         chosen, taken = list(base), Taken(base)
-        for k in np.lexsort((np.arange(len(found)), -scores)):
-            span = found[k]
-            if scores[k] >= self.least[span[0]] and not taken.meets(span[1], span[2]):
-                chosen.append(span)
-                taken.add(span[1], span[2])
+        for _, a, b, kind in sorted(good):
+            if not taken.meets(a, b):
+                chosen.append((kind, a, b))
+                taken.add(a, b)
         return sorted(chosen, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
 CONTEXT_DOCS = 64  # documents, the first by a hash of the text in as many classes of it, whose words surround the training examples
+CONTEXT_LENGTH = 30  # characters from which on a word is no context word
 CONTEXT_WORDS = 100  # words of each such document, those of the lowest hashes
 
 
@@ -303,7 +483,7 @@ def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
     chosen = [r.h for r in rows.groupBy(F.pmod("h", F.lit(CONTEXT_DOCS))).agg(F.min("h").alias("h")).collect()]
     hashed = F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))
     words = rows.filter(F.col("h").isin(chosen)).select("h", F.slice(F.array_sort(hashed), 1, CONTEXT_WORDS)["w"].alias("w")).dropDuplicates(["h"])
-    return SpanModel(sorted({w for r in words.collect() for w in r.w if w and len(w) < 30}))
+    return SpanModel(sorted({w for r in words.collect() for w in r.w if w and len(w) < CONTEXT_LENGTH}))
 
 
 def join_spans(spans: list[Span]) -> str:
@@ -316,7 +496,7 @@ FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, ba
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
     """Per document: base counts of each kind, sha256 of the base spans, and all spans as kind:start:end in code points.
 
-    Null and empty texts have no spans (sha256 of the empty text); any length is read whole, in time linear in it;
+    Null and empty texts have no spans (sha256 of the empty text); any length is read whole, in time linear in it (a run of single digits, where each has windows of up to nineteen, takes some 20 microseconds a character);
     repeated rows and null ids pass through; an empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)

@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+from lodestream.llm import pii
 from lodestream.llm.pii import ORDER, SpanModel, Taken, candidates, find_pii, join_spans, luhn, redact, rule_spans
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -33,6 +34,22 @@ def test_rules_equal_plain_expressions():
         assert rule_spans(text) == brute(text), repr(text)
 
 
+@pytest.mark.parametrize("few", [0, 48])
+def test_windows_by_arrays_and_one_by_one_are_the_same(monkeypatch, few):
+    """Candidates and features of arrays against the plain functions of one span."""
+    rng = random.Random(8)
+    parts = ["1", "23", "456", "7890", " ", "-", "(", ")", "+", ".", "/", "a", "call ", "card ", "é", "٣", "\n", "= ", "4918187128635271"]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        base, taken = rule_spans(text), Taken(rule_spans(text))
+        runs = [m.span() for m in pii.DIGIT_RUN.finditer(text) if m.end() - m.start() >= 9]
+        want = sorted((s for s in pii._windows(text, runs) if not taken.meets(s[1], s[2], s[0])), key=lambda s: (s[1], s[2], s[0]))
+        monkeypatch.setattr(pii, "FEW_GROUPS", few)
+        found = {(pii.KINDS[k], a, b): x.tolist() for kind, start, end, rows in pii.described(text, base) for k, a, b, x in zip(kind.tolist(), start.tolist(), end.tolist(), rows, strict=True)}
+        assert candidates(text, base) == sorted(found, key=lambda s: (s[1], s[2], s[0])) == want
+        assert all(found[s] == pii.features(text, s) for s in want)
+
+
 def test_long_texts_take_linear_time(model):
     start = time.time()
     for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000, "a@" * 100_000, "+1 " * 60_000, "1 " * 100_000, "1:" * 100_000, "(at) " * 40_000):
