@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lodestream.plans import aggregates, graphs, joins, scripts, star, surface, views, windows_of_time  # noqa: F401
+from lodestream.plans import aggregates, graphs, joins, scripts, star, surface, views, whole_table, windows_of_time  # noqa: F401
 from lodestream.plans.registry import ORACLES, QUERIES  # noqa: F401
