@@ -15,6 +15,7 @@ from lodestream.llm.common import BROADCAST_IDS, Scratch, giving_back, ship
 SHARD_TOKENS = 1 << 21  # words of a shard, or one longer document
 LONGEST = 5
 FLUSH_ROWS = 1 << 16
+BLOCK_POSITIONS = 1 << 18  # set bits of first words whose ways are walked together
 SIGNS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 GAP = b"\n"
 BITMAP_DDL = "shard long, lang string, word string, n long, bitmap binary"
@@ -40,14 +41,19 @@ def compress(positions: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return out, ends[np.append(starts[1:], len(positions)) - 1] if len(starts) else starts
 
 
-def expand(data: bytes) -> np.ndarray:
-    """Positions of the set bits of a compressed bitmap."""
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+def expand(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the set bits of compressed bitmaps, one after the other, and the number of each."""
+    raw = np.frombuffer(b"".join(maps), np.uint8).astype(np.int64)
+    if not len(raw):
+        return raw, np.zeros(len(maps), np.int64)
     last = raw < 128
-    first = np.append(True, last[:-1])
-    begin = np.flatnonzero(first)
+    begin = np.flatnonzero(np.append(True, last[:-1]))
     shift = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
-    return np.cumsum(np.add.reduceat((raw & 127) << 7 * shift, begin)) if len(raw) else raw
+    gaps = np.add.reduceat((raw & 127) << 7 * shift, begin)
+    sizes = np.diff(np.append(0, np.cumsum(last))[np.append(0, np.cumsum([len(m) for m in maps]))])
+    upto = np.cumsum(gaps)
+    before = np.append(0, upto)[np.cumsum(sizes) - sizes]
+    return upto - np.repeat(before, sizes), sizes
 
 
 class _Codes(dict):
@@ -113,43 +119,52 @@ class Shard:
 
     def __init__(self, gids: list[int], maps: list[bytes]):
         self.gids = np.array(gids, np.int64)
-        self.sets = [expand(m) for m in maps]
-        self.at = np.full(max((int(s[-1]) for s in self.sets if len(s)), default=-1) + 2, -1, np.int32)
-        for k, s in enumerate(self.sets):
-            self.at[s] = k
+        self.positions, self.sizes = expand(maps)
+        self.at = np.full(int(self.positions.max(initial=-1)) + 2, -1, np.int64)
+        self.at[self.positions] = np.repeat(np.arange(len(maps)), self.sizes)
 
-    def links(self, pairs: list[tuple[int, int]]) -> np.ndarray:
-        """At each position whether its word and the next are one of the pairs of gids."""
+    def links(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """At each position whether its word and the next are one of the pairs of gids (all of words of the shard)."""
         order = np.argsort(self.gids)
-        place = {g: k for k, g in zip(order.tolist(), self.gids[order].tolist(), strict=True)}
-        known = np.array(sorted(place[a] * len(self.gids) + place[b] for a, b in pairs if a in place and b in place), np.int64)
-        here, after = self.at[:-1].astype(np.int64), self.at[1:].astype(np.int64)
-        key = np.where((here >= 0) & (after >= 0), here * len(self.gids) + after, -1)
-        found = np.isin(key, known)
-        return np.append(found, False)
-
-    def phrases(self, shortest: int, longest: int, linked: np.ndarray | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
-        """(path, popcount) of phrases of ``shortest`` to ``longest`` words, depth-first; where ``linked`` is given, by linked steps alone. The bitmaps of one way down are held at a time."""
-        ways = [((k,), s) for k, s in enumerate(self.sets)]
-        while ways:
-            path, here = ways.pop()
-            if linked is not None:
-                here = here[linked[here]]
-            here = here + 1
-            word = self.at[here]
-            here, word = here[word >= 0], word[word >= 0]
-            if not len(here):
-                continue
-            order = np.argsort(word, kind="stable")
-            word = word[order]
-            cuts = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
-            firsts, counts = word[cuts[:-1]].tolist(), np.diff(cuts).tolist()
-            if len(path) + 1 >= shortest:
-                for k, n in zip(firsts, counts, strict=True):
-                    yield (*path, k), n
-            if len(path) + 1 < longest:
-                here = here[order]
-                ways += [((*path, k), here[a:b]) for k, a, b in zip(firsts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        place = lambda gids: order[np.searchsorted(self.gids, gids, sorter=order)]
+        known = np.sort(place(first) * len(self.gids) + place(second))
+        out = np.zeros(len(self.at), bool)
+        here = np.flatnonzero((self.at[:-1] >= 0) & (self.at[1:] >= 0))
+        key = self.at[here] * len(self.gids) + self.at[here + 1]
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        out[here] = known[at] == key if len(known) else False
+        return out
+
+    def phrases(self, shortest: int, longest: int, linked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(paths, popcounts) of phrases of ``shortest`` to ``longest`` words; where ``linked`` is given, by linked steps alone.
+
+        Depth-first: a block of first words goes down to the longest phrases before the next one begins, so the bitmaps of one block's ways are held at a time.
+        A step is that of all its phrases at once: shift by one, AND with all words, popcounts of what is equal.
+        """
+        n, ends = len(self.gids), np.cumsum(self.sizes)
+        begin = 0
+        while begin < n:
+            done = ends[begin] - self.sizes[begin]
+            stop = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_POSITIONS, "right")))
+            here = self.positions[done : ends[stop - 1]]
+            paths, way = np.arange(begin, stop)[:, None], np.repeat(np.arange(stop - begin), self.sizes[begin:stop])
+            begin = stop
+            for size in range(2, longest + 1):
+                if linked is not None:
+                    way, here = way[linked[here]], here[linked[here]]
+                here = here + 1
+                word = self.at[here]
+                key, here = (way * n + word)[word >= 0], here[word >= 0]
+                if not len(here):
+                    break
+                order = np.argsort(key, kind="stable")
+                key, here = key[order], here[order]
+                cuts = np.flatnonzero(np.diff(key, prepend=-1))
+                counts = np.diff(np.append(cuts, len(key)))
+                paths = np.column_stack([paths[key[cuts] // n], key[cuts] % n])
+                if size >= shortest:
+                    yield paths, counts
+                way = np.repeat(np.arange(len(cuts)), counts)
 
 
 def _pairs(shards: DataFrame) -> DataFrame:
@@ -160,12 +175,11 @@ def _pairs(shards: DataFrame) -> DataFrame:
             for k, lang, words in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words = words.values.flatten()
                 shard = Shard(words[0].to_pylist(), words[1].to_pylist())
-                found = [(*path, n) for path, n in shard.phrases(2, 2)]
-                table = np.array(found, np.int64).reshape(-1, 3)
-                for a in range(0, len(table), FLUSH_ROWS):
-                    part = table[a : a + FLUSH_ROWS]
-                    ids = [pa.array(shard.gids[part[:, i]]) for i in range(2)]
-                    yield pa.record_batch([pa.array(np.full(len(part), k.as_py())), pa.array([lang.as_py()] * len(part), pa.string()), *ids, pa.array(part[:, 2].copy())], names=_names(PAIR_DDL))
+                for paths, counts in shard.phrases(2, 2):
+                    for a in range(0, len(counts), FLUSH_ROWS):
+                        part, n = paths[a : a + FLUSH_ROWS], counts[a : a + FLUSH_ROWS]
+                        ids = [pa.array(shard.gids[part[:, i]]) for i in range(2)]
+                        yield pa.record_batch([pa.array(np.full(len(n), k.as_py())), pa.array([lang.as_py()] * len(n), pa.string()), *ids, pa.array(n.copy())], names=_names(PAIR_DDL))
 
     return shards.mapInArrow(giving_back(run), PAIR_DDL)
 
@@ -178,21 +192,12 @@ def _longer(shards: DataFrame) -> DataFrame:
             for lang, words, links in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
                 words, links = words.values.flatten(), links.values.flatten()
                 shard = Shard(words[0].to_pylist(), words[1].to_pylist())
-                linked = shard.links([*zip(links[0].to_pylist(), links[1].to_pylist(), strict=True)])
-                ids = np.append(shard.gids, 0)
-                rows: list[tuple[int, ...]] = []
-
-                def out(rows: list[tuple[int, ...]], lang: str = lang.as_py(), ids: np.ndarray = ids) -> pa.RecordBatch:
-                    table = np.array(rows, np.int64)
-                    return pa.record_batch([pa.array([lang] * len(rows), pa.string()), *(pa.array(ids[table[:, i]]) for i in range(LONGEST)), pa.array(table[:, LONGEST].copy())], names=_names(PHRASE_DDL))
-
-                for path, n in shard.phrases(3, LONGEST, linked):
-                    rows.append((*path, *(-1,) * (LONGEST - len(path)), n))
-                    if len(rows) == FLUSH_ROWS:
-                        yield out(rows)
-                        rows = []
-                if rows:
-                    yield out(rows)
+                linked = shard.links(links[0].to_numpy(zero_copy_only=False), links[1].to_numpy(zero_copy_only=False))
+                for paths, counts in shard.phrases(3, LONGEST, linked):
+                    for a in range(0, len(counts), FLUSH_ROWS):
+                        part, n = paths[a : a + FLUSH_ROWS], counts[a : a + FLUSH_ROWS]
+                        ids = [pa.array(shard.gids[part[:, i]] if i < part.shape[1] else np.zeros(len(n), np.int64)) for i in range(LONGEST)]
+                        yield pa.record_batch([pa.array([lang.as_py()] * len(n), pa.string()), *ids, pa.array(n.copy())], names=_names(PHRASE_DDL))
 
     return shards.mapInArrow(giving_back(run), PHRASE_DDL)
 

@@ -43,6 +43,7 @@ def ours(spark, rows, least, top, parts=5):
 @pytest.mark.parametrize("seed", range(2))
 def test_equals_counters_over_many_shards(spark, monkeypatch, seed):
     monkeypatch.setattr(phrases, "SHARD_TOKENS", 50)
+    monkeypatch.setattr(phrases, "BLOCK_POSITIONS", 7)
     rng = random.Random(seed)
     rows = [("".join(rng.choice(["a ", "b ", "C\t", "dé ", ". ", "e", "\n", "a b c "]) for _ in range(rng.randint(0, 40))) if rng.random() < 0.9 else None, rng.choice(["x", "y", None])) for _ in range(200)]
     assert ours(spark, rows, 5, 20) == brute(rows, 5, 20)
@@ -68,5 +69,6 @@ def test_bitmaps_come_back_from_their_bytes():
     sets = [np.unique(rng.integers(0, m, k)) for m, k in ((5, 3), (300, 40), (1 << 33, 50), (1, 1))]
     starts = np.cumsum([0, *map(len, sets[:-1])])
     data, ends = phrases.compress(np.concatenate(sets), starts)
-    for s, a, b in zip(sets, [0, *ends[:-1]], ends, strict=True):
-        assert phrases.expand(data[a:b].tobytes()).tolist() == s.tolist()
+    maps = [data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    positions, sizes = phrases.expand([*maps, b""])
+    assert positions.tolist() == np.concatenate(sets).tolist() and sizes.tolist() == [*map(len, sets), 0]
