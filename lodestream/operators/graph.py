@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lodestream.sources.writers import shared_dir
 
 
+COMPACT_ROUNDS = 8  # rounds after which the tables of what is known become one: the plan holds no more than so many
+
+
 def _keep(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: loops would else grow their plan each round."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
@@ -58,6 +61,7 @@ def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: li
         if front.isEmpty():
             return known
         known = known.unionByName(front)
+        known = known if k % COMPACT_ROUNDS else _keep(known)
     raise RuntimeError(f"the reach did not settle in {most_rounds} rounds")
 
 
@@ -66,12 +70,13 @@ def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source:
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
     known = _keep(seeds.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
     front = known
-    for _ in range(most_rounds):
+    for k in range(1, most_rounds + 1):
         found = front.join(steps, "node").select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
         front = _keep(found.join(known, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")))
         if front.isEmpty():
             break
         known = known.unionByName(front)
+        known = known if k % COMPACT_ROUNDS else _keep(known)
     else:
         raise RuntimeError(f"the paths did not settle in {most_rounds} rounds")
     ends = known.join(goals.select("node").distinct(), "node", "left_semi").filter("size(path) > 1")

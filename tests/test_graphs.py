@@ -68,3 +68,13 @@ def test_loops_that_do_not_settle_are_errors(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(10)], "s int, t int")
     with pytest.raises(RuntimeError):
         reach(spark.createDataFrame([(0,)], "node int"), chain, "s", "t", most_rounds=3)
+
+
+def test_plans_of_long_chains_stay_small(spark):
+    from lodestream.operators.graph import COMPACT_ROUNDS, reach
+
+    n = 2 * COMPACT_ROUNDS + 3
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    out = reach(spark.createDataFrame([(0,)], "node long"), edges, "a", "b")
+    assert sorted((r.node, r.distance) for r in out.collect()) == [(i, i) for i in range(n + 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= COMPACT_ROUNDS + 1
