@@ -1,4 +1,4 @@
-"""The view into one script: compound nodes, writes routed through the statement's output, combined edges, ways and their explanation."""
+"""The view into one script: compound nodes, writes routed through the statement's output, combined edges and ways."""
 
 from __future__ import annotations
 
@@ -10,13 +10,6 @@ from lodestream.lineage.text import lines
 from lodestream.operators.graph import _keep, reach, shortest_paths
 
 LABEL_CHARS = 36
-#: The kinds of flow that an edge may show.
-FLOW_KINDS = ("chain", "field flow", "read", "write", "filter", "structure", "bridge", "row flow")
-#: The kind and the role of an edge by its type, where the type alone tells them.
-KIND_OF_TYPE = {"DML": "write", "ROW_FLOW": "row flow", "SUBSET": "bridge", "SCHEMA": "structure", "FILTER": "filter", "JOIN": "filter", "INDIRECT": "filter", "CORRELATED": "filter", "REF": "field flow", "TRANSFORM": "field flow", "AGGREGATE": "field flow", "WINDOW": "field flow", "COMPUTED": "field flow"}
-ROLE_OF_TYPE = {"ALIAS": "alias hop", "FILTER": "filter step", "INDIRECT": "filter step", "JOIN": "join step", "AGGREGATE": "aggregate step", "WINDOW": "window step", "TRANSFORM": "compute step", "COMPUTED": "compute step", "SET_OP": "combine step", "SUBQUERY": "combine step", "ROW_FLOW": "row selection", "REF": "value copy"}
-#: Types of variables that stand for a query's rows.
-ROWS_OF_QUERIES = ("virtual_table", "subquery", "union_branch")
 
 
 def direct_part(view: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -103,45 +96,6 @@ def path_payload(shown: DataFrame, sources: DataFrame, goals: DataFrame) -> Data
     return both.select("script", "source", "target", F.transform(F.concat("up", "down"), name).alias("hops"), (F.size("up") - 1).alias("own"))
 
 
-def _by_type(relationship: F.Column, values: dict[str, str], rest: str) -> F.Column:
-    table = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, relationship), F.lit(rest))
-
-
-def flow_kind(relationship: F.Column, operation: F.Column, origin: F.Column) -> F.Column:
-    """What kind of flow an edge shows, one of ``FLOW_KINDS``: a routed edge is a write, a column to its own table a read, all else as its type tells."""
-    reads = (relationship == "REF") & (operation == "READ")
-    return F.when(origin.isNotNull(), "write").when(reads, "read").otherwise(_by_type(relationship, KIND_OF_TYPE, "chain"))
-
-
-def path_role(relationship: F.Column, operation: F.Column, origin: F.Column, source_type: F.Column, target_type: F.Column) -> F.Column:
-    """What an edge does on its way, empty where its kind says it all. The types are those of the variables at its ends.
-
-    Writes are told by where they were routed from; reads and flows of rows by what stands at their ends; others by their type.
-    """
-    from_query, into_query = source_type.isin(*ROWS_OF_QUERIES), target_type.isin(*ROWS_OF_QUERIES)
-    named = (source_type == "cte") | (target_type == "cte")
-    rows = F.when(named, "CTE chain").when(from_query, "VT chain").when(into_query, "read into output").otherwise("")
-    write = F.when(origin == "value", "write value").otherwise("write leg")
-    read = F.when(into_query, "read into output").otherwise("")
-    return (
-        F.when(origin.isNotNull() | (relationship == "DML"), write).when(relationship == "TABLE_FLOW", rows)
-        .when((relationship == "REF") & (operation == "READ"), read).otherwise(_by_type(relationship, ROLE_OF_TYPE, ""))
-    )
-
-
-def explained(found: DataFrame, routed: DataFrame) -> DataFrame:
-    """(script, source_id, target_id, relationship, flow_kind, role, line, reason): one line and one sentence for each edge: kind, role, and its own segment with the lines of its ends."""
-    end = lambda x: found.select("script", F.col("id").alias(f"{x}_id"), F.col("name").alias(f"{x}_name"), F.col("line").alias(f"{x}_line"), F.col("variable_type").alias(f"{x}_type"))
-    e = routed.join(end("source"), ["script", "source_id"]).join(end("target"), ["script", "target_id"])
-    e = e.withColumn("flow_kind", flow_kind(F.col("relationship"), F.col("operation"), F.col("origin"))).withColumn("role", path_role(F.col("relationship"), F.col("operation"), F.col("origin"), F.col("source_type"), F.col("target_type")))
-    # a write is anchored where it writes, a read where it reads, all else where its source is, a source without a line where the target is
-    line = F.when(F.col("flow_kind").isin("write", "read"), F.col("target_line")).when(F.col("source_line") < 1, F.col("target_line")).otherwise(F.col("source_line"))
-    head = F.when(F.col("role") == "", F.col("flow_kind")).otherwise(F.format_string("%s (%s)", "flow_kind", "role"))
-    reason = F.format_string("%s — ‖%s@L%d → %s@L%d‖", head, "source_name", "source_line", "target_name", "target_line")
-    return e.select("script", "source_id", "target_id", "relationship", "flow_kind", "role", line.alias("line"), reason.alias("reason"))
-
-
 def response(nodes: DataFrame, edges: DataFrame, flow_nodes: DataFrame, flow_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The whole graph with marks of what lies in the flow, and what only the flow has; where a script's flow is empty, all of it unmarked with in_flow null."""
     some = flow_nodes.select("script").distinct().withColumn("any", F.lit(True))
@@ -161,8 +115,8 @@ def snippets(scripts: DataFrame, anchored: DataFrame, around: int = 2, most: int
     return near.groupBy("script", "item").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def zoom(found: DataFrame, edges: DataFrame, table: str, field: str, direction: str = "downstream") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The view of a field into each script: shown nodes (script, node, label, node_type, parent, part, role), shown edges, and the explanation of each edge before it was combined."""
+def zoom(found: DataFrame, edges: DataFrame, table: str, field: str, direction: str = "downstream") -> tuple[DataFrame, DataFrame]:
+    """The view of a field into each script: shown nodes (script, node, label, node_type, parent, part, role) and shown edges."""
     closure, view = walks.field_view(found, edges, table, field, direction)
     seeds = walks.occurrences_of(found, table, field).select("script", "id")
     targets = seeds if direction == "downstream" else walks.flow_targets(found, edges, closure)
@@ -177,4 +131,4 @@ def zoom(found: DataFrame, edges: DataFrame, table: str, field: str, direction:
     part = nodes.join(parts, ["script", "id"], "left").groupBy("script", "node").agg(F.min("label").alias("label"), F.min("node_type").alias("node_type"), F.min("parent").alias("parent"), F.min(F.coalesce("part", F.lit("indirect"))).alias("part"))
     role = F.when(F.col("written"), "target").when(F.col("origin"), "source").otherwise("waypoint")
     listed = part.join(written, ["script", "node"], "left").join(origin, ["script", "node"], "left").select("script", "node", "label", "node_type", "parent", "part", role.alias("role"))
-    return listed, shown, explained(found, routed)
+    return listed, shown

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.operators.relational import asof_join, range_join, top_per_group
-from lodestream.plans.registry import query
+from lodestream.plans.registry import corpus_query, query
 from lodestream.sources.tables import table, views
 
 
@@ -191,7 +191,7 @@ def c03_recursive_cte(spark, sf):
     return spark.sql(HIERARCHY.format(s="STRING"))
 
 
-@query("WITH RECURSIVE c AS (SELECT 1 AS level, CAST('1' AS VARCHAR) AS path UNION ALL SELECT level + 1, concat(path, '>', CAST(level + 1 AS VARCHAR)) FROM c WHERE level < 6) SELECT level, path FROM c")
+@corpus_query("WITH RECURSIVE c AS (SELECT 1 AS level, CAST('1' AS VARCHAR) AS path UNION ALL SELECT level + 1, concat(path, '>', CAST(level + 1 AS VARCHAR)) FROM c WHERE level < 6) SELECT level, path FROM c")
 def c04_connect_by(spark, sf):
     """CONNECT BY LEVEL <= 6 with its path, as the rewriter makes it."""
     from lodestream.plans.dialects import rewrite

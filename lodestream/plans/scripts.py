@@ -12,7 +12,7 @@ from lodestream.lineage.parser import expression_kind, parse_script
 from lodestream.lineage.lexer import tokenize
 from lodestream.lineage.resolve import coverage, resolve
 from lodestream.plans.dialects import MARKERS, dialect_of
-from lodestream.plans.registry import query
+from lodestream.plans.registry import corpus_query, query
 from lodestream.sources.scripts import CORPUS, corpus
 from lodestream.sources.writers import scratch_table
 
@@ -96,7 +96,7 @@ def _dialect_sql() -> str:
     return f"WITH {_values('s', 'sample, x', SAMPLES.items())}, p AS (SELECT sample, {cols} FROM s), b AS (SELECT *, {best} AS best FROM p) SELECT sample, CASE WHEN best = 0 THEN 'mysql' {cases} END AS dialect FROM b"
 
 
-@query(_dialect_sql())
+@corpus_query(_dialect_sql())
 def f02_dialect(spark, sf):
     return spark.createDataFrame(list(SAMPLES.items()), "sample string, x string").select("sample", dialect_of(F.col("x")).alias("dialect"))
 
@@ -106,7 +106,7 @@ KINDS = (("a", "column"), ("t.a", "column"), ("1", "literal"), ("'x'", "literal"
          ("cast(a AS int)", "transform"), ("a::int", "transform"), ("a + b", "expression"), ("a || 'x'", "expression"), ("(a)", "column"), ("row_number()", "window"))
 
 
-@query(f"WITH {_values('k', 'expression, kind', KINDS)} SELECT * FROM k")
+@corpus_query(f"WITH {_values('k', 'expression, kind', KINDS)} SELECT * FROM k")
 def v_expression_kinds(spark, sf):
     return spark.createDataFrame([(e, expression_kind(tokenize(e))) for e, _ in KINDS], "expression string, kind string")
 
@@ -114,7 +114,7 @@ def v_expression_kinds(spark, sf):
 CLASSES = [(name, "schema" if name.endswith(".ddl") else "script") for name in sorted(CORPUS)]
 
 
-@query(f"WITH {_values('c', 'script, file_class', CLASSES)} SELECT * FROM c")
+@corpus_query(f"WITH {_values('c', 'script, file_class', CLASSES)} SELECT * FROM c")
 def s05_file_class(spark, sf):
     return _analysis(spark).files
 
@@ -122,7 +122,7 @@ def s05_file_class(spark, sf):
 ERRORS = [("l_broken.sql", 0), ("l_broken.sql", 2)]
 
 
-@query(f"WITH {_values('e', 'script, statement', ERRORS)} SELECT * FROM e")
+@corpus_query(f"WITH {_values('e', 'script, statement', ERRORS)} SELECT * FROM e")
 def f04_errors(spark, sf):
     return _analysis(spark).errors.select("script", "statement")
 
@@ -130,7 +130,7 @@ def f04_errors(spark, sf):
 def _phase(name: str, sql: str):
     def add(function):
         function.__name__ = f"dg_{name}"
-        return query(f"WITH {_variables_sql()}, {ANCHORS} {sql}")(function)
+        return corpus_query(f"WITH {_variables_sql()}, {ANCHORS} {sql}")(function)
 
     return add
 
@@ -201,7 +201,7 @@ RESOLVED = [
 ]
 
 
-@query(f"WITH {_values('r', 'script, context, clause, qualifier, col, tbl, strategy', RESOLVED)} SELECT * FROM r")
+@corpus_query(f"WITH {_values('r', 'script, context, clause, qualifier, col, tbl, strategy', RESOLVED)} SELECT * FROM r")
 def r_resolution(spark, sf):
     rows = _resolved(spark).filter(F.col("script").isin("c_join.sql", "e_report.sql", "j_ambiguous.sql", "k_window.sql"))
     return rows.select("script", "context", "clause", "qualifier", F.col("column").alias("col"), F.col("table").alias("tbl"), "strategy").distinct()
@@ -210,7 +210,7 @@ def r_resolution(spark, sf):
 COVERED = [("a_load.sql", 7, 7, 100.0), ("b_customers.sql", 9, 9, 100.0), ("c_join.sql", 13, 13, 100.0), ("d_summary.sql", 10, 10, 100.0), ("e_report.sql", 7, 7, 100.0), ("f_merge.sql", 10, 10, 100.0), ("g_union.sql", 8, 8, 100.0), ("h_hive.sql", 6, 6, 100.0), ("j_ambiguous.sql", 7, 5, 71.4), ("k_window.sql", 6, 6, 100.0)]
 
 
-@query(f"WITH {_values('c', 'script, total, resolved, coverage_pct', COVERED)} SELECT script, total::BIGINT AS total, resolved::BIGINT AS resolved, coverage_pct::DOUBLE AS coverage_pct FROM c")
+@corpus_query(f"WITH {_values('c', 'script, total, resolved, coverage_pct', COVERED)} SELECT script, total::BIGINT AS total, resolved::BIGINT AS resolved, coverage_pct::DOUBLE AS coverage_pct FROM c")
 def r_coverage(spark, sf):
     return coverage(_resolved(spark)).select("script", "total", "resolved", "coverage_pct")
 
@@ -231,17 +231,17 @@ FIELD_EDGES = [
 TRUE_FIELDS = _values("e", "script, source, target", FIELD_EDGES)
 
 
-@query(f"WITH {TRUE_FIELDS} SELECT * FROM e")
+@corpus_query(f"WITH {TRUE_FIELDS} SELECT * FROM e")
 def l_field_edges(spark, sf):
     return _fields(spark).select("script", "source", "target").distinct()
 
 
-@query(f"WITH RECURSIVE {TRUE_FIELDS}, r AS (SELECT 'stg_orders.amount' AS node, 0 AS distance UNION SELECT e.target, distance + 1 FROM r JOIN e ON e.source = r.node WHERE distance < 20) SELECT 'stg_orders.amount' AS seed, node, min(distance) AS distance FROM r GROUP BY node")
+@corpus_query(f"WITH RECURSIVE {TRUE_FIELDS}, r AS (SELECT 'stg_orders.amount' AS node, 0 AS distance UNION SELECT e.target, distance + 1 FROM r JOIN e ON e.source = r.node WHERE distance < 20) SELECT 'stg_orders.amount' AS seed, node, min(distance) AS distance FROM r GROUP BY node")
 def l_downstream(spark, sf):
     return flow.field_flow(_fields(spark), spark.createDataFrame([("stg_orders.amount",)], "node string"))
 
 
-@query(f"WITH RECURSIVE {TRUE_FIELDS}, r AS (SELECT 'summary.mean_total' AS node, 0 AS distance UNION SELECT e.source, distance + 1 FROM r JOIN e ON e.target = r.node WHERE distance < 20) SELECT 'summary.mean_total' AS seed, node, min(distance) AS distance FROM r GROUP BY node")
+@corpus_query(f"WITH RECURSIVE {TRUE_FIELDS}, r AS (SELECT 'summary.mean_total' AS node, 0 AS distance UNION SELECT e.source, distance + 1 FROM r JOIN e ON e.target = r.node WHERE distance < 20) SELECT 'summary.mean_total' AS seed, node, min(distance) AS distance FROM r GROUP BY node")
 def l_upstream(spark, sf):
     return flow.field_flow(_fields(spark), spark.createDataFrame([("summary.mean_total",)], "node string"), "upstream")
 
@@ -257,19 +257,19 @@ def _io(spark) -> DataFrame:
     return _once(spark, "io", lambda: flow.table_io(_analysis(spark)))
 
 
-@query(f"WITH {TRUE_IO} SELECT * FROM io")
+@corpus_query(f"WITH {TRUE_IO} SELECT * FROM io")
 def g01_table_io(spark, sf):
     return _io(spark).withColumnRenamed("table", "tbl")
 
 
-@query(f"""WITH {TRUE_IO}, l AS (SELECT o.script AS source, i.script AS target, string_agg(DISTINCT o.tbl, ',' ORDER BY o.tbl) AS tables FROM io o JOIN io i ON o.tbl = i.tbl AND o.direction = 'output' AND i.direction = 'input' AND o.script <> i.script GROUP BY 1, 2),
+@corpus_query(f"""WITH {TRUE_IO}, l AS (SELECT o.script AS source, i.script AS target, string_agg(DISTINCT o.tbl, ',' ORDER BY o.tbl) AS tables FROM io o JOIN io i ON o.tbl = i.tbl AND o.direction = 'output' AND i.direction = 'input' AND o.script <> i.script GROUP BY 1, 2),
 s AS (SELECT a.script AS source, b.script AS target, string_agg(DISTINCT a.tbl, ',' ORDER BY a.tbl) AS tables FROM io a JOIN io b ON a.tbl = b.tbl AND a.direction = 'input' AND b.direction = 'input' AND a.script < b.script GROUP BY 1, 2)
 SELECT source, target, 'data_lineage' AS relation, tables FROM l UNION ALL SELECT source, target, 'shared_input', tables FROM s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.source = s.source AND l.target = s.target OR l.source = s.target AND l.target = s.source)""")
 def g02_script_graph(spark, sf):
     return flow.script_graph(_io(spark)).select("source", "target", "relation", F.concat_ws(",", "tables").alias("tables"))
 
 
-@query(f"WITH {TRUE_IO} SELECT tbl, CASE WHEN count(DISTINCT direction) = 2 THEN 'intermediate' WHEN min(direction) = 'input' THEN 'source' ELSE 'output' END AS role FROM io GROUP BY tbl")
+@corpus_query(f"WITH {TRUE_IO} SELECT tbl, CASE WHEN count(DISTINCT direction) = 2 THEN 'intermediate' WHEN min(direction) = 'input' THEN 'source' ELSE 'output' END AS role FROM io GROUP BY tbl")
 def g03_table_roles(spark, sf):
     return flow.table_roles(_io(spark)).withColumnRenamed("table", "tbl")
 
@@ -284,18 +284,18 @@ def _uses(spark) -> DataFrame:
 TABLES = [("blocked", "cust_id", "b_customers.sql"), ("kept", "cust_id,ok", "d_summary.sql,i_tables.ddl"), ("logs", "msg", "l_broken.sql"), ("raw.nation", "n_name,n_nationkey", "b_customers.sql"), ("raw.supplier", "s_name,s_suppkey", "g_union.sql"), ("stg_customers", "cust_id,name,nation,segment", "b_customers.sql,c_join.sql,g_union.sql,i_tables.ddl,j_ambiguous.sql")]
 
 
-@query(f"WITH {_values('t', 'tbl, fields, scripts', TABLES)} SELECT * FROM t")
+@corpus_query(f"WITH {_values('t', 'tbl, fields, scripts', TABLES)} SELECT * FROM t")
 def i01_table_index(spark, sf):
     names = [t for t, _, _ in TABLES]
     return index.table_index(_uses(spark)).filter(F.col("table").isin(*names)).select(F.col("table").alias("tbl"), F.concat_ws(",", "fields").alias("fields"), F.concat_ws(",", "scripts").alias("scripts"))
 
 
-@query(f"WITH {_values('p', 'pair, scripts', [('sales.place', 'c_join.sql,d_summary.sql'), ('kept.ok', 'd_summary.sql,i_tables.ddl'), ('stg_customers.nation', 'b_customers.sql,i_tables.ddl')])} SELECT * FROM p")
+@corpus_query(f"WITH {_values('p', 'pair, scripts', [('sales.place', 'c_join.sql,d_summary.sql'), ('kept.ok', 'd_summary.sql,i_tables.ddl'), ('stg_customers.nation', 'b_customers.sql,i_tables.ddl')])} SELECT * FROM p")
 def i02_pair_index(spark, sf):
     return index.pair_index(_uses(spark)).filter(F.col("pair").isin("sales.place", "kept.ok", "stg_customers.nation")).select("pair", F.concat_ws(",", "scripts").alias("scripts"))
 
 
-@query(f"WITH {_values('f', 'script, tbl, field', [('c_join.sql', 'stg_customers', 'name'), ('c_join.sql', 'stg_customers', 'cust_id'), ('c_join.sql', 'stg_customers', 'segment'), ('d_summary.sql', 'sales', 'place')])} SELECT * FROM f")
+@corpus_query(f"WITH {_values('f', 'script, tbl, field', [('c_join.sql', 'stg_customers', 'name'), ('c_join.sql', 'stg_customers', 'cust_id'), ('c_join.sql', 'stg_customers', 'segment'), ('d_summary.sql', 'sales', 'place')])} SELECT * FROM f")
 def i03_scope_filter(spark, sf):
     a = spark.createDataFrame([("steps/C_JOIN.sql", "STG_CUSTOMERS"), ("c_join", "stg_orders"), ("d_summary.sql", "Sales"), ("e_report", "nowhere")], "SCRIPT_NAME string, TABLE_NAME string")
     b = spark.createDataFrame([("stg_customers", ""), ("stg_customers", "name"), ("SALES", "PLACE"), ("", "orphan")], "TABLE_NAME string, COL_NAME string")
@@ -309,18 +309,18 @@ def i05_complete(spark, sf):
     return index.complete(table(spark, sf, "nation").select(F.col("n_name").alias("name")), "Nation_1")
 
 
-@query(f"WITH {_values('o', 'field, n, scripts', [('cust_id', 1, 'j_ambiguous.sql'), ('mystery', 1, 'j_ambiguous.sql')])} SELECT field, n::BIGINT AS n, scripts FROM o")
+@corpus_query(f"WITH {_values('o', 'field, n, scripts', [('cust_id', 1, 'j_ambiguous.sql'), ('mystery', 1, 'j_ambiguous.sql')])} SELECT field, n::BIGINT AS n, scripts FROM o")
 def i07_orphans(spark, sf):
     return index.orphans(_resolved(spark)).select("field", "n", F.concat_ws(",", "scripts").alias("scripts"))
 
 
-@query("SELECT 4::BIGINT AS n_found, 5::BIGINT AS n_truth, 3::BIGINT AS n_both, 0.6::DOUBLE AS recall, 0.75::DOUBLE AS precision")
+@corpus_query("SELECT 4::BIGINT AS n_found, 5::BIGINT AS n_truth, 3::BIGINT AS n_both, 0.6::DOUBLE AS recall, 0.75::DOUBLE AS precision")
 def i11_recall_precision(spark, sf):
     make = lambda rows: spark.createDataFrame([(r,) for r in rows], "k string")
     return index.recall_precision(make("abcx"), make("abcde"), ["k"])
 
 
-@query(f"WITH {_values('r', 'script, roles', [('a_load.sql', 'DML TARGET'), ('c_join.sql', 'SELECT'), ('f_merge.sql', 'SELECT'), ('h_hive.sql', 'SELECT'), ('j_ambiguous.sql', 'SELECT'), ('k_window.sql', 'SELECT')])} SELECT * FROM r")
+@corpus_query(f"WITH {_values('r', 'script, roles', [('a_load.sql', 'DML TARGET'), ('c_join.sql', 'SELECT'), ('f_merge.sql', 'SELECT'), ('h_hive.sql', 'SELECT'), ('j_ambiguous.sql', 'SELECT'), ('k_window.sql', 'SELECT')])} SELECT * FROM r")
 def l16_roles(spark, sf):
     return index.roles(_resolved(spark), _analysis(spark), "stg_orders", "amount").select("script", F.concat_ws(",", "roles").alias("roles"))
 
@@ -329,7 +329,7 @@ TEXTS = _values("s", "script, sql_text", sorted(CORPUS.items()))
 LINES = "l AS (SELECT script, unnest(string_split(sql_text, chr(10))) AS text, unnest(range(1, len(string_split(sql_text, chr(10))) + 1)) AS line FROM s)"
 
 
-@query(f"""WITH {TEXTS}, c AS (SELECT script, unnest(string_split(regexp_replace(sql_text, '[^()]', '', 'g'), '')) AS c, unnest(range(1, length(regexp_replace(sql_text, '[^()]', '', 'g')) + 1)) AS k FROM s),
+@corpus_query(f"""WITH {TEXTS}, c AS (SELECT script, unnest(string_split(regexp_replace(sql_text, '[^()]', '', 'g'), '')) AS c, unnest(range(1, length(regexp_replace(sql_text, '[^()]', '', 'g')) + 1)) AS k FROM s),
 d AS (SELECT script, max(depth) AS depth FROM (SELECT script, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY script ORDER BY k) AS depth FROM c) GROUP BY script)
 SELECT s.script, len(string_split(sql_text, chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(sql_text, ';'))::BIGINT AS statements, len(regexp_extract_all(sql_text, '(?i)\\bJOIN\\b'))::BIGINT AS joins, len(regexp_extract_all(sql_text, '(?i)\\bSELECT\\b'))::BIGINT AS selects,
 len(regexp_extract_all(sql_text, '(?i)\\bCASE\\b'))::BIGINT AS cases, greatest(coalesce(depth, 0), 0)::BIGINT AS depth FROM s LEFT JOIN d ON d.script = s.script""")
@@ -339,7 +339,7 @@ def f08_profile(spark, sf):
     return profile(corpus(spark))
 
 
-@query(f"""WITH {TEXTS}, {LINES}, k(clause) AS (VALUES ('SELECT'), ('FROM'), ('WHERE'), ('GROUP BY'), ('HAVING'), ('ORDER BY'), ('LIMIT')),
+@corpus_query(f"""WITH {TEXTS}, {LINES}, k(clause) AS (VALUES ('SELECT'), ('FROM'), ('WHERE'), ('GROUP BY'), ('HAVING'), ('ORDER BY'), ('LIMIT')),
 f AS (SELECT script, clause, min(line) AS low FROM l JOIN k ON regexp_matches(upper(trim(text)), '^' || replace(clause, ' ', '[ ]+') || '\\b') GROUP BY 1, 2), e AS (SELECT script, max(line) AS last FROM l GROUP BY 1)
 SELECT f.script, clause, CAST(low AS INT) AS low, CAST(coalesce(lead(low) OVER (PARTITION BY f.script ORDER BY low) - 1, last) AS INT) AS high FROM f JOIN e ON e.script = f.script""")
 def f09_clause_ranges(spark, sf):
@@ -348,7 +348,7 @@ def f09_clause_ranges(spark, sf):
     return clause_ranges(corpus(spark))
 
 
-@query(f"""WITH {TEXTS}, {LINES}, e AS (SELECT script, max(line) AS last FROM l GROUP BY 1), w AS (SELECT l.script, greatest(line - 1, 1) AS low, least(line + 1, last) AS high FROM l JOIN e ON e.script = l.script WHERE contains(text, 'stg_orders')),
+@corpus_query(f"""WITH {TEXTS}, {LINES}, e AS (SELECT script, max(line) AS last FROM l GROUP BY 1), w AS (SELECT l.script, greatest(line - 1, 1) AS low, least(line + 1, last) AS high FROM l JOIN e ON e.script = l.script WHERE contains(text, 'stg_orders')),
 m AS (SELECT script, min(low) AS low, max(high) AS high FROM (SELECT *, sum(new) OVER (PARTITION BY script ORDER BY low, high) AS island FROM (SELECT *, CASE WHEN max(high) OVER (PARTITION BY script ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= low THEN 0 ELSE 1 END AS new FROM w)) GROUP BY script, island)
 SELECT m.script, CAST(low AS INT) AS low, CAST(high AS INT) AS high, string_agg(text, chr(10) ORDER BY line) AS text, CAST(any_value(low - before - 1) AS INT) AS omitted
 FROM (SELECT *, coalesce(lag(high) OVER (PARTITION BY script ORDER BY low), 0) AS before FROM m) m JOIN l ON l.script = m.script AND l.line BETWEEN low AND high GROUP BY m.script, low, high""")
@@ -359,7 +359,7 @@ def s12_excerpts(spark, sf):
     return excerpts(corpus(spark), hits, 1)
 
 
-@query(f"WITH {_values('t', 'relationship, passes, ways, class', flow.EDGE_TYPES)} SELECT class, count(*) AS n, count(*) FILTER (WHERE passes) AS n_value FROM t GROUP BY class")
+@corpus_query(f"WITH {_values('t', 'relationship, passes, ways, class', flow.EDGE_TYPES)} SELECT class, count(*) AS n, count(*) FILTER (WHERE passes) AS n_value FROM t GROUP BY class")
 def edge_types(spark, sf):
     types = spark.createDataFrame(flow.EDGE_TYPES, "relationship string, value boolean, both boolean, class string")
     return types.groupBy("class").agg(F.count("*").alias("n"), F.count(F.when(F.col("value"), 1)).alias("n_value"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import dialect
 from lodestream.operators.relational import delete_rows, delete_using, hash_sample, merge_into, merge_ranges, update_from, update_rows
-from lodestream.plans.registry import query
+from lodestream.plans.registry import corpus_query, query
 from lodestream.sources.tables import table, views
 
 
@@ -132,7 +132,7 @@ def f_row_to_json(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("row"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(id, letter)")
+@corpus_query("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(id, letter)")
 def s14_values(spark, sf):
     return spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b') AS v(id, letter)")
 

@@ -1,4 +1,4 @@
-"""Views of scripts: the physical model, closures of a field, searches over scripts and zooms into one; checked against rows written out in ``truths``."""
+"""Views of scripts: the physical model, closures of a field, searches over scripts and zooms into one; checked by tests against rows written out there."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from lodestream.lineage import closure, edges, flow, index, levels, physical, zo
 from lodestream.lineage.analysis import Analysis, analyze
 from lodestream.lineage.resolve import resolve
 from lodestream.plans import scripts as base
-from lodestream.plans.registry import query
-from lodestream.plans.truths import TRUTHS
+from lodestream.plans.registry import corpus_query
 from lodestream.sources.scripts import corpus, from_text
 
 #: Scripts of one construct each.
@@ -24,14 +23,7 @@ CASES = {
 }
 
 
-def truth(function):
-    """Register with the rows that ``truths`` has for the query's name."""
-    columns, rows = TRUTHS.get(function.__name__, ("", []))
-    if not rows:
-        return query()(function)
-    typed = [(c.split(":") + ["VARCHAR"])[:2] for c in columns.split(", ")]
-    names, casts = ", ".join(f'"{c}"' for c, _ in typed), ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for c, kind in typed)
-    return query(f"WITH {base._values('t', names, rows)} SELECT {casts} FROM t")(function)
+truth = corpus_query()  # their rows are written out in the tests
 
 
 def _cases(spark) -> Analysis:
@@ -272,7 +264,7 @@ def g06_smooth_layers(spark, sf):
 PAIRS = "WITH RECURSIVE {fields}, w AS (SELECT source, target FROM e UNION SELECT target, source FROM e), r AS (SELECT 'stg_orders.amount' AS node UNION SELECT w.target FROM r JOIN w ON w.source = r.node) SELECT regexp_extract(node, '^(.*)[.][^.]*$', 1) AS tbl, regexp_extract(node, '([^.]+)$', 1) AS field FROM r WHERE NOT contains(node, '#')"
 
 
-@query(PAIRS.format(fields=base.TRUE_FIELDS))
+@corpus_query(PAIRS.format(fields=base.TRUE_FIELDS))
 def g07_pair_closure(spark, sf):
     return levels.pair_closure(base._fields(spark), "stg_orders", "amount").withColumnRenamed("table", "tbl")
 
@@ -352,11 +344,6 @@ def g15_path_payload(spark, sf):
     return _labelled(spark, ways).select("from_", "to_", "hops", F.col("own").cast("long").alias("own")).distinct()
 
 
-@truth
-def g16_explanations(spark, sf):
-    return _zoom(spark, 2).filter("script = 'c_join.sql'").select("relationship", "flow_kind", "role", F.col("line").cast("long").alias("line"), "reason").distinct()
-
-
 @truth
 def g17_response(spark, sf):
     nodes, view = closure.field_view(_found(spark), _edges(spark), "stg_orders", "amount")
@@ -365,13 +352,6 @@ def g17_response(spark, sf):
     return count(marked, "nodes").union(count(e, "edges")).filter("script IN ('a_load.sql', 'c_join.sql', 'h_hive.sql')")
 
 
-@truth
-def g19_snippets(spark, sf):
-    items = _zoom(spark, 2).filter("script = 'c_join.sql' AND flow_kind = 'field flow'").select("script", F.col("reason").alias("item"), "line").distinct()
-    rows = zoom.snippets(corpus(spark), items, 1)
-    return rows.select("item", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.length("text").cast("long").alias("n_chars"))
-
-
 # --- indexes -------------------------------------------------------------------------------------------------
 
 

@@ -136,3 +136,13 @@ def test_layers_of_the_smoothing_stay_below_the_furthest_neighbour(spark):
     layers = spark.createDataFrame([("a", 0), ("b", 1), ("c", 5), ("x", 0)], "node string, layer int")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "s string, t string")
     assert {r.node: r.layer for r in smooth(layers, edges, "s", "t").collect()} == {"a": 3, "b": 4, "c": 5, "x": 4}
+
+
+def test_snippets_are_the_lines_around(spark):
+    from lodestream.lineage.zoom import snippets
+
+    text = "one\ntwo\nthree\nfour\nfive"
+    scripts = spark.createDataFrame([("a", text), ("b", "alone")], "script string, sql_text string")
+    items = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "z", 5), ("b", "w", 1)], "script string, item string, line int")
+    got = {(r.script, r["item"]): (r.low, r.high, r.text) for r in snippets(scripts, items, 1).collect()}
+    assert got == {("a", "x"): (1, 2, "one\ntwo"), ("a", "y"): (2, 4, "two\nthree\nfour"), ("a", "z"): (4, 5, "four\nfive"), ("b", "w"): (1, 1, "alone")}

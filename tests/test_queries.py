@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from lodestream.plans import catalog
+from lodestream.plans.scripts import _values
+from truths import TRUTHS
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,24 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.execute(catalog.ORACLES[name]).df())
     else:
         assert len(got.columns) > 0
+
+
+def truth_sql(name):
+    columns, written = TRUTHS[name]
+    typed = [(c.split(":") + ["VARCHAR"])[:2] for c in columns.split(", ")]
+    names, casts = ", ".join(f'"{c}"' for c, _ in typed), ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for c, kind in typed)
+    return f"WITH {_values('t', names, written)} SELECT {casts} FROM t"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.CORPUS_QUERIES))
+def test_scripts_of_the_library(spark, duck, name):
+    got = catalog.CORPUS_QUERIES[name](spark, SF).toPandas()
+    sql = catalog.CORPUS_ORACLES.get(name) or (truth_sql(name) if TRUTHS.get(name, ("", []))[1] else None)
+    if sql:
+        assert rows(got) == rows(duck.execute(sql).df())
+    else:
+        assert len(got.columns) > 0
+
+
+def test_registered_queries_read_the_given_tables():
+    assert not set(catalog.QUERIES) & set(catalog.CORPUS_QUERIES) and not set(TRUTHS) & set(catalog.QUERIES)

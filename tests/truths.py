@@ -1,4 +1,4 @@
-"""Rows that queries of ``views`` must give, written out and read against the scripts; by query: columns (with a type where not text) and rows."""
+"""Rows that checks of ``lodestream.plans.views`` must give, written out and read against the scripts; by query: columns (with a type where not text) and rows."""
 
 TRUTHS: dict[str, tuple[str, list[tuple]]] = {
     "pm_entities": (
@@ -308,23 +308,6 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('totals', 'ranked', 'stg_orders>totals>ranked>sales', 1), ('totals', 't@8', 'stg_orders>totals>t@8>ranked>sales', 1),
         ],
     ),
-    "g16_explanations": (
-        "relationship, flow_kind, role, line:BIGINT, reason",
-        [
-            ('AGGREGATE', 'field flow', 'aggregate step', 2, 'field flow (aggregate step) — ‖amount@L2 → total@L2‖'), ('ALIAS', 'chain', 'alias hop', 14, 'chain (alias hop) — ‖ranked@L14 → r@L14‖'),
-            ('ALIAS', 'chain', 'alias hop', 8, 'chain (alias hop) — ‖totals@L8 → t@L8‖'), ('COMPUTED', 'field flow', 'compute step', 11, 'field flow (compute step) — ‖r.total@L11 → band@L12‖'),
-            ('REF', 'field flow', 'value copy', 2, 'field flow (value copy) — ‖total@L2 → t.total@L7‖'), ('REF', 'field flow', 'value copy', 7, 'field flow (value copy) — ‖place@L7 → place@L11‖'),
-            ('REF', 'field flow', 'value copy', 7, 'field flow (value copy) — ‖t.total@L7 → r.total@L11‖'), ('REF', 'read', '', 14, 'read — ‖place@L11 → ranked@L14‖'),
-            ('REF', 'read', '', 14, 'read — ‖r.total@L11 → ranked@L14‖'), ('REF', 'read', '', 3, 'read — ‖amount@L2 → stg_orders@L3‖'), ('REF', 'read', '', 8, 'read — ‖t.total@L7 → totals@L8‖'),
-            ('SCHEMA', 'structure', '', 14, 'structure — ‖r@L14 → r.total@L11‖'), ('SCHEMA', 'structure', '', 8, 'structure — ‖t@L8 → t.total@L7‖'), ('TABLE_FLOW', 'chain', '', 14, 'chain — ‖r@L14 → sales@L10‖'),
-            ('TABLE_FLOW', 'chain', 'CTE chain', 1, 'chain (CTE chain) — ‖totals@L1 → ranked@L6‖'), ('TABLE_FLOW', 'chain', 'CTE chain', 3, 'chain (CTE chain) — ‖stg_orders@L3 → totals@L1‖'),
-            ('TABLE_FLOW', 'chain', 'CTE chain', 6, 'chain (CTE chain) — ‖ranked@L6 → sales@L10‖'), ('TABLE_FLOW', 'chain', 'CTE chain', 8, 'chain (CTE chain) — ‖t@L8 → ranked@L6‖'),
-            ('TABLE_FLOW', 'chain', 'CTE chain', 8, 'chain (CTE chain) — ‖totals@L8 → ranked@L6‖'), ('TABLE_FLOW', 'write', 'write leg', 10, 'write (write leg) — ‖⟐ output@L11 → sales@L10‖'),
-            ('TABLE_FLOW', 'write', 'write leg', 11, 'write (write leg) — ‖band@L12 → ⟐ output@L11‖'), ('TABLE_FLOW', 'write', 'write leg', 11, 'write (write leg) — ‖place@L11 → ⟐ output@L11‖'),
-            ('TABLE_FLOW', 'write', 'write leg', 11, 'write (write leg) — ‖r.total@L11 → ⟐ output@L11‖'), ('TABLE_FLOW', 'write', 'write leg', 11, 'write (write leg) — ‖total@L11 → ⟐ output@L11‖'),
-            ('TRANSFORM', 'field flow', 'compute step', 11, 'field flow (compute step) — ‖r.total@L11 → total@L11‖'), ('WINDOW', 'field flow', 'window step', 7, 'field flow (window step) — ‖t.total@L7 → place@L7‖'),
-        ],
-    ),
     "g17_response": (
         "script, what, in_flow, n:BIGINT",
         [
@@ -332,14 +315,6 @@ TRUTHS: dict[str, tuple[str, list[tuple]]] = {
             ('c_join.sql', 'nodes', 'true', 16), ('h_hive.sql', 'edges', 'false', 24), ('h_hive.sql', 'edges', 'true', 8), ('h_hive.sql', 'nodes', 'false', 9), ('h_hive.sql', 'nodes', 'true', 5),
         ],
     ),
-    "g19_snippets": (
-        "item, low:BIGINT, high:BIGINT, n_chars:BIGINT",
-        [
-            ('field flow (aggregate step) — ‖amount@L2 → total@L2‖', 1, 3, 88), ('field flow (compute step) — ‖r.total@L11 → band@L12‖', 10, 12, 208),
-            ('field flow (compute step) — ‖r.total@L11 → total@L11‖', 10, 12, 208), ('field flow (value copy) — ‖place@L7 → place@L11‖', 6, 8, 104), ('field flow (value copy) — ‖t.total@L7 → r.total@L11‖', 6, 8, 104),
-            ('field flow (value copy) — ‖total@L2 → t.total@L7‖', 1, 3, 88), ('field flow (window step) — ‖t.total@L7 → place@L7‖', 6, 8, 104),
-        ],
-    ),
     "i01_field_index": (
         "field, tables, scripts",
         [
