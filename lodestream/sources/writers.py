@@ -26,4 +26,5 @@ def scratch_table(spark: SparkSession, df: DataFrame, mode: str = "error", path:
     path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.parquet(path), path
+    # a partitioned table without rows has no file that tells its columns
+    return (spark.read.schema(df.schema) if by else spark.read).parquet(path), path
