@@ -19,12 +19,12 @@ BROADCAST_GROUPS = 50_000  # groups whose bounds are broadcast; beyond it they a
 
 def sketch(df: DataFrame, keys: Sequence[str], distinct: str | None = None, quantiles: str | None = None) -> DataFrame:
     """(keys, n_states, distinct_state, quantile_state) of each group, to be stored; nulls and NaN count in neither. A column without a name has no state."""
-    made = [F.lit(1).cast("long").alias("n_states")]
+    made = [F.count(F.lit(1)).alias("__rows")]
     if distinct:
         made.append(F.hll_sketch_agg(distinct, F.lit(LG_CELLS)).alias("distinct_state"))
     if quantiles:
         made.append(F.kll_sketch_agg_double(_number(quantiles), F.lit(KLL_K)).alias("quantile_state"))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *made[1:]).select(*keys, made[0], *(c for c in ("distinct_state", "quantile_state") if {"distinct_state": distinct, "quantile_state": quantiles}[c]))
+    return df.groupBy(*keys).agg(*made).withColumn("n_states", F.lit(1).cast("long")).drop("__rows")
 
 
 def roll_up(states: DataFrame, keys: Sequence[str]) -> DataFrame:
