@@ -202,6 +202,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TEMPLATE_DDL = "host string, content array<string>, constant array<long>, linked array<string>"
 TEMPLATE = pa.schema([("host", pa.string()), ("content", pa.list_(pa.string())), ("constant", pa.list_(pa.int64())), ("linked", pa.list_(pa.string()))])
 CONTENT_SHARE, CONSTANT_SHARE = 0.75, 0.5
+FIXED_SHARE = 0.8  # share of a host's pages that have a template's own text, and share of a slot's blocks that are such texts
+DECLARED_PAGES = 8  # distinct pages that it takes to leave texts out of a declared article or main part
 #: Hints: the share that a declared article or main part needs, and the weight of text that an element name, class, id or role sets aside.
 DECLARED_SHARE, SIDE_WEIGHT = 0.3, 0.1
 
@@ -251,7 +253,14 @@ def _deduce(group: pa.Table) -> pa.Table:
             s[0], s[1], s[2] = s[0] + r["chars"], s[1] + r["linked"], s[2] + r["chars"] * (1 if r["kind"] == "s" else SIDE_WEIGHT)
     linked = sorted(slot for slot, (chars, links, _) in slots.items() if links >= MOST_LINKED * chars)
     weight = {slot: w for slot, (chars, links, w) in slots.items() if links < MOST_LINKED * chars}
-    same = [(*r["token"].split(" ", 1), r["chars"], r["linked"]) for r in rows if r["kind"] == "t" and r["pages"] >= 0.8 * pages]
+    blocks: dict[str, list[int]] = {}
+    for r in rows:
+        if r["kind"] in ("s", "x", "t"):
+            b = blocks.setdefault(r["token"].split(" ", 1)[1] if r["kind"] == "t" else r["token"], [0, 0])
+            b[r["kind"] == "t"] += r["total"] if r["kind"] != "t" or r["pages"] >= FIXED_SHARE * pages else 0
+    # a slot with few other texts is the template's; in one that varies, only what no page lacks
+    fixed = {slot for slot, (n, constant) in blocks.items() if constant >= FIXED_SHARE * n}
+    same = [(*r["token"].split(" ", 1), r["chars"], r["linked"]) for r in rows if r["kind"] == "t" and r["pages"] >= (FIXED_SHARE if r["token"].split(" ", 1)[1] in fixed else 1) * pages]
     own = [(slot, chars - side + side * SIDE_WEIGHT) for _, slot, chars, side in same if slot in weight]
     # a template's own texts are the lesser part: beyond it they are an article in near copies
     if sum(w for _, w in own) >= CONSTANT_SHARE * sum(weight.values()):
@@ -266,7 +275,9 @@ def _deduce(group: pa.Table) -> pa.Table:
             continue
         if sum(w for slot, w in weight.items() if _under(slot, path)) >= (DECLARED_SHARE if declared else CONTENT_SHARE) * whole * n:
             content = [c for c in content if not _under(path, c)] + [path]
-    constant = sorted(int(key) for key, *_ in same)
+    # a few pages cannot tell a template's text in a declared article from a quotation
+    spared = [c for c in content if _declared(c)] if pages < DECLARED_PAGES else []
+    constant = sorted(int(key) for key, slot, *_ in same if not any(_under(slot, c) for c in spared))
     return pa.table({"host": [rows[0]["host"]], "content": [content], "constant": [constant], "linked": [linked]}, schema=TEMPLATE)
 
 
@@ -322,7 +333,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     its slot, the path of its element. 2. ``templates`` deduces each host's nested classes, their slots and the content
     elements. 3. A page keeps the blocks under its content elements, without what is set aside within them (menus, headers,
     footers, sidebars, notices, adverts, forms, hidden parts and comments, by element, class, id or role), link lists and
-    texts that most distinct pages of the host have in that slot, unless nothing else remains. Pages without text there, and those
+    texts of the template, unless nothing else remains: those of 80 per cent of the host's distinct pages in a slot that hardly holds others, and those of all its pages in one
+    that does; within a declared article or main part it takes eight distinct pages to tell. A paragraph that no page lacks there is thus left out. Pages without text there, and those
     of a host with one distinct page, which has nothing to compare, fall back on the declared article or main part, else on names of classes.
 
     A null or empty page has the empty text; a null url is a host of its own; pages of any length are read whole; broken markup

@@ -394,3 +394,15 @@ def test_stages_of_empty_and_odd_tables(spark):
         out = stage(spark, odd, SF)
         n = out.count()
         assert n == {"near_duplicates": 5, "decontamination": 6, "personal_data": 6, "packing": 6}[name]
+
+
+@pytest.mark.parametrize(("shell", "n", "holding"), [("<article>{}</article>", 2, 2), ("<article>{}</article>", 7, 7), ("<article>{}</article>", 10, 9), ("<div>{}</div>", 10, 9)])
+def test_a_paragraph_that_pages_share_stays(spark, shell, n, holding):
+    from lodestream.llm.html_template import extract
+
+    body = lambda i: f"<h1>Title {i}</h1>" + ("<p>a shared quotation</p>" if i < holding else "") + f"<p>the own paragraph of page {i}, which nobody else has</p>"
+    pages = [(i, "http://x.example/a", f"<html><body>{shell.format(body(i))}<div class='legal'>All rights reserved by the publisher</div></body></html>") for i in range(n)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        assert f"the own paragraph of page {i}," in got[i] and ("a shared quotation" in got[i]) == (i < holding) and got[i].startswith(f"Title {i}")
+        assert "All rights reserved" not in got[i]
