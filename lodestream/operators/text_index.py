@@ -31,13 +31,11 @@ def _fold(text: Column) -> Column:
     return F.replace(F.translate(text, string.ascii_uppercase + KELVIN, string.ascii_lowercase + "k"), F.lit(DOTTED_I), F.lit("i\u0307"))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pieces of three code points, in one pass over the letters."""
-    letters = F.split(_fold(text), "")
-    n = F.size(letters) - N + 1
-    first, second, third = (F.slice(letters, F.lit(i + 1), n) for i in range(N))
-    joined = F.zip_with(F.zip_with(first, second, lambda a, b: F.concat(a, b)), third, lambda ab, c: F.concat(ab, c))
-    return F.when(n > 0, F.array_distinct(joined))
+def _grams(rows: DataFrame) -> DataFrame:
+    """(__row, grams): distinct pieces of three code points; the letters are a column of their own, so that they are cut once."""
+    letters = rows.select("__row", F.split(_fold(F.col("__text")), "").alias("__l"))
+    piece = F.transform(F.sequence(F.lit(0), F.size("__l") - N), lambda i: F.concat(*(F.get("__l", i + j) for j in range(N))))
+    return letters.filter(F.size("__l") >= N).select("__row", F.array_distinct(piece).alias("grams"))
 
 
 def literals(kind: str, pattern: str) -> list[str]:
@@ -82,7 +80,8 @@ class TextIndex:
         spark = df.sparkSession
         path = path or f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
         rows, _ = scratch_table(spark, df.filter(F.col(text).isNotNull()).withColumnRenamed(text, "__text").withColumn("__row", F.monotonically_increasing_id()), path=f"{path}/rows")
-        postings = rows.select(F.explode(_grams(F.col("__text"))).alias("gram"), "__row")
+        grams, _ = scratch_table(spark, _grams(rows), path=f"{path}/grams")  # written, as cutting ranges reads them twice
+        postings = grams.select(F.explode("grams").alias("gram"), "__row")
         postings, _ = scratch_table(spark, postings.repartitionByRange("gram", "__row").sortWithinPartitions("gram", "__row"), path=f"{path}/postings")
         scratch_table(spark, postings.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram"), path=f"{path}/counts")
         return cls(spark, path)
