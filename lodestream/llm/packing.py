@@ -118,7 +118,7 @@ def pack(
 ) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as it can.
 
-    Each round deals the open pieces into groups of about ``bins_in_group`` bins by a hash, packs each
+    Each round deals the open pieces into groups of about ``bins_in_group`` bins by a hash of the piece and its row number, so equal rows spread too, packs each
     group by best-fit decreasing and bounds its bin count from below by dual-feasible functions. Full
     bins and, where the bound certifies the count, all bins but the emptiest are settled. A group with
     a gap gives up its emptiest bins, twice the gap at least; a certified one its emptiest bin if that
@@ -139,7 +139,8 @@ def pack(
         final = groups == 1 or before is not None and groups >= before
         base, before = number << 56, groups
 
-        grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)), F.lit(groups)).cast("long")
+        # the row number spreads equal rows; ``todo`` is a written table, so a task run again numbers its rows alike
+        grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)).cast("long")
         packed = scratch.keep(todo.select(*PIECES.names, grp.alias("grp")).groupBy("grp").applyInArrow(_filler(capacity, base, final), out), "packed")
         settled.append(packed.filter("settled").drop("settled"))
         scratch.drop(todo) if not number else None

@@ -60,7 +60,9 @@ def write_tokens(
             yield out(ids, starts, parts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges may cut within an id, and within equal rows by the row number
+    rows = rows.withColumns({"__text": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "__text", "__row").sortWithinPartitions("doc_id", "__text").select("doc_id", "text")
     encoded = rows.mapInArrow(encode, "doc_id long, segment int, segment_start long, ids array<int>")
     writer = encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
     with releasing_shuffles(docs.sparkSession):

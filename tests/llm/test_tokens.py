@@ -123,3 +123,34 @@ def test_rounds_reach_the_bound(spark):
 
 def test_packing_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_hot_id_is_cut_into_segments(spark):
+    """A third of the rows are equal and have no id; no segment holds a third of all rows."""
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, 'the same words', concat('words ', id)) AS text").repartition(4)
+    path, name = Scratch(spark, "t").path("orc"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        write_tokens(df, path)
+    finally:
+        spark.conf.unset(name)
+    sizes = [r["count"] for r in read_tokens(spark, path).groupBy("segment").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 640
+    index = token_index(spark, path).orderBy("start").collect()
+    assert [r.start for r in index] == np.cumsum([0, *(r.n_tokens for r in index)])[:-1].tolist()
+    assert [r.doc_id for r in index] == sorted((r.doc_id for r in index), key=lambda d: (d is not None, d or 0))
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    df = spark.range(1500).selectExpr("CAST(null AS long) AS doc_id", "repeat('word ', 99) AS text").repartition(4)
+    out = pack(df, capacity=400, bins_in_group=8).collect()
+    length = out[0].length
+    assert len(out) == 1500 and {r.length for r in out} == {length}
+    groups, places = {}, {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append(r.offset)
+        groups[r.sequence_id >> 24] = groups.get(r.sequence_id >> 24, 0) + 1
+    assert len(groups) > 20 and max(groups.values()) < 150
+    fit = 400 // length
+    assert all(sorted(p) == [i * length for i in range(len(p))] for p in places.values())
+    assert len(places) == -(-1500 // fit)
