@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import mmap
+import resource
+import sys
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -22,6 +24,8 @@ FLUSH = 1 << 21  # tokens counted together in a worker
 SCORED = 1 << 20  # tokens scored together
 BUCKET_CHARS = 1 << 22  # characters of the corpus a bucket
 REMOTE_BYTES = 256 << 20  # bytes of model files that a worker holds where the shared folder cannot be mapped
+MAPPED = 24_576  # files that a worker keeps mapped: the kernel allows a process 65,530 maps
+KEEPS_NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}  # a map then holds no file open
 BLOCK_DDL = "bucket int, block binary"
 SIZES_DDL = "bucket int, n0 long, n1 long, tokens long, c1 long, c2 long, c3 long, c4 long"
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -61,7 +65,7 @@ def get(uri: str) -> list[np.ndarray]:
     if isinstance(system, fs.LocalFileSystem):
         try:
             with open(path, "rb") as file:
-                buffer = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+                buffer = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **KEEPS_NO_FILE)
         except FileNotFoundError:
             return []
     else:
@@ -83,6 +87,11 @@ def get(uri: str) -> list[np.ndarray]:
     return out
 
 
+def most_mapped() -> int:
+    """How many files a worker keeps mapped; where each map holds its file open, half of those that it may open at most."""
+    return MAPPED if KEEPS_NO_FILE else max(1, min(MAPPED, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2))
+
+
 def small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts as bytes, and the places and values of those that a byte does not hold."""
     over = np.flatnonzero(n >= 255)
@@ -247,20 +256,23 @@ class Layout:
 
     def __init__(self, root: str, bits: int, heavy: int, n_docs: int):
         self.root, self.bits, self.heavy, self.n_docs = root, bits, heavy, n_docs
-        self.files: dict[str, object] = {}
+        self.files: OrderedDict[str, object] = OrderedDict()
 
     def arrays(self, name: str) -> list[np.ndarray]:
         return self.named(name, list) or []
 
     def named(self, name: str, make: Callable) -> object:
-        """What ``make`` gives of the file, remembered where it is mapped; None without it."""
+        """What ``make`` gives of the file, remembered where it is mapped (the files used last, as many as a worker may map); None without it."""
         key = f"{name} {make.__name__}"
         if key in self.files:
+            self.files.move_to_end(key)
             return self.files[key]
         found = get(f"{self.root}/{name}")
         out = make(found) if found else None
         if isinstance(_open(self.root)[0], fs.LocalFileSystem):
             self.files[key] = out
+            if len(self.files) > most_mapped():
+                self.files.popitem(last=False)
         return out
 
     def words_known(self) -> None:
@@ -289,7 +301,7 @@ class Layout:
         return self
 
     def __getstate__(self) -> dict:
-        return {"root": self.root, "bits": self.bits, "heavy": self.heavy, "n_docs": self.n_docs, "files": {}}
+        return {"root": self.root, "bits": self.bits, "heavy": self.heavy, "n_docs": self.n_docs, "files": OrderedDict()}
 
     # the first values of buckets by the first bits
 
@@ -428,6 +440,7 @@ def worker_layout(layout: Layout, step: str) -> Layout:
     key = f"{layout.root} {step}"
     if key not in _layouts:
         _layouts.clear()
+        _scorers.clear()  # a model scored before stays mapped no longer
         _layouts[key] = layout.ready()
     return _layouts[key]
 

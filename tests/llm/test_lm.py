@@ -1,4 +1,6 @@
 import math
+import os
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,6 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from lodestream.llm import lm
 from lodestream.llm.lm import Counts, Table, get, mixed, pack, put, score_documents, small, table_of, unmixed, unpack
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -127,3 +130,21 @@ def test_parts_left_by_lost_tasks_are_not_read(tmp_path):
     put(f"{tmp_path}/words-00001", np.arange(3, dtype=np.uint64))
     put(f"{tmp_path}/words-00001", np.arange(3, dtype=np.uint64))
     assert get(f"{tmp_path}/words-00001")[0].tolist() == [0, 1, 2] and get(f"{tmp_path}/words-00002") == []
+
+
+@pytest.mark.parametrize("most", [None, 40])
+def test_a_model_of_more_files_than_may_be_open(tmp_path, monkeypatch, most):
+    """Each bucket has seven files: at some thousand buckets a worker maps more than it may open."""
+    if most:
+        monkeypatch.setattr(lm, "MAPPED", most)
+    layout = lm.Layout(str(tmp_path), 6, 0, 1)
+    for k in range(300):
+        put(f"{tmp_path}/words-{k:05d}", np.array([k], np.uint64))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 100, hard))
+    try:
+        for _ in range(2):
+            assert [int(layout.arrays(f"words-{k:05d}")[0][0]) for k in range(300)] == list(range(300))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(layout.files) == (most or 300)
