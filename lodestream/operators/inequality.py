@@ -11,7 +11,8 @@ from lodestream.operators.ordered import prefix_scan
 from lodestream.operators.relational import _before
 from lodestream.sources.writers import scratch_table
 
-BIN = 1 << 16  # places in the second order that one task sorts at once
+BIN = 1 << 16  # places in one order that one task sorts at once
+BROADCAST_ROWS = 200_000  # posted cells up to which they are broadcast
 LEVELS = 62  # of dyadic cells over whole numbers of 64 bits, sign and one bit to spare
 
 
@@ -71,7 +72,7 @@ def inequality_join(left: DataFrame, right: DataFrame, earlier: tuple[str, str],
     return asks.join(answers, ["__level", "__node", "__number"]).select("__left.*", "__right.*")
 
 
-def _cells(low: Column, high: Column) -> Column:
+def _cells(low: Column, high: Column, top: int = LEVELS) -> Column:
     """The dyadic cells (level, cell) that make up [low, high): at most two a level, none overlaps another.
 
     At a level the whole cells of its size that fit reach from the rounded-up low to the rounded-down high; the first of them belongs to this level if it is odd, and so does the last but one bound.
@@ -85,7 +86,7 @@ def _cells(low: Column, high: Column) -> Column:
         right = F.when((rest < end) & odd_end, F.struct(level.alias("level"), (end - 1).alias("cell")))
         return F.filter(F.array(left, right), lambda c: c.isNotNull())
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), at))
 
 
 def stab_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str) -> DataFrame:
@@ -99,6 +100,8 @@ def stab_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     levels = sorted(r[0] for r in posted.select("__level").distinct().collect())  # at most LEVELS + 1 numbers
     level = F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.expr("array_remove(array(0), 0)")).alias("__level")
     asked = points.filter(F.col(at).isNotNull()).select("*", level).withColumn("__cell", F.call_function("shiftright", F.col(at).cast("long"), F.col("__level")))
+    # a file's size says little of its rows in memory: a broadcast only of rows that were counted
+    posted = posted.hint("broadcast" if posted.count() <= BROADCAST_ROWS else "merge")
     return asked.join(posted, ["__level", "__cell"]).drop("__level", "__cell")
 
 
@@ -111,3 +114,48 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: Sequence[str], ri
     begins = stab_join(right.filter(F.col(c) < F.col(d)), left, c, a, b)
     later = stab_join(left.filter(F.col(a) < F.col(b)), right.withColumn("__after", F.col(c).cast("long") + 1), a, "__after", d).drop("__after")
     return begins.select(*left.columns, *right.columns).unionByName(later.select(*left.columns, *right.columns))
+
+
+def _top(spans: DataFrame, low: str, high: str) -> int:
+    """The highest level at which intervals of these lengths have a cell."""
+    longest = spans.agg(F.max(F.col(high).cast("decimal(38,0)") - F.col(low).cast("decimal(38,0)"))).first()[0] or 1
+    return min(LEVELS, int(longest).bit_length() - 1)
+
+
+def overlap_summary(left: DataFrame, right: DataFrame, left_span: Sequence[str], right_span: Sequence[str], value: str) -> DataFrame:
+    """Each left interval [low, high) that right ones overlap, with their number ``n``, the ``least`` of a column of theirs and the summed lengths ``shared``; whole numbers, no pair is made.
+
+    ``n``: those that begin before its end less those that end at its beginning at the latest. ``shared``: what all right intervals cover up to its end less what they cover up to its
+    beginning. Both follow from running sums over all ends in order. ``least``: of the intervals that begin within it, over its dyadic cells, and of those whose dyadic cells hold its beginning.
+    The cost is that of the ends and of their cells, however many overlap. Empty and null intervals overlap nothing; repeated rows count each.
+    """
+    spark, (a, b), (c, d) = left.sparkSession, left_span, right_span
+    rows, _ = scratch_table(spark, left.filter(F.col(a) < F.col(b)).withColumn("__row", F.monotonically_increasing_id()))
+    own = rows.select("__row", F.col(a).cast("long").alias("__low"), F.col(b).cast("long").alias("__high"))
+    others, _ = scratch_table(spark, right.filter(F.col(c) < F.col(d)).select(F.col(c).cast("long").alias("__low"), F.col(d).cast("long").alias("__high"), F.col(value).alias("least")))
+    end = lambda at, kind: F.struct(F.col(at).alias("t"), F.lit(kind).alias("kind"))
+    # at one time: ends that ask, others' ends, beginnings that ask, others' beginnings
+    posts = others.select(F.explode(F.array(end("__high", 1), end("__low", 3))).alias("e")).groupBy("e.t", "e.kind").agg(F.count("*").alias("k")).select("t", "kind", "k", F.lit(None).cast("long").alias("__row"))
+    asks = own.select("__row", F.explode(F.array(end("__high", 0), end("__low", 2))).alias("e")).select("e.t", "e.kind", F.lit(0).cast("long").alias("k"), "__row")
+    begins, t, k = F.col("kind") == 3, F.col("t").cast("decimal(20,0)"), F.col("k").cast("decimal(18,0)")
+    sums = {"begun": F.when(begins, F.col("k")), "ended": F.when(F.col("kind") == 1, F.col("k")), "times": (F.when(begins, t * k).otherwise(-t * k)).cast("decimal(38,0)")}
+    at = prefix_scan(posts.unionByName(asks), ["t", "kind", "__row"], sums, "__place").filter("__row is not null")
+    covered = (t * (F.col("begun") - F.col("ended")).cast("decimal(18,0)")).cast("decimal(38,0)") - F.col("times")
+    is_end = F.col("kind") == 0
+    counted = at.select("__row", F.when(is_end, F.col("begun")).otherwise(-F.col("ended")).alias("n"), F.when(is_end, covered).otherwise(-covered).cast("decimal(38,0)").alias("shared"))
+    # the least value
+    cell = F.call_function("shiftright", F.col("__low"), F.col("__level")).alias("__cell")
+    level = lambda top: F.explode(F.sequence(F.lit(0), F.lit(top))).alias("__level")
+    least, place = F.min("least").alias("least"), ["__level", "__cell"]
+    of = lambda top: F.explode(_cells(F.col("__low"), F.col("__high"), top)).alias("__c")
+    split = [F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")]
+    top = _top(own, "__low", "__high")
+    inside = others.groupBy("__low").agg(least).select("__low", "least", level(top)).select("__level", cell, "least").groupBy(place).agg(least)
+    within = own.select("__row", of(top)).select("__row", *split).join(inside, place).select("__row", "least")
+    top = _top(others, "__low", "__high")
+    held = others.select("least", of(top)).select("least", *split).groupBy(place).agg(least)
+    points = own.select("__low").distinct().select("__low", level(top)).select("__low", "__level", cell).join(held, place).groupBy("__low").agg(least)
+    over = own.join(points, "__low").select("__row", "least")
+    told = counted.unionByName(within.unionByName(over), allowMissingColumns=True)
+    found = told.groupBy("__row").agg(F.sum("n").alias("n"), least, F.sum("shared").cast("long").alias("shared")).filter("n > 0")
+    return rows.join(found, "__row").drop("__row")

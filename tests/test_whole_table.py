@@ -107,3 +107,20 @@ def test_no_nested_loop_in_the_plans(spark):
     for out in (inequality.inequality_counts(a, b, ("id", "k"), ("v", "w")), inequality.inequality_join(a, b, ("id", "k"), ("v", "w")), inequality.overlap_join(a, b, ("v", "id"), ("k", "w"))):
         plan = out._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlaps_are_summed_without_pairs(spark, seed):
+    rng = random.Random(seed)
+    span = lambda: (low := rng.randint(-50, 50), low + rng.choice([-1, 0, 1, 2, 7, 100, 5000]))
+    a, b = [span() for _ in range(40)] + [(None, 5), (4, None), (3, 9), (3, 9)], [span() for _ in range(40)] + [(None, 5), (2, 3), (9, 10), (-(1 << 50), 1 << 50)] * 2
+    real = lambda s: None not in s and s[0] < s[1]
+    want = []
+    for i, s in enumerate(a):
+        met = [(j, min(s[1], t[1]) - max(s[0], t[0])) for j, t in enumerate(b) if real(s) and real(t) and s[0] < t[1] and t[0] < s[1]]
+        if met:
+            want.append((i, len(met), min(met)[0], sum(m[1] for m in met)))
+    left, right = spark.createDataFrame([(i, *s) for i, s in enumerate(a)], "i int, a long, b long"), spark.createDataFrame([(j, *s) for j, s in enumerate(b)], "j int, c long, d long")
+    out = inequality.overlap_summary(left, right, ("a", "b"), ("c", "d"), "j")
+    assert sorted((r.i, r.n, r.least, r.shared) for r in out.collect()) == want
+    assert inequality.overlap_summary(left.limit(0), right, ("a", "b"), ("c", "d"), "j").count() == 0 == inequality.overlap_summary(left, right.limit(0), ("a", "b"), ("c", "d"), "j").count()
