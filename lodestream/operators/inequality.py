@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.ordered import prefix_scan
 from lodestream.operators.relational import _before
+from lodestream.sources.package import ship
 from lodestream.sources.writers import scratch_table
 
 BIN = 1 << 16  # places in one order that one task sorts at once
@@ -16,19 +20,26 @@ BROADCAST_ROWS = 200_000  # posted cells up to which they are broadcast
 LEVELS = 62  # of dyadic cells over whole numbers of 64 bits, sign and one bit to spare
 
 
-def _nodes(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str]) -> DataFrame:
-    """Rows of both sides at each level where they can meet: (__left, __right, __level, __node, __y).
+def _placed(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str]) -> DataFrame:
+    """Rows of both sides with their places from 0: (__left, __right, __side, __at, __y), written.
 
-    All rows are placed by x, then by y from the largest down; of equal values left rows come first, which makes both comparisons strict. The places by x make a binary tree: a left row
-    follows a right one in x exactly if in one node, at one level, it lies in the second half and the right one in the first. So a row has one entry a level, as one that asks
-    (left row, second half) or one that answers (right row, first half), and in a node only y remains to be compared.
+    All rows are placed by x, then by y from the largest down; of equal values left rows come first, which makes both comparisons strict: a left row's partners are the right rows before it in both.
     """
     l = left.select(F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.schema).alias("__right"), F.col(earlier[0]).alias("__x"), F.col(larger[0]).alias("__v"), F.lit(0).alias("__side"))
     r = right.select(F.lit(None).cast(left.schema).alias("__left"), F.struct(*right.columns).alias("__right"), F.col(earlier[1]).alias("__x"), F.col(larger[1]).alias("__v"), F.lit(1).alias("__side"))
     both = l.unionByName(r).filter("__x is not null and __v is not null")
-    by_x = prefix_scan(both, ["__x", "__side", F.xxhash64("__left", "__right")], position="__at")
+    by_x = prefix_scan(both, ["__x", "__side", F.xxhash64("__left", "__right")], position="__at").drop("__x")
     by_y = prefix_scan(by_x, [F.col("__v").desc(), "__side", "__at"], position="__y")
-    placed, _ = scratch_table(left.sparkSession, by_y.select("__left", "__right", "__side", (F.col("__at") - 1).alias("__at"), "__y"))
+    return scratch_table(left.sparkSession, by_y.select("__left", "__right", "__side", (F.col("__at") - 1).alias("__at"), (F.col("__y") - 1).alias("__y")))[0]
+
+
+def _nodes(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str]) -> DataFrame:
+    """Rows of both sides at each level where they can meet: (__left, __right, __level, __node, __y).
+
+    The places by x make a binary tree: a left row follows a right one in x exactly if in one node, at one level, it lies in the second half and the right one in the first. So a row has
+    one entry a level, as one that asks (left row, second half) or one that answers (right row, first half), and in a node only y remains to be compared.
+    """
+    placed = _placed(left, right, earlier, larger)
     depth = max(1, int(placed.count() - 1).bit_length())
     half = F.call_function("shiftright", F.col("__at"), F.col("__level")).bitwiseAND(F.lit(1))
     posted = placed.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).filter(half == 1 - F.col("__side"))
@@ -45,19 +56,83 @@ def _answers_before(nodes: DataFrame) -> DataFrame:
     return told.withColumn("__k", F.sum("__answer").over(here) + F.coalesce("__carry", F.lit(0)))
 
 
+def dominated(a: np.ndarray, y: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Of each row the number of answering rows that are less in both ``a`` (may be equal among rows) and ``y`` (differs): the tree of ``_nodes`` over one block."""
+    by_y = np.argsort(y)
+    rank = np.unique(a[by_y], return_inverse=True)[1]
+    rank = rank.astype(np.uint16 if len(rank) <= 1 << 16 else np.uint32)  # narrow numbers are sorted by digits
+    answers, out = answers[by_y], np.zeros(len(a), np.int64)
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        second, node = rank >> level & 1 == 1, rank >> level >> 1
+        order = np.argsort(node, kind="stable")
+        node, told = node[order], np.cumsum(answers[order] & ~second[order])
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        before = np.repeat(np.r_[0, told][first], np.diff(np.r_[first, len(node)]))
+        n = np.empty(len(a), np.int64)
+        n[order] = told - before
+        out += np.where(second, n, 0)
+    back = np.empty(len(a), np.int64)
+    back[by_y] = out
+    return back
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[n].to_numpy() for n in names]
+
+
+def _before_in_cells(columns: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a row of cells, for each column that follows one with rows: how many rows the columns before it hold."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        x, n = _numbers(cells, "__xb", "__n")
+        held = np.zeros(columns + 1, np.int64)
+        held[x + 1] = n
+        upto = np.cumsum(held)[:-1]
+        at = np.flatnonzero(upto)
+        return pa.table({"__xb": at, "__yb": np.full(len(at), cells["__yb"][0].as_py(), np.int64), "__n": upto[at]})
+
+    return run
+
+
+def _in_column(rows: pa.Table) -> pa.Table:
+    """Of each asking row of a block by x: the answering rows before it in the block and in all cells before its own."""
+    side, at, y, row, n = _numbers(rows, "__side", "__at", "__y", "__yb", "__n")
+    cell = side == 2
+    held = np.zeros(int(row.max()) + 2, np.int64)
+    held[row[cell] + 1] = n[cell]
+    side, at, y, row = (v[~cell] for v in (side, at, y, row))
+    found = (dominated(at, y, side == 1) + np.cumsum(held)[row])[side == 0]
+    return pa.table({"__at": at[side == 0], "__n": found})
+
+
+def _in_row(rows: pa.Table) -> pa.Table:
+    """Of each asking row of a block by y: the answering rows before it in the block that lie in an earlier block by x."""
+    side, at, y, column = _numbers(rows, "__side", "__at", "__y", "__xb")
+    return pa.table({"__at": at[side == 0], "__n": dominated(column, y, side == 1)[side == 0]})
+
+
 def inequality_counts(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str], name: str = "n") -> DataFrame:
     """Each left row with the number of right rows whose first column is less (``earlier``: left's, right's) and whose second is greater (``larger``).
 
-    Costs rows times the logarithm of their number, whatever the number of pairs: no pair is made. Rows with a null in a compared column match nothing; repeated rows count each.
+    Places by x and by y are cut into blocks, which make a grid of at most as many cells as rows. What a row asks for lies in its own block by x, in its own block by y and earlier by x, or in
+    cells before its own in both; the blocks are counted each in a task, the cells by sums. So each row is shuffled a fixed number of times, whatever the number of pairs: no pair is made.
+    Rows with a null in a compared column match nothing; repeated rows count each.
     """
-    asked = _answers_before(_nodes(left, right, earlier, larger)).filter("__left is not null")
-    found = asked.groupBy("__left").agg(F.sum("__k").alias("__n"))
-    sizes = left.groupBy(*left.columns).agg(F.count("*").alias("__copies"))
-    same = F.lit(True)
-    for c in left.columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"__left.{c}"))
-    counted = sizes.join(found, same, "left").withColumn(name, F.coalesce((F.col("__n") / F.col("__copies")).cast("long"), F.lit(0)))
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*left.columns, name)
+    spark = left.sparkSession
+    ship(spark)
+    placed = _placed(left, right.select(earlier[1], larger[1]), earlier, larger)
+    total = placed.count()
+    block = max(BIN, math.isqrt(total) + 1)
+    rows = placed.select("__side", "__at", "__y", F.expr(f"__at div {block}").alias("__xb"), F.expr(f"__y div {block}").alias("__yb"))
+    cells = rows.filter("__side = 1").groupBy("__xb", "__yb").agg(F.count("*").alias("__n"))
+    upto = cells.groupBy("__yb").applyInArrow(_before_in_cells(total // block + 1), "__xb long, __yb long, __n long")
+    none = F.lit(0).cast("long")
+    by_x = rows.withColumn("__n", none).unionByName(upto.select(F.lit(2).alias("__side"), none.alias("__at"), none.alias("__y"), "__xb", "__yb", "__n"))
+    parts = by_x.groupBy("__xb").applyInArrow(_in_column, "__at long, __n long").unionByName(rows.groupBy("__yb").applyInArrow(_in_row, "__at long, __n long"))
+    counts = parts.groupBy("__at").agg(F.sum("__n").alias(name))
+    counted = placed.filter("__side = 0").select("__at", "__left").join(counts, "__at").select("__left.*", name)
+    unmatched = left.filter(F.col(earlier[0]).isNull() | F.col(larger[0]).isNull()).withColumn(name, none)
+    return counted.unionByName(unmatched)
 
 
 def inequality_join(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str]) -> DataFrame:

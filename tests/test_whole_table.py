@@ -124,3 +124,10 @@ def test_overlaps_are_summed_without_pairs(spark, seed):
     out = inequality.overlap_summary(left, right, ("a", "b"), ("c", "d"), "j")
     assert sorted((r.i, r.n, r.least, r.shared) for r in out.collect()) == want
     assert inequality.overlap_summary(left.limit(0), right, ("a", "b"), ("c", "d"), "j").count() == 0 == inequality.overlap_summary(left, right.limit(0), ("a", "b"), ("c", "d"), "j").count()
+
+
+def test_counts_post_no_row_at_each_level(spark):
+    """Each row goes once to a block by each order: no Generate, which gave it an entry for each level."""
+    a, b = spark.range(100).select("id", (-F.col("id")).alias("v")), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    plan = inequality.inequality_counts(a, b, ("id", "k"), ("v", "w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 3 and "Generate" not in plan
