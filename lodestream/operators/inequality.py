@@ -16,6 +16,7 @@ from lodestream.sources.package import ship
 from lodestream.sources.writers import scratch_table
 
 BIN = 1 << 16  # places in one order that one task sorts at once
+CHUNK = 256  # answering rows that an asking row meets together
 BROADCAST_ROWS = 200_000  # posted cells up to which they are broadcast
 LEVELS = 62  # of dyadic cells over whole numbers of 64 bits, sign and one bit to spare
 
@@ -138,13 +139,14 @@ def inequality_counts(left: DataFrame, right: DataFrame, earlier: tuple[str, str
 def inequality_join(left: DataFrame, right: DataFrame, earlier: tuple[str, str], larger: tuple[str, str]) -> DataFrame:
     """All pairs (left columns, right columns; their names must differ) where right's first column is less and its second greater.
 
-    In a node of ``_nodes`` an asking row matches the first k answering rows by y, and nothing else: each of these is an equality join on (level, node, number), so the work is that of
-    the rows at each level and of the pairs that match, none is tried in vain.
+    In a node of ``_nodes`` an asking row matches the first k answering rows by y, and nothing else. These are numbered and cut into chunks; an asking row goes once to each chunk that it
+    reaches and makes its pairs there, so what is shuffled is the rows at each level and a ``CHUNK``-th of the pairs. In vain it meets fewer than ``CHUNK`` rows a level.
     """
     told, _ = scratch_table(left.sparkSession, _answers_before(_nodes(left, right, earlier, larger)))
-    answers = told.filter("__right is not null").select("__level", "__node", F.col("__k").alias("__number"), "__right")
-    asks = told.filter("__left is not null and __k > 0").select("__level", "__node", "__left", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"))).alias("__number"))
-    return asks.join(answers, ["__level", "__node", "__number"]).select("__left.*", "__right.*")
+    chunk = F.expr(f"(__k - 1) div {CHUNK}")
+    answers = told.filter("__right is not null").select("__level", "__node", F.col("__k").alias("__number"), chunk.alias("__chunk"), "__right")
+    asks = told.filter("__left is not null and __k > 0").select("__level", "__node", "__left", "__k", F.explode(F.sequence(F.lit(0).cast("long"), chunk)).alias("__chunk"))
+    return asks.join(answers, ["__level", "__node", "__chunk"]).filter("__number <= __k").select("__left.*", "__right.*")
 
 
 def _cells(low: Column, high: Column, top: int = LEVELS) -> Column:

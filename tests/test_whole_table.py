@@ -126,6 +126,33 @@ def test_overlaps_are_summed_without_pairs(spark, seed):
     assert inequality.overlap_summary(left.limit(0), right, ("a", "b"), ("c", "d"), "j").count() == 0 == inequality.overlap_summary(left, right.limit(0), ("a", "b"), ("c", "d"), "j").count()
 
 
+def _executed(df, name):
+    """Nodes of this name of the plan that ran."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        if kind.startswith(name):
+            found.append(node)
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_pairs_that_match_are_not_shuffled_each(spark, monkeypatch):
+    """Every left row matches every right one: it asks once for each chunk of them, not once for each."""
+    monkeypatch.setattr(inequality, "CHUNK", 16)
+    left, right = spark.range(1000, 1100).selectExpr("id AS x", "0L AS v"), spark.range(100).selectExpr("id AS y", "id + 1 AS w")
+    out = inequality.inequality_join(left, right, ("x", "y"), ("v", "w"))
+    assert out.count() == 10_000
+    asked = max(int(n.metrics().apply("numOutputRows").value()) for n in _executed(out, "Generate"))
+    assert asked <= 100 * (100 // 16 + 8)
+
+
 def test_counts_post_no_row_at_each_level(spark):
     """Each row goes once to a block by each order: no Generate, which gave it an entry for each level."""
     a, b = spark.range(100).select("id", (-F.col("id")).alias("v")), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
