@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestream.sources.writers import shared_dir
 
 
-COMPACT_ROUNDS = 8  # rounds after which the tables of what is known become one: the plan holds no more than so many
+COMPACT_ROUNDS = 8  # rounds after which the files of what is known become one for each bucket; then after twice as many each time
+BUCKET_ROWS = 250_000  # edges for a bucket of a loop's tables
 
 
 def _keep(df: DataFrame) -> DataFrame:
@@ -20,6 +21,40 @@ def _keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Buckets:
+    """A table in the shared folder that is written in buckets by ``by``: rounds that join it by these columns read it as it lies, and shuffle their own rows alone."""
+
+    def __init__(self, rows: DataFrame, by: list[str], n: int):
+        self.spark, self.by, self.n, self.schema = rows.sparkSession, by, n, rows.schema
+        self._begin(rows)
+
+    def _begin(self, rows: DataFrame) -> None:
+        self.name = f"graph_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        self.add(rows)
+
+    def add(self, rows: DataFrame) -> None:
+        dealt = rows.repartition(self.n, *self.by)
+        dealt.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.n, *self.by).saveAsTable(self.name)
+
+    def compact(self) -> None:
+        old, rows = self.name, self.rows()
+        self._begin(rows)
+        self.spark.sql(f"DROP TABLE {old}")  # the name alone: the files stay
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def rows(self) -> DataFrame:
+        """The rows by their files, of no catalogue."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def close(self) -> DataFrame:
+        out = self.rows()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return out
+
+
 def components(edges: DataFrame, source: str, target: str, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges.
 
@@ -52,33 +87,53 @@ def reach(seeds: DataFrame, edges: DataFrame, source: str, target: str, keys: li
     """
     keys = keys or []
     shared = [k for k in keys if k in edges.columns]
-    known = _keep(seeds.select(*keys, "node", F.lit(0).alias("distance")).distinct())
-    front = known
-    steps = edges.select(*shared, F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    for k in range(1, most_rounds + 1):
-        found = front.join(steps, [*shared, "node"]).select(*keys, F.col("next").alias("node")).distinct()
-        front = _keep(found.join(known, [*keys, "node"], "left_anti").withColumn("distance", F.lit(k)).select(*keys, "node", "distance"))
-        if front.isEmpty():
-            return known
-        known = known.unionByName(front)
-        known = known if k % COMPACT_ROUNDS else _keep(known)
+    steps, n = _steps(edges, shared, source, target)
+    known = _Buckets(seeds.select(*keys, "node", F.lit(0).alias("distance")).distinct(), [*keys, "node"], n)
+    try:
+        compacted = COMPACT_ROUNDS
+        for k in range(1, most_rounds + 1):
+            front = known.rows().filter(F.col("distance") == k - 1)
+            found = front.join(steps.table(), [*shared, "node"]).select(*keys, F.col("next").alias("node")).repartition(n, *keys, "node").distinct()
+            new = found.join(known.table().select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("distance", F.lit(k)).select(*keys, "node", "distance")
+            known.add(new)
+            if known.rows().filter(F.col("distance") == k).isEmpty():
+                return known.close()
+            if k == compacted:
+                known.compact()
+                compacted *= 2
+    finally:
+        steps.close()
     raise RuntimeError(f"the reach did not settle in {most_rounds} rounds")
 
 
+def _steps(edges: DataFrame, shared: list[str], source: str, target: str) -> tuple[_Buckets, int]:
+    """Distinct edges (shared, node, next) in buckets by where they begin, and the number of buckets."""
+    steps = _keep(edges.select(*shared, F.col(source).alias("node"), F.col(target).alias("next")).distinct())
+    n = 1 + steps.count() // BUCKET_ROWS
+    return _Buckets(steps, [*shared, "node"], n), n
+
+
 def shortest_paths(seeds: DataFrame, goals: DataFrame, edges: DataFrame, source: str, target: str, most_rounds: int = 10_000, most_paths: int | None = 200) -> DataFrame:
     """(start, goal, path): one shortest path, the first in order, from each seed (node) to each goal (node) it reaches; the first ``most_paths``, or all."""
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    known = _keep(seeds.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
-    front = known
-    for k in range(1, most_rounds + 1):
-        found = front.join(steps, "node").select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
-        front = _keep(found.join(known, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")))
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
-        known = known if k % COMPACT_ROUNDS else _keep(known)
-    else:
-        raise RuntimeError(f"the paths did not settle in {most_rounds} rounds")
+    steps, n = _steps(edges, [], source, target)
+    known = _Buckets(seeds.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct().withColumn("round", F.lit(0)), ["start", "node"], n)
+    try:
+        compacted = COMPACT_ROUNDS
+        for k in range(1, most_rounds + 1):
+            front = known.rows().filter(F.col("round") == k - 1)
+            found = front.join(steps.table(), "node").select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")).repartition(n, "start", "node")
+            new = found.join(known.table().select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
+            known.add(new.withColumn("round", F.lit(k)))
+            if known.rows().filter(F.col("round") == k).isEmpty():
+                break
+            if k == compacted:
+                known.compact()
+                compacted *= 2
+        else:
+            raise RuntimeError(f"the paths did not settle in {most_rounds} rounds")
+    finally:
+        steps.close()
+    known = known.close().drop("round")
     ends = known.join(goals.select("node").distinct(), "node", "left_semi").filter("size(path) > 1")
     out = ends.select("start", F.col("node").alias("goal"), "path")
     return out if most_paths is None else out.orderBy("start", "goal").limit(most_paths)

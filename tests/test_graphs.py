@@ -78,3 +78,27 @@ def test_plans_of_long_chains_stay_small(spark):
     out = reach(spark.createDataFrame([(0,)], "node long"), edges, "a", "b")
     assert sorted((r.node, r.distance) for r in out.collect()) == [(i, i) for i in range(n + 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= COMPACT_ROUNDS + 1
+
+
+def test_rounds_shuffle_what_they_found_alone(spark, monkeypatch):
+    """Edges and what is known lie in buckets: no join of a round shuffles them."""
+    from lodestream.operators import graph
+
+    plans, add = [], graph._Buckets.add
+
+    def note(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        add(self, rows)
+
+    monkeypatch.setattr(graph._Buckets, "add", note)
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(10)], "a long, b long")
+        out = graph.reach(spark.createDataFrame([(0,)], "node long"), edges, "a", "b")
+        assert sorted((r.node, r.distance) for r in out.collect()) == [(i, i) for i in range(11)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for p in plans if "LeftAnti" in p]
+    # the front by node, what it found by node, and the rows to be written
+    assert len(rounds) == 11 and all(p.count("Exchange hashpartitioning") <= 2 and p.count("Bucketed: true") == 2 for p in rounds)
