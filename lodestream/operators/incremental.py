@@ -81,9 +81,9 @@ class JoinView:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def _write(self, manifest: dict, name: str, folder: str, rows: DataFrame, parts: Sequence[int]) -> None:
-        """Partitions as folders of this batch. Rebalancing splits a hot partition over tasks and joins small ones. A partition left without rows is no longer named."""
+        """Partitions as folders of this batch. A partition left without rows is no longer named."""
         path = f"{self.path}/{name}/{folder}"
-        rows.hint("rebalance", "__part").write.mode("overwrite").partitionBy("__part").parquet(path)
+        rows.write.mode("overwrite").partitionBy("__part").parquet(path)
         jvm, fs = self._files()
         for p in parts:
             if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/__part={p}")):
@@ -121,7 +121,10 @@ class JoinView:
         columns = self.schemas[name].names
         parts = self._touched(changed)
         old = self._stored(manifest, name, parts).withColumn("__part", self._part(F.col(self.on[0 if name == "left" else 1])))
-        rows = old.unionByName(changed).groupBy(*columns, "__part").agg(F.sum(COPIES).alias(COPIES)).filter(f"{COPIES} <> 0")
+        # dealt once, by partition and a share of it, which is how they are netted and written
+        shares = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.parts)
+        dealt = old.unionByName(changed).withColumn("__share", F.pmod(F.xxhash64(*columns), F.lit(shares))).repartition("__part", "__share")
+        rows = dealt.groupBy(*columns, "__part", "__share").agg(F.sum(COPIES).alias(COPIES)).filter(f"{COPIES} <> 0").drop("__share")
         absent = F.raise_error(F.concat(F.lit(f"a row to be deleted is not in {name}: "), F.to_json(F.struct(*columns))))
         return rows.withColumn(COPIES, F.when(F.col(COPIES) < 0, absent).otherwise(F.col(COPIES))), parts
 
@@ -135,10 +138,10 @@ class JoinView:
         for name, rows, on in (("left", left, self.on[0]), ("right", right, self.on[1])):
             columns = self.schemas[name].names
             rows = self._empty(name) if rows is None else rows.select(*columns, COPIES)
-            net = rows.groupBy(*columns).agg(F.sum(COPIES).alias(COPIES)).filter(f"{COPIES} <> 0").withColumn("__part", self._part(F.col(on)))
+            signed = rows.withColumn("__part", self._part(F.col(on)))  # signed sums need no netting; ``_side`` nets the rows it writes
             path = f"{self.path}/changes/{name}/{folder}"
-            net.write.parquet(path)
-            deltas[name] = self.spark.read.schema(net.schema).parquet(path)
+            signed.write.parquet(path)
+            deltas[name] = self.spark.read.schema(signed.schema).parquet(path)
         old = {t: dict(manifest[t]) for t in self.TABLES}
         for name in ("left", "right"):
             rows, parts = self._side(old, name, deltas[name])
@@ -157,7 +160,7 @@ class JoinView:
         if parts:
             both = self._stored(old, "states", parts).withColumn("__part", group).unionByName(signed)
             sums = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in self.schemas["states"] if f.name not in self.keys]
-            self._write(manifest, "states", folder, both.groupBy(*self.keys, "__part").agg(*sums).filter("n <> 0"), parts)
+            self._write(manifest, "states", folder, both.groupBy(*self.keys, "__part").agg(*sums).filter("n <> 0").hint("rebalance", "__part"), parts)
         self._publish(manifest | {"batch": batch})
         return True
 

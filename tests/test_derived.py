@@ -180,3 +180,19 @@ def test_totals_are_without_bias(spark):
 
 def test_sample_of_no_rows(spark):
     assert draw(sample_state(spark.createDataFrame([], "id long"), ["id"], 3), 3).collect() == []
+
+
+def test_a_batch_is_dealt_once(spark, tmp_path, monkeypatch):
+    """The rows of a side are netted and written as one shuffle deals them."""
+    plans, write = {}, JoinView._write
+
+    def note(self, manifest, name, folder, rows, parts):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        write(self, manifest, name, folder, rows, parts)
+
+    monkeypatch.setattr(JoinView, "_write", note)
+    left, right = spark.createDataFrame([(1, "a")], "ok long, status string"), spark.createDataFrame([(1, 2), (1, 3)], "lk long, v long")
+    v = JoinView(spark, str(tmp_path / "once"), left.schema, right.schema, ("ok", "lk"), {"status": F.col("status")}, {"v": F.col("v")}, parts=2)
+    v.apply(1, changes(left), changes(right))
+    assert [tuple(r) for r in v.read().collect()] == [("a", 5, 2)]
+    assert all(plans[side].count("Exchange") == 1 for side in ("left", "right"))
