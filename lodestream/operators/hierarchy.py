@@ -82,8 +82,8 @@ def connect_by(edges: DataFrame, starts: DataFrame, parent: str = "parent", chil
     Level by level: each level's walks meet the edges once, and a step into the walk's own path is not taken; without ``nocycle`` it is an error. Each level is a table, so the plan does
     not grow. Repeated edges give repeated rows; null parents or children are no edges; a start that no edge knows is a leaf.
     """
-    steps = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node is not null and next is not null")
-    front = _keep(starts.select(F.col("node").alias("root"), "node", F.array("node").alias("path")).filter("node is not null"))
+    steps = _keep(edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node is not null and next is not null"))  # else each level makes the edges anew
+    front = _keep(starts.select(F.col("node").alias("root"), "node", F.array("node").alias("path")).filter("node is not null").withColumn("__walk", F.monotonically_increasing_id()))
     done: list[DataFrame] = []
     for level in range(1, most_levels + 1):
         if front.isEmpty():
@@ -91,13 +91,12 @@ def connect_by(edges: DataFrame, starts: DataFrame, parent: str = "parent", chil
         again = F.array_contains("path", F.col("next"))
         if not nocycle:
             again = F.when(again, F.raise_error(F.concat(F.lit("a cycle in the walk to "), F.col("next").cast("string")))).otherwise(F.lit(False))
-        walks = front.withColumn("__walk", F.monotonically_increasing_id())
-        walks = _keep(walks)
-        tried = _keep(walks.join(steps, "node").withColumn("__again", again))
+        # the only table of a level: its steps, of which the next level's walks are those not taken back
+        tried = _keep(front.join(steps, "node").select("root", "path", "next", "__walk", again.alias("__again"), F.monotonically_increasing_id().alias("__step")))
         ends = tried.groupBy("__walk").agg(F.max((~F.col("__again")).cast("int")).alias("on"), F.max(F.col("__again").cast("int")).alias("cycle"))
-        told = walks.join(ends, "__walk", "left")
+        told = front.join(ends, "__walk", "left")
         done.append(told.select("root", "node", F.lit(level).alias("level"), "path", (1 - F.coalesce("on", F.lit(0))).alias("is_leaf"), F.coalesce("cycle", F.lit(0)).alias("is_cycle")))
-        front = _keep(tried.filter("not __again").select("root", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")))
+        front = tried.filter("not __again").select("root", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.col("__step").alias("__walk"))
     else:
         raise RuntimeError(f"walks did not end in {most_levels} levels")
     if not done:

@@ -9,6 +9,7 @@ from lodestream.operators.hierarchy import condensation, connect_by, interval_la
 from lodestream.operators.inequality import stab_join
 from lodestream.plans.registry import query
 from lodestream.sources.tables import table
+from lodestream.sources.writers import scratch_table
 
 SUPPLIER = 100_000_000  # what is added to a supplier's number to tell it from a customer's
 
@@ -50,6 +51,7 @@ p AS (SELECT c AS child, arg_max(s, (n, -s)) AS parent FROM q GROUP BY c UNION A
 def _partners(spark, sf) -> DataFrame:
     lines = _lines(spark, sf)
     pairs = lines.groupBy(F.col("o_custkey").alias("c"), (F.col("l_suppkey") + SUPPLIER).alias("s")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    pairs, _ = scratch_table(spark, pairs)  # read several times
     main = lambda of, with_: pairs.groupBy(F.col(of).alias("child")).agg(F.max_by(with_, F.struct("n", -F.col(with_))).alias("parent"))
     return main("c", "s").union(main("s", "c"))
 

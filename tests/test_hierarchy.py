@@ -80,3 +80,13 @@ def test_interval_labels_tell_ancestors(spark):
         assert {b for b in got if got[a].low <= got[b].low < got[a].high} == {b for b in got if a in above(b)}
         assert got[a].level == len([*above(a)]) and got[a].root == [*above(a)][-1]
     assert hierarchy.interval_labels(spark.createDataFrame([], "node int, parent int")).count() == 0
+
+
+def test_a_level_of_walks_is_written_once(spark, monkeypatch):
+    written, keep = [], hierarchy._keep
+    monkeypatch.setattr(hierarchy, "_keep", lambda df: written.append(df) or keep(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent int, child int")
+    got = hierarchy.connect_by(edges, spark.createDataFrame([(0,)], "node int"))
+    assert sorted((r.level, r.path, r.is_leaf) for r in got.collect()) == [(k + 1, list(range(k + 1)), int(k == 4)) for k in range(5)]
+    assert len(written) <= 2 + 5
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # edges are read from their table
