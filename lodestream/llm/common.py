@@ -85,19 +85,25 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A folder for files that tasks write."""
+        path = self.path(name)
+        self.kept[path] = True
+        return path
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """The table, written and read back; the shuffles that made it go."""
         path = self.path(name)
         with releasing_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.kept[path] = True
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that no later plan reads."""
-        self._delete(df._scratch_path)
+    def drop(self, kept: DataFrame | str) -> None:
+        """Delete a kept table or a folder that no later plan reads."""
+        self._delete(kept if isinstance(kept, str) else kept._scratch_path)
 
     def release(self, *still: DataFrame) -> None:
         """Delete all kept tables but those that a later plan reads."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import BROADCAST_IDS, Scratch, giving_back, ship
+from lodestream.llm.lm import get, put
 
 SHARD_TOKENS = 1 << 21  # words of a shard, or one longer document
 LONGEST = 5
@@ -18,10 +22,13 @@ FLUSH_ROWS = 1 << 16
 BLOCK_POSITIONS = 1 << 18  # set bits of first words whose ways are walked together
 SIGNS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 GAP = b"\n"
-BITMAP_DDL = "shard long, lang string, word string, n long, bitmap binary"
-PAIR_DDL = "shard long, lang string, w1 long, w2 long, n long"
+WORDS_A_FILE = 1 << 19  # frequent words of a file that workers map
+PAIRS_A_FILE = 1 << 22  # and frequent pairs
+SHARD_DDL = "lang string, words array<string>, n array<long>, bitmaps binary"
+KEYS = ["k1", "k2", "k3"]  # words one and two, three and four, five; 0 stands for no word
 PATH = [f"w{k}" for k in range(1, LONGEST + 1)]
-PHRASE_DDL = "lang string, " + ", ".join(f"{w} long" for w in PATH) + ", n long"
+ROW_OF_MEGABYTES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
+PAGE_OF_MEGABYTES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 
 
 def _names(ddl: str) -> list[str]:
@@ -41,8 +48,8 @@ def compress(positions: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return out, ends[np.append(starts[1:], len(positions)) - 1] if len(starts) else starts
 
 
-def expand(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the set bits of compressed bitmaps, one after the other, and the number of each."""
+def expand(maps: list[bytes], sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the set bits of compressed bitmaps, one after the other, and the number of each (``sizes``, where the maps come as one)."""
     raw = np.frombuffer(b"".join(maps), np.uint8).astype(np.int64)
     if not len(raw):
         return raw, np.zeros(len(maps), np.int64)
@@ -50,7 +57,8 @@ def expand(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.append(True, last[:-1]))
     shift = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
     gaps = np.add.reduceat((raw & 127) << 7 * shift, begin)
-    sizes = np.diff(np.append(0, np.cumsum(last))[np.append(0, np.cumsum([len(m) for m in maps]))])
+    if sizes is None:
+        sizes = np.diff(np.append(0, np.cumsum(last))[np.append(0, np.cumsum([len(m) for m in maps]))])
     upto = np.cumsum(gaps)
     before = np.append(0, upto)[np.cumsum(sizes) - sizes]
     return upto - np.repeat(before, sizes), sizes
@@ -65,11 +73,11 @@ class _Codes(dict):
 
 
 def bitmaps(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(shard, lang, word, n, bitmap): each word's positions in its shard. A position stays empty between two pieces, so no shift leads from one into the next."""
+    """(lang, words, n, bitmaps): a row a shard, each word's positions in it. A position stays empty between two pieces, so no shift leads from one into the next."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = TaskContext.get().partitionId() << 32, 0
+        held = 0
         open_langs: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -81,14 +89,10 @@ def bitmaps(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
                     continue
                 starts = np.flatnonzero(np.diff(code[order], prepend=-1))
                 n = np.diff(np.append(starts, len(order)))
-                data, ends = compress(order.astype(np.int64), starts)
-                begins, words = np.append(0, ends[:-1]), [*codes][1:]
-                for a in range(0, len(words), FLUSH_ROWS):
-                    b = min(a + FLUSH_ROWS, len(words))
-                    offsets = np.append(begins[a:b], ends[b - 1]) - begins[a]
-                    maps = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[begins[a] : ends[b - 1]].tobytes())])
-                    texts = pa.array([w.decode("utf-8", "replace") for w in words[a:b]], pa.string())
-                    yield pa.record_batch([pa.array(np.full(b - a, shard)), pa.array([lang] * (b - a), pa.string()), texts, pa.array(n[a:b]), maps], names=_names(BITMAP_DDL))
+                data, _ = compress(order.astype(np.int64), starts)
+                words = pa.array([w.decode("utf-8", "replace") for w in [*codes][1:]], pa.string())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), x) for x in (words, pa.array(n))]
+                yield pa.record_batch([pa.array([lang], pa.string()), *lists, pa.array([data.tobytes()], pa.binary())], names=_names(SHARD_DDL))
 
         for batch in batches:
             for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -103,36 +107,89 @@ def bitmaps(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
                 held += len(found)
                 if held >= SHARD_TOKENS:
                     yield from flush()
-                    open_langs, held, shard = {}, 0, shard + 1
+                    open_langs, held = {}, 0
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(giving_back(run), BITMAP_DDL)
+    return rows.mapInArrow(giving_back(run), SHARD_DDL)
+
+
+def _numbers(uri: str, ddl: str, store: Callable) -> Callable:
+    """A function of Arrow batches that writes all rows of its task as one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, None) if (batches := [*batches]) else None
+        if rows is not None and rows.num_rows:
+            file = f"{uri}/{TaskContext.get().partitionId():06d}"
+            put(file, *store(rows))
+            yield pa.record_batch([pa.array([file])], names=_names(ddl))
+
+    return run
+
+
+def store_words(rows: pa.Table) -> list[np.ndarray]:
+    """Hashes of words (gid, lang, word), ascending, with their gids and the words themselves."""
+    keys = [w.encode() + b" " + lang.encode() for w, lang in zip(rows["word"].to_pylist(), rows["lang"].to_pylist(), strict=True)]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+    order = np.argsort(hashes, kind="stable")
+    keys = [keys[i] for i in order]
+    offsets = np.append(0, np.cumsum([len(k) for k in keys]))
+    return [hashes[order], rows["gid"].to_numpy()[order].astype(np.uint64), offsets.astype(np.uint64), np.frombuffer(b"".join(keys), np.uint8)]
+
+
+def store_pairs(rows: pa.Table) -> list[np.ndarray]:
+    return [np.sort(rows["k1"].to_numpy()).astype(np.uint64)]
+
+
+def find_words(files: list[list[np.ndarray]], lang: str, words: pa.Array) -> np.ndarray:
+    """The gids of words of a language by the files that hold the frequent ones; 0 for the others. A hash finds a word, its bytes confirm it."""
+    tail = b" " + lang.encode()
+    keys = [w + tail for w in words.cast(pa.binary()).to_pylist()]
+    hashes, texts = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), pa.array(keys, pa.large_binary())
+    out = np.zeros(len(keys), np.int64)
+    for known, gids, offsets, text in files:
+        held = pa.Array.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+        at = np.searchsorted(known, hashes)
+        like = lambda some: some[(at[some] < len(known)) & (known[np.minimum(at[some], len(known) - 1)] == hashes[some])]  # noqa: B023, E731
+        left = like(np.arange(len(keys)))
+        while len(left):  # words of one hash stand one after the other
+            same = pc.equal(held.take(pa.array(at[left])), texts.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[same]] = gids[at[left[same]]]
+            at[left[~same]] += 1
+            left = like(left[~same])
+    return out
+
+
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two gids, of 31 bits each, as one number."""
+    return first << 32 | second
 
 
 class Shard:
-    """The bitmaps of a shard's words of one language (gid, bitmap).
+    """The bitmaps of a shard's words of one language (gids, all set bits, the number of each).
 
     No two words share a position, so ``at``, which holds at each position the word whose bit is set there, stands for all bitmaps at once: reading it at a
     phrase's positions shifted by one is the AND with every word's bitmap, and counting equal values gives the popcounts.
     """
 
-    def __init__(self, gids: list[int], maps: list[bytes]):
-        self.gids = np.array(gids, np.int64)
-        self.positions, self.sizes = expand(maps)
+    def __init__(self, gids: np.ndarray, positions: np.ndarray, sizes: np.ndarray):
+        self.gids, self.positions, self.sizes = gids, positions, sizes
         self.at = np.full(int(self.positions.max(initial=-1)) + 2, -1, np.int64)
-        self.at[self.positions] = np.repeat(np.arange(len(maps)), self.sizes)
+        self.at[self.positions] = np.repeat(np.arange(len(gids)), self.sizes)
 
-    def links(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """At each position whether its word and the next are one of the pairs of gids (all of words of the shard)."""
-        order = np.argsort(self.gids)
-        place = lambda gids: order[np.searchsorted(self.gids, gids, sorter=order)]
-        known = np.sort(place(first) * len(self.gids) + place(second))
+    def links(self, files: list[np.ndarray]) -> np.ndarray:
+        """At each position whether its word and the next are one of the pairs of gids that the files hold."""
         out = np.zeros(len(self.at), bool)
         here = np.flatnonzero((self.at[:-1] >= 0) & (self.at[1:] >= 0))
-        key = self.at[here] * len(self.gids) + self.at[here + 1]
-        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        out[here] = known[at] == key if len(known) else False
+        key = paired(self.gids[self.at[here]], self.gids[self.at[here + 1]])
+        own = np.unique(key)
+        linked = np.zeros(len(own), bool)
+        for known in files:
+            at = np.minimum(np.searchsorted(known, own.astype(known.dtype)), len(known) - 1)
+            linked |= known[at] == own.astype(known.dtype)
+        own = own[linked]
+        if len(own):
+            out[here] = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
         return out
 
     def phrases(self, shortest: int, longest: int, linked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,39 +224,46 @@ class Shard:
                 way = np.repeat(np.arange(len(cuts)), counts)
 
 
-def _pairs(shards: DataFrame) -> DataFrame:
-    """(shard, lang, w1, w2, n): popcounts of all phrases of two words."""
+def _walk(shards: DataFrame, word_files: list[str], pair_files: list[str] | None = None) -> DataFrame:
+    """(k1, n): popcounts of all phrases of two frequent words; with files of pairs (k1, k2, k3, n): of three to five words by these steps alone."""
+    names = [*(KEYS if pair_files is not None else KEYS[:1]), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [get(f) for f in word_files]
+        links = None if pair_files is None else [get(f)[0] for f in pair_files]
         for batch in batches:
-            for k, lang, words in zip(*(batch.column(i) for i in range(3)), strict=True):
-                words = words.values.flatten()
-                shard = Shard(words[0].to_pylist(), words[1].to_pylist())
-                for paths, counts in shard.phrases(2, 2):
+            for lang, words, n, bitmaps in zip(*batch.columns, strict=True):
+                gids = find_words(known, lang.as_py(), words.values)
+                positions, sizes = expand([bitmaps.as_py()], n.values.to_numpy())
+                some = gids > 0
+                shard = Shard(gids[some], positions[np.repeat(some, sizes)], sizes[some])
+                for paths, counts in shard.phrases(2, 2) if links is None else shard.phrases(3, LONGEST, shard.links(links)):
                     for a in range(0, len(counts), FLUSH_ROWS):
-                        part, n = paths[a : a + FLUSH_ROWS], counts[a : a + FLUSH_ROWS]
-                        ids = [pa.array(shard.gids[part[:, i]]) for i in range(2)]
-                        yield pa.record_batch([pa.array(np.full(len(n), k.as_py())), pa.array([lang.as_py()] * len(n), pa.string()), *ids, pa.array(n.copy())], names=_names(PAIR_DDL))
+                        part = shard.gids[paths[a : a + FLUSH_ROWS]]
+                        part = np.column_stack([part, np.zeros((len(part), 6 - part.shape[1]), np.int64)])
+                        keys = [paired(part[:, 0], part[:, 1]), paired(part[:, 2], part[:, 3]), part[:, 4]][: len(names) - 1]
+                        yield pa.record_batch([*map(pa.array, keys), pa.array(counts[a : a + FLUSH_ROWS].copy())], names=names)
 
-    return shards.mapInArrow(giving_back(run), PAIR_DDL)
+    return shards.mapInArrow(giving_back(run), ", ".join(f"{k} long" for k in names))
 
 
-def _longer(shards: DataFrame) -> DataFrame:
-    """(lang, w1 to w5, n): popcounts of phrases of three to five words by linked steps; 0 stands for no word."""
+@contextlib.contextmanager
+def _rows_of_megabytes(spark: SparkSession) -> Iterator[None]:
+    """Tables are read a row at a time within: a shard is a row of megabytes."""
+    before = {k: spark.conf.get(k) for k in ROW_OF_MEGABYTES}
+    for k, v in ROW_OF_MEGABYTES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, words, links in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
-                words, links = words.values.flatten(), links.values.flatten()
-                shard = Shard(words[0].to_pylist(), words[1].to_pylist())
-                linked = shard.links(links[0].to_numpy(zero_copy_only=False), links[1].to_numpy(zero_copy_only=False))
-                for paths, counts in shard.phrases(3, LONGEST, linked):
-                    for a in range(0, len(counts), FLUSH_ROWS):
-                        part, n = paths[a : a + FLUSH_ROWS], counts[a : a + FLUSH_ROWS]
-                        ids = [pa.array(shard.gids[part[:, i]] if i < part.shape[1] else np.zeros(len(n), np.int64)) for i in range(LONGEST)]
-                        yield pa.record_batch([pa.array([lang.as_py()] * len(n), pa.string()), *ids, pa.array(n.copy())], names=_names(PHRASE_DDL))
 
-    return shards.mapInArrow(giving_back(run), PHRASE_DDL)
+def _files(table: DataFrame, key: str, each: int, folder: str, store: Callable) -> list[str]:
+    """A written table's rows as files that workers map, some ``each`` rows in one; which row lies in which file depends on its key alone."""
+    parts = 1 + table.count() // each
+    return sorted(r.file for r in table.repartition(parts, key).mapInArrow(giving_back(_numbers(folder, "file string", store)), "file string").collect())
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -210,38 +274,39 @@ def _small(df: DataFrame) -> DataFrame:
 def count_phrases(docs: DataFrame, least: int, scratch: Scratch, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(totals, words, phrases): n of all words per lang; words (lang, word, gid, n) and phrases (lang, w1 to w5, n) of one to five words, of ``least`` occurrences and more.
 
-    One pass over the texts writes the bitmaps. Words of ``least`` occurrences keep theirs. A first walk counts pairs; summed over shards, the frequent ones are told to the
-    shards that hold them, and a second walk goes down to five words by these steps alone, which every part of a frequent phrase is.
+    One pass over the texts writes the bitmaps, a shard and language as one row, which stays where it is written. What must be known of the whole corpus is written as
+    sorted files that workers map: the frequent words, by which a first walk over the shards counts pairs, and the frequent pairs, by which a second one goes down to five
+    words: every part of a frequent phrase is frequent. So counts alone are shuffled, each word, pair and phrase at most once a shard.
     """
     spark = docs.sparkSession
-    maps = scratch.keep(bitmaps(docs, lang_col, text_col), "bitmaps")
-    counts = scratch.keep(maps.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
+    shards = scratch.keep(bitmaps(docs, lang_col, text_col), "shards", **PAGE_OF_MEGABYTES)
+    with _rows_of_megabytes(spark):
+        counts = scratch.keep(shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), "n"))).groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
     totals = scratch.keep(counts.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    words = scratch.keep(counts.filter(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id() + 1), "words")
+    words = scratch.keep(counts.filter(F.col("n") >= least).withColumn("at", F.monotonically_increasing_id()), "words")
     scratch.drop(counts)
-    frequent = maps.join(_small(words.select("lang", "word", "gid")), ["lang", "word"])
-    shards = scratch.keep(frequent.groupBy("shard", "lang").agg(F.collect_list(F.struct("gid", "bitmap")).alias("words")), "shards")
-    scratch.drop(maps)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, "1")  # a shard is a row of megabytes
-    try:
-        pairs = scratch.keep(_pairs(shards), "pairs")
-        common = pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        common = scratch.keep(common, "frequent-pairs")
-        links = pairs.join(_small(common.drop("n")), ["lang", "w1", "w2"]).groupBy("shard", "lang").agg(F.collect_list(F.struct("w1", "w2")).alias("links"))
-        linked = scratch.keep(shards.join(links, ["shard", "lang"]), "linked")
-        for used in (shards, pairs):
-            scratch.drop(used)
-        longer = _longer(linked).groupBy("lang", *PATH).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        longer = scratch.keep(longer, "longer")
-    finally:
-        spark.conf.set(key, before)
-    scratch.drop(linked)
+    # gids go round the tasks that wrote the words, so they have few bits
+    task, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    most = words.agg(F.coalesce(F.max(task) + 1, F.lit(0)).alias("tasks"), F.coalesce(F.max(row) + 1, F.lit(0)).alias("rows")).first()
+    if most.tasks * most.rows >= 1 << 31:
+        raise ValueError("more than 2^31 numbers of frequent words")
+    words = words.select("lang", "word", (row * most.tasks + task + 1).alias("gid"), "n")
+    folder = scratch.folder("known")
+    word_files = _files(words, "gid", WORDS_A_FILE, f"{folder}/words", store_words)
+    with _rows_of_megabytes(spark):
+        common = scratch.keep(_walk(shards, word_files).groupBy("k1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent-pairs")
+    pair_files = _files(common, "k1", PAIRS_A_FILE, f"{folder}/pairs", store_pairs)
+    with _rows_of_megabytes(spark):
+        longer = scratch.keep(_walk(shards, word_files, pair_files).groupBy(*KEYS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "longer")
+    for used in (shards, folder):
+        scratch.drop(used)
     none = F.lit(0).cast("long")
     short = words.select("lang", F.col("gid").alias("w1"), *(none.alias(w) for w in PATH[1:]), "n")
-    two = common.select("lang", "w1", "w2", *(none.alias(w) for w in PATH[2:]), "n")
-    return totals, words, short.unionByName(two).unionByName(longer)
+    several = common.select("k1", none.alias("k2"), none.alias("k3"), "n").unionByName(longer)
+    halves = [half for k in KEYS[:2] for half in (F.shiftright(k, 32), F.col(k).bitwiseAND((1 << 32) - 1))]
+    several = several.select(*(x.alias(w) for x, w in zip([*halves, F.col("k3")], PATH, strict=True)), "n")
+    several = several.join(_small(words.select("lang", F.col("gid").alias("w1"))), "w1")
+    return totals, words, short.unionByName(several)
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

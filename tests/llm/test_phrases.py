@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestream.llm import phrases
@@ -72,3 +74,57 @@ def test_bitmaps_come_back_from_their_bytes():
     maps = [data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     positions, sizes = phrases.expand([*maps, b""])
     assert positions.tolist() == np.concatenate(sets).tolist() and sizes.tolist() == [*map(len, sets), 0]
+
+
+def shuffled(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_bitmaps_stay_where_they_are_written(spark):
+    rng = random.Random(3)
+    rows = [(" . ".join(f"w{rng.randrange(60)}" for _ in range(5000)) + " ! a b c", "x") for _ in range(60)]
+    before = shuffled(spark)
+    assert len(ours(spark, rows, 50, 5, 2)) == 1
+    whole = sum(len(r[0]) for r in rows)  # dealing the rows out shuffles them once
+    held = shuffled(spark) - before
+    spark.createDataFrame([(*r, "clash", 0) for r in rows], "text string, lang string, word string, n int").repartition(2).write.format("noop").mode("overwrite").save()
+    dealt = shuffled(spark) - before - held
+    assert whole > dealt and held - dealt < 60 * 5000 / 4
+
+
+def test_rows_written_follow_what_is_counted_not_the_shards_that_hold_it(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_TOKENS", 100)
+    keep, rows = phrases.Scratch.keep, {}
+
+    def counting(scratch, df, name, **options):
+        out = keep(scratch, df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(phrases.Scratch, "keep", counting)
+    rng = random.Random(4)
+    texts = [(" ".join(rng.choice("abcdefgh") for _ in range(100)), "x") for _ in range(10)]
+    sums = []
+    for times in (1, 5):
+        rows.clear()
+        found = ours(spark, texts * times, 5 * times, 20, 1)
+        assert found == brute(texts * times, 5 * times, 20)
+        sums.append((rows.pop("shards"), sum(rows.values())))
+    assert sums[0][0] == 10 and sums[1][0] == 50 and sums[0][1] == sums[1][1]
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(phrases, "xxhash", SimpleNamespace(xxh3_64_intdigest=len))
+    known = pa.table({"gid": [5, 6, 7, 8], "lang": ["x", "y", "x", "x"], "word": ["ab", "ab", "cd", "é"]})
+    files = [phrases.store_words(known.slice(0, 3)), phrases.store_words(known.slice(3))]
+    assert phrases.find_words(files, "x", pa.array(["cd", "ef", "ab", "é", "a", "long"])).tolist() == [7, 0, 5, 8, 0, 0]
+    assert phrases.find_words(files, "y", pa.array(["cd", "ab"])).tolist() == [0, 6] and phrases.find_words([], "y", pa.array(["ab"])).tolist() == [0]
+
+
+def test_what_is_known_lies_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "WORDS_A_FILE", 2)
+    monkeypatch.setattr(phrases, "PAIRS_A_FILE", 2)
+    rows = [("a b c a b, c a b d e f a", "x"), ("b c a d e", "y"), ("a b c d e", None)] * 10
+    assert ours(spark, rows, 5, 9) == brute(rows, 5, 9)
