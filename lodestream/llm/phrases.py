@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ SIGNS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 GAP = b"\n"
 WORDS_A_FILE = 1 << 19  # frequent words of a file that workers map
 PAIRS_A_FILE = 1 << 22  # and frequent pairs
+CELL_LOAD = 16  # occurrences of frequent pairs a cell of the sieve
+CELL_BITS = 25  # of its number at most: a worker holds 128 MB of cells
+BLOCK_CELLS = 1 << 16
+CELLS_DDL = "block long, cells binary"
 SHARD_DDL = "lang string, words array<string>, n array<long>, bitmaps binary"
 KEYS = ["k1", "k2", "k3"]  # words one and two, three and four, five; 0 stands for no word
 PATH = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -224,27 +229,98 @@ class Shard:
                 way = np.repeat(np.arange(len(cuts)), counts)
 
 
-def _walk(shards: DataFrame, word_files: list[str], pair_files: list[str] | None = None) -> DataFrame:
-    """(k1, n): popcounts of all phrases of two frequent words; with files of pairs (k1, k2, k3, n): of three to five words by these steps alone."""
-    names = [*(KEYS if pair_files is not None else KEYS[:1]), "n"]
+def cell(keys: list[np.ndarray], bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits that phrases hash to."""
+    out = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        out = (out ^ out >> np.uint64(29) ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _walked(batches: Iterator[pa.RecordBatch], word_files: list[str], pair_files: list[str] | None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Keys and popcounts of all phrases of two frequent words; with files of pairs, of three to five words by these steps alone."""
+    known = [get(f) for f in word_files]
+    links = None if pair_files is None else [get(f)[0] for f in pair_files]
+    for batch in batches:
+        for lang, words, n, bitmaps in zip(*batch.columns, strict=True):
+            gids = find_words(known, lang.as_py(), words.values)
+            positions, sizes = expand([bitmaps.as_py()], n.values.to_numpy())
+            some = gids > 0
+            shard = Shard(gids[some], positions[np.repeat(some, sizes)], sizes[some])
+            for paths, counts in shard.phrases(2, 2) if links is None else shard.phrases(3, LONGEST, shard.links(links)):
+                for a in range(0, len(counts), FLUSH_ROWS):
+                    part = shard.gids[paths[a : a + FLUSH_ROWS]]
+                    part = np.column_stack([part, np.zeros((len(part), 6 - part.shape[1]), np.int64)])
+                    yield [paired(part[:, 0], part[:, 1]), paired(part[:, 2], part[:, 3]), part[:, 4]][: 1 if links is None else 3], counts[a : a + FLUSH_ROWS].copy()
+
+
+def _pairs(shards: DataFrame, word_files: list[str]) -> DataFrame:
+    """(k1, n): popcounts of all phrases of two frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _walked(batches, word_files, None):
+            yield pa.record_batch([*map(pa.array, keys), pa.array(counts)], names=["k1", "n"])
+
+    return shards.mapInArrow(giving_back(run), "k1 long, n long")
+
+
+def _cells(shards: DataFrame, word_files: list[str], pair_files: list[str], bits: int, least: int) -> DataFrame:
+    """(block, cells): occurrences of phrases of three to five words by the cells they hash to; of a task each, ``least`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for keys, counts in _walked(batches, word_files, pair_files):
+            np.add.at(total, cell(keys, bits), counts.astype(np.uint32))
+        np.minimum(total, least, out=total)
+        for k in range(0, len(total), BLOCK_CELLS):
+            part = total[k : k + BLOCK_CELLS]
+            if part.any():
+                yield pa.record_batch([pa.array([k // BLOCK_CELLS]), pa.array([zlib.compress(part.astype("<u1" if least < 256 else "<u4").tobytes(), 1)], pa.binary())], names=_names(CELLS_DDL))
+
+    return shards.mapInArrow(giving_back(run), CELLS_DDL)
+
+
+def _sieve(cells: DataFrame, least: int, folder: str) -> list[str]:
+    """Files of the cells of ``least`` occurrences and more over all tasks, a bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [get(f) for f in word_files]
-        links = None if pair_files is None else [get(f)[0] for f in pair_files]
+        blocks: list[int] = []
+        bits, total = [], None
         for batch in batches:
-            for lang, words, n, bitmaps in zip(*batch.columns, strict=True):
-                gids = find_words(known, lang.as_py(), words.values)
-                positions, sizes = expand([bitmaps.as_py()], n.values.to_numpy())
-                some = gids > 0
-                shard = Shard(gids[some], positions[np.repeat(some, sizes)], sizes[some])
-                for paths, counts in shard.phrases(2, 2) if links is None else shard.phrases(3, LONGEST, shard.links(links)):
-                    for a in range(0, len(counts), FLUSH_ROWS):
-                        part = shard.gids[paths[a : a + FLUSH_ROWS]]
-                        part = np.column_stack([part, np.zeros((len(part), 6 - part.shape[1]), np.int64)])
-                        keys = [paired(part[:, 0], part[:, 1]), paired(part[:, 2], part[:, 3]), part[:, 4]][: len(names) - 1]
-                        yield pa.record_batch([*map(pa.array, keys), pa.array(counts[a : a + FLUSH_ROWS].copy())], names=names)
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(part.as_py()), "<u1" if least < 256 else "<u4").astype(np.int64)
+                if blocks and blocks[-1] == block:
+                    total += part
+                    continue
+                if blocks:
+                    bits.append(np.packbits(total >= least))
+                blocks.append(block)
+                total = part
+        if blocks:
+            bits.append(np.packbits(total >= least))
+            file = f"{folder}/{TaskContext.get().partitionId():06d}"
+            put(file, np.array(blocks, np.uint64), np.concatenate(bits))
+            yield pa.record_batch([pa.array([file])], names=["file"])
+
+    return sorted(r.file for r in cells.repartition("block").sortWithinPartitions("block").mapInArrow(giving_back(run), "file string").collect())
+
+
+def _longer(shards: DataFrame, word_files: list[str], pair_files: list[str], bits: int, sieve_files: list[str]) -> DataFrame:
+    """(k1, k2, k3, n): popcounts of the phrases of three to five words by frequent pairs whose cells are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(1 << bits, BLOCK_CELLS) // 8
+        passed = np.zeros(((1 << bits) // 8 // size, size), np.uint8)
+        for blocks, part in map(get, sieve_files):
+            passed[blocks.astype(np.int64)] = part.reshape(-1, size)
+        passed = passed.ravel()
+        for keys, counts in _walked(batches, word_files, pair_files):
+            at = cell(keys, bits)
+            some = np.flatnonzero(passed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            if len(some):
+                yield pa.record_batch([*(pa.array(k[some]) for k in keys), pa.array(counts[some])], names=[*KEYS, "n"])
 
-    return shards.mapInArrow(giving_back(run), ", ".join(f"{k} long" for k in names))
+    return shards.mapInArrow(giving_back(run), ", ".join(f"{k} long" for k in [*KEYS, "n"]))
 
 
 @contextlib.contextmanager
@@ -276,7 +352,8 @@ def count_phrases(docs: DataFrame, least: int, scratch: Scratch, lang_col: str =
 
     One pass over the texts writes the bitmaps, a shard and language as one row, which stays where it is written. What must be known of the whole corpus is written as
     sorted files that workers map: the frequent words, by which a first walk over the shards counts pairs, and the frequent pairs, by which a second one goes down to five
-    words: every part of a frequent phrase is frequent. So counts alone are shuffled, each word, pair and phrase at most once a shard.
+    words: every part of a frequent phrase is frequent. That one is taken twice: first all phrases of a cell of a hash are counted together, then those alone are counted
+    apart whose cell has ``least`` occurrences; a frequent phrase's cell has. So counts alone are shuffled, each word, pair and phrase at most once a shard.
     """
     spark = docs.sparkSession
     shards = scratch.keep(bitmaps(docs, lang_col, text_col), "shards", **PAGE_OF_MEGABYTES)
@@ -294,11 +371,15 @@ def count_phrases(docs: DataFrame, least: int, scratch: Scratch, lang_col: str =
     folder = scratch.folder("known")
     word_files = _files(words, "gid", WORDS_A_FILE, f"{folder}/words", store_words)
     with _rows_of_megabytes(spark):
-        common = scratch.keep(_walk(shards, word_files).groupBy("k1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent-pairs")
+        common = scratch.keep(_pairs(shards, word_files).groupBy("k1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent-pairs")
+    steps = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(CELL_BITS, max(10, (steps // CELL_LOAD).bit_length()))
     pair_files = _files(common, "k1", PAIRS_A_FILE, f"{folder}/pairs", store_pairs)
     with _rows_of_megabytes(spark):
-        longer = scratch.keep(_walk(shards, word_files, pair_files).groupBy(*KEYS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "longer")
-    for used in (shards, folder):
+        cells = scratch.keep(_cells(shards, word_files, pair_files, bits, least), "cells")
+        sieve_files = _sieve(cells, least, f"{folder}/sieve")
+        longer = scratch.keep(_longer(shards, word_files, pair_files, bits, sieve_files).groupBy(*KEYS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "longer")
+    for used in (shards, cells, folder):
         scratch.drop(used)
     none = F.lit(0).cast("long")
     short = words.select("lang", F.col("gid").alias("w1"), *(none.alias(w) for w in PATH[1:]), "n")

@@ -76,10 +76,10 @@ def test_bitmaps_come_back_from_their_bytes():
     assert positions.tolist() == np.concatenate(sets).tolist() and sizes.tolist() == [*map(len, sets), 0]
 
 
-def shuffled(spark):
+def shuffled(spark, what="shuffleWriteBytes"):
     jvm = spark.sparkContext._jvm
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 def test_bitmaps_stay_where_they_are_written(spark):
@@ -128,3 +128,22 @@ def test_what_is_known_lies_in_several_files(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PAIRS_A_FILE", 2)
     rows = [("a b c a b, c a b d e f a", "x"), ("b c a d e", "y"), ("a b c d e", None)] * 10
     assert ours(spark, rows, 5, 9) == brute(rows, 5, 9)
+
+
+@pytest.mark.parametrize("bits", (3, 12))
+def test_a_sieve_of_few_cells_loses_no_phrase(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "CELL_BITS", bits)
+    monkeypatch.setattr(phrases, "BLOCK_CELLS", 1 << 10)
+    monkeypatch.setattr(phrases, "CELL_LOAD", 1)
+    rng = random.Random(bits)
+    rows = [(" ".join(rng.choice("abcde") for _ in range(30)), rng.choice(["x", "y"])) for _ in range(100)]
+    assert ours(spark, rows, 9, 300) == brute(rows, 9, 300)
+    assert ours(spark, rows, 300, 300) == brute(rows, 300, 300)
+
+
+def test_rare_phrases_of_frequent_pairs_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(400)) + " . u v w x y", "x") for _ in range(100)]
+    before = shuffled(spark, "shuffleWriteRecords")
+    assert ours(spark, rows, 50, 500, 2) == brute(rows, 50, 500)
+    assert shuffled(spark, "shuffleWriteRecords") - before < 20_000
