@@ -204,7 +204,7 @@ def overlap_summary(left: DataFrame, right: DataFrame, left_span: Sequence[str],
 
     ``n``: those that begin before its end less those that end at its beginning at the latest. ``shared``: what all right intervals cover up to its end less what they cover up to its
     beginning. Both follow from running sums over all ends in order. ``least``: of the intervals that begin within it, over its dyadic cells, and of those whose dyadic cells hold its beginning.
-    The cost is that of the ends and of their cells, however many overlap. Empty and null intervals overlap nothing; repeated rows count each.
+    The cost is that of the ends and of their cells, however many overlap; both grow with the rows, so all joins sort and merge. Empty and null intervals overlap nothing; repeated rows count each.
     """
     spark, (a, b), (c, d) = left.sparkSession, left_span, right_span
     rows, _ = scratch_table(spark, left.filter(F.col(a) < F.col(b)).withColumn("__row", F.monotonically_increasing_id()))
@@ -228,11 +228,11 @@ def overlap_summary(left: DataFrame, right: DataFrame, left_span: Sequence[str],
     split = [F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")]
     top = _top(own, "__low", "__high")
     inside = others.groupBy("__low").agg(least).select("__low", "least", level(top)).select("__level", cell, "least").groupBy(place).agg(least)
-    within = own.select("__row", of(top)).select("__row", *split).join(inside, place).select("__row", "least")
+    within = own.select("__row", of(top)).select("__row", *split).join(inside.hint("merge"), place).select("__row", "least")
     top = _top(others, "__low", "__high")
     held = others.select("least", of(top)).select("least", *split).groupBy(place).agg(least)
-    points = own.select("__low").distinct().select("__low", level(top)).select("__low", "__level", cell).join(held, place).groupBy("__low").agg(least)
-    over = own.join(points, "__low").select("__row", "least")
+    points = own.select("__low").distinct().select("__low", level(top)).select("__low", "__level", cell).join(held.hint("merge"), place).groupBy("__low").agg(least)
+    over = own.join(points.hint("merge"), "__low").select("__row", "least")
     told = counted.unionByName(within.unionByName(over), allowMissingColumns=True)
     found = told.groupBy("__row").agg(F.sum("n").alias("n"), least, F.sum("shared").cast("long").alias("shared")).filter("n > 0")
-    return rows.join(found, "__row").drop("__row")
+    return rows.join(found.hint("merge"), "__row").drop("__row")

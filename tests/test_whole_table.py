@@ -153,6 +153,15 @@ def test_pairs_that_match_are_not_shuffled_each(spark, monkeypatch):
     assert asked <= 100 * (100 // 16 + 8)
 
 
+def test_overlaps_broadcast_no_rows_that_grow(spark):
+    """A small file can hold many rows: what is broadcast is a row for each range of the scan, not the rows or what is known of them."""
+    left = spark.range(3000).selectExpr("id AS i", "id % 50 AS a", "id % 50 + 3 AS b")
+    right = spark.range(3000).selectExpr("id AS j", "id % 70 AS c", "id % 70 + 5 AS d")
+    out = inequality.overlap_summary(left, right, ("a", "b"), ("c", "d"), "j")
+    broadcast = [int(n.metrics().apply("numOutputRows").value()) for n in _executed(out, "BroadcastExchange")]
+    assert out.count() == 3000 and max(broadcast, default=0) <= 50
+
+
 def test_counts_post_no_row_at_each_level(spark):
     """Each row goes once to a block by each order: no Generate, which gave it an entry for each level."""
     a, b = spark.range(100).select("id", (-F.col("id")).alias("v")), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
