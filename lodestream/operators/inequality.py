@@ -52,7 +52,7 @@ def _answers_before(nodes: DataFrame) -> DataFrame:
     answers = F.col("__right").isNotNull().cast("long")
     binned = nodes.withColumn("__bin", F.floor(F.col("__y") / BIN)).withColumn("__answer", answers)
     binned, _ = scratch_table(nodes.sparkSession, binned)
-    told = _before(binned, ["__level", "__node"], F.sum("__answer"), "sum", "__carry")
+    told = _before(binned, ["__level", "__node"], F.sum("__answer"), "sum", "__carry", "merge")
     here = Window.partitionBy("__level", "__node", "__bin").orderBy("__y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return told.withColumn("__k", F.sum("__answer").over(here) + F.coalesce("__carry", F.lit(0)))
 
@@ -131,7 +131,7 @@ def inequality_counts(left: DataFrame, right: DataFrame, earlier: tuple[str, str
     by_x = rows.withColumn("__n", none).unionByName(upto.select(F.lit(2).alias("__side"), none.alias("__at"), none.alias("__y"), "__xb", "__yb", "__n"))
     parts = by_x.groupBy("__xb").applyInArrow(_in_column, "__at long, __n long").unionByName(rows.groupBy("__yb").applyInArrow(_in_row, "__at long, __n long"))
     counts = parts.groupBy("__at").agg(F.sum("__n").alias(name))
-    counted = placed.filter("__side = 0").select("__at", "__left").join(counts, "__at").select("__left.*", name)
+    counted = placed.filter("__side = 0").select("__at", "__left").join(counts.hint("merge"), "__at").select("__left.*", name)
     unmatched = left.filter(F.col(earlier[0]).isNull() | F.col(larger[0]).isNull()).withColumn(name, none)
     return counted.unionByName(unmatched)
 
@@ -146,7 +146,7 @@ def inequality_join(left: DataFrame, right: DataFrame, earlier: tuple[str, str],
     chunk = F.expr(f"(__k - 1) div {CHUNK}")
     answers = told.filter("__right is not null").select("__level", "__node", F.col("__k").alias("__number"), chunk.alias("__chunk"), "__right")
     asks = told.filter("__left is not null and __k > 0").select("__level", "__node", "__left", "__k", F.explode(F.sequence(F.lit(0).cast("long"), chunk)).alias("__chunk"))
-    return asks.join(answers, ["__level", "__node", "__chunk"]).filter("__number <= __k").select("__left.*", "__right.*")
+    return asks.join(answers.hint("merge"), ["__level", "__node", "__chunk"]).filter("__number <= __k").select("__left.*", "__right.*")
 
 
 def _cells(low: Column, high: Column, top: int = LEVELS) -> Column:

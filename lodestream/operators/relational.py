@@ -26,8 +26,8 @@ def qualify(df: DataFrame, name: str, window: Column, condition: Column) -> Data
     return df.withColumn(name, window).filter(condition)
 
 
-def _before(rows: DataFrame, by: Sequence[str], value: Column, reduce: str, name: str) -> DataFrame:
-    """The rows with what the bins before theirs give their key (null keys are a key): the latest value, the greatest or the sum. Bins are few rows each, so no key is large."""
+def _before(rows: DataFrame, by: Sequence[str], value: Column, reduce: str, name: str, hint: str | None = None) -> DataFrame:
+    """The rows with what the bins before theirs give their key (null keys are a key): the latest value, the greatest or the sum. Bins are few rows each, so no key is large. ``hint``: of the join, where keys are many."""
     per = rows.groupBy(*by, "__bin").agg(value.alias("__value"))
     w = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carry = {"last": F.last("__value", ignorenulls=True), "max": F.max("__value"), "sum": F.sum("__value")}[reduce].over(w)
@@ -36,7 +36,7 @@ def _before(rows: DataFrame, by: Sequence[str], value: Column, reduce: str, name
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return rows.join(told, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+    return rows.join(told.hint(hint) if hint else told, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, columns: Sequence[str], width: float | None = None) -> DataFrame:

@@ -162,6 +162,17 @@ def test_overlaps_broadcast_no_rows_that_grow(spark):
     assert out.count() == 3000 and max(broadcast, default=0) <= 50
 
 
+def test_inequalities_broadcast_no_rows_that_grow(spark):
+    left, right = spark.range(2000).selectExpr("id AS x", "id % 50 AS v"), spark.range(100).selectExpr("id * 20 AS y", "id % 70 AS w")
+    for out in (inequality.inequality_join(left, right, ("x", "y"), ("v", "w")), inequality.inequality_counts(left, right, ("x", "y"), ("v", "w"))):
+        assert not _executed(out, "BroadcastHashJoin")
+
+
+def test_nodes_are_told_without_a_broadcast(spark):
+    told = inequality._answers_before(inequality._nodes(*(spark.range(500).selectExpr(f"id AS {c}", f"-id AS {d}") for c, d in ("xv", "yw")), ("x", "y"), ("v", "w")))
+    assert not _executed(told, "BroadcastHashJoin")
+
+
 def test_counts_post_no_row_at_each_level(spark):
     """Each row goes once to a block by each order: no Generate, which gave it an entry for each level."""
     a, b = spark.range(100).select("id", (-F.col("id")).alias("v")), spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("w"))
